@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, token_files
+from . import common, packing, simhash, substring, token_files
 from .tokens import vocabulary
 
 
@@ -17,6 +17,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(common.prepare(spark), sf_dir, "documents")
+    rows = simhash.classes(docs, shingle=3, radius=2)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(common.prepare(spark), sf_dir, "documents")
     manifest = token_files.write(docs, common.new_folder(spark, "tokens"), vocabulary("word_bpe_49k.json"), end_id=1)
@@ -24,5 +30,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_packing": op4_packing, "op7_token_files": op7_token_files}
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(common.prepare(spark), sf_dir, "documents")
+    rows = substring.deduplicate(docs, window=20)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op5_simhash, op7_token_files, op9_substring)}
 ORACLES: dict[str, str] = {}
