@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, simhash, substring, token_files
+from . import common, packing, quality_rules, simhash, substring, token_files, url_filter
 from .tokens import vocabulary
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    rows = quality_rules.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(common.prepare(spark), sf_dir, "documents")
     rows = packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
@@ -23,6 +29,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(common.prepare(spark), sf_dir, "pages")
+    rules = tuple(url_filter.Rule.of_site(verdict, site) for verdict, site in url_filter.SITES)
+    return url_filter.judge(pages, rules, tuple(url_filter.Rule(g, "block", g) for g in url_filter.SPAM))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(common.prepare(spark), sf_dir, "documents")
     manifest = token_files.write(docs, common.new_folder(spark, "tokens"), vocabulary("word_bpe_49k.json"), end_id=1)
@@ -36,5 +48,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op5_simhash, op7_token_files, op9_substring)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_quality_rules, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op9_substring)
+}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op6_url_filter": url_filter.oracle_sql()}
