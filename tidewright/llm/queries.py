@@ -7,16 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality_rules, simhash, substring, token_files, url_filter
+from . import common, licences, packing, quality_rules, simhash, substring, token_files, url_filter, warc
 from .tokens import vocabulary
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(common.prepare(spark), sf_dir, "pages")
+    index = warc.write(pages, common.new_folder(spark, "warc"))
+    found = warc.read(index).select("page_id", F.length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    found = common.stage_table(found, "records")
+    originals = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("original_bytes"))
+    full = found.where("record_type = 'revisit'").join(originals, "payload_digest").withColumn("payload_bytes", F.col("original_bytes"))
+    return found.where("record_type = 'response'").unionByName(full.select(found.columns))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     rows = quality_rules.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(common.prepare(spark), sf_dir, "documents")
     rows = packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
@@ -49,6 +63,6 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op9_substring)
+    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op9_substring)
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op6_url_filter": url_filter.oracle_sql()}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql()}
