@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, licences, packing, quality_rules, simhash, substring, token_files, url_filter, warc
+from . import common, decontaminate, licences, packing, quality_rules, simhash, substring, token_files, url_filter, warc
 from .tokens import vocabulary
 
 
@@ -56,6 +56,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(common.prepare(spark), sf_dir, "documents")
     rows = substring.deduplicate(docs, window=20)
@@ -63,6 +68,6 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op9_substring)
+    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring)
 }
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql()}

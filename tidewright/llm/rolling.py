@@ -36,9 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a batch of texts: document, first byte, end and hash of each, in order."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, table: np.ndarray | None = None):
+        """table: what each byte counts as, such as a space for a sign that parts words."""
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         self.data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        self.data = self.data if table is None else table[self.data]
         self.offsets = offsets - offsets[0]
         space = IS_SPACE[self.data]
         if len(space):
