@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -182,17 +183,24 @@ class Index:
         return [best] if best else []
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of BLOCK bytes of text or so."""
+    items = benchmark.select(common.long_id(benchmark, "item_id").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, ceil(total / (BLOCK // 2)))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield sorted(map(tuple, part.collect()))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, edits, first_word, last_word: for each document and item, the passage of least edit distance.
 
     A passage matches an item of n words within n * (1 - similarity) inserted, missing or other words; case and
     ASCII signs don't count. Items with no words, and null ids or texts of the benchmark, match nothing; a null
     document text has no words; repeated rows match each on its own; other columns are ignored. The benchmark is
-    a query set: it is read in blocks of BLOCK bytes of text at most, each searched against all documents.
+    a query set: it is read in blocks of a bounded size, each searched against all documents.
     """
-    items = benchmark.select(common.long_id(benchmark, "item_id").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, ceil(total / (BLOCK // 2)))
     rows = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8(docs["text"]).alias("text"))
 
     def searched(own: list[tuple[int, str]]) -> DataFrame:
@@ -205,9 +213,21 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
         return rows.mapInArrow(run, ROWS)
 
-    out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = searched(sorted(map(tuple, part.collect())))
-        out = found if out is None else out.union(found)
-    return out
+    return reduce(DataFrame.union, map(searched, _blocks(benchmark)))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of docs in which find() has nothing, with all their columns; nothing is shuffled."""
+
+    def without(left: DataFrame, own: list[tuple[int, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(own, similarity, recall)
+            for batch in common.chunks(batches, "text", 4 << 20):
+                texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).fill_null(b"")
+                clean = np.ones(batch.num_rows, bool)
+                clean[[x[0] for x in index.search(texts)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return left.mapInArrow(run, left.schema)
+
+    return reduce(without, _blocks(benchmark), docs)

@@ -115,13 +115,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     stratum is one of its own, and so is "". A stratum without enough good labels keeps what the base rules keep.
     An empty or unlabelled table has no certified cutoff.
     """
-    counted = common.stage_table(counts(docs, tuple(dict.fromkeys((stratum, *keep)))), "counts")
-    chosen = cutoffs(counted, labels, stratum, risk, delta)
+    counted = common.stage_table(counts(docs, (stratum,)), "counts")
+    chosen = common.stage_table(cutoffs(counted, labels, stratum, risk, delta), "cutoffs")
+    if set(keep) - {stratum}:  # counted again rather than written with the texts
+        counted = counts(docs, tuple(dict.fromkeys((stratum, *keep))))
     wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r[0], F.col("cutoff"))).alias(f"cutoff_{r[0]}") for r in RULES])
     rows = counted.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(wide, "stratum", "left")
     failed = F.coalesce(*[F.when(exceeds(r, F.col(f"cutoff_{r[0]}")), F.lit(r[0])) for r in RULES])
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rule", F.when(~F.col("base_failed"), failed))
-    return rows.select("doc_id", *COUNTS, "base_failed", "failed_rule", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), *keep)
+    return rows.select("doc_id", *COUNTS, "base_failed", "failed_rule", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), *[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in keep])
 
 
 def oracle_sql() -> str:

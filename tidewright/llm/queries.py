@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licences, packing, quality_rules, simhash, substring, token_files, url_filter, warc
+from . import common, decontaminate, licences, packing, quality_rules, simhash, site_quality, substring, token_files, url_filter, warc
 from .tokens import vocabulary
 
 
@@ -67,7 +67,12 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return site_quality.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring)
+    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring, op10_site_quality)
 }
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql()}

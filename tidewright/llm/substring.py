@@ -54,11 +54,12 @@ def _text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text"))
 
 
-def deduplicate(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """Removes each word that a window of `window` words covers which also starts earlier: in a smaller doc_id,
     or in the same document at an earlier word. Windows are judged on the input.
 
-    Returns doc_id, text (the words kept, joined by one space), n_words, n_removed, spans (words removed, as
+    Returns doc_id, text (the words kept, joined by one space; with `untouched`, a text that loses nothing stays
+    as it is), n_words, n_removed, spans (words removed, as
     begin and end, begin and end, ...) and the columns named in `keep`, a row for each row of docs. Words are
     runs of bytes other than space and 0x09-0x0D. A null or short text has no windows; a null doc_id counts as
     the smallest. Rows that share a doc_id count as one document whose rows have the same positions: none of
@@ -111,7 +112,7 @@ def deduplicate(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()) -
             for i, text in enumerate(_text(batch).to_pylist()):
                 a, b = int(words.first[i]), int(words.first[i + 1])
                 lost = int(gone[a:b].sum())
-                texts.append(b" ".join(text.split() if not lost else compress(text.split(), (~gone[a:b]).tolist())))
+                texts.append(text if untouched and not lost else b" ".join(text.split() if not lost else compress(text.split(), (~gone[a:b]).tolist())))
                 removed.append(lost)
                 inside = slice(*np.searchsorted(begins, [a, b]).tolist())
                 spans.append(np.stack([begins[inside] - a, ends[inside] - a], axis=1).ravel().tolist())
