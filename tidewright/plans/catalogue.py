@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidewright.plans import telemetry_queries
+from tidewright.plans.telemetry_oracles import oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**telemetry_queries.QUERIES}
+ORACLES: dict[str, str] = {key: sql for key in telemetry_queries.QUERIES if (sql := oracle(key))}
