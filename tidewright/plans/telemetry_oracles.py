@@ -69,11 +69,11 @@ m AS (SELECT batch_id, batch_kind, count(*) AS input_events, count(*) FILTER (st
 
 FLOW = workflow()
 BAND = f"CASE WHEN l.remaining_budget < {NEAR_CAP} THEN 'near_cap' ELSE 'ok' END"
-AUDIT = "count(*) AS {name}, round(min(remaining_budget), 6) AS min_remaining_budget, round(avg(remaining_budget), 6) AS avg_remaining_budget"
+AUDIT = "count(*) AS {name}, round(min(remaining_budget), 9) AS min_remaining_budget, round(avg(remaining_budget), 9) AS avg_remaining_budget"
 LIKELIHOODS = "SELECT mechanism_id, epsilon, stuck_bucket, round(fault_loglik, 6) AS fault_loglik, round(normal_loglik, 6) AS normal_loglik, round(llr, 6) AS llr FROM lk"
 TOP = "SELECT epsilon, stuck_bucket, round(llr, 6) AS llr FROM lk ORDER BY llr DESC, epsilon, stuck_bucket LIMIT {n}"
-REPAIRS = "SELECT device_id, hour_id::BIGINT AS hour_id, reports, round(cleaned_mean, 6) AS cleaned_mean, round(unrepaired_mean, 6) AS unrepaired_mean, round(uncertainty_proxy, 6) AS uncertainty_proxy, repair_count FROM h"
-DASHBOARD = f"SELECT {BAND} AS budget_band, count(*) AS hourly_groups, sum(coalesce(e.flagged_reports, 0))::BIGINT AS flagged_reports, round(avg(h.cleaned_mean), 6) AS avg_cleaned_mean, round(avg(h.uncertainty_proxy), 6) AS avg_uncertainty_proxy{{more}} FROM h JOIN l USING (device_id) LEFT JOIN e USING (device_id, hour_id) GROUP BY 1"
+REPAIRS = "SELECT device_id, hour_id::BIGINT AS hour_id, reports, round(cleaned_mean, 9) AS cleaned_mean, round(unrepaired_mean, 9) AS unrepaired_mean, round(uncertainty_proxy, 9) AS uncertainty_proxy, repair_count FROM h"
+DASHBOARD = f"SELECT {BAND} AS budget_band, count(*) AS hourly_groups, sum(coalesce(e.flagged_reports, 0))::BIGINT AS flagged_reports, round(avg(h.cleaned_mean), 9) AS avg_cleaned_mean, round(avg(h.uncertainty_proxy), 9) AS avg_uncertainty_proxy{{more}} FROM h JOIN l USING (device_id) LEFT JOIN e USING (device_id, hour_id) GROUP BY 1"
 SUITE = {
     "candidate_likelihood_base": LIKELIHOODS,
     "candidate_likelihood_counts": LIKELIHOODS,
@@ -81,23 +81,23 @@ SUITE = {
     "privacy_budget_window_base": f"SELECT {AUDIT.format(name='reports')} FROM t",
     "privacy_budget_trace_audit": f"SELECT {AUDIT.format(name='reports')} FROM t WHERE remaining_budget < 1000",
     "repair_aggregate": REPAIRS,
-    "repair_dashboard": "SELECT device_id, count(*) AS hourly_groups, round(avg(cleaned_mean), 6) AS avg_cleaned_mean, sum(repair_count)::BIGINT AS repaired_reports, round(avg(uncertainty_proxy), 6) AS avg_uncertainty_proxy FROM h GROUP BY 1",
-    "provenance_event_drilldown": "SELECT device_id, hour_id::BIGINT AS hour_id, e.flagged_reports, round(e.avg_posterior, 6) AS avg_posterior, round(h.cleaned_mean, 6) AS cleaned_mean, round(h.uncertainty_proxy, 6) AS uncertainty_proxy, round(l.remaining_budget, 6) AS remaining_budget FROM e JOIN h USING (device_id, hour_id) JOIN l USING (device_id) WHERE e.avg_posterior >= 0.72::DOUBLE ORDER BY e.flagged_reports DESC, round(e.avg_posterior, 6) DESC, device_id, hour_id LIMIT 100",
+    "repair_dashboard": "SELECT device_id, count(*) AS hourly_groups, round(avg(cleaned_mean), 9) AS avg_cleaned_mean, sum(repair_count)::BIGINT AS repaired_reports, round(avg(uncertainty_proxy), 9) AS avg_uncertainty_proxy FROM h GROUP BY 1",
+    "provenance_event_drilldown": "SELECT device_id, hour_id::BIGINT AS hour_id, e.flagged_reports, round(e.avg_posterior, 9) AS avg_posterior, round(h.cleaned_mean, 9) AS cleaned_mean, round(h.uncertainty_proxy, 9) AS uncertainty_proxy, round(l.remaining_budget, 9) AS remaining_budget FROM e JOIN h USING (device_id, hour_id) JOIN l USING (device_id) WHERE e.avg_posterior >= 0.72::DOUBLE ORDER BY e.flagged_reports DESC, round(e.avg_posterior, 9) DESC, device_id, hour_id LIMIT 100",
     "end_to_end_dashboard": DASHBOARD.format(more=""),
 }
 STAGES = {
     "reports": "SELECT * FROM r",
     "report_counts": "SELECT mechanism_id, epsilon, report_bucket, count(*) AS n FROM r GROUP BY ALL",
-    "cleaning_records": "SELECT * REPLACE (round(posterior, 6) AS posterior, round(repair_value, 6) AS repair_value) FROM c",
+    "cleaning_records": "SELECT * REPLACE (round(posterior, 9) AS posterior, round(repair_value, 9) AS repair_value) FROM c",
     "provenance_edges": "SELECT report_id AS output_report_id, 'reports' AS source_table, report_id AS source_key, operator AS transform, 'pm32' AS mechanism_id, 'cal_v1' AS calibration_version FROM c",
     "privacy_ledger": "SELECT * FROM l",
     "privacy_budget_trace": "SELECT * FROM t",
-    "hourly_cleaned_analytics": "SELECT r.device_id, (r.ts // 60)::BIGINT AS hour_id, count(*) AS reports, round(avg(c.posterior), 6) AS avg_fault_posterior, count(*) FILTER (c.action = 'repair') AS repaired_reports, round(avg(2.0::DOUBLE * r.report_bucket / 31.0::DOUBLE - 1.0::DOUBLE), 6) AS cleaned_mean FROM r JOIN c USING (report_id) GROUP BY 1, 2",
-    "cleaned_event_windows": "SELECT device_id, hour_id::BIGINT AS hour_id, start_ts, end_ts, flagged_reports, round(avg_posterior, 6) AS avg_posterior, routed_semantics FROM e",
+    "hourly_cleaned_analytics": "SELECT r.device_id, (r.ts // 60)::BIGINT AS hour_id, count(*) AS reports, round(avg(c.posterior), 9) AS avg_fault_posterior, count(*) FILTER (c.action = 'repair') AS repaired_reports, round(avg(2.0::DOUBLE * r.report_bucket / 31.0::DOUBLE - 1.0::DOUBLE), 9) AS cleaned_mean FROM r JOIN c USING (report_id) GROUP BY 1, 2",
+    "cleaned_event_windows": "SELECT device_id, hour_id::BIGINT AS hour_id, start_ts, end_ts, flagged_reports, round(avg_posterior, 9) AS avg_posterior, routed_semantics FROM e",
     "repair_uncertainty_analytics": REPAIRS,
-    "lineage_drilldown": "SELECT c.report_id, c.device_id, c.ts, r.report_bucket, c.operator, round(c.posterior, 6) AS posterior, c.operator AS transform FROM c JOIN r USING (report_id) ORDER BY c.posterior DESC, c.report_id LIMIT 100",
+    "lineage_drilldown": "SELECT c.report_id, c.device_id, c.ts, r.report_bucket, c.operator, round(c.posterior, 9) AS posterior, c.operator AS transform FROM c JOIN r USING (report_id) ORDER BY c.posterior DESC, c.report_id LIMIT 100",
 }
-DRILL = "SELECT c.report_id, c.device_id, c.ts, c.operator, round(c.posterior, 6) AS posterior, c.operator AS transform, round(w.logp_fault - w.logp_normal, 6) AS llr_component FROM c JOIN r USING (report_id) JOIN w ON w.epsilon = r.epsilon AND w.report_bucket = r.report_bucket AND w.stuck_bucket = coalesce(c.stuck_bucket, r.report_bucket) WHERE c.action IN ('flag', 'repair') ORDER BY c.posterior DESC, c.ts DESC, c.report_id LIMIT 100"
+DRILL = "SELECT c.report_id, c.device_id, c.ts, c.operator, round(c.posterior, 9) AS posterior, c.operator AS transform, round(w.logp_fault - w.logp_normal, 9) AS llr_component FROM c JOIN r USING (report_id) JOIN w ON w.epsilon = r.epsilon AND w.report_bucket = r.report_bucket AND w.stuck_bucket = coalesce(c.stuck_bucket, r.report_bucket) WHERE c.action IN ('flag', 'repair') ORDER BY c.posterior DESC, c.ts DESC, c.report_id LIMIT 100"
 STUDY = {
     "candidate_likelihood_topk": LIKELIHOODS + " ORDER BY llr DESC, epsilon, stuck_bucket LIMIT 96",
     "privacy_budget_accounting": f"SELECT {AUDIT.format(name='reports')} FROM t WHERE remaining_budget < 1000",
@@ -106,19 +106,19 @@ STUDY = {
 }
 WORKFLOW = {
     "replay_audit": "SELECT batch_kind, sum(input_events)::BIGINT AS input_events, sum(accepted_new_events)::BIGINT AS accepted_new_events, sum(duplicate_events)::BIGINT AS duplicate_events, sum(rejected_budget_events)::BIGINT AS rejected_budget_events FROM m GROUP BY 1",
-    "budget_dashboard": f"SELECT count(*) AS devices, round(min(remaining_budget), 6) AS min_remaining_budget, round(avg(remaining_budget), 6) AS avg_remaining_budget, count(*) FILTER (remaining_budget < {BANDS[0]}) AS near_cap_devices FROM s",
+    "budget_dashboard": f"SELECT count(*) AS devices, round(min(remaining_budget), 9) AS min_remaining_budget, round(avg(remaining_budget), 9) AS avg_remaining_budget, count(*) FILTER (remaining_budget < {BANDS[0]}) AS near_cap_devices FROM s",
     "rejected_drilldown": "SELECT device_id, count(*) AS rejected, min(ts) AS first_rejected_ts, max(projected_epsilon_sum) AS max_projected FROM d WHERE status = 'rejected' GROUP BY 1 ORDER BY rejected DESC, device_id LIMIT 20",
-    "correction_lineage": "SELECT f.report_id, f.device_id, f.ts, f.report_bucket, c.operator, round(c.posterior, 6) AS posterior, f.source_event_id AS source_key, f.batch_id FROM f JOIN c USING (report_id) WHERE f.correction_version > 0 AND f.late_event = 1 ORDER BY c.posterior DESC, f.report_id LIMIT 50",
+    "correction_lineage": "SELECT f.report_id, f.device_id, f.ts, f.report_bucket, c.operator, round(c.posterior, 9) AS posterior, f.source_event_id AS source_key, f.batch_id FROM f JOIN c USING (report_id) WHERE f.correction_version > 0 AND f.late_event = 1 ORDER BY c.posterior DESC, f.report_id LIMIT 50",
     "candidate_top20": TOP.format(n=20),
     "device_trace": f"SELECT device_id, min({CAP} - cum) AS min_remaining_budget, max(cum) AS max_cumulative_epsilon, count(*) AS reports FROM (SELECT device_id, sum(epsilon) OVER (PARTITION BY device_id ORDER BY ts, report_id ROWS UNBOUNDED PRECEDING) AS cum FROM f) GROUP BY 1 ORDER BY 2, 1 LIMIT 20",
-    "event_uncertainty": "SELECT device_id, hour_id::BIGINT AS hour_id, e.flagged_reports, round(e.avg_posterior, 6) AS avg_posterior, round(h.cleaned_mean, 6) AS cleaned_mean, round(h.uncertainty_proxy, 6) AS uncertainty_proxy FROM e JOIN h USING (device_id, hour_id) WHERE e.flagged_reports >= 3 ORDER BY e.flagged_reports DESC, round(e.avg_posterior, 6) DESC, device_id, hour_id LIMIT 100",
-    "dashboard": f"SELECT CASE WHEN s.remaining_budget < {BANDS[0]} THEN 'near_cap' WHEN s.remaining_budget < {BANDS[1]} THEN 'low' ELSE 'ok' END AS budget_band, count(DISTINCT device_id) AS devices, count(*) AS hourly_groups, sum(coalesce(e.flagged_reports, 0))::BIGINT AS flagged_reports, round(avg(h.cleaned_mean), 6) AS avg_cleaned_mean, round(avg(h.uncertainty_proxy), 6) AS avg_uncertainty FROM h JOIN s USING (device_id) LEFT JOIN e USING (device_id, hour_id) GROUP BY 1",
+    "event_uncertainty": "SELECT device_id, hour_id::BIGINT AS hour_id, e.flagged_reports, round(e.avg_posterior, 9) AS avg_posterior, round(h.cleaned_mean, 9) AS cleaned_mean, round(h.uncertainty_proxy, 9) AS uncertainty_proxy FROM e JOIN h USING (device_id, hour_id) WHERE e.flagged_reports >= 3 ORDER BY e.flagged_reports DESC, round(e.avg_posterior, 9) DESC, device_id, hour_id LIMIT 100",
+    "dashboard": f"SELECT CASE WHEN s.remaining_budget < {BANDS[0]} THEN 'near_cap' WHEN s.remaining_budget < {BANDS[1]} THEN 'low' ELSE 'ok' END AS budget_band, count(DISTINCT device_id) AS devices, count(*) AS hourly_groups, sum(coalesce(e.flagged_reports, 0))::BIGINT AS flagged_reports, round(avg(h.cleaned_mean), 9) AS avg_cleaned_mean, round(avg(h.uncertainty_proxy), 9) AS avg_uncertainty FROM h JOIN s USING (device_id) LEFT JOIN e USING (device_id, hour_id) GROUP BY 1",
     "manifest": "SELECT * EXCLUDE (latest), coalesce(greatest(-1, max(latest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), -1)::INTEGER AS watermark_before, greatest(-1, max(latest) OVER (ORDER BY batch_id ROWS UNBOUNDED PRECEDING))::INTEGER AS watermark_after FROM m",
     "checks": "SELECT name, 0::BIGINT AS observed, 0::BIGINT AS expected, 'pass' AS status FROM (VALUES ('unique_report_ids'), ('cleaning_without_report'), ('devices_over_cap'), ('replay_inserts'), ('correction_lineage'), ('undecided_events')) AS v(name)",
 }
 READERS = {
-    "range_count": "SELECT device_id, count(*) AS reports, round(avg(report_bucket), 6) AS avg_bucket FROM r WHERE ts BETWEEN 100 AND 400 GROUP BY 1",
-    "recovery_dashboard": "SELECT l.device_id, l.remaining_budget, count(h.cleaned_mean) AS hourly_groups, round(avg(h.cleaned_mean), 6) AS avg_cleaned_mean, coalesce(sum(h.repair_count), 0)::BIGINT AS repairs FROM l LEFT JOIN h USING (device_id) GROUP BY 1, 2 ORDER BY 2, 1 LIMIT 100",
+    "range_count": "SELECT device_id, count(*) AS reports, round(avg(report_bucket), 9) AS avg_bucket FROM r WHERE ts BETWEEN 100 AND 400 GROUP BY 1",
+    "recovery_dashboard": "SELECT l.device_id, l.remaining_budget, count(h.cleaned_mean) AS hourly_groups, round(avg(h.cleaned_mean), 9) AS avg_cleaned_mean, coalesce(sum(h.repair_count), 0)::BIGINT AS repairs FROM l LEFT JOIN h USING (device_id) GROUP BY 1, 2 ORDER BY 2, 1 LIMIT 100",
 }
 
 

@@ -15,11 +15,13 @@ from tidewright.streaming import workflow as W
 Query = Callable[[SparkSession, str], DataFrame]
 #: Remaining budget under which a device is near its cap; the workflow's bands.
 NEAR_CAP, BANDS = 925.0, (5.0, 25.0)
-DIGITS = 6
+#: Digits of means (exact fractions, so six would often be a tie) and of sums of logarithms.
+DIGITS, LOG_DIGITS = 9, 6
+LOGS = ("fault_loglik", "normal_loglik", "llr")
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[F.round(c, LOG_DIGITS if c in LOGS else DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 class Relations:
@@ -39,7 +41,7 @@ class Relations:
 
 
 def topk(rows: DataFrame, n: int) -> DataFrame:
-    return rows.select("epsilon", "stuck_bucket", "llr").orderBy(F.desc(F.round("llr", DIGITS)), "epsilon", "stuck_bucket").limit(n)
+    return rows.select("epsilon", "stuck_bucket", "llr").orderBy(F.desc(F.round("llr", LOG_DIGITS)), "epsilon", "stuck_bucket").limit(n)
 
 
 def budget_audit(rows: DataFrame, name: str = "reports") -> DataFrame:
@@ -81,7 +83,7 @@ def designs(query: str) -> dict[str, Query]:
     def direct(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = Relations(spark, sf_dir)
         if query == "candidate_likelihood_topk":
-            return R.likelihoods_base(r.reports, r.weights).orderBy(F.desc(F.round("llr", DIGITS)), "epsilon", "stuck_bucket").limit(96)
+            return R.likelihoods_base(r.reports, r.weights).orderBy(F.desc(F.round("llr", LOG_DIGITS)), "epsilon", "stuck_bucket").limit(96)
         if query == "privacy_budget_accounting":
             return budget_audit(r.trace)
         return dashboard(r.repairs, r.ledger, r.events, True) if query == "uncertainty_privacy_dashboard" else provenance_drilldown(r)
@@ -89,7 +91,7 @@ def designs(query: str) -> dict[str, Query]:
     def materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = Relations(spark, sf_dir)
         if query == "candidate_likelihood_topk":
-            return stage.table(r.likelihoods, "likelihoods").orderBy(F.desc(F.round("llr", DIGITS)), "epsilon", "stuck_bucket").limit(96)
+            return stage.table(r.likelihoods, "likelihoods").orderBy(F.desc(F.round("llr", LOG_DIGITS)), "epsilon", "stuck_bucket").limit(96)
         if query == "privacy_budget_accounting":
             return budget_audit(stage.table(r.trace, "trace").where("remaining_budget < 1000.0D"))
         if query == "uncertainty_privacy_dashboard":
@@ -104,7 +106,7 @@ def designs(query: str) -> dict[str, Query]:
         old, new = r.reports.where("report_id % 2 = 0"), r.reports.where("report_id % 2 = 1")
         if query == "candidate_likelihood_topk":
             counts = R.upsert(R.report_counts(old), R.report_counts(new), R.KEYS, ["n"])
-            return R.likelihoods(counts, r.weights).orderBy(F.desc(F.round("llr", DIGITS)), "epsilon", "stuck_bucket").limit(96)
+            return R.likelihoods(counts, r.weights).orderBy(F.desc(F.round("llr", LOG_DIGITS)), "epsilon", "stuck_bucket").limit(96)
         ledger = R.upsert(R.ledger(old).select("device_id", "reports", "epsilon_sum"), R.ledger(new).select("device_id", "reports", "epsilon_sum"), ["device_id"], ["reports", "epsilon_sum"])
         ledger = ledger.withColumn("remaining_budget", F.lit(R.BUDGET) - F.col("epsilon_sum"))
         if query == "privacy_budget_accounting":
