@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .rolling import GRAM, Words, mix
+from .rolling import GRAM, Words
 
 ROWS = "doc_id long, item_id long, edits int, first_word int, last_word int"
 #: ASCII letters count as lower-case, other ASCII signs part words.
 FOLD = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 FOLD[65:91] += 32
 SIMILARITY, RECALL, SAMPLED = 0.8, 0.99, 3
+#: Walks by which the number of repetitions is found.
+TRIALS = 32
 #: Bytes of benchmark text that a task holds at a time; a larger benchmark is searched in blocks.
 BLOCK = 16 << 20
 
@@ -36,37 +38,45 @@ def allowed(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
+def class_of(n: int) -> int:
+    """Items are searched by windows of the power of two at or below their size."""
+    return 1 << (n.bit_length() - 1)
+
+
 class Walks:
-    """Repeated walks over windows of n symbols, with the places of each that make a key."""
+    """Repeated walks over windows of `size` symbols, with the places of each that make a key.
+
+    A walk of `size` steps never leaves the window, and it is the same for every item that begins with it.
+    """
 
-    def __init__(self, n: int, repetitions: int):
-        rng = np.random.default_rng(n)
-        self.n, self.steps = n, 3 * n
-        self.seeds = rng.integers(0, 1 << 63, (repetitions, self.steps), dtype=np.uint64)
-        self.places = [set(rng.choice(self.steps * 2 // 3, min(SAMPLED, self.steps * 2 // 3), replace=False).tolist()) for _ in range(repetitions)]
+    def __init__(self, size: int, repetitions: int):
+        rng = np.random.default_rng(size)
+        self.size = size
+        self.seeds = rng.integers(0, 1 << 63, (repetitions, size), dtype=np.uint64) | np.uint64(1)
+        self.places = [set(rng.choice(size, min(SAMPLED, size), replace=False).tolist()) for _ in range(repetitions)]
 
     def keys(self, symbols: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
         """The key of the window from each start on."""
-        at, key = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
+        at, key = starts.copy(), np.zeros(len(starts), np.uint64)
         for j in range(max(self.places[r]) + 1):
-            symbol = np.where(at < self.n, symbols[starts + np.minimum(at, self.n - 1)], np.uint64(0))
+            symbol = symbols[at]
             if j in self.places[r]:
-                key = mix(key ^ symbol)
-            at += (mix(symbol ^ self.seeds[r, j]) & np.uint64(1)).astype(np.int64)
+                key = (key ^ symbol) * np.uint64(GRAM)
+                key ^= key >> np.uint64(29)
+            at += ((symbol * self.seeds[r, j]) >> np.uint64(63)).view(np.int64)
         return key
 
 
-def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> int:
-    """Walks that find an item with all edits allowed, in random places, as often as the recall asks."""
-    rng, found, tries = np.random.default_rng(7), 0, 0
-    for item in sorted(items, key=len)[:: max(1, len(items) // 50)]:
-        n = len(item)
-        if not (k := allowed(n, similarity)):
-            continue
-        walks = Walks(n, 8)
-        for _ in range(4):
+def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> dict[int, int]:
+    """For each window size, walks that find an item with all edits allowed, in random places, as often as asked."""
+    rng, out = np.random.default_rng(7), {}
+    for size in sorted({class_of(len(w)) for w in items}):
+        own = [w for w in items if class_of(len(w)) == size]
+        tried, edited = [], []
+        for k in range(max(100, min(len(own), 1000))):
+            item = own[k % len(own)]
             text = item.tolist()
-            for _ in range(k):
+            for _ in range(allowed(len(item), similarity)):
                 i, kind = int(rng.integers(0, len(text))), rng.integers(0, 3)
                 if kind == 0:
                     text[i] = int(rng.integers(1, 1 << 62))
@@ -74,12 +84,14 @@ def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> in
                     text.insert(i, int(rng.integers(1, 1 << 62)))
                 elif len(text) > 1:
                     del text[i]
-            text = np.array((text + [1] * n)[:n], np.uint64)
-            at = np.zeros(1, np.int64)
-            found += sum(int(walks.keys(item, at, r)[0] == walks.keys(text, at, r)[0]) for r in range(8))
-            tries += 8
-    share = min(0.999, max(0.02, found / tries)) if tries else 0.999
-    return max(1, ceil(log(1 - recall) / log(1 - share)))
+            tried.append(item[:size])
+            edited.append(np.array((text + [1] * size)[:size], np.uint64))
+        starts, walks = np.arange(len(tried)) * size, Walks(size, TRIALS)
+        a, b = np.concatenate(tried), np.concatenate(edited)
+        hits = sum((walks.keys(a, starts, r) == walks.keys(b, starts, r)).astype(float) for r in range(TRIALS))
+        missed = 1 - (hits + 0.5) / (TRIALS + 1)  # by one walk; some edits are harder than others
+        out[size] = next(n for n in range(1, 1000) if (missed**n).mean() <= 1 - recall or n == 999)
+    return out
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -115,16 +127,17 @@ class Index:
         self.table[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
         self.by_size: dict[int, list[int]] = defaultdict(list)
         for k, (_, w, _) in enumerate(self.items):
-            self.by_size[len(w)].append(k)
+            self.by_size[class_of(len(w))].append(k)
         times = repetitions([w for _, w, _ in self.items], similarity, recall)
-        self.walks = {n: Walks(n, times if allowed(n, similarity) else 1) for n in self.by_size}
-        start = np.zeros(1, np.int64)
+        self.walks = {n: Walks(n, times[n]) for n in self.by_size}
+        self.needed = {n: min(max(0, len(self.items[k][1]) - 1 - 2 * allowed(len(self.items[k][1]), similarity)) for k in own) for n, own in self.by_size.items()}
         self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
         for n, own in self.by_size.items():
+            symbols = np.concatenate([self.items[k][1][:n] for k in own])
             for r in range(len(self.walks[n].places)):
                 keys = self.keys[n, r] = defaultdict(list)
-                for k in own:
-                    keys[int(self.walks[n].keys(self.items[k][1], start, r)[0])].append(k)
+                for k, key in zip(own, self.walks[n].keys(symbols, np.arange(len(own)) * n, r).tolist(), strict=True):
+                    keys[key].append(k)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """text, item, edits, first word, end: the best passage for each item within the similarity."""
@@ -139,17 +152,16 @@ class Index:
         at = np.minimum(np.searchsorted(self.pairs, pairs[near]), max(0, len(self.pairs) - 1))
         known[near[self.pairs[at] == pairs[near]] if len(self.pairs) else near[:0]] = True
         count = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
-        symbols = np.concatenate([words.hash, np.zeros(max(self.by_size) * 3 + 2, np.uint64)])
+        symbols = np.concatenate([words.hash, np.zeros(max(self.by_size), np.uint64)])
         ends = words.first[1:][words.doc]  # of each word's document
         proposed: dict[tuple[int, int], list[int]] = defaultdict(list)
         for n, walks in self.walks.items():
-            k = allowed(n, self.similarity)
-            span = n + k
+            # the pairs left of the smallest item, within the span of the largest one
+            most = max(len(self.items[k][1]) for k in self.by_size[n])
+            span = most + allowed(most, self.similarity)
             inside = np.concatenate([count[span:], np.full(min(span, len(count)), count[-1], np.int32)])[: len(count)] - count
-            starts = np.flatnonzero(inside[:n_words] >= max(0, n - 1 - 2 * k))
-            starts = starts[ends[starts] - starts >= n - k]
-            if n > 1:  # a passage begins or ends an edit away from a pair of the item, or holds one
-                starts = starts[inside[starts] > 0] if n - 1 - 2 * k <= 0 else starts
+            starts = np.flatnonzero(inside[:n_words] >= self.needed[n])
+            starts = starts[ends[starts] - starts >= n - allowed(most, self.similarity)]
             if not len(starts):
                 continue
             for r in range(len(walks.places)):
@@ -204,8 +216,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     rows = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8(docs["text"]).alias("text"))
 
     def searched(own: list[tuple[int, str]]) -> DataFrame:
+        index = Index(own, similarity, recall)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(own, similarity, recall)
             for batch in common.chunks(batches, "text", 4 << 20):
                 ids = batch.column(0).to_pylist()
                 found = index.search(batch.column(1))
@@ -220,8 +233,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY
     """The rows of docs in which find() has nothing, with all their columns; nothing is shuffled."""
 
     def without(left: DataFrame, own: list[tuple[int, str]]) -> DataFrame:
+        index = Index(own, similarity, recall)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(own, similarity, recall)
             for batch in common.chunks(batches, "text", 4 << 20):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).fill_null(b"")
                 clean = np.ones(batch.num_rows, bool)
