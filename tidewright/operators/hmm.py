@@ -1,0 +1,133 @@
+"""Detectors that go through a series row by row: hidden Markov models and change points.
+
+A series is one group of applyInPandas; all candidates are worked on at once with NumPy. What a group needs
+besides its rows (channel columns, a fixed 32 x 32 table) travels with the function.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCORES = "series_id int, t long, score double, candidate int, rate double"
+LEAST = 1e-15
+
+
+def forward_backward(emissions: np.ndarray, p01: float, p11: float, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """emissions: rows x 2 x candidates. The log-likelihood of each candidate, and the posterior of state 1 (rows x candidates)."""
+    n, _, m = emissions.shape
+    move = np.array([[1 - p01, p01], [1 - p11, p11]])
+    e = np.maximum(emissions, LEAST)
+    forward, scale = np.empty((n, 2, m)), np.empty((n, m))
+    state = np.array([1 - start, start])[:, None] * e[0]
+    for t in range(n):
+        if t:
+            state = (move.T @ forward[t - 1]) * e[t]
+        scale[t] = state.sum(axis=0)
+        forward[t] = state / scale[t]
+    back, posterior = np.ones((2, m)), np.empty((n, m))
+    for t in range(n - 1, -1, -1):
+        joint = forward[t] * back
+        posterior[t] = joint[1] / joint.sum(axis=0)
+        back = move @ (back * e[t]) / scale[t]
+    return np.log(scale).sum(axis=0), posterior
+
+
+def transition(rate: float, length: float) -> tuple[float, float]:
+    p11 = max(0.5, 1 - 1 / max(length, 2.0))
+    return min(0.2, max(1e-4, rate * (1 - p11) / max(1 - rate, 1e-6))), p11
+
+
+def stuck(rows: DataFrame, matrix: np.ndarray, alpha: np.ndarray | None = None, rate: float = 0.2, length: float = 48.0, radius: int = 0, per_row: bool = False) -> DataFrame:
+    """rows: series_id, t, obs. matrix: reports x candidates. Scores by the candidate of the largest likelihood, or,
+    with per_row, by the best candidate of each row. alpha: calibration (uniform if none). With a radius, a candidate
+    is the mean of the columns around it. A null report is one of its own kind and tells nothing."""
+    d = matrix.shape[1]
+    columns = np.stack([matrix[:, max(0, c - radius) : c + radius + 1].mean(axis=1) for c in range(d)], axis=1)
+    normal = matrix @ (np.full(d, 1 / d) if alpha is None else alpha)
+    p01, p11 = transition(rate, length)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        seen = group["obs"].notna().to_numpy()
+        obs = group["obs"].fillna(0).astype(int).to_numpy()
+        e = np.stack([np.repeat(normal[obs][:, None], d, axis=1), columns[obs]], axis=1)
+        e[~seen] = 1.0
+        likelihood, posterior = forward_backward(e, p01, p11, rate)
+        best = int(np.argmax(likelihood))
+        score = posterior.max(axis=1) if per_row else posterior[:, best]
+        candidate = posterior.argmax(axis=1) if per_row else best
+        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": score, "candidate": candidate, "rate": float(score.mean())})
+
+    return rows.select("series_id", "t", "obs").groupBy("series_id").applyInPandas(run, SCORES)
+
+
+def dropout(rows: DataFrame, normal_loss: float = 0.01, fault_loss: float = 0.6, rate: float = 0.2, length: float = 48.0) -> DataFrame:
+    """State 1 loses reports (null) with fault_loss, state 0 with normal_loss."""
+    p01, p11 = transition(rate, length)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        gone = group["obs"].isna().to_numpy()[:, None]
+        e = np.where(gone, [[normal_loss, fault_loss]], [[1 - normal_loss, 1 - fault_loss]])[:, :, None]
+        _, posterior = forward_backward(e, p01, p11, rate)
+        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": posterior[:, 0], "candidate": -1, "rate": float(posterior.mean())})
+
+    return rows.select("series_id", "t", "obs").groupBy("series_id").applyInPandas(run, SCORES)
+
+
+def learned(rows: DataFrame, matrix: np.ndarray, rounds: int = 8, rate: float = 0.2, length: float = 48.0) -> DataFrame:
+    """The fault's report distribution is learned by expectation maximisation, from the report's shares on."""
+    p01, p11 = transition(rate, length)
+    normal = matrix.mean(axis=1)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        obs = group["obs"].astype(int).to_numpy()
+        fault = (np.bincount(obs, minlength=len(normal)) + 1.0) / (len(obs) + len(normal))
+        for _ in range(rounds):
+            _, posterior = forward_backward(np.stack([normal[obs], fault[obs]], axis=1)[:, :, None], p01, p11, rate)
+            fault = np.bincount(obs, weights=posterior[:, 0], minlength=len(normal)) + 1e-3
+            fault /= fault.sum()
+        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": posterior[:, 0], "candidate": int(fault.argmax()), "rate": float(posterior.mean())})
+
+    return rows.select("series_id", "t", "obs").groupBy("series_id").applyInPandas(run, SCORES)
+
+
+def change_points(rows: DataFrame, column: str = "x", longest: int = 48, floor: float = 1e-4) -> DataFrame:
+    """Bayesian online change points with Gaussian runs of at most `longest` rows; the score is the chance that a run begins."""
+    hazard = 1 / longest
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        x = group[column].astype(float).to_numpy()
+        spread = max(float(x.var()), floor) if len(x) else floor
+        weight, mean, square, n = np.ones(1), np.zeros(1), np.zeros(1), np.zeros(1)
+        scores = []
+        for v in x:
+            centre = (mean + x[0]) / (n + 1) if len(x) else mean
+            variance = np.maximum((square + spread) / (n + 1), floor) * (1 + 1 / (n + 1))
+            chance = np.exp(-0.5 * (v - centre) ** 2 / variance) / np.sqrt(2 * np.pi * variance)
+            grown = weight * chance * (1 - hazard)
+            weight = np.r_[(weight * chance * hazard).sum(), grown][:longest]
+            weight /= max(weight.sum(), LEAST)
+            mean, n = np.r_[0.0, mean + v][:longest], np.r_[0.0, n + 1][:longest]
+            square = np.r_[0.0, square + (v - centre) ** 2][:longest]
+            scores.append(float(weight[0]))
+        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": scores, "candidate": -1, "rate": 0.0})
+
+    return rows.select("series_id", "t", column).groupBy("series_id").applyInPandas(run, SCORES)
+
+
+def table(matrix: DataFrame, d: int = 32) -> np.ndarray:
+    """A channel's fixed table as an array, reports x candidates."""
+    out = np.zeros((d, d))
+    for stuck_bucket, report_bucket, p in matrix.collect():
+        out[report_bucket, stuck_bucket] = p
+    return out
+
+
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"stuck": stuck, "dropout": dropout, "learned": learned, "change_points": change_points}
