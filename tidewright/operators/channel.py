@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 D = 32
 
 
+#: Multipliers of the draws of a row.
+DRAWS = (0, 1103515245, 1812433253)
+
+
 def uniform(row_id: str, k: int) -> Column:
-    """A number in [0, 1) from a row id, the k-th of that row."""
-    return ((F.col(row_id) * 1103515245 + k * 12345) % 2147483648) / F.lit(2147483648.0)
+    """A number in [0, 1) from a row id, the k-th draw (1 or 2) of that row; in whole numbers below 2**62."""
+    mixed = ((F.col(row_id) % 2147483648) * DRAWS[k] + k * 12345) % 2147483648
+    return ((mixed * 16807 + F.floor(mixed / 8192)) % 2147483648) / F.lit(2147483648.0)
 
 
 def shape(epsilon: float) -> tuple[float, float]:

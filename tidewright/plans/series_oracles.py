@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import exp
 
-from tidewright.operators.channel import D, shape
+from tidewright.operators.channel import DRAWS, D, shape
 from tidewright.plans.series_queries import EPSILON, SEGMENT, SHARE, STUCK
 from tidewright.plans.telemetry_oracles import REPORTS
 
@@ -18,7 +18,8 @@ def num(x: float) -> str:
 
 
 def uniform(k: int) -> str:
-    return f"((id * 1103515245 + {k * 12345}) % 2147483648) / {num(2147483648.0)}"
+    mixed = f"(((id % 2147483648) * {DRAWS[k]} + {k * 12345}) % 2147483648)"
+    return f"(({mixed} * 16807 + {mixed} // 8192) % 2147483648) / {num(2147483648.0)}"
 
 
 def clip(x: str, low: str = "-1", high: str = "1") -> str:
