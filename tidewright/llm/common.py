@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,14 +88,22 @@ def batch_of(ddl: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenation of start..start+length-1 for all pairs."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    out = np.arange(total, dtype=np.int64)
-    return out + np.repeat(starts - (ends - lengths), lengths)
+#: What operators keep between the tasks of a worker; each entry drops one cache.
+CACHES: list = []
+_owner = ""
+
+
+def begin(owner: str) -> None:
+    """Called when a task starts: a worker that last served another operator gives back what that one kept."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for drop in CACHES:
+        drop()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

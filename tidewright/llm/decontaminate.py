@@ -219,7 +219,8 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         index = Index(own, similarity, recall)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.chunks(batches, "text", 4 << 20):
+            common.begin("decontamination")
+            for batch in common.chunks(batches, "text", 2 << 20):
                 ids = batch.column(0).to_pylist()
                 found = index.search(batch.column(1))
                 yield common.batch_of(ROWS, list(zip(*[(ids[d], *x) for d, *x in found], strict=True)) or [[]] * 5)
@@ -236,7 +237,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY
         index = Index(own, similarity, recall)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.chunks(batches, "text", 4 << 20):
+            common.begin("decontamination")
+            for batch in common.chunks(batches, "text", 2 << 20):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).fill_null(b"")
                 clean = np.ones(batch.num_rows, bool)
                 clean[[x[0] for x in index.search(texts)]] = False

@@ -79,6 +79,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("tokens")
         code, end, most = coder(tokenizer), np.array([end_id], "<u4").tobytes(), max(1, capacity // SHARE)
         next_id, small, held = TaskContext.get().partitionId() << 40, [], 0
         rows: list[tuple] = []

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .rolling import IS_SPACE, WINDOW, Words
@@ -39,7 +40,8 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of COUNTS and those named in `keep`, a row for each row of docs; null text: no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, "text", 4 << 20):
+        common.begin("quality rules")
+        for batch in common.chunks(batches, "text", 1 << 20):
             texts = batch.column(batch.schema.get_field_index("text"))
             w = Words(texts)
             data, at, n = w.data, w.offsets, np.diff(w.first)
@@ -80,7 +82,7 @@ def exceeds(rule: tuple, cutoff) -> F.Column:
     return F.col(rule[1]) > F.lit(cutoff) * F.col(rule[2])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X <= k) of X binomial in n and p: the chance of so few rejections were the share as high as p."""
     from math import exp, lgamma, log, log1p

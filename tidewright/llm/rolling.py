@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from . import common
+
 #: Odd multipliers modulo 2**64: of bytes in a word, of words in a window, of words in a shorter one.
 BYTES, WINDOW, GRAM = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+common.CACHES.append(_powers.clear)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from . import common
 from .rolling import GRAM, WINDOW, Words, sliding_min
 
 #: Bytes of text hashed at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def _gram(window: int) -> int:
@@ -70,6 +70,7 @@ def deduplicate(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (), u
     rows = docs.select(key.alias("k"), common.utf8("text").alias("text"), common.long_id(docs, "doc_id").alias("doc_id"), *[c for c in keep if c not in ("k", "text", "doc_id")])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("substring")
         for batch in common.chunks(batches, "text", SLICE):
             words = Words(_text(batch))
             at = words.whole(window)
@@ -77,6 +78,7 @@ def deduplicate(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (), u
             yield common.batch_of("anchor long, k long", [found.view(np.int64), _key(batch)[doc]])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("substring")
         for batch in common.chunks(batches, "text", SLICE):
             words = Words(_text(batch))
             at = words.whole(window)
@@ -86,6 +88,7 @@ def deduplicate(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (), u
             yield common.batch_of("hash long, k long", [found.view(np.int64), _key(batch)[doc]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("substring")
         for batch in common.chunks(batches, "text", SLICE):
             words = Words(_text(batch))
             at, n = words.whole(window), len(words.hash)

@@ -39,6 +39,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("tokens")
         code, out, path = coder(tokenizer), None, ""
         width = 2 if max(code.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         lengths, ids, end = [], [], np.array([end_id], "<u4").tobytes()

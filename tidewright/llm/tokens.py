@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from . import common
+
 #: Unicode White_Space, as the tokenizers' regular expressions have it.
 SPACE = " \t-\r\x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -121,6 +123,7 @@ class Coder:
 
 
 _coders: dict[str, Coder] = {}
+common.CACHES.append(_coders.clear)
 
 
 def coder(path: str) -> Coder:

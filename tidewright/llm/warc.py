@@ -82,6 +82,7 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", lea
     typed = rows.join(owners, "sha1", "left").withColumn("revisit", F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("warc")
         out, name, at = None, "", 0
         for batch in common.chunks(batches, "payload"):
             if out is None:
