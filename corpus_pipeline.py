@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of five-word shingles, the one with the smallest doc_id stays."""
+    """Of documents whose five-word shingles are similar by 0.8 or more, the one with the smallest doc_id stays."""
     common.prepare(spark)
-    first = simhash.classes(docs, shingle=5, radius=3, blocks=10).where("doc_id = component_id").select("doc_id")
+    first = simhash.similar_classes(docs, shingle=5, similarity=0.8).where("doc_id = component_id").select("doc_id")
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
