@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import common, quality_rules
 
-#: Labelled rows that the classifier is fitted on, at most; taken in the order of a hash of doc_id.
-SAMPLE = 50_000
+#: Labelled rows that the classifier is fitted on, at most; those whose hash of doc_id is below a share of its range.
+SAMPLE = 20_000
 #: Least and largest weight of a prior, in votes.
 WEIGHT = (1.0, 1e6)
 KEPT = 0.5
@@ -68,7 +68,9 @@ def judge(docs: DataFrame, labels: DataFrame, site: str = "source", path: str =
     rows = counted.select("doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.array(*features()).alias("x"))
     best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("double").alias("label"))
     rows = common.stage_table(rows.join(best, "doc_id", "left"), "features")
-    sample = rows.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("x", "label").toPandas()
+    labelled = rows.where("label is not null")
+    share = min(1.0, 0.95 * SAMPLE / max(1, labelled.count()))
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).select("x", "label").toPandas()
     width = len(features())
     weights = fit(np.array(sample["x"].tolist(), float).reshape(-1, width), sample["label"].to_numpy(float)) if len(sample) else np.zeros(width + 1)
     score = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights[1:])), F.lit(float(weights[0])))
