@@ -294,6 +294,23 @@ def test_decontamination_reaches_its_recall():
     assert hits >= 57
 
 
+@pytest.mark.parametrize("n", [5, 9, 16, 31, 59, 100])
+@pytest.mark.parametrize("place", ["head", "tail", "middle", "spread"])
+def test_decontamination_finds_bunched_edits(n, place):
+    import pyarrow as pa
+
+    items = [(i, words(1000 * n + i, n)) for i in range(40)]
+    index, k = decontaminate.Index(items, 0.8, 0.99), decontaminate.allowed(n, 0.8)
+    at = {"head": range(k), "tail": range(n - k, n), "middle": range((n - k) // 2, (n - k) // 2 + k), "spread": [j * n // k for j in range(k)]}[place]
+    for kind in ("other", "missing", "more"):
+        texts = []
+        for i, text in items:
+            new = [[f"zz{i}x{j}"] if kind == "other" else [] if kind == "missing" else [f"zz{i}x{j}", w] for j, w in enumerate(text.split())]
+            texts.append(" ".join([words(1, 20), *(w for j, w in enumerate(text.split()) for w in (new[j] if j in at else [w])), words(2, 20)]))
+        found = {(d, i) for d, i, *_ in index.search(pa.array([t.encode() for t in texts], pa.binary()))}
+        assert found == {(i, i) for i in range(len(items))}, kind
+
+
 def test_best_match_is_the_edit_distance():
     rng = np.random.default_rng(7)
     for _ in range(200):

@@ -5,6 +5,10 @@ symbol, writes it, and moves on or stays by a random bit of symbol and step, so
 become texts of small Hamming distance. Keys made of a few sampled places of the walk, repeated with new walks
 until the target recall is reached, propose items; the edit distance then decides, exactly. Before that, windows
 are left out that can't match: with k edits, all but 2k of an item's word pairs remain.
+
+A walk reads the head of an item more than its tail, so edits in a bunch can hide an item from all walks. Each item
+is therefore also cut into one piece more than the edits allowed: one piece at least is left as it is, wherever the
+edits are, so places that hold a piece propose every passage that matches.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ FOLD[65:91] += 32
 SIMILARITY, RECALL, SAMPLED = 0.8, 0.99, 3
 #: Walks by which the number of repetitions is found.
 TRIALS = 32
+#: Words of a piece at most, and pairs of places and items looked at together.
+PIECE, PAIRED = 4, 1 << 20
 #: Bytes of benchmark text that a task holds at a time; a larger benchmark is searched in blocks.
 BLOCK = 16 << 20
 
@@ -43,6 +49,12 @@ def class_of(n: int) -> int:
     return 1 << (n.bit_length() - 1)
 
 
+def pieces_of(n: int, edits: int) -> tuple[int, range]:
+    """Words of a piece, and where the pieces of an item of n words begin; they are more than the edits."""
+    step = max(1, n // (edits + 1))
+    return min(step, PIECE), range(0, min(n, step * (edits + 1)), step)
+
+
 class Walks:
     """Repeated walks over windows of `size` symbols, with the places of each that make a key.
 
@@ -138,6 +150,41 @@ class Index:
                 keys = self.keys[n, r] = defaultdict(list)
                 for k, key in zip(own, self.walks[n].keys(symbols, np.arange(len(own)) * n, r).tolist(), strict=True):
                     keys[key].append(k)
+        self.sizes = np.array([len(w) for _, w, _ in self.items], np.int64)
+        self.edits = np.array([allowed(len(w), similarity) for _, w, _ in self.items], np.int64)
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by words: keys in order, items, places in them
+        cuts = defaultdict(list)
+        begins = words.first[:-1][np.diff(words.first) > 0].tolist()
+        for k, (n, edits) in enumerate(zip(self.sizes.tolist(), self.edits.tolist(), strict=True)):
+            size, places = pieces_of(n, edits)
+            cuts[size] += [(begins[k] + at, k, at) for at in places]
+        for size, own in cuts.items():
+            at, k, place = np.array(own, np.int64).T
+            keys = words.windows(size, GRAM)[at]
+            order = np.argsort(keys, kind="stable")
+            self.pieces[size] = keys[order], k[order], place[order]
+
+    def by_pieces(self, words: Words, known: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Document, item and expected first word where a piece of an item stands among enough of its pairs."""
+        for size, (keys, items, places) in self.pieces.items():
+            at = words.whole(size)
+            for j in range(size - 1):
+                at = at[known[at + j]]
+            if not len(at):
+                continue
+            own = words.windows(size, GRAM)[at]
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            at, low, high = (x[high > low] for x in (at, low, high))
+            cut = np.flatnonzero(np.diff(np.cumsum(high - low) // PAIRED)) + 1
+            for p, a, b in zip(np.split(at, cut), np.split(low, cut), np.split(high, cut), strict=True):
+                n = b - a
+                which = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                k, p = items[which], np.repeat(p, n)
+                start, doc = p - places[which], words.doc[p]
+                first = np.maximum(words.first[doc], start - self.edits[k])
+                last = np.minimum(words.first[doc + 1], start + self.sizes[k] + self.edits[k])
+                left = count[np.maximum(last - 1, first)] - count[first] >= self.sizes[k] - 1 - 2 * self.edits[k]
+                yield from zip(doc[left].tolist(), k[left].tolist(), start[left].tolist(), strict=True)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """text, item, edits, first word, end: the best passage for each item within the similarity."""
@@ -169,6 +216,8 @@ class Index:
                 for place in np.flatnonzero(np.isin(keys, np.fromiter(own, np.uint64, len(own)))).tolist():
                     for item in own[int(keys[place])]:
                         proposed[int(words.doc[starts[place]]), item].append(int(starts[place]))
+        for doc, item, start in self.by_pieces(words, known, count):
+            proposed[doc, item].append(start)
         out = []
         for (doc, item), places in proposed.items():
             out += self.verify(words, doc, item, sorted(set(places)))
