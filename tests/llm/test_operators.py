@@ -265,6 +265,22 @@ def test_url_filter(spark):
     assert got[7] == got[8] == got[9] == ("", "", None, "allow") and got[10][:2] == ("b:", "//org/es/") and got[11][3] == "block" and got[12][1] == ""
 
 
+def test_url_rules_keep_to_host_and_path(spark):
+    sites = (*url_filter.SITES, ("block", "whole.info"))
+    hosts = ["foo.org", "archive.example.org", "com", "a.com", "example.com", "xexample.com", "com.evil.org", "x.net", "example.net", "org", "é.com", "whole.info", "a.whole.info", "whole.info.biz"]
+    paths = ["", "/", "/en/y", "/en", "/x.com/en/y", "/web/http://a.com/en/1", "/en/7/go.example.com/en/7", "/r.net/de/8", "/de/8/example.net/de/8", "/es/x.whole.info/", "/org/es/", "/en/\u00ff/b.org/es/", "/en/7"]
+    want = []
+    for h in hosts:
+        for p in paths:
+            fit = [s for _, s in sites if (h == s.partition("/")[0] or h.endswith("." + s.partition("/")[0])) and p.startswith("".join(s.partition("/")[1:]))]
+            want.append((h, p, max(fit, key=len, default=None)))
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(want)], "page_id long, url string")
+    got = url_filter.judge(pages, tuple(url_filter.Rule.of_site(v, s) for v, s in sites), (url_filter.Rule("any", "block", "*.org/x.com*"),)).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule) for r in got] == want
+    assert {(r.host, r.path): r.verdict for r in got}["foo.org", "/x.com/en/y"] == "block"  # by the glob over host and path
+    assert {(r.host, r.path): r.verdict for r in got}["foo.org", "/web/http://a.com/en/1"] == "allow"
+
+
 def test_decontaminate(spark, docs, empty):
     item, other = words(50, 40), words(51, 12)
     bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, ""), (5, "ok")], "item_id long, text string")

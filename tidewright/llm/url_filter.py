@@ -16,10 +16,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Stands between host and path for globs that hold it: a byte that UTF-8 has not, so no URL has it.
+BETWEEN = "\udcff"
+
 
 @dataclass(frozen=True)
 class Rule:
-    """name; verdict (block or allow); the glob over the canonical URL: a dot, the host, the path."""
+    """name; verdict (block or allow); the glob over the canonical URL: a dot, the host, the path.
+
+    A glob with BETWEEN in it is matched with BETWEEN between host and path, so its star can't lead from one to the other.
+    """
 
     name: str
     verdict: str
@@ -28,14 +34,16 @@ class Rule:
     @staticmethod
     def of_site(verdict: str, site: str) -> "Rule":
         """Host and path prefix: fits the host and all its subdomains, and each path that starts so."""
-        return Rule(site, verdict, f"*.{site.replace('*', '')}*")
+        own_host, slash, own_path = site.replace("*", "").partition("/")
+        return Rule(site, verdict, f"*.{own_host}{BETWEEN}{slash}{own_path}*")
 
 
 class Automaton:
     """'*' stands for any bytes, '?' for one byte, anything else for itself; a glob fits the whole text."""
 
     def __init__(self, globs: list[str]):
-        symbols = [g.encode().replace(b"*", b"") for g in globs]
+        coded = [g.encode(errors="surrogateescape") for g in globs]
+        symbols = [g.replace(b"*", b"") for g in coded]
         sizes = [len(s) for s in symbols]
         self.words = max(1, -(-sum(sizes) // 64))
         self.chars = np.zeros((256, self.words), np.uint64)
@@ -43,9 +51,9 @@ class Automaton:
         self.ends: list[tuple[int, int] | None] = []  # word and bit of the last symbol; None: a glob of stars
         self.empty = [g == "" for g in globs]
         at = 0
-        for glob, size in zip(globs, sizes, strict=True):
+        for glob, size in zip(coded, sizes, strict=True):
             bit = at
-            for c in glob.encode():
+            for c in glob:
                 word, mask = bit // 64, np.uint64(1 << bit % 64)
                 if c == ord("*"):
                     if bit > at:
@@ -59,7 +67,7 @@ class Automaton:
             if size:
                 word, mask = at // 64, np.uint64(1 << at % 64)
                 self.first[word] |= mask
-                (self.always if glob.startswith("*") else self.at_start)[word] |= mask
+                (self.always if glob.startswith(b"*") else self.at_start)[word] |= mask
             self.ends.append(((at + size - 1) // 64, (at + size - 1) % 64) if size else None)
             at += size
 
@@ -107,12 +115,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], otherwise: tuple[Rule, ...]
     machine_rules = [*rules, *otherwise]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton([r.glob for r in machine_rules])
+        parted = np.array([BETWEEN in r.glob for r in machine_rules], bool)
+        machines = [(own, Automaton([machine_rules[k].glob for k in own]), sign) for own, sign in ((np.flatnonzero(parted), BETWEEN.encode(errors="surrogateescape")), (np.flatnonzero(~parted), b"")) if len(own)]
         rank = sorted(range(len(rules)), key=lambda k: (-len(rules[k].name), k)) + list(range(len(rules), len(machine_rules)))
         for batch in batches:
             at = len(keep)
-            texts = [b"." + h + p for h, p in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).cast(pa.binary()).to_pylist(), strict=True)]
-            fits = machine.match(texts)[:, rank]
+            parts = list(zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).cast(pa.binary()).to_pylist(), strict=True))
+            fits = np.zeros((len(parts), len(machine_rules)), bool)
+            for own, machine, sign in machines:
+                fits[:, own] = machine.match([b"." + h + sign + p for h, p in parts])
+            fits = fits[:, rank]
             best = np.where(fits.any(axis=1), fits.argmax(axis=1), -1)
             chosen = [machine_rules[rank[b]] if b >= 0 else None for b in best.tolist()]
             own = common.batch_of("rule string, verdict string", [[r.name if r and b < len(rules) else None for r, b in zip(chosen, best.tolist(), strict=True)], [r.verdict if r else "allow" for r in chosen]])
