@@ -420,3 +420,25 @@ def test_similar_classes_reach_similar_texts(spark, docs, empty, monkeypatch):
     rest = [(r.doc_id, r.component_id) for r in simhash.similar_classes(docs).collect()]
     assert len(rest) == len(rows()) and {c for i, c in rest if i in (6, 7, 8)} == {6} and {c for i, c in rest if i in (1, 2)} == {1}
     assert simhash.similar_classes(empty).count() == 0
+
+
+def test_similar_classes_decide_exactly(spark, monkeypatch):
+    """Pairs of a text and one with some words replaced, on both sides of 0.8."""
+    rng, data, close = np.random.default_rng(9), [], {}
+    for pair in range(400):
+        n = int(rng.integers(40, 300)) if pair % 4 else int(rng.integers(5, 30))
+        base = words(5000 + pair, n).split()
+        own = list(base)
+        for at in rng.choice(n, max(1, int(n * rng.uniform(0.01, 0.06))), replace=False):
+            own[at] = f"new{pair}x{at}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(own))
+        data += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(own))]
+        close[pair] = len(a & b) / len(a | b)
+    given = spark.createDataFrame(data, "doc_id long, text string")
+    for part in (4096, 3):
+        monkeypatch.setattr(simhash, "PART", part)
+        got = dict(map(tuple, simhash.similar_classes(given).collect()))
+        above, below = [p for p in close if close[p] >= 0.8], [p for p in close if close[p] < 0.8]
+        assert min(len([p for p in above if close[p] < 0.9]), len([p for p in below if close[p] > 0.7])) > 40
+        assert sum(got[2 * p] == got[2 * p + 1] for p in above) >= len(above) - 2
+        assert not [p for p in below if got[2 * p] == got[2 * p + 1]]

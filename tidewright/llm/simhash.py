@@ -10,7 +10,7 @@ given up when all of them are beyond the radius. A bucket returns a spanning for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -165,14 +165,27 @@ WIDE, KEYS, PART = 256, 4, 4096
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[bytes, list[int]]:
-    """A fingerprint of WIDE bits, and the least of the shingles' hashes under KEYS permutations."""
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """The different hashes of the shingles, in order."""
     from xxhash import xxh64_digest
 
     if not words:
-        return bytes(WIDE // 8), [0] * KEYS
+        return np.zeros(0, np.uint64)
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    h = np.unique(np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(42))), ">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(42))), ">u8").astype(np.uint64))
+
+
+def set_name(h: np.ndarray) -> bytes:
+    """The same for the same set of shingles, and different for others."""
+    from xxhash import xxh128_digest
+
+    return xxh128_digest(h.tobytes())
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """A fingerprint of WIDE bits, and the least of the shingles' hashes under KEYS permutations."""
+    if not len(h):
+        return bytes(WIDE // 8), [0] * KEYS
     spread = h[:, None] * _MIX  # each column is a hash of its own
     spread ^= spread >> np.uint64(32)
     spread *= _MIX[::-1]
@@ -182,9 +195,12 @@ def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[bytes, list[int]
 
 
 def radius_of(similarity: float, bits: int = WIDE) -> int:
-    """Differing bits to be expected at a Jaccard similarity, and half a standard deviation more."""
+    """Differing bits to be expected at a Jaccard similarity, and five standard deviations more.
+
+    Texts of few shingles have more differing bits than expected: sets of four and five shingles 48 of 256 at 0.8.
+    """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + 0.5 * (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + 5 * (bits * share * (1 - share)) ** 0.5)
 
 
 def wide_planes(fps: list[bytes]) -> list[int]:
@@ -192,8 +208,30 @@ def wide_planes(fps: list[bytes]) -> list[int]:
     return [int.from_bytes(np.packbits(c, bitorder="little").tobytes(), "little") for c in np.ascontiguousarray(bits.T)]
 
 
-def wide_roots(fps: list[bytes], radius: int) -> list[int]:
-    """As roots(), for fingerprints of any width."""
+def similar_to(sets: list[np.ndarray], similarity: float) -> Callable[[int, list[int]], list[int]]:
+    """A function that gives, of some sets, those whose Jaccard similarity to one set is high enough, exactly."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    own, marked = np.split(places, np.cumsum(sizes)[:-1]), np.zeros(len(places), bool)
+
+    def near(one: int, others: list[int]) -> list[int]:
+        marked[own[one]] = True
+        n, out = int(sizes[one]), []
+        for i in others:
+            m = int(sizes[i])
+            if min(m, n) < similarity * max(m, n) - 1e-9:
+                continue
+            common_ones = int(np.count_nonzero(marked[own[i]]))
+            if common_ones >= similarity * (m + n - common_ones) - 1e-9:
+                out.append(i)
+        marked[own[one]] = False
+        return out
+
+    return near
+
+
+def wide_roots(fps: list[bytes], radius: int, similar: Callable[[int, list[int]], list[int]]) -> list[int]:
+    """As roots(), for fingerprints of any width; of those within the radius, the similar ones are linked."""
     n, values = len(fps), [np.unpackbits(np.frombuffer(f, np.uint8)).tolist() for f in fps]
     blocks = [wide_planes(fps[i : i + LANES]) for i in range(0, n, LANES)]
     unseen, root = [(1 << min(LANES, n - i)) - 1 for i in range(0, n, LANES)], [-1] * n
@@ -203,14 +241,12 @@ def wide_roots(fps: list[bytes], radius: int) -> list[int]:
         unseen[seed // LANES] ^= 1 << seed % LANES
         root[seed], stack = seed, [seed]
         while stack:
-            query = values[stack.pop()]
+            one = stack.pop()
             for k, block in enumerate(blocks):
-                if unseen[k] and (near := within(block, query, unseen[k], radius)):
-                    unseen[k] ^= near
-                    while near:
-                        low = near & -near
-                        near ^= low
-                        i = k * LANES + low.bit_length() - 1
+                if unseen[k] and (near := within(block, values[one], unseen[k], radius)):
+                    lanes = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes(LANES // 8, "little"), np.uint8), bitorder="little"))
+                    for i in similar(one, (k * LANES + lanes).tolist()):
+                        unseen[k] ^= 1 << i % LANES
                         root[i] = seed
                         stack.append(i)
     return root
@@ -221,8 +257,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Here the radius is too wide for buckets of agreeing bits: at a similarity of 0.8 a seventh of the bits differ.
     Buckets are documents that share the least hash of their shingles under one of KEYS permutations, which those
-    of that similarity do in all but 1 of 600 cases; in a bucket, wide fingerprints are compared bit-sliced. Equal
-    fingerprints are one node. A bucket of more than PART nodes is dealt into parts, and every pair of parts meets
+    of that similarity do in all but 1 of 600 cases; in a bucket, wide fingerprints are compared bit-sliced, with a
+    radius that leaves out hardly any pair of that similarity, and those within it link if the Jaccard similarity of
+    their shingles is high enough. Equal sets of shingles are one node. A bucket of more than PART nodes is dealt into parts, and every pair of parts meets
     in a task of its own, so that no task holds more than two parts. Null ids and texts are treated as in
     classes().
     """
@@ -231,41 +268,53 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("simhash")
         for batch in common.chunks(batches, "text", 2 << 20):
-            found = [wide_fingerprint(t.lower().split(), shingle) for t in common.values(batch, "text")]
-            yield common.batch_of("doc_id long, fp binary, keys array<long>", [batch.column(0), *zip(*found, strict=True)])
+            sets = [shingle_set(t.lower().split(), shingle) for t in common.values(batch, "text")]
+            found = [(set_name(h), *wide_fingerprint(h)) for h in sets]
+            yield common.batch_of("doc_id long, name binary, fp binary, keys array<long>", [batch.column(0), *zip(*found, strict=True)])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("simhash")
+        for batch in common.chunks(batches, "text", 2 << 20):
+            sets = [shingle_set(t.lower().split(), shingle) for t in common.values(batch, "text")]
+            yield common.batch_of("name binary, hashes binary", [[set_name(h) for h in sets], [h.tobytes() for h in sets]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("simhash")
-        bucket, nodes, fps = None, [], []
+        bucket, nodes, fps, sets = None, [], [], []
 
         def edges() -> list[tuple[int, int]]:
-            found = wide_roots(fps, radius) if len(fps) > 1 else []
+            found = wide_roots(fps, radius, similar_to(sets, similarity)) if len(fps) > 1 else []
             out = [(nodes[i], nodes[r]) for i, r in enumerate(found) if i != r]
             nodes.clear()
             fps.clear()
+            sets.clear()
             return out
 
         for batch in batches:
             out = []
-            for *key, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, node, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != bucket:
                     out += edges()
                     bucket = key
                 nodes.append(node)
                 fps.append(fp)
+                sets.append(np.frombuffer(hashes, np.uint64))
             yield common.batch_of("a long, b long", list(zip(*out, strict=True)) or [[], []])
         yield common.batch_of("a long, b long", list(zip(*edges(), strict=True)) or [[], []])
 
     texts = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8("text").alias("text"))
-    prints = common.stage_table(texts.mapInArrow(run, "doc_id long, fp binary, keys array<long>"), "wide-fingerprints")
-    nodes = common.stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "nodes")
-    rows = nodes.where("node is not null").select(F.posexplode("keys").alias("choice", "key"), "node", "fp")
+    prints = common.stage_table(texts.mapInArrow(run, "doc_id long, name binary, fp binary, keys array<long>"), "wide-fingerprints")
+    nodes = common.stage_table(prints.groupBy("name").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
+    rows = nodes.where("node is not null").select(F.posexplode("keys").alias("choice", "key"), "node", "name", "fp")
     sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = rows.join(sizes, ["choice", "key"]).select("choice", "key", "node", "fp", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    rows = common.stage_table(rows.join(sizes, ["choice", "key"]), "met")
+    # only texts that meet others are read again for their shingles
+    again = texts.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(shingled, "name binary, hashes binary")
+    rows = rows.join(again.groupBy("name").agg(F.first("hashes").alias("hashes")), "name").select("choice", "key", "node", "fp", "hashes", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("choice", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "fp")
+    rows = rows.select("choice", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "fp", "hashes")
     met = rows.repartition("choice", "key", "p", "q").sortWithinPartitions("choice", "key", "p", "q", "node").mapInArrow(compare, "a long, b long")
     linked = components(met)
-    named = nodes.select("fp", "node").join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+    named = nodes.select("name", "node").join(linked, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
+    return prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
