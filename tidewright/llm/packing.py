@@ -80,7 +80,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("tokens")
-        code, end, most = coder(tokenizer), np.array([end_id], "<u4").tobytes(), max(1, capacity // SHARE)
+        code, most = coder(tokenizer), max(1, capacity // SHARE)
         next_id, small, held = TaskContext.get().partitionId() << 40, [], 0
         rows: list[tuple] = []
 
@@ -101,17 +101,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
             small.clear()
             held = 0
 
-        for batch in common.chunks(batches, "text", 2 << 20):
-            for doc, ids in zip(common.values(batch, "doc_id"), code.encode(common.values(batch, "text")), strict=True):
-                ids += end
-                total = len(ids) // 4
+        for batch in common.chunks(batches, "text"):
+            coded, bounds = code.closed(batch.column(1), end_id)
+            ids, bounds = coded.tobytes(), bounds.tolist()
+            for doc, at, to in zip(common.values(batch, "doc_id"), bounds, bounds[1:], strict=False):
+                total = to - at
                 full = total // capacity * capacity
                 for start in range(0, full, capacity):
-                    rows.append((doc, start, capacity, total, next_id, 0, ids[4 * start : 4 * (start + capacity)]))
+                    rows.append((doc, start, capacity, total, next_id, 0, ids[4 * (at + start) : 4 * (at + start + capacity)]))
                     next_id += 1
                 for start in range(full, total, most):
                     length = min(most, total - start)
-                    small.append((doc, start, length, total, ids[4 * start : 4 * (start + length)]))
+                    small.append((doc, start, length, total, ids[4 * (at + start) : 4 * (at + start + length)]))
                 held += total - full
                 if held >= GROUP * capacity:
                     deal()

@@ -42,17 +42,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
         common.begin("tokens")
         code, out, path = coder(tokenizer), None, ""
         width = 2 if max(code.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-        lengths, ids, end = [], [], np.array([end_id], "<u4").tobytes()
+        lengths, ids = [], []
         for batch in common.chunks(batches, "text"):
             if out is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
                 path = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
                 out = store.open_output_stream(path)
-            coded = [x + end for x in code.encode(common.values(batch, "text"))]
-            lengths += [len(x) // 4 for x in coded]
+            coded, bounds = code.closed(batch.column(1), end_id)
+            lengths += np.diff(bounds).tolist()
             ids += common.values(batch, "doc_id")
-            out.write(np.frombuffer(b"".join(coded), "<u4").astype(f"<u{width}").tobytes())
+            out.write(coded.astype(f"<u{width}").tobytes())
         if out is None:
             return
         ends = np.cumsum(lengths, dtype=np.int64)
