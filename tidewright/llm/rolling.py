@@ -11,6 +11,8 @@ from . import common
 BYTES, WINDOW, GRAM = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes, or words, hashed at a time, so that a long text needs little more memory than its words.
+STEP = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 common.CACHES.append(_powers.clear)
@@ -60,20 +62,40 @@ class Words:
             self.starts = self.ends = np.zeros(0, np.int64)
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
         self.first = np.searchsorted(self.starts, self.offsets)  # of each document, and their number
-        up, down = powers(BYTES, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.hash = np.zeros(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.hash):
+            begin = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + STEP, "right")))
+            if self.ends[to - 1] - begin > STEP:
+                self.hash[at] = self.long_word(begin, int(self.ends[at]))
+            else:
+                sums, down = self.sums(begin, int(self.ends[to - 1]))
+                own = self.starts[at:to] - begin
+                self.hash[at:to] = (sums[self.ends[at:to] - begin] - sums[own]) * down[own]
+            at = to
+        self.hash = mix(self.hash)
+
+    def sums(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = powers(BYTES, end - begin + 1)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum((self.data[begin:end].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        return sums, down
+
+    def long_word(self, begin: int, end: int) -> np.uint64:
+        parts = (int(self.sums(a, min(end, a + STEP))[0][-1]) * pow(BYTES, a - begin, 1 << 64) for a in range(begin, end, STEP))
+        return np.uint64(sum(parts) & (1 << 64) - 1)
 
     def windows(self, k: int, base: int) -> np.ndarray:
         """Hash of the k words from each word on; those that would leave the document count only where `whole`."""
-        n = len(self.hash)
-        if n < k:
-            return np.zeros(0, np.uint64)
-        up, down = powers(base, n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * up[:-1], out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+        out = np.zeros(max(0, len(self.hash) - k + 1), np.uint64)
+        for at in range(0, len(out), STEP):
+            own = self.hash[at : at + STEP + k - 1]
+            up, down = powers(base, len(own) + 1)
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * up[:-1], out=sums[1:])
+            out[at : at + STEP] = mix((sums[k:] - sums[:-k]) * down[: len(own) - k + 1])
+        return out
 
     def whole(self, k: int) -> np.ndarray:
         """Words from which a window of k words stays in its document."""
