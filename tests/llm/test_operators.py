@@ -7,13 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import documents, rows, words
-from tidewright.llm import common, components, decontaminate, licences, packing, quality_rules, simhash, site_quality, substring, token_files, url_filter, warc
+from tidewright.llm import common, components, decontaminate, licences, packing, quality_rules, rolling, simhash, site_quality, substring, token_files, tokens, url_filter, warc
 from tidewright.llm.elias_fano import EliasFano
 from tidewright.llm.tokens import Coder, vocabulary
 
@@ -32,13 +33,20 @@ def empty(spark):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_memo_gives_the_ids_of_whole_texts(name):
+def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     coder, plain = Coder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
     rng = np.random.default_rng(1)
-    signs = ["a", "B", "é", "É", "\u0301", "'s", " ", " ", "  ", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", ".", ",", "<|endoftext|>", "1", "中", "ß", "İ", "Σ"]
+    signs = ["a", "B", "é", "É", "\u0301", "'s", " ", " ", "  ", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", ".", ",", "<|endoftext|>", "1", "23", "-", "(", "×", "÷", "ÿ", "<", "a b c d", "中", "ß", "İ", "Σ"]
     texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(3000)] + [t or "" for _, t, *_ in rows()]
-    for text, ids in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    rng.shuffle(texts)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (tokens.SLICE, 50):  # also with texts parted
+        monkeypatch.setattr(tokens, "SLICE", size)
+        ids, bounds = coder.encode(pa.array([b"x"] + [t.encode() for t in texts], pa.binary())[1:])
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    closed, ends = coder.closed(pa.array([t.encode() for t in texts], pa.binary()), 7)
+    assert [closed[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [[*x, 7] for x in want]
+    assert coder.encode(pa.array([], pa.binary()))[1].tolist() == [0]
 
 
 def test_elias_fano_round_trip():
@@ -77,8 +85,15 @@ def test_packing(docs, empty):
         pieces.sort()
         assert [o for o, _ in pieces] == [sum(x for _, x in pieces[:k]) for k in range(len(pieces))] and sum(x for _, x in pieces) <= 64
     assert sum(r.length for r in got) == sum(len(k) * n for k, n in want.items())
-    for (_, tokens), pieces in by_doc.items():
-        assert sum(x for _, x, _ in pieces) % tokens == 0 and all(len(i) == 4 * x for _, x, i in pieces)
+    ids_of = defaultdict(list)
+    for i, t, *_ in rows():
+        ids_of[i].append(plain.encode(t or "", add_special_tokens=False).ids + [0])
+    for (doc_id, n), pieces in by_doc.items():  # each id lies in one piece, as often as the row is repeated
+        texts, covered = [x for x in ids_of[doc_id] if len(x) == n], Counter()
+        for start, length, ids in pieces:
+            assert any(np.frombuffer(ids, "<u4").tolist() == x[start : start + length] for x in texts)
+            covered.update(range(start, start + length))
+        assert covered == Counter({at: len(texts) for at in range(n)})
     assert packing.pack(empty, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
@@ -160,6 +175,40 @@ def test_substring(docs, empty, window):
     assert substring.deduplicate(empty, window).count() == 0
 
 
+def test_substring_in_rows_that_share_an_id(spark):
+    w, tail = words(70, 20), words(71, 30)
+    data = [(1, w), (1, words(72, 5) + " " + w), (1, w), (None, tail), (None, "a b " + tail), (None, tail), (2, tail + " " + w), (3, w + " end " + w)]
+    data = [(i, t, "en", "s", 0) for i, t in data]
+    got = substring.deduplicate(documents(spark, data), 20, keep=("text", "lang", "doc_id")).select("n_words", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted([(20, 0), (25, 20), (20, 0), (30, 0), (32, 30), (30, 0), (50, 50), (41, 40)])
+    rest = substring.deduplicate(documents(spark, data), 20, keep=("lang",)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in rest), key=str) == plain_substring(data, 20)
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    """A text of 50 MB takes little memory beside its words, and slices don't change a hash."""
+    import resource
+
+    monkeypatch.setattr(simhash, "SLICE", 64)
+    monkeypatch.setattr(simhash, "BITS", 5)
+    monkeypatch.setattr(rolling, "STEP", 16)
+    texts = [words(80, 300).replace(" ", "\n", 40), "x" * 500, "", " \n", "a", "a b", words(81, 40).upper() + " é"]
+    sliced = rolling.Words(pa.array([t.encode() for t in texts], pa.binary()))
+    for t in texts:
+        assert simhash.fingerprint(t.encode(), 3) == plain_fingerprint(t, 3)
+    monkeypatch.undo()
+    whole = rolling.Words(pa.array([t.encode() for t in texts], pa.binary()))
+    assert (sliced.hash == whole.hash).all()
+    monkeypatch.setattr(rolling, "STEP", 16)
+    assert (sliced.windows(20, rolling.WINDOW) == rolling.Words.windows(whole, 20, rolling.WINDOW)).all()
+    monkeypatch.undo()
+    long = (words(82, 100_000).encode() + b" ") * 100
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    simhash.fingerprint(long, 3)
+    simhash.wide_fingerprint(simhash.shingle_set(long, 5))
+    assert len(long) > 50_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 6 * len(long) // 1024
+
+
 def test_substring_leaves_untouched_texts_as_they_are(docs):
     texts = {r.doc_id: r.text for r in substring.deduplicate(docs, 20, untouched=True).where("n_removed = 0").collect()}
     assert texts[17] == "line one here\nline one here\n\nother\nline one here"
@@ -299,8 +348,6 @@ def test_decontamination_reaches_its_recall():
     rng = np.random.default_rng(6)
     items = [(i, words(100 + i, 16 + i % 40)) for i in range(60)]
     index, hits = decontaminate.Index(items, 0.8, 0.99), 0
-    import pyarrow as pa
-
     for i, text in items:
         found = text.split()
         for _ in range(decontaminate.allowed(len(found), 0.8)):
@@ -313,8 +360,6 @@ def test_decontamination_reaches_its_recall():
 @pytest.mark.parametrize("n", [5, 9, 16, 31, 59, 100])
 @pytest.mark.parametrize("place", ["head", "tail", "middle", "spread"])
 def test_decontamination_finds_bunched_edits(n, place):
-    import pyarrow as pa
-
     items = [(i, words(1000 * n + i, n)) for i in range(40)]
     index, k = decontaminate.Index(items, 0.8, 0.99), decontaminate.allowed(n, 0.8)
     at = {"head": range(k), "tail": range(n - k, n), "middle": range((n - k) // 2, (n - k) // 2 + k), "spread": [j * n // k for j in range(k)]}[place]
@@ -394,7 +439,7 @@ def test_registered_queries_carry_ids_and_checksums(spark):
     assert zlib.crc32(ids.ids) == next(r.ids_crc32 for r in rows if (r.doc_id, r.start) == (ids.doc_id, ids.start))
 
 
-def shingles(text: str, k: int = 5) -> set:
+def shingles_of(text: str, k: int = 5) -> set:
     found = WORD.findall(text)
     return {tuple(found[i : i + k]) for i in range(len(found) - k + 1)}
 
@@ -410,15 +455,18 @@ def test_similar_classes_reach_similar_texts(spark, docs, empty, monkeypatch):
                 own[at] = f"new{copy}{at}"
             data.append((100 * group + copy, " ".join(own)))
     given = spark.createDataFrame(data, "doc_id long, text string")
-    sets = {i: shingles(t) for i, t in data}
+    sets = {i: shingles_of(t) for i, t in data}
     for part in (4096, 3):  # also with buckets dealt into parts
         monkeypatch.setattr(simhash, "PART", part)
-        got = dict(map(tuple, simhash.similar_classes(given).collect()))
+        got = {r.doc_id: r.component_id for r in simhash.similar_classes(given).collect()}
         close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])]
         assert sum(got[a] == got[b] for a, b in close) >= 0.98 * len(close) and len(close) > 200
         assert all(got[i] // 100 == i // 100 for i in sets)
     rest = [(r.doc_id, r.component_id) for r in simhash.similar_classes(docs).collect()]
     assert len(rest) == len(rows()) and {c for i, c in rest if i in (6, 7, 8)} == {6} and {c for i, c in rest if i in (1, 2)} == {1}
+    same = spark.createDataFrame([(1, words(1, 80)), (1, words(2, 80)), (1, words(2, 80)), (2, words(2, 80)), (None, words(3, 80)), (None, words(4, 80)), (3, words(4, 80))], "doc_id long, text string")
+    kept = simhash.similar_classes(same).groupBy("doc_id", "stays").count().collect()  # texts that share an id, or have none, are apart
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, True, 3), (2, False, 1), (None, True, 1), (None, False, 1), (3, True, 1)], key=str)
     assert simhash.similar_classes(empty).count() == 0
 
 
@@ -431,14 +479,32 @@ def test_similar_classes_decide_exactly(spark, monkeypatch):
         own = list(base)
         for at in rng.choice(n, max(1, int(n * rng.uniform(0.01, 0.06))), replace=False):
             own[at] = f"new{pair}x{at}"
-        a, b = shingles(" ".join(base)), shingles(" ".join(own))
+        a, b = shingles_of(" ".join(base)), shingles_of(" ".join(own))
         data += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(own))]
         close[pair] = len(a & b) / len(a | b)
     given = spark.createDataFrame(data, "doc_id long, text string")
-    for part in (4096, 3):
+    for part, held in ((4096, 4_000_000), (3, 4_000_000), (4096, 500)):
         monkeypatch.setattr(simhash, "PART", part)
-        got = dict(map(tuple, simhash.similar_classes(given).collect()))
+        monkeypatch.setattr(simhash, "HELD", held)
+        got = {r.doc_id: r.component_id for r in simhash.similar_classes(given).collect()}
         above, below = [p for p in close if close[p] >= 0.8], [p for p in close if close[p] < 0.8]
         assert min(len([p for p in above if close[p] < 0.9]), len([p for p in below if close[p] > 0.7])) > 40
         assert sum(got[2 * p] == got[2 * p + 1] for p in above) >= len(above) - 2
         assert not [p for p in below if got[2 * p] == got[2 * p + 1]]
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Texts with a common passage, and chains of near copies among them, in buckets far beyond a part's size."""
+    monkeypatch.setattr(simhash, "PART", 5)
+    rng, passage, data = np.random.default_rng(10), words(990, 60), []
+    for group in range(30):
+        own = words(6000 + group, 60).split()
+        for _ in range(int(rng.integers(1, 6))):
+            data.append((len(data), passage + " " + " ".join(own)))
+            own[int(rng.integers(0, 60))] = f"new{len(data)}"
+    sets = {i: shingles_of(t) for i, t in data}
+    root = {i: i for i in sets}
+    for _ in sets:
+        root = {i: min(root[j] for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[i] != root[i] for i in sets) <= 1 and 25 < len(set(root.values())) < len(sets)

@@ -10,6 +10,7 @@ given up when all of them are beyond the radius. A bucket returns a spanning for
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -23,18 +24,40 @@ from .components import components
 
 #: Lanes compared at a time.
 LANES = 4096
+#: Bytes of a text whose words are cut at a time, and hashes whose bits are counted at a time.
+SLICE, BITS = 1 << 20, 1 << 15
+BLANK = re.compile(rb"[\t-\r ]")
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
+def shingles(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the shingles of a text's words, A-Z as a-z, in blocks; of a shorter text, all its words.
+
+    The words of SLICE bytes or so are cut at a time, as a long text's words take far more memory than the text.
+    """
     from xxhash import xxh64_digest
 
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(42))), np.uint8)).reshape(n, 64)
-    most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n)
-    return int.from_bytes(most.tobytes(), "big")
+    at, held, seen = 0, [], False
+    while at < len(text) or (held and not seen):
+        if at < len(text):
+            end = m.start() if (m := BLANK.search(text, at + SLICE)) else len(text)
+            held += text[at:end].lower().split()
+            at = end
+            if len(held) < shingle and at < len(text):
+                continue
+        if len(held) < shingle and (seen or not held):
+            return
+        parts = map(b" ".join, zip(*(held[i:] for i in range(shingle)), strict=False)) if len(held) >= shingle else [b" ".join(held)]
+        yield np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(42))), ">u8").astype(np.uint64)
+        held, seen = held[len(held) - shingle + 1 :] if len(held) >= shingle else [], True
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingles(text, shingle):
+        for part in np.split(h, range(BITS, len(h), BITS)):
+            counts += np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -43,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("simhash")
         for batch in common.chunks(batches, "text", 2 << 20):
-            found = [fingerprint(t.lower().split(), shingle) for t in common.values(batch, "text")]
+            found = [fingerprint(t, shingle) for t in common.values(batch, "text")]
             yield common.batch_of("doc_id long, fp long", [batch.column(0), np.array(found, np.uint64).view(np.int64)])
 
     return docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -160,19 +183,16 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 8)
     return prints.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits of the wide fingerprints, min-hashes that make the buckets, and fingerprints of a bucket compared at once.
-WIDE, KEYS, PART = 256, 4, 4096
+#: Bits of the wide fingerprints, and min-hashes that make the buckets; as many more part buckets that are too large.
+WIDE, KEYS = 256, 4
+#: Fingerprints, and hashes of their shingles, that a task compares with as many others.
+PART, HELD = 4096, 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """The different hashes of the shingles, in order."""
-    from xxhash import xxh64_digest
-
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(42))), ">u8").astype(np.uint64))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, shingle)]))
 
 
 def set_name(h: np.ndarray) -> bytes:
@@ -183,15 +203,18 @@ def set_name(h: np.ndarray) -> bytes:
 
 
 def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """A fingerprint of WIDE bits, and the least of the shingles' hashes under KEYS permutations."""
+    """A fingerprint of WIDE bits, and the least of the shingles' hashes under twice KEYS permutations."""
     if not len(h):
-        return bytes(WIDE // 8), [0] * KEYS
-    spread = h[:, None] * _MIX  # each column is a hash of its own
-    spread ^= spread >> np.uint64(32)
-    spread *= _MIX[::-1]
-    spread ^= spread >> np.uint64(29)
-    bits = np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * bits > len(h)).tobytes(), (spread[:, :KEYS] * np.uint64(0xE7037ED1A0B428DB)).min(axis=0).view(np.int64).tolist()
+        return bytes(WIDE // 8), [0] * 2 * KEYS
+    bits, least = np.zeros(WIDE, np.int64), []
+    for part in np.split(h, range(BITS, len(h), BITS)):
+        spread = part[:, None] * _MIX  # each column is a hash of its own
+        spread ^= spread >> np.uint64(32)
+        spread *= _MIX[::-1]
+        spread ^= spread >> np.uint64(29)
+        bits += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        least.append(np.concatenate([(spread[:, :KEYS] * np.uint64(m)).min(axis=0) for m in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]))
+    return np.packbits(2 * bits > len(h)).tobytes(), np.min(least, axis=0).view(np.int64).tolist()
 
 
 def radius_of(similarity: float, bits: int = WIDE) -> int:
@@ -253,68 +276,111 @@ def wide_roots(fps: list[bytes], radius: int, similar: Callable[[int, list[int]]
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable) by similarity of word shingles.
-
-    Here the radius is too wide for buckets of agreeing bits: at a similarity of 0.8 a seventh of the bits differ.
-    Buckets are documents that share the least hash of their shingles under one of KEYS permutations, which those
-    of that similarity do in all but 1 of 600 cases; in a bucket, wide fingerprints are compared bit-sliced, with a
-    radius that leaves out hardly any pair of that similarity, and those within it link if the Jaccard similarity of
-    their shingles is high enough. Equal sets of shingles are one node. A bucket of more than PART nodes is dealt into parts, and every pair of parts meets
-    in a task of its own, so that no task holds more than two parts. Null ids and texts are treated as in
-    classes().
+    """doc_id, text_hash, component_id (the smallest doc_id reachable), stays: a row for each row of docs.
+
+    Documents link by the similarity of their word shingles. Here the radius is too wide for buckets of agreeing
+    bits: at a similarity of 0.8 a seventh of the bits differ. Buckets are documents that share the least hash of
+    their shingles under one of KEYS permutations, which those of that similarity do in all but 1 of 600 cases; in a
+    bucket, wide fingerprints are compared bit-sliced, with a radius that leaves out hardly any pair of that
+    similarity, and those within it link if the Jaccard similarity of their shingles is high enough.
+
+    Equal sets of shingles are one node. A bucket beyond PART nodes is dealt into parts, each of which gets the
+    bucket's leader too. Nodes that a part ties to the leader are one component and needn't meet each other again.
+    The others meet them, and each other, in buckets parted by KEYS more least hashes, of which similar texts share
+    one in all but 1 of 600 cases; where these are too large as well, in pairs of parts. So a group of copies costs
+    its own size, whatever that is, and texts that share a frequent passage meet few others.
+
+    text_hash: XXH64 of the text, which with doc_id names a row. stays: true for the rows of a component's smallest
+    doc_id and, of these, hash; repeated rows share it. Rows with one doc_id and different texts are documents of
+    their own. A null text has no words, all texts without words are one node; a null doc_id counts as the largest.
+    Other columns are ignored.
     """
     radius = radius_of(similarity)
+    bucket, form = ["choice", "key", "choice2", "key2", "p", "q"], "node long, fp binary, hashes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("simhash")
         for batch in common.chunks(batches, "text", 2 << 20):
-            sets = [shingle_set(t.lower().split(), shingle) for t in common.values(batch, "text")]
-            found = [(set_name(h), *wide_fingerprint(h)) for h in sets]
-            yield common.batch_of("doc_id long, name binary, fp binary, keys array<long>", [batch.column(0), *zip(*found, strict=True)])
+            sets = [shingle_set(t, shingle) for t in common.values(batch, "text")]
+            found = [(set_name(h), len(h), *wide_fingerprint(h)) for h in sets]
+            yield common.batch_of(prints_form, [batch.column(0), batch.column(1), *zip(*found, strict=True)])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("simhash")
         for batch in common.chunks(batches, "text", 2 << 20):
-            sets = [shingle_set(t.lower().split(), shingle) for t in common.values(batch, "text")]
+            sets = [shingle_set(t, shingle) for t in common.values(batch, "text")]
             yield common.batch_of("name binary, hashes binary", [[set_name(h) for h in sets], [h.tobytes() for h in sets]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node of a bucket, with the first one that it is linked to."""
         common.begin("simhash")
-        bucket, nodes, fps, sets = None, [], [], []
+        last, held = None, []
 
-        def edges() -> list[tuple[int, int]]:
-            found = wide_roots(fps, radius, similar_to(sets, similarity)) if len(fps) > 1 else []
-            out = [(nodes[i], nodes[r]) for i, r in enumerate(found) if i != r]
-            nodes.clear()
-            fps.clear()
-            sets.clear()
-            return out
+        def edges() -> pa.RecordBatch:
+            nodes, fps, hashes = zip(*held, strict=True) if held else ((), (), ())
+            found = wide_roots(fps, radius, similar_to([np.frombuffer(h, np.uint64) for h in hashes], similarity)) if len(fps) > 1 else []
+            head = [(*last[:2], nodes[i], nodes[r]) for i, r in enumerate(found)]
+            held.clear()
+            return common.batch_of(linked_form, list(zip(*head, strict=True)) or [[]] * 4)
 
         for batch in batches:
-            out = []
             for *key, node, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != bucket:
-                    out += edges()
-                    bucket = key
-                nodes.append(node)
-                fps.append(fp)
-                sets.append(np.frombuffer(hashes, np.uint64))
-            yield common.batch_of("a long, b long", list(zip(*out, strict=True)) or [[], []])
-        yield common.batch_of("a long, b long", list(zip(*edges(), strict=True)) or [[], []])
-
+                if key != last:
+                    yield edges()
+                    last = key
+                held.append((node, fp, hashes))
+        yield edges()
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*bucket, *[x.split(" ")[0] for x in form.split(", ")])
+        return rows.repartition(*bucket).sortWithinPartitions(*bucket, "node").mapInArrow(compare, linked_form)
+
+    prints_form = "doc_id long, text_hash long, name binary, size long, fp binary, keys array<long>"
+    linked_form = "choice int, key long, a long, b long"
     texts = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8("text").alias("text"))
-    prints = common.stage_table(texts.mapInArrow(run, "doc_id long, name binary, fp binary, keys array<long>"), "wide-fingerprints")
-    nodes = common.stage_table(prints.groupBy("name").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
-    rows = nodes.where("node is not null").select(F.posexplode("keys").alias("choice", "key"), "node", "name", "fp")
-    sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    prints = common.stage_table(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, prints_form), "wide-fingerprints")
+    nodes = prints.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    nodes = common.stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    rows = nodes.select(F.posexplode(F.slice("keys", 1, KEYS)).alias("choice", "key"), "node", "name", "fp", "keys", "size")
+    counts = (F.count("*").alias("n"), F.sum("size").alias("held"))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("held") / HELD), F.lit(1)).cast("int")
+    sizes = rows.groupBy("choice", "key").agg(*counts, F.min("node").alias("leader")).where("n > 1").select("choice", "key", "leader", parts.alias("parts"))
     rows = common.stage_table(rows.join(sizes, ["choice", "key"]), "met")
     # only texts that meet others are read again for their shingles
-    again = texts.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(shingled, "name binary, hashes binary")
-    rows = rows.join(again.groupBy("name").agg(F.first("hashes").alias("hashes")), "name").select("choice", "key", "node", "fp", "hashes", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("choice", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "fp", "hashes")
-    met = rows.repartition("choice", "key", "p", "q").sortWithinPartitions("choice", "key", "p", "q", "node").mapInArrow(compare, "a long, b long")
-    linked = components(met)
-    named = nodes.select("name", "node").join(linked, "node", "left").select("name", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
+    sets = common.stage_table(_of_nodes(texts, nodes, rows).mapInArrow(shingled, "name binary, hashes binary").groupBy("name").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    none = [F.lit(-1).alias("choice2"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("q")]
+    first = rows.withColumn("p", F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
+    links = common.stage_table(met(first.select("*", *none).join(sets, "name")), "links")
+
+    large = rows.where("parts > 1").select("choice", "key", "node", "name", "leader", "fp", "keys", "size")
+    tied = links.join(large.select("choice", "key", "leader").distinct(), ["choice", "key"]).where("b = leader").select("choice", "key", F.col("a").alias("node"), F.lit(False).alias("apart"))
+    large = large.join(tied.distinct(), ["choice", "key", "node"], "left").withColumn("apart", F.coalesce("apart", F.lit(True)))
+    large = common.stage_table(large.select("choice", "key", F.posexplode(F.slice("keys", KEYS + 1, KEYS)).alias("choice2", "key2"), "node", "name", "fp", "size", "apart"), "large-buckets")
+    side = [F.count_if("apart").alias("others"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("others_held")]
+    sizes = large.groupBy("choice", "key", "choice2", "key2").agg(*counts, *side).where("n > 1 and others > 0")
+    few = F.greatest(F.ceil(F.col("others") / PART), F.ceil(F.col("others_held") / HELD), F.lit(1)).cast("int")
+    sizes = sizes.select("choice", "key", "choice2", "key2", parts.alias("parts"), few.alias("few"))
+    large = large.join(sizes, ["choice", "key", "choice2", "key2"])
+    # a part of the others, p, meets every part of all nodes, q
+    all_p = F.sequence(F.lit(0), F.col("few") - 1)
+    all_q = F.sequence(F.lit(0), F.col("parts") - 1)
+    one_p, one_q = F.pmod(F.xxhash64("node"), F.col("few")).cast("int"), own
+    pairs = F.transform(all_p, lambda p: F.struct(p.alias("p"), one_q.alias("q")))
+    pairs = F.when(F.col("apart"), F.array_union(pairs, F.transform(all_q, lambda q: F.struct(one_p.alias("p"), q.alias("q"))))).otherwise(pairs)
+    second = met(large.withColumn("pq", F.explode(pairs)).select("*", "pq.p", "pq.q").join(sets, "name"))
+
+    found = components(links.unionByName(second).where("a <> b").select("a", "b"))
+    named = common.stage_table(nodes.join(found, "node", "left").select("name", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    names = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.select("name", "root").join(names, "root").select("name", "first")
+    out = prints.select("doc_id", "text_hash", "name").join(named, "name")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return out.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def _of_nodes(texts: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """A text of each node in rows."""
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("least.doc_id").alias("own_id"), F.col("least.text_hash").alias("own_hash"))
+    return texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own_id")) & (F.xxhash64(texts["text"]) == F.col("own_hash")), "left_semi")
