@@ -1,7 +1,8 @@
 """A training corpus from `documents`: rules, near copies, repeated passages, benchmark passages, packing.
 
 Every stage reads what the one before it kept, with the columns of documents, and its decisions take effect.
-Rows without a doc_id go in the first stage, as nothing could be said of them later.
+Rows without a doc_id, or with that of another text, are documents of their own where texts are compared as wholes;
+where passages are, they count as parts of one document.
 """
 
 from __future__ import annotations
@@ -17,22 +18,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go."""
-    docs = docs.where("doc_id is not null")
     rows = quality_rules.judge(docs, common.table(common.prepare(spark), sf_dir, "labels"), keep=COLUMNS[1:])
     return rows.where("kept").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are similar by 0.8 or more, the one with the smallest doc_id stays."""
+    """Of documents whose five-word shingles are similar by 0.8 or more, the one with the smallest doc_id stays.
+
+    Of several texts with that doc_id, the one with the smallest hash stays, and one of repeated rows.
+    """
     common.prepare(spark)
-    first = simhash.similar_classes(docs, shingle=5, similarity=0.8).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = simhash.similar_classes(docs, shingle=5, similarity=0.8).where("stays")
+    rows = common.stage_table(rows.groupBy(F.col("doc_id").alias("own_id"), "text_hash").agg(F.count("*").alias("n")), "staying")
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col("own_id")) & (F.xxhash64(common.utf8(docs["text"])) == F.col("text_hash"))
+    once = docs.join(rows.where("n = 1"), own, "left_semi")
+    # only rows that are repeated need to be brought together
+    again = docs.join(rows.where("n > 1"), own).dropDuplicates(["own_id", "text_hash"])
+    return once.select(*COLUMNS).union(again.select(*[docs[c] for c in COLUMNS]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of twenty words or more that occur earlier go, and documents of which nothing is left."""
+    """Passages of twenty words or more that occur earlier go, and documents of which nothing is left by that."""
     common.prepare(spark)
-    rows = substring.deduplicate(docs, window=20, keep=("lang", "source"), untouched=True).where("n_removed < n_words")
+    rows = substring.deduplicate(docs, window=20, keep=("lang", "source"), untouched=True).where("n_removed = 0 or n_removed < n_words")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
