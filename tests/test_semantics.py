@@ -36,7 +36,7 @@ def test_running_sum_in_blocks(spark):
 
 @pytest.mark.parametrize("epsilon", [0.5, 2.0, 4.0])
 def test_channels_are_column_stochastic(spark, epsilon):
-    for matrix in (channel.piecewise_matrix(spark, epsilon), channel.randomized_response_matrix(spark, epsilon), channel.binary_matrix(spark, epsilon), channel.identity_matrix(spark, 1e-3)):
+    for matrix in (channel.piecewise_matrix(spark, epsilon), channel.randomized_response_matrix(spark, epsilon), channel.binary_matrix(spark, epsilon), channel.identity_matrix(spark)):
         sums = matrix.groupBy("stuck_bucket").agg(F.sum("p").alias("s"), F.min("p").alias("least"))
         assert sums.where((F.abs(F.col("s") - 1) > 1e-12) | (F.col("least") < 0)).count() == 0 and sums.count() == 32
 
@@ -51,15 +51,102 @@ def test_piecewise_samples_follow_their_matrix(spark):
 def test_cusum_equals_its_recursion(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=400)
-    df = spark.createDataFrame([(1, t, t, float(v)) for t, v in enumerate(x)], SERIES)
+    df = spark.createDataFrame([(1, t, t, float(v), "train" if t < 240 else "test") for t, v in enumerate(x)], SERIES + ", part string")
     got = [r.score for r in detectors.cusum(df).orderBy("t").collect()]
-    z, up, down, want = (x - x.mean()) / x.std(), 0.0, 0.0, []
+    centre = np.median(x[:240])
+    z, up, down, want = (x - centre) / (1.4826 * np.median(np.abs(x[:240] - centre))), 0.0, 0.0, []
     for v in z:
         up, down = max(0.0, up + v - 0.25), max(0.0, down - v - 0.25)
         want.append(max(up, down))
     assert np.allclose(got, want, atol=1e-9)
 
 
+def test_change_points_equal_their_recursion(spark):
+    """Each run written out with the values that it covers."""
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(0, 0.1, 60), rng.normal(0.8, 0.2, 60)]
+    df = spark.createDataFrame([(1, t, t, float(v), "train" if t < 40 else "test") for t, v in enumerate(x)], SERIES + ", part string")
+    got = [r.score for r in hmm.change_points(df, detectors.train_moments(df, robust=False), longest=20).orderBy("t").collect()]
+    mean, variance, chances, want = x[:40].mean(), max(x[:40].var(), 1e-4), [1.0], []
+    for t, v in enumerate(x):
+        likely = []
+        for r in range(len(chances)):
+            run = x[t - r : t]
+            m, s = (mean, variance) if r < 3 else (run.mean(), max(run.var(), 1e-4))
+            likely.append(max(np.exp(-((v - m) ** 2) / (2 * s)) / np.sqrt(2 * np.pi * s), 1e-300))
+        new = ([sum(c * p for c, p in zip(chances, likely, strict=True)) / 20] + [c * p * 19 / 20 for c, p in zip(chances, likely, strict=True)])[:20]
+        chances = [c / sum(new) for c in new]
+        want.append(chances[0])
+    assert np.allclose(got, want, atol=1e-9) and max(got[60:70]) > 2 * got[50]
+
+
+def uniform_reports(spark, m):
+    return spark.createDataFrame([(1, k, float(p)) for k, p in enumerate(m.mean(axis=1))], "series_id int, report_bucket int, p0 double")
+
+
+def plain_posterior(obs, normal, fault, p01, p11, start):
+    """Log-likelihood and posterior of state 1 by plain recursions; a missing report tells nothing."""
+    e = [(1.0, 1.0) if o is None else (normal[o], fault[o]) for o in obs]
+    forward, likelihood = [], 0.0
+    for t, (a, b) in enumerate(e):
+        f = (1 - start, start) if not t else tuple(forward[-1][0] * x + forward[-1][1] * y for x, y in ((1 - p01, 1 - p11), (p01, p11)))
+        f = (f[0] * a, f[1] * b)
+        likelihood += np.log(sum(f))
+        forward.append((f[0] / sum(f), f[1] / sum(f)))
+    back, out = (1.0, 1.0), [0.0] * len(obs)
+    for t in range(len(obs) - 1, -1, -1):
+        joint = (forward[t][0] * back[0], forward[t][1] * back[1])
+        out[t] = joint[1] / sum(joint)
+        a, b = e[t][0] * back[0], e[t][1] * back[1]
+        back = ((1 - p01) * a + p01 * b, (1 - p11) * a + p11 * b)
+        back = (back[0] / sum(back), back[1] / sum(back))
+    return likelihood, np.array(out)
+
+
+def test_learned_and_shortlist_hmm_equal_plain_recursions(spark):
+    rng = np.random.default_rng(13)
+    matrix = channel.piecewise_matrix(spark, 4.0)
+    m = hmm.table(matrix)
+    obs = [int(rng.choice(32, p=m[:, int(rng.integers(0, 32))])) for _ in range(60)] + [None, None] + [int(rng.choice(32, p=m[:, 25])) for _ in range(40)]
+    rows = spark.createDataFrame([(1, t, o) for t, o in enumerate(obs)], "series_id int, t long, obs int")
+    normal = m.mean(axis=1)
+    p01, p11 = hmm.transition(0.2, 16.0)
+    got = hmm.learned(rows, m, uniform_reports(spark, m), rounds=5, length=16.0).orderBy("t").collect()
+    counts = np.full(32, 1e-3)
+    for o in obs:
+        counts[o] += o is not None
+    fault = np.maximum(counts / counts.sum() - normal, 0) + 1e-3
+    fault, start = fault / fault.sum(), 0.2
+    for _ in range(5):
+        score = plain_posterior(obs, normal, fault, p01, p11, start)[1]
+        fault = np.full(32, 1e-3 * len(obs))
+        for o, s in zip(obs, score, strict=True):
+            if o is not None:
+                fault[o] += s
+        fault, start = fault / fault.sum(), min(max(score[0], 1e-4), 0.95)
+    assert np.allclose([r.score for r in got], score, atol=1e-9)
+    got = hmm.shortlist(rows, m, uniform_reports(spark, m), few=3, block=10, length=16.0).orderBy("t").collect()
+    phi, active, counts, want = {}, [0, 1, 2], np.zeros(32), []
+    for t, o in enumerate(obs):
+        if o is not None:
+            counts[o] += 1
+        if t and t % 10 == 0:
+            q = counts / counts.sum()
+            loss = [(round(min(float(((q - (1 - r) * normal - r * m[:, c]) ** 2).sum()) for r in np.linspace(0.02, 0.65, 32)), 12), c) for c in range(32)]
+            active = [c for _, c in sorted(loss)[:3]]
+        best = 0.0
+        for c in active:
+            a, b = phi.get(c, (0.8, 0.2))
+            a, b = a * (1 - p01) + b * (1 - p11), a * p01 + b * p11
+            if o is not None:
+                a, b = a * normal[o], b * m[o, c]
+            phi[c] = (a / (a + b), b / (a + b))
+            best = max(best, phi[c][1])
+        want.append(best)
+    assert np.allclose([r.score for r in got], want, atol=1e-9)
+    assert hmm.learned(rows.where("false"), m, uniform_reports(spark, m)).count() == 0
+
+
 def test_mixture_parabola_equals_the_grid(spark):
     rng = np.random.default_rng(2)
     matrix = channel.piecewise_matrix(spark, 2.0)
@@ -94,9 +181,14 @@ def test_stuck_hmm_finds_the_segment(spark):
     m = hmm.table(matrix)
     obs = [int(rng.choice(32, p=m[:, int(rng.integers(0, 32))])) for _ in range(200)] + [int(rng.choice(32, p=m[:, 25])) for _ in range(80)]
     rows = spark.createDataFrame([(1, t, o) for t, o in enumerate(obs)], "series_id int, t long, obs int")
-    got = hmm.stuck(rows, m).toPandas().sort_values("t")
+    got = hmm.stuck(rows, m, uniform_reports(spark, m)).toPandas().sort_values("t")
     assert abs(int(got["candidate"].iloc[0]) - 25) <= 1 and got["score"][210:].mean() > 0.9 > 0.3 > got["score"][:190].mean()
-    assert len(hmm.stuck(rows.where("false"), m).toPandas()) == 0
+    by_candidate = [plain_posterior(obs, m.mean(axis=1), np.maximum(m[:, c], 1e-12), *hmm.transition(0.2, 48.0), 0.2) for c in range(32)]
+    best = max(range(32), key=lambda c: by_candidate[c][0])
+    assert int(got["candidate"].iloc[0]) == best and np.allclose(got["score"], by_candidate[best][1], atol=1e-9)
+    each = hmm.stuck(rows, m, uniform_reports(spark, m), per_row=True).toPandas().sort_values("t")
+    assert np.allclose(each["score"], np.max([x[1] for x in by_candidate], axis=0), atol=1e-9)
+    assert len(hmm.stuck(rows.where("false"), m, uniform_reports(spark, m)).toPandas()) == 0
 
 
 def test_ranking_edge_cases(spark):
@@ -116,7 +208,7 @@ def test_series_edge_cases(spark):
     assert [(r.series_id, r.begin, r.end, r.level) for r in lines] == [(1, 0, 5, 5.0)]  # a series' last run is left out
     flat = series.normalize(series.split(series.finite(df))).collect()
     assert all(-1 <= r.v <= 1 for r in flat) and next(r.v for r in flat if r.series_id == 2) == 0.0
-    wide = detectors.window_glr(spark.createDataFrame([(1, 0, 3), (1, 1, 3)], "series_id int, t long, obs int"), spark.createDataFrame([(1, 3, 3, 1.0)], "series_id int, obs int, candidate int, llr double"), (8,))
+    wide = detectors.window_glr(spark.createDataFrame([(1, 0, 3), (1, 1, 3)], "series_id int, t long, obs int"), spark.createDataFrame([(1, 3, 3, 1.0)], "series_id int, obs int, candidate int, llr double"))
     assert [r.score for r in wide.collect()] == [0.0, 0.0]  # shorter than the window
     for mode in ("iid_stuck", "bias", "drift", "scale", "spike", "dropout"):
         hit = faults.inject(faults.iid_mask(series.normalize(series.split(series.finite(df))), 0.3), mode)
@@ -149,6 +241,17 @@ def test_workflow_traps(spark):
     assert {r.status for r in workflow.checks(decisions, 4.0).collect()} == {"pass"}
 
 
+def test_repeated_reports_inside_a_batch(spark):
+    rows = [event(1, 1, 5, 0), event(1, 1, 5, 0, name="evt-1b"), event(1, 1, 6, 0), event(2, 1, 7, 0), event(3, 1, 8, 0, version=1, name="corr-3"), event(3, 1, 9, 0)]
+    rows += [event(1, 1, 5, 1, version=2, name="corr-1"), event(1, 1, 4, 1, version=1, name="corr-1b"), event(4, 1, 9, 1, epsilon=1.0)]
+    decisions = workflow.run(spark.createDataFrame(rows, BATCH), cap=6.0).cache()
+    got = sorted((r.batch_id, r.source_event_id, r.ts, r.status) for r in decisions.collect())
+    assert got == sorted([(0, "evt-1", 5, "accepted"), (0, "evt-1b", 5, "duplicate"), (0, "evt-1", 6, "duplicate"), (0, "evt-2", 7, "accepted"), (0, "corr-3", 8, "accepted"), (0, "evt-3", 9, "duplicate"), (1, "corr-1", 5, "correction"), (1, "corr-1b", 4, "duplicate"), (1, "evt-4", 9, "accepted")])
+    state = workflow.budget_state(decisions, 6.0).first()
+    assert (state.accepted_reports, state.epsilon_sum) == (3, 5.0)  # the accepted correction of an unknown id isn't charged
+    assert {r.status for r in workflow.checks(decisions, 6.0).collect()} == {"pass"}
+
+
 def test_stream_of_batches_equals_the_batch_form(spark, reports, tmp_path):
     batches = telemetry.micro_batches(reports).select(*[c.split(" ")[0] for c in BATCH.split(", ")]).cache()
     numbers = sorted(r[0] for r in batches.select("batch_id").distinct().collect())[:5]

@@ -46,8 +46,8 @@ def discretize(y: Column, epsilon: float, out: int = D) -> Column:
 
 
 def bucket(v: Column, d: int = D) -> Column:
-    """The bucket of v in [-1, 1], left-closed."""
-    return F.greatest(F.lit(0), F.least(F.lit(d - 1), F.floor((v + F.lit(1.0)) * F.lit(d / 2)))).cast("int")
+    """The bucket of v in [-1, 1], left-closed; a null has none."""
+    return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(d - 1), F.floor((v + F.lit(1.0)) * F.lit(d / 2)))).cast("int"))
 
 
 def centre(column: str = "stuck_bucket", d: int = D) -> Column:
@@ -93,9 +93,10 @@ def binary(v: Column, epsilon: float, row_id: str = "id") -> Column:
     return (uniform(row_id, 1) < up).cast("int")
 
 
-def identity_matrix(spark: SparkSession, smoothing: float, d: int = D) -> DataFrame:
-    rows = grid(spark, d, d).withColumn("_mass", F.when(F.col("stuck_bucket") == F.col("report_bucket"), F.lit(1.0)).otherwise(F.lit(0.0)) + F.lit(smoothing))
-    return rows.select("stuck_bucket", "report_bucket", (F.col("_mass") / F.sum("_mass").over(Window.partitionBy("stuck_bucket"))).alias("p"))
+def identity_matrix(spark: SparkSession, smoothing: float = 1e-4, d: int = D) -> DataFrame:
+    """Values as they are: `smoothing` on every other bucket, the rest on the own one."""
+    own = F.col("stuck_bucket") == F.col("report_bucket")
+    return grid(spark, d, d).withColumn("p", F.when(own, F.lit(1.0 - smoothing * (d - 1))).otherwise(F.lit(smoothing)))
 
 
 def alpha(rows: DataFrame, column: str = "v", smoothing: float = 1e-3, d: int = D) -> DataFrame:

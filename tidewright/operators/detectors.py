@@ -1,11 +1,13 @@
 """Detectors that windows and small lookup tables can express; each adds a score per row.
 
-Lookups have 32 rows for each series and are joined on series and report; sliding sums over candidates expand a
-row 32 times and never shuffle again, as they keep the series' partitioning.
+Lookups have 32 rows for each series and are joined on series and report; what is kept for each candidate is an array
+in the row, so rows stay as many as they are and all windows of a plan share the series' partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,21 @@ def rise(x: Column, key: list[str]) -> Column:
     return x - F.least(F.lit(0.0), F.min(x).over(order))
 
 
+def train_moments(rows: DataFrame, column: str = "x", robust: bool = True) -> DataFrame:
+    """series_id, mean, variance of the training part: its median and squared 1.4826 MAD, or its mean and variance."""
+    rows = rows.where("part = 'train'")
+    if not robust:
+        return rows.groupBy("series_id").agg(F.avg(column).alias("mean"), F.var_pop(column).alias("variance"))
+    middle = rows.groupBy("series_id").agg(F.percentile(column, F.lit(0.5)).alias("mean"))
+    away = rows.join(middle, "series_id").groupBy("series_id", "mean").agg((F.lit(1.4826) * F.percentile(F.abs(F.col(column) - F.col("mean")), F.lit(0.5))).alias("_s"))
+    return away.select("series_id", "mean", (F.col("_s") * F.col("_s")).alias("variance"))
+
+
 def cusum(rows: DataFrame, column: str = "x", drift: float = 0.25, moments: DataFrame | None = None) -> DataFrame:
-    """The larger of the upward and downward sums of standardised values; moments: series_id, mean, variance."""
+    """The larger of the upward and downward sums of standardised values; moments: series_id, mean, variance (the
+    training part's if none are given)."""
     if moments is None:
-        moments = rows.groupBy("series_id").agg(F.avg(column).alias("mean"), F.var_pop(column).alias("variance"))
+        moments = train_moments(rows, column)
     rows = rows.join(moments.select("series_id", F.col("mean").alias("_mean"), F.greatest(F.sqrt("variance"), F.lit(1e-6)).alias("_std")), "series_id")
     z = (F.col(column) - F.col("_mean")) / F.col("_std")
     order = along().rowsBetween(Window.unboundedPreceding, 0)
@@ -80,45 +93,71 @@ def smoothed(rows: DataFrame, width: int = 5) -> DataFrame:
     return rows.withColumn("score", F.avg("score").over(trailing(width)))
 
 
-def _placed(rows: DataFrame, sums: DataFrame, width: int) -> DataFrame:
-    """Window scores (by first row t) at the centres of their windows, spread by a centred maximum; elsewhere 0."""
-    at = sums.select("series_id", (F.col("t") + width // 2).alias("t"), F.col("value"))
-    rows = rows.join(at, ["series_id", "t"], "left").withColumn("_at", F.coalesce("value", F.lit(0.0))).drop("value")
-    return rows.withColumn(f"score_{width}", F.max("_at").over(centred(width))).drop("_at")
+def _placed(rows: DataFrame, values: dict[int, Column]) -> DataFrame:
+    """score: of each width's window values (at their first rows), put at the windows' centres and spread by a centred
+    maximum, the largest; 0 where no full window is near."""
+    first = {f"_v{w}": value for w, value in values.items()}
+    rows = rows.withColumns(first)
+    rows = rows.withColumns({f"_v{w}": F.coalesce(F.lag(f"_v{w}", w // 2).over(along()), F.lit(0.0)) for w in values})
+    spread = [F.max(f"_v{w}").over(centred(w)) for w in values]
+    return rows.withColumn("score", F.greatest(*spread, F.lit(0.0))).drop(*first)
+
+
+def _with_ratios(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds _l, the ratios of a row's report by candidate: rows stay as many as they are."""
+    lists = table.groupBy("series_id", "obs").agg(F.array_sort(F.collect_list(F.struct("candidate", "llr"))).alias("_l"))
+    return rows.join(lists.select("series_id", "obs", F.col("_l.llr").alias("_l")), ["series_id", "obs"])
+
+
+def _each(column: str, d: int, do) -> Column:
+    """An array of what `do` makes of each of the d entries of an array."""
+    return F.array(*[do(F.get(column, F.lit(i))) for i in range(d)])
+
+
+def window_glr(rows: DataFrame, table: DataFrame, widths: tuple[int, ...] = (8, 16, 32, 64), d: int = channel.D) -> DataFrame:
+    """The largest sum of ratios over a full window, for any candidate and width, floored at 0.
+
+    The sums so far of all candidates are taken once; a window of any width is the difference of two of them.
+    """
+    upto = along().rowsBetween(Window.unboundedPreceding, 0)
+    spread = _with_ratios(rows, table).withColumn("_sum", _each("_l", d, lambda x: F.sum(x).over(upto)))
+    spread = spread.withColumns({f"_e{w}": F.lead("_sum", w - 1).over(along()) for w in widths})
+    before = F.zip_with("_sum", "_l", lambda s, own: s - own)
+    values = {w: F.array_max(F.zip_with(F.col(f"_e{w}"), before, lambda e, b: e - b)) for w in widths}
+    return _placed(spread, values).drop("_l", "_sum", *[f"_e{w}" for w in widths])
+
+
+def window_kl(rows: DataFrame, p0: DataFrame, widths: tuple[int, ...] = (8, 16, 32, 64)) -> DataFrame:
+    """The largest divergence, times the width, of a full window's reports from the normal distribution."""
+    logs = p0.select("series_id", F.col("report_bucket").alias("obs"), F.log(F.greatest("p0", F.lit(1e-12))).alias("_lp"))
+    inside = rows.join(logs, ["series_id", "obs"])
+    frames = {w: along().rowsBetween(0, w - 1) for w in widths}
+    inside = inside.withColumns({f"_in{w}": F.collect_list("obs").over(f) for w, f in frames.items()} | {f"_lp{w}": F.sum("_lp").over(f) for w, f in frames.items()})
 
+    def value(w: int) -> Column:
+        # at most w reports, sorted: the sum of n ln n over their runs, by the growth of each run
+        start = F.struct(F.lit(-1).alias("o"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
 
-def window_glr(rows: DataFrame, table: DataFrame, widths: tuple[int, ...] = (8, 16, 32, 64)) -> DataFrame:
-    """The largest sum of ratios over a full window, for any candidate and width, floored at 0."""
-    spread = rows.select("series_id", "t", "obs").join(table, ["series_id", "obs"])
-    key = Window.partitionBy("series_id", "candidate").orderBy("t")
-    sums = {f"s{w}": F.when(F.count("*").over(key.rowsBetween(0, w - 1)) == w, F.sum("llr").over(key.rowsBetween(0, w - 1))) for w in widths}
-    best = spread.withColumns(sums).groupBy("series_id", "t").agg(*[F.max(c).alias(c) for c in sums])
-    for w in widths:
-        rows = _placed(rows, best.where(F.col(f"s{w}").isNotNull()).select("series_id", "t", F.col(f"s{w}").alias("value")), w)
-    names = [f"score_{w}" for w in widths]
-    return rows.withColumn("score", F.greatest(*names) if len(names) > 1 else F.col(names[0])).drop(*names)
+        def grow(a: Column, o: Column) -> Column:
+            n = F.when(o == a.o, a.n + 1.0).otherwise(F.lit(1.0))
+            return F.struct(o.alias("o"), n.alias("n"), (a.s + n * F.log(n) - F.when(n > 1, (n - 1.0) * F.log(n - 1.0)).otherwise(F.lit(0.0))).alias("s"))
 
+        entropy = F.aggregate(F.sort_array(f"_in{w}"), start, grow, lambda a: a.s)
+        return F.when(F.size(f"_in{w}") == w, entropy - F.lit(w * math.log(w)) - F.col(f"_lp{w}"))
 
-def window_kl(rows: DataFrame, p0: DataFrame, width: int = 16) -> DataFrame:
-    """width times the divergence of a full window's reports from the normal distribution."""
-    logs = p0.select("series_id", F.col("report_bucket").alias("obs"), F.log(F.greatest("p0", F.lit(1e-15))).alias("lp"))
-    frame = along().rowsBetween(0, width - 1)
-    inside = rows.join(logs, ["series_id", "obs"]).withColumn("_in", F.collect_list("obs").over(frame)).withColumn("_lp", F.sum("lp").over(frame))
-    inside = inside.where(F.size("_in") == width)  # at most `width` reports, so the array is short
-    counts = F.transform(F.array_distinct("_in"), lambda b: F.size(F.filter("_in", lambda o: o == b)).cast("double"))
-    entropy = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * F.log(n))
-    value = entropy - F.lit(width) * F.log(F.lit(float(width))) - F.col("_lp")
-    return _placed(rows, inside.select("series_id", "t", value.alias("value")), width).withColumnRenamed(f"score_{width}", "score")
+    return _placed(inside, {w: value(w) for w in widths}).drop("_lp", *[f"_{n}{w}" for n in ("in", "lp") for w in widths])
 
 
-def llr_cusum(rows: DataFrame, table: DataFrame, drift: float = 0.25) -> DataFrame:
+def llr_cusum(rows: DataFrame, table: DataFrame, drift: float = 0.25, d: int = channel.D) -> DataFrame:
     """The largest CUSUM over candidates of ratios standardised within series and candidate."""
-    spread = rows.select("series_id", "t", "obs").join(table, ["series_id", "obs"])
-    group = Window.partitionBy("series_id", "candidate")
-    z = (F.col("llr") - F.avg("llr").over(group)) / F.greatest(F.stddev_pop("llr").over(group), F.lit(1e-6))
-    spread = spread.withColumn("_z", z).withColumn("_sum", F.sum(F.col("_z") - F.lit(drift)).over(group.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    best = spread.withColumn("_s", rise(F.col("_sum"), ["series_id", "candidate"])).groupBy("series_id", "t").agg(F.max("_s").alias("score"))
-    return rows.join(best, ["series_id", "t"])
+    whole, upto = Window.partitionBy("series_id"), along().rowsBetween(Window.unboundedPreceding, 0)
+    spread = _with_ratios(rows, table)
+    spread = spread.withColumn("_mean", _each("_l", d, lambda x: F.avg(x).over(whole))).withColumn("_std", _each("_l", d, lambda x: F.greatest(F.stddev_pop(x).over(whole), F.lit(1e-6))))
+    z = F.zip_with(F.zip_with("_l", "_mean", lambda x, m: x - m), "_std", lambda x, s: x / s - F.lit(drift))
+    spread = spread.withColumn("_z", z).withColumn("_z", _each("_z", d, lambda x: F.sum(x).over(upto)))
+    spread = spread.withColumn("_least", _each("_z", d, lambda x: F.min(x).over(upto)))
+    score = F.array_max(F.zip_with("_z", "_least", lambda x, m: x - F.least(F.lit(0.0), m)))
+    return spread.withColumn("score", score).drop("_l", "_mean", "_std", "_z", "_least")
 
 
 def rates(steps: int = 100, low: float = 0.01, high: float = 0.70) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.series import fill
+from tidewright.operators.series import fill, nearest, rolling_median
 
 
 def top_mask(rows: DataFrame, k: Column, key: str = "series_id") -> DataFrame:
@@ -14,15 +16,15 @@ def top_mask(rows: DataFrame, k: Column, key: str = "series_id") -> DataFrame:
 
 
 def repair(rows: DataFrame, how: str = "linear", column: str = "vf", width: int = 9) -> DataFrame:
-    """Adds repaired: masked values replaced by interpolation, the last value or the rolling median of the others."""
-    rows = rows.withColumn("_open", F.when(F.col("mask") == 0, F.col(column)))
+    """Adds repaired: masked values replaced by interpolation or the last value of the others, or by the rolling median
+    of all values; without others the value stays."""
     if how == "median":
-        frame = Window.partitionBy("series_id").orderBy("t").rowsBetween(-(width // 2), (width - 1) // 2)
-        rows = rows.withColumn("_mid", F.percentile("_open", F.lit(0.5)).over(frame))
-        value = F.coalesce(F.col("_open"), F.col("_mid"), fill(rows, "_open", "forward"))
-    else:
-        value = fill(rows, "_open", "linear" if how == "linear" else "forward")
-    return rows.withColumn("repaired", F.coalesce(value, F.col(column))).drop("_open", "_mid")
+        rows = rows.withColumn("_mid", rolling_median(column, width))
+        rows = rows.withColumn("_mid", F.coalesce("_mid", *nearest("_mid")))
+        return rows.withColumn("repaired", F.when(F.col("mask") == 0, F.col(column)).otherwise(F.coalesce("_mid", column))).drop("_mid")
+    rows = rows.withColumn("_open", F.when(F.col("mask") == 0, F.col(column)))
+    value = fill(rows, "_open", "linear" if how == "linear" else "forward")
+    return rows.withColumn("repaired", F.coalesce(value, F.col(column))).drop("_open")
 
 
 def blend(rows: DataFrame, column: str = "vf", target: str = "repaired") -> DataFrame:
@@ -31,27 +33,48 @@ def blend(rows: DataFrame, column: str = "vf", target: str = "repaired") -> Data
     return rows.withColumn("repaired", F.col(column) + share * (F.col(target) - F.col(column)))
 
 
-def repair_metrics(rows: DataFrame, truth: str = "v", bins: int = 32) -> DataFrame:
-    """By series: mae, rmse, js2 (squared Jensen-Shannon distance, base 2), wasserstein, errors of mean, deviation and
-    95th percentile, mae on faulty and clean rows, share of clean rows that changed."""
-    e = F.abs(F.col("repaired") - F.col(truth))
-    changed = F.when((F.col("label") == 0) & (e > 1e-12), F.lit(1.0)).when(F.col("label") == 0, F.lit(0.0))
-    basic = rows.groupBy("series_id").agg(
+def repair_metrics(rows: DataFrame, truth: str = "v", bins: int = 32, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """By series: mae, rmse, js2 (squared Jensen-Shannon distance, base 2, of smoothed histograms), wasserstein, errors of
+    mean, deviation and 95th percentile, mae on faulty and clean rows, share of rows that are clean and masked."""
+    e, wrong = F.abs(F.col("repaired") - F.col(truth)), (F.col("mask") == 1) & (F.col("label") == 0)
+    basic = rows.groupBy(*keys).agg(
         F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.abs(F.avg("repaired") - F.avg(truth)).alias("mean_error"), F.abs(F.stddev_pop("repaired") - F.stddev_pop(truth)).alias("std_error"),
-        F.abs(F.percentile("repaired", F.lit(0.95)) - F.percentile(truth, F.lit(0.95))).alias("p95_error"), F.avg(F.when(F.col("label") == 1, e)).alias("fault_mae"), F.avg(F.when(F.col("label") == 0, e)).alias("clean_mae"), F.avg(changed).alias("false_repairs"),
+        F.abs(F.percentile("repaired", F.lit(0.95)) - F.percentile(truth, F.lit(0.95))).alias("p95_error"), F.avg(F.when(F.col("label") == 1, e)).alias("fault_mae"), F.avg(F.when(F.col("label") == 0, e)).alias("clean_mae"), F.avg(F.when(wrong, F.lit(1.0)).otherwise(F.lit(0.0))).alias("false_repairs"),
     )
     at = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(c) + F.lit(1.0)) * F.lit(bins / 2))))
-    sides = rows.select("series_id", F.explode(F.array(F.struct(at(truth).alias("bin"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), F.struct(at("repaired").alias("bin"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))).alias("s"))
-    shares = sides.groupBy("series_id", "s.bin").agg(F.sum("s.a").alias("a"), F.sum("s.b").alias("b"))
-    whole = Window.partitionBy("series_id")
-    shares = shares.withColumn("a", F.col("a") / F.sum("a").over(whole)).withColumn("b", F.col("b") / F.sum("b").over(whole))
+    sides = rows.select(*keys, F.explode(F.array(F.struct(at(truth).alias("bin"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), F.struct(at("repaired").alias("bin"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))).alias("s"))
+    shares = sides.groupBy(*keys, "s.bin").agg(F.sum("s.a").alias("a"), F.sum("s.b").alias("b"))
+    whole = Window.partitionBy(*keys)  # a bin that neither has adds nothing
+    share = lambda c: (F.col(c) + F.lit(1e-3)) / (F.sum(c).over(whole) + F.lit(bins * 1e-3))
+    shares = shares.withColumns({"a": share("a"), "b": share("b")})
     middle = (F.col("a") + F.col("b")) / 2
-    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / middle)).otherwise(F.lit(0.0))
-    js = shares.groupBy("series_id").agg(F.greatest(F.lit(0.0), F.lit(0.5) * F.sum(part("a") + part("b"))).alias("js2"))
-    place = lambda c: F.row_number().over(Window.partitionBy("series_id").orderBy(c))
-    left, right = rows.select("series_id", place(truth).alias("n"), F.col(truth).alias("a")), rows.select("series_id", place("repaired").alias("n"), F.col("repaired").alias("b"))
-    moved = left.join(right, ["series_id", "n"]).groupBy("series_id").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("wasserstein"))
-    return basic.join(js, "series_id").join(moved, "series_id")
+    js = shares.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.lit(0.5) * F.sum(F.col("a") * F.log2(F.col("a") / middle) + F.col("b") * F.log2(F.col("b") / middle))).alias("js2"))
+    place = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c))
+    left, right = rows.select(*keys, place(truth).alias("n"), F.col(truth).alias("a")), rows.select(*keys, place("repaired").alias("n"), F.col("repaired").alias("b"))
+    moved = left.join(right, [*keys, "n"]).groupBy(*keys).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("wasserstein"))
+    return basic.join(js, list(keys)).join(moved, list(keys))
+
+
+def variants(rows: DataFrame, scores: dict[str, DataFrame], posterior: DataFrame, mean: str = "mean") -> DataFrame:
+    """Every way of repair: none, the true mask three ways, the k rows of largest score of each method (k true faults),
+    the posterior's, and a blend of a private series (`mean`) with its interpolation by the posterior's share.
+
+    rows: series_id, t, v, vf, label and `mean`; scores and posterior: series_id, t, score. Adds mask, repaired,
+    repair_method and mask_source, a row for each row and way.
+    """
+    base = ["series_id", "t", "v", "vf", "label", mean]
+    rows = rows.select(*base)
+    known = rows.withColumn("mask", F.col("label"))
+    out = [rows.withColumn("mask", F.lit(0)).withColumn("repaired", F.col("vf")).withColumns({"repair_method": F.lit("no_repair"), "mask_source": F.lit("none")})]
+    for how, name in (("linear", "linear_interpolation"), ("forward", "locf"), ("median", "rolling_median")):
+        out.append(repair(known, how).withColumns({"repair_method": F.lit(name), "mask_source": F.lit("oracle_fault_mask")}))
+    faults = F.sum("label").over(Window.partitionBy("series_id"))
+    for name, score in {**scores, "posterior": posterior}.items():
+        masked = top_mask(rows.join(score.select("series_id", "t", "score"), ["series_id", "t"]), faults)
+        out.append(repair(masked, "linear").drop("score").withColumns({"repair_method": F.lit(f"{name}_repair"), "mask_source": F.lit(f"{name}_topk_mask_linear")}))
+    soft = blend(repair(masked, "linear", mean), mean).drop("score")
+    out.append(soft.withColumns({"repair_method": F.lit("posterior_soft_repair"), "mask_source": F.lit("posterior_soft_private")}))
+    return reduce(DataFrame.unionByName, out)
 
 
 def bucket_wasserstein(rows: DataFrame, truth: str = "v", bins: int = 32) -> DataFrame:
@@ -107,9 +130,28 @@ def at_budget(rows: DataFrame, keys: list[str], share: float | None = None) -> D
 
 
 def recall_at_fpr(rows: DataFrame, keys: list[str], rate: float = 0.05) -> DataFrame:
-    """Recall above the threshold that the given share of negatives exceeds, at most."""
-    limit = rows.where("label = 0").groupBy(*keys).agg(F.percentile("score", F.lit(1 - rate)).alias("limit"))
-    return rows.join(limit, keys).groupBy(*keys).agg((F.count_if((F.col("label") == 1) & (F.col("score") > F.col("limit"))) / F.nullif(F.sum("label"), F.lit(0))).alias("recall"))
+    """Recall at or above the quantile of the negatives' scores that the given share of them exceeds; null where a class is missing."""
+    limit = rows.groupBy(*keys).agg(F.percentile(F.when(F.col("label") == 0, F.col("score")), F.lit(1 - rate)).alias("_limit"), F.sum("label").alias("_hits"))
+    found = rows.join(limit, keys).groupBy(*keys, "_limit", "_hits").agg(F.count_if((F.col("label") == 1) & (F.col("score") >= F.col("_limit"))).alias("_n"))
+    return found.select(*keys, F.when(F.col("_limit").isNotNull() & (F.col("_hits") > 0), F.col("_n") / F.col("_hits")).alias("recall"))
+
+
+def recall_by_sweep(rows: DataFrame, keys: list[str], rate: float = 0.05) -> DataFrame:
+    """The largest recall of the first rows by score (equal ones by t) among which the share of all negatives is within the rate."""
+    upto = Window.partitionBy(*keys).orderBy(F.desc("score"), "t").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    steps = rows.select(*keys, F.sum("label").over(upto).alias("tp"), F.sum(1 - F.col("label")).over(upto).alias("fp"), F.sum("label").over(whole).alias("p"), F.sum(1 - F.col("label")).over(whole).alias("n"))
+    inside = F.max(F.when(F.col("fp") / F.nullif(F.col("n"), F.lit(0)) <= rate, F.col("tp") / F.nullif(F.col("p"), F.lit(0))))
+    return steps.groupBy(*keys).agg(F.when((F.max("p") > 0) & (F.max("n") > 0), F.coalesce(inside, F.lit(0.0))).alias("recall"))
+
+
+def diagnosis(rows: DataFrame, truth: int | None) -> DataFrame:
+    """By series, of rows with label, score, candidate and rate: the estimated fault rate and stuck bucket against the
+    true ones, and the calibration of the scores. truth: the true bucket, null where there is none."""
+    per = rows.groupBy("series_id").agg(F.avg("label").alias("rate_true"), F.max("rate").alias("rate_estimated"), F.max("candidate").alias("bucket_estimated"))
+    true = F.lit(truth).cast("int")
+    per = per.withColumns({"rate_error": F.abs(F.col("rate_estimated") - F.col("rate_true")), "bucket_true": true, "bucket_error": F.abs(F.col("bucket_estimated") - true), "bucket_hit": (F.col("bucket_estimated") == true).cast("double")})
+    return per.join(calibration(rows, ["series_id"]), "series_id")
 
 
 def calibration(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:

@@ -14,11 +14,10 @@ def along(key: str = "series_id", order: str = "t") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
-def from_reports(reports: DataFrame, values: DataFrame) -> DataFrame:
-    """series_id, t, id, x: the raw values of each device's events in the order of their reports."""
-    rows = reports.select("report_id", "device_id", "ts").join(values.select(F.col("event_id").alias("report_id"), F.col("value").alias("x")), "report_id")
+def from_reports(reports: DataFrame, value: str = "value") -> DataFrame:
+    """series_id, t, id, x: the raw values of each device in the order of its reports."""
     t = F.row_number().over(Window.partitionBy("device_id").orderBy("ts", "report_id")) - 1
-    return rows.select(F.col("device_id").alias("series_id"), t.cast("long").alias("t"), F.col("report_id").alias("id"), "x")
+    return reports.select(F.col("device_id").alias("series_id"), t.cast("long").alias("t"), F.col("report_id").alias("id"), F.col(value).alias("x"))
 
 
 def finite(rows: DataFrame, column: str = "x") -> DataFrame:
@@ -60,11 +59,11 @@ def rolling_median(column: str | Column, width: int, least: int | None = None) -
 def rolling_mad(rows: DataFrame, column: str, width: int) -> DataFrame:
     """Adds median and mad: the rolling median, and the rolling median of distances from it; edges take the nearest."""
     rows = rows.withColumn("median", rolling_median(column, width))
-    rows = rows.withColumn("median", F.coalesce("median", *_nearest("median")))
-    return rows.withColumn("mad", rolling_median(F.abs(F.col(column) - F.col("median")), width)).withColumn("mad", F.coalesce("mad", *_nearest("mad")))
+    rows = rows.withColumn("median", F.coalesce("median", *nearest("median")))
+    return rows.withColumn("mad", rolling_median(F.abs(F.col(column) - F.col("median")), width)).withColumn("mad", F.coalesce("mad", *nearest("mad")))
 
 
-def _nearest(column: str) -> tuple[Column, Column]:
+def nearest(column: str) -> tuple[Column, Column]:
     after = along().rowsBetween(0, Window.unboundedFollowing)
     before = along().rowsBetween(Window.unboundedPreceding, 0)
     return F.first(column, ignorenulls=True).over(after), F.last(column, ignorenulls=True).over(before)

@@ -96,7 +96,8 @@ def cusum(source: str, x: str, moments: str, name: str = "cu") -> str:
 {name} AS (SELECT *, greatest(up - least(0, min(up) OVER ({ALONG} ROWS UNBOUNDED PRECEDING)), dn - least(0, min(dn) OVER ({ALONG} ROWS UNBOUNDED PRECEDING))) AS score FROM {name}s) """
 
 
-OWN = "SELECT series_id, avg({x}) AS mean, var_pop({x}) AS variance FROM {t} GROUP BY 1"
+OWN = "SELECT a.series_id, md AS mean, pow(1.4826::DOUBLE * quantile_cont(abs({x} - md), 0.5), 2) AS variance FROM {t} a JOIN (SELECT series_id, quantile_cont({x}, 0.5) AS md FROM {t} WHERE part = 'train' GROUP BY 1) b ON a.series_id = b.series_id WHERE part = 'train' GROUP BY 1, 2"
+CENTRED = f", oc AS (SELECT series_id, t, {num(-C)} + (obs + 0.5::DOUBLE) * {num(2 * C / D)} AS yc FROM o)"
 MOMENTS = f"SELECT series_id, sum(p0 * yy) AS mean, sum(p0 * yy * yy) - sum(p0 * yy) * sum(p0 * yy) AS variance FROM (SELECT *, {num(-C)} + (report_bucket + 0.5::DOUBLE) * {num(2 * C / D)} AS yy FROM p0) GROUP BY 1"
 POINT = ", pg AS (SELECT series_id, obs, round(max(llr), 9) AS score, min(candidate) FILTER (round(llr, 9) = round(best, 9)) AS candidate FROM (SELECT *, max(llr) OVER (PARTITION BY series_id, obs) AS best FROM rt) GROUP BY 1, 2) "
 SCORE = f"SELECT series_id, t, {r('score')} FROM "
@@ -108,10 +109,12 @@ def spread(width: int) -> str:
     return f"max(coalesce(s{width}, 0)) OVER ({ALONG} {centred(width)})"
 
 
-GLR = f""", sp AS (SELECT series_id, t, candidate, {', '.join(f"CASE WHEN count(*) OVER (PARTITION BY series_id, candidate ORDER BY t ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) = {w} THEN sum(llr) OVER (PARTITION BY series_id, candidate ORDER BY t ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) END AS s{w}" for w in (8, 16))} FROM o JOIN rt USING (series_id, obs)),
-b8 AS (SELECT series_id, t + 4 AS t, max(s8) AS s8 FROM sp GROUP BY series_id, t HAVING max(s8) IS NOT NULL), b16 AS (SELECT series_id, t + 8 AS t, max(s16) AS s16 FROM sp GROUP BY series_id, t HAVING max(s16) IS NOT NULL) """
-KL = f""", ks AS (SELECT a.series_id, a.t, b.obs FROM o a JOIN o b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 15),
-kc AS (SELECT series_id, t, obs, count(*) AS c FROM ks GROUP BY 1, 2, 3), kl AS (SELECT kc.series_id, kc.t + 8 AS t, sum(c * ln(c)) - 16 * ln(16::DOUBLE) - sum(c * ln(greatest(p0, 1e-15))) AS s16 FROM kc JOIN p0 ON p0.series_id = kc.series_id AND p0.report_bucket = kc.obs GROUP BY kc.series_id, kc.t HAVING sum(c) = 16) """
+WIDTHS = (8, 16, 32, 64)
+GLR = f""", sp AS (SELECT series_id, t, candidate, {', '.join(f"CASE WHEN count(*) OVER (PARTITION BY series_id, candidate ORDER BY t ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) = {w} THEN sum(llr) OVER (PARTITION BY series_id, candidate ORDER BY t ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) END AS s{w}" for w in WIDTHS)} FROM o JOIN rt USING (series_id, obs)),
+{', '.join(f"b{w} AS (SELECT series_id, t + {w // 2} AS t, max(s{w}) AS s{w} FROM sp GROUP BY series_id, t HAVING max(s{w}) IS NOT NULL)" for w in WIDTHS)} """
+KL = "".join(f""", ks{w} AS (SELECT a.series_id, a.t, b.obs FROM o a JOIN o b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + {w - 1}),
+kc{w} AS (SELECT series_id, t, obs, count(*) AS c FROM ks{w} GROUP BY 1, 2, 3), b{w} AS (SELECT k.series_id, k.t + {w // 2} AS t, sum(c * ln(c)) - {w} * ln({w}::DOUBLE) - sum(c * ln(greatest(p0, 1e-12))) AS s{w} FROM kc{w} k JOIN p0 ON p0.series_id = k.series_id AND p0.report_bucket = k.obs GROUP BY k.series_id, k.t HAVING sum(c) = {w}) """ for w in WIDTHS)
+WINDOWS = "SELECT series_id, t, " + r("greatest(0::DOUBLE, " + ", ".join(spread(w) for w in WIDTHS) + ")", "score") + " FROM o " + " ".join(f"LEFT JOIN b{w} USING (series_id, t)" for w in WIDTHS)
 LC = ", lz AS (SELECT series_id, t, candidate, (llr - avg(llr) OVER (PARTITION BY series_id, candidate)) / greatest(stddev_pop(llr) OVER (PARTITION BY series_id, candidate), 1e-6) - 0.25::DOUBLE AS z FROM o JOIN rt USING (series_id, obs)), lq AS (SELECT *, sum(z) OVER (PARTITION BY series_id, candidate ORDER BY t ROWS UNBOUNDED PRECEDING) AS q FROM lz), lc AS (SELECT series_id, t, max(q) AS score FROM (SELECT series_id, t, q - least(0, min(q) OVER (PARTITION BY series_id, candidate ORDER BY t ROWS UNBOUNDED PRECEDING)) AS q FROM lq) GROUP BY 1, 2) "
 MIX = """, mq AS (SELECT p0.series_id, p0.report_bucket, p0.p0, coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY p0.series_id) AS q FROM p0 LEFT JOIN (SELECT series_id, obs, count(*) AS c FROM o GROUP BY 1, 2) k ON k.series_id = p0.series_id AND k.obs = p0.report_bucket),
 mf AS (SELECT series_id, stuck_bucket, i, 0.01::DOUBLE + i * (0.69::DOUBLE / 99) AS rate, sum((q - (1 - (0.01::DOUBLE + i * (0.69::DOUBLE / 99))) * p0 - (0.01::DOUBLE + i * (0.69::DOUBLE / 99)) * p) ** 2) AS loss FROM mq JOIN mx USING (report_bucket), range(100) AS k(i) GROUP BY ALL),
@@ -123,8 +126,9 @@ LINEAR = f"{MASK}, {GAPS}, rp AS (SELECT *, coalesce(x0, v0 + (v1 - v0) * (t - t
 BIN = "greatest(0, least(31, floor(({c} + 1.0::DOUBLE) * 16.0::DOUBLE)))"
 SIDES = f", sd AS (SELECT series_id, {BIN.format(c='v')} AS bin, 1 AS a, 0 AS b FROM rp UNION ALL SELECT series_id, {BIN.format(c='repaired')}, 0, 1 FROM rp), sh AS (SELECT series_id, bin, sum(a) / sum(sum(a)) OVER (PARTITION BY series_id) AS a, sum(b) / sum(sum(b)) OVER (PARTITION BY series_id) AS b FROM sd GROUP BY 1, 2) "
 METRICS = f"""{LINEAR}{SIDES}, ba AS (SELECT series_id, avg(abs(repaired - v)) AS mae, sqrt(avg((repaired - v) ** 2)) AS rmse, abs(avg(repaired) - avg(v)) AS mean_error, abs(stddev_pop(repaired) - stddev_pop(v)) AS std_error, abs(quantile_cont(repaired, 0.95) - quantile_cont(v, 0.95)) AS p95_error,
-  avg(abs(repaired - v)) FILTER (label = 1) AS fault_mae, avg(abs(repaired - v)) FILTER (label = 0) AS clean_mae, avg((abs(repaired - v) > 1e-12)::INTEGER) FILTER (label = 0) AS false_repairs FROM rp GROUP BY 1),
-js AS (SELECT series_id, greatest(0, 0.5::DOUBLE * sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END)) AS js2 FROM sh GROUP BY 1),
+  avg(abs(repaired - v)) FILTER (label = 1) AS fault_mae, avg(abs(repaired - v)) FILTER (label = 0) AS clean_mae, avg((mask = 1 AND label = 0)::INTEGER) AS false_repairs FROM rp GROUP BY 1),
+sm AS (SELECT series_id, (sum(a) + 0.001::DOUBLE) / (sum(sum(a)) OVER (PARTITION BY series_id) + 0.032::DOUBLE) AS a, (sum(b) + 0.001::DOUBLE) / (sum(sum(b)) OVER (PARTITION BY series_id) + 0.032::DOUBLE) AS b FROM sd GROUP BY series_id, bin),
+js AS (SELECT series_id, greatest(0, 0.5::DOUBLE * sum(a * log2(a / ((a + b) / 2)) + b * log2(b / ((a + b) / 2)))) AS js2 FROM sm GROUP BY 1),
 wa AS (SELECT a.series_id, avg(abs(a.v - b.repaired)) AS wasserstein FROM (SELECT series_id, v, row_number() OVER (PARTITION BY series_id ORDER BY v) AS n FROM rp) a JOIN (SELECT series_id, repaired, row_number() OVER (PARTITION BY series_id ORDER BY repaired) AS n FROM rp) b USING (series_id, n) GROUP BY 1)
 SELECT series_id, {', '.join(r(c) for c in ('mae', 'rmse', 'mean_error', 'std_error', 'p95_error', 'fault_mae', 'clean_mae', 'false_repairs', 'js2', 'wasserstein'))} FROM ba JOIN js USING (series_id) JOIN wa USING (series_id)"""
 QS = "WITH qs AS (SELECT lang, doc_id AS t, quality AS label, round(n_chars / (n_chars + 1000), 6) AS score FROM labels JOIN documents USING (doc_id)) "
@@ -136,7 +140,7 @@ def ranking(source: str, keys: str) -> str:
 
 
 RUNS = (
-    cusum("f", "vf", OWN.format(x="vf", t="f")) + mad("f", "vf") + POINT + Z.format(v="vf", t="f")
+    cusum("f", "vf", OWN.format(x="v", t="n")) + mad("f", "vf") + POINT + Z.format(v="vf", t="f")
     + f""", sc AS (SELECT series_id, t, label, round(score, 6) AS score, 'cusum' AS method FROM cu UNION ALL SELECT series_id, t, label, round({HAMPEL.format(v='vf')}, 6), 'hampel' FROM q
   UNION ALL SELECT series_id, t, label, round(score, 6), 'point_glr' FROM o JOIN pg USING (series_id, obs) UNION ALL SELECT series_id, t, label, round(score, 6), 'robust_z' FROM rz
   UNION ALL SELECT o.series_id, t, label, round(-ln(greatest(p0, 1e-15)), 6), 'surprise' FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs), rk AS ({ranking("sc", "series_id, method")}), rr AS (SELECT series_id, method, positives, negatives, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM rk) """
@@ -152,6 +156,102 @@ GATE = f"""{RUNS}{SEP}, ga AS (SELECT series_id % 5 AS grp, CASE WHEN series_id
 gn AS (SELECT grp, method, avg(auprc) FILTER (part = 'validation') AS validation, avg(auprc) FILTER (part = 'test') AS test, avg(prevalence) AS prevalence, min(tv) AS tv, min(kl) AS kl FROM ga GROUP BY 1, 2)
 SELECT grp AS "group", method, {r('validation')}, {r('test')}, {r('prevalence')}, {r('tv')}, {r('kl')}, {r('test / prevalence', 'lift')}, CASE WHEN test / prevalence > 1 THEN CASE WHEN tv >= 0.10::DOUBLE AND kl >= 0.03::DOUBLE THEN 'route' ELSE 'use' END ELSE 'abstain' END AS action FROM gn WHERE validation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp ORDER BY validation DESC, method) = 1"""
 
+P11 = max(0.5, 1 - 1 / max(float(SEGMENT), 2.0))
+P01 = min(0.2, max(1e-4, SHARE * (1 - P11) / max(1 - SHARE, 1e-6)))
+
+
+def hmm(emissions: str) -> str:
+    """Forward and backward pass by recursion over t; emissions: series_id, t, candidate, e0, e1."""
+    step = f"SELECT *, (f0 * {num(1 - P01)} + f1 * {num(1 - P11)}) * x0 AS a0, (f0 * {num(P01)} + f1 * {num(P11)}) * x1 AS a1 FROM (SELECT fw.*, em.e0 AS x0, em.e1 AS x1 FROM fw JOIN em ON em.series_id = fw.series_id AND em.candidate = fw.candidate AND em.t = fw.t + 1)"
+    back = f"SELECT *, {num(1 - P01)} * x0 * g0 + {num(P01)} * x1 * g1 AS a0, {num(1 - P11)} * x0 * g0 + {num(P11)} * x1 * g1 AS a1 FROM (SELECT bw.*, em.e0 AS x0, em.e1 AS x1 FROM bw JOIN em ON em.series_id = bw.series_id AND em.candidate = bw.candidate AND em.t = bw.t WHERE bw.t > 0)"
+    return f""", em AS MATERIALIZED ({emissions}),
+fw AS (SELECT series_id, candidate, t, {num(1 - SHARE)} * e0 / ({num(1 - SHARE)} * e0 + {num(SHARE)} * e1) AS f0, {num(SHARE)} * e1 / ({num(1 - SHARE)} * e0 + {num(SHARE)} * e1) AS f1, ln({num(1 - SHARE)} * e0 + {num(SHARE)} * e1) AS ll FROM em WHERE t = 0
+  UNION ALL SELECT series_id, candidate, t + 1, a0 / (a0 + a1), a1 / (a0 + a1), ll + ln(a0 + a1) FROM ({step})),
+bw AS (SELECT series_id, candidate, max(t) AS t, 1::DOUBLE AS g0, 1::DOUBLE AS g1 FROM em GROUP BY 1, 2
+  UNION ALL SELECT series_id, candidate, t - 1, a0 / (a0 + a1), a1 / (a0 + a1) FROM ({back})),
+ps AS (SELECT fw.series_id, fw.t, fw.candidate, f1 * g1 / (f0 * g0 + f1 * g1) AS score FROM fw JOIN bw ON fw.series_id = bw.series_id AND fw.candidate = bw.candidate AND fw.t = bw.t),
+lk AS (SELECT series_id, candidate FROM (SELECT series_id, candidate, ll, t, max(t) OVER (PARTITION BY series_id) AS last FROM fw) WHERE t = last QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(ll, 9) DESC, candidate) = 1) """
+
+
+def stuck(rows: str = "o", columns: str = "SELECT stuck_bucket AS candidate, report_bucket AS obs, p FROM mx", p0: str = "p0") -> str:
+    return hmm(f"SELECT a.series_id, a.t, c.candidate, greatest(b.p0, 1e-12) AS e0, greatest(c.p, 1e-12) AS e1 FROM {rows} a JOIN {p0} b ON b.series_id = a.series_id AND b.report_bucket = a.obs JOIN ({columns}) c ON c.obs = a.obs")
+
+
+ROWS = f"SELECT series_id, t, {r('score')}, candidate::INTEGER AS candidate, round(avg(score) OVER (PARTITION BY series_id), 6) + 0 AS rate FROM "
+BEST = ROWS + "ps JOIN lk USING (series_id, candidate)"
+AROUND = "SELECT a.stuck_bucket AS candidate, b.report_bucket AS obs, avg(b.p) AS p FROM (SELECT DISTINCT stuck_bucket FROM mx) a JOIN mx b ON abs(a.stuck_bucket - b.stuck_bucket) <= 2 GROUP BY 1, 2"
+IDENTITY = f", vb AS (SELECT series_id, t, {BIN.format(c='vf')}::INTEGER AS obs FROM f), im0 AS (SELECT a AS stuck_bucket, b AS report_bucket, CASE WHEN a = b THEN {num(1 - 1e-4 * (D - 1))} ELSE 0.0001::DOUBLE END AS p FROM range({D}) AS p(a), range({D}) AS q(b)), ip AS (SELECT series_id, report_bucket, sum(p * alpha) AS p0 FROM al JOIN im0 USING (stuck_bucket) GROUP BY 1, 2)"
+
+
+def mistaken(factor: float) -> str:
+    s, c = shape(max(0.05, EPSILON * factor))
+    width, step = 2 / (s - 1), 2 * c / D
+    overlap = f"greatest(0::DOUBLE, least(e + {num(step)}, lo + {num(width)}) - greatest(e, lo))"
+    return f""", wg AS (SELECT a AS stuck_bucket, b AS report_bucket, ({num(s)} * ({num(-1 + 1 / D)} + {num(2 / D)} * a) - 1.0::DOUBLE) / {num(s - 1)} AS lo, {num(-c)} + b * {num(step)} AS e FROM range({D}) AS p(a), range({D}) AS q(b)),
+wm AS (SELECT stuck_bucket, report_bucket, mass / sum(mass) OVER (PARTITION BY stuck_bucket) AS p FROM (SELECT *, {num(s / (s + 1) / width)} * {overlap} + {num(1 / (s + 1) / (2 * c - width))} * ({num(step)} - {overlap}) AS mass FROM wg)),
+wp AS (SELECT series_id, report_bucket, sum(p * alpha) AS p0 FROM al JOIN wm USING (stuck_bucket) GROUP BY 1, 2)""" + stuck(columns="SELECT stuck_bucket AS candidate, report_bucket AS obs, p FROM wm", p0="wp")
+
+
+def change_points(source: str, x: str, moments: str, longest: int = 48) -> str:
+    """Run lengths by recursion over t; a state holds the chances of all runs and the values so far."""
+    own = "hist[len(hist) - r + 1:]"
+    chance = f"probs[r + 1] * greatest(exp(-0.5::DOUBLE * pow(x - (CASE WHEN r < 3 THEN mean ELSE list_avg({own}) END), 2) / (CASE WHEN r < 3 THEN greatest(variance, 1e-4) ELSE greatest(list_var_pop({own}), 1e-4) END)) / sqrt(2 * pi() * (CASE WHEN r < 3 THEN greatest(variance, 1e-4) ELSE greatest(list_var_pop({own}), 1e-4) END)), 1e-300)"
+    return f""", bm AS MATERIALIZED (SELECT a.series_id, t, {x} AS x, mean, variance FROM {source} a JOIN ({moments}) m ON m.series_id = a.series_id),
+cp AS (SELECT DISTINCT series_id, -1::BIGINT AS t, [1.0::DOUBLE] AS probs, []::DOUBLE[] AS hist FROM bm
+  UNION ALL SELECT series_id, t + 1, list_transform(w, lambda z: z / greatest(list_sum(w), 1e-300)), list_append(hist, x)[-{longest}:] FROM (
+    SELECT *, list_concat([list_sum(g) * {num(1 / longest)}], list_transform(g, lambda z: z * {num(1 - 1 / longest)}))[:{longest}] AS w FROM (
+      SELECT *, list_transform(range(len(probs)), lambda r: {chance}) AS g FROM (SELECT cp.*, x, mean, variance FROM cp JOIN bm ON bm.series_id = cp.series_id AND bm.t = cp.t + 1)))) """
+
+
+def repaired(name: str, source: str, how: str, x: str = "vf") -> str:
+    """Masked rows of `source` replaced; name: the CTE that gets repaired."""
+    forward = f"coalesce(last_value(x0 IGNORE NULLS) OVER ({ALONG} ROWS UNBOUNDED PRECEDING), first_value(x0 IGNORE NULLS) OVER ({ALONG} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), {x})"
+    if how == "median":
+        return f", {name} AS (SELECT *, CASE WHEN mask = 0 THEN {x} ELSE coalesce(CASE WHEN count({x}) OVER ({ALONG} {centred(9)}) >= 3 THEN quantile_cont({x}, 0.5) OVER ({ALONG} {centred(9)}) END, {x}) END AS repaired FROM {source})"
+    opened = f"(SELECT *, CASE WHEN mask = 0 THEN {x} END AS x0 FROM {source})"
+    if how == "forward":
+        return f", {name} AS (SELECT * EXCLUDE (x0), {forward} AS repaired FROM {opened})"
+    return f", {name} AS (SELECT * EXCLUDE (x0, v0, v1, t0, t1), coalesce(x0, v0 + (v1 - v0) * (t - t0) / (t1 - t0), v0, v1, {x}) AS repaired FROM (SELECT *, last_value(x0 IGNORE NULLS) OVER a AS v0, first_value(x0 IGNORE NULLS) OVER b AS v1, last_value(CASE WHEN x0 IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t0, first_value(CASE WHEN x0 IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t1 FROM {opened} WINDOW a AS ({ALONG} ROWS UNBOUNDED PRECEDING), b AS ({ALONG} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"
+
+
+def top(name: str, score: str) -> str:
+    return f", {name} AS (SELECT ra.*, score, (row_number() OVER (PARTITION BY series_id ORDER BY score DESC, t DESC) <= sum(label) OVER (PARTITION BY series_id))::INTEGER AS mask FROM ra JOIN ({score}) USING (series_id, t))"
+
+
+MEAN = f"SELECT series_id, report_bucket AS obs, sum(p * alpha * ({num(-1 + 1 / D)} + {num(2 / D)} * stuck_bucket)) / sum(p * alpha) AS mean FROM al JOIN mx USING (stuck_bucket) GROUP BY 1, 2"
+VARIANTS = (
+    f", pm AS ({MEAN}), ra AS (SELECT series_id, t, v, vf, label, mean FROM o JOIN pm USING (series_id, obs))"
+    + Z.format(v="y", t="o") + mad("ra", "mean", 9, "pq") + stuck()
+    + ", ra0 AS (SELECT *, 0 AS mask FROM ra), ra1 AS (SELECT *, label AS mask FROM ra)"
+    + "".join(repaired(f"v{how}", "ra1", how) for how in ("linear", "forward", "median"))
+    + top("kz", "SELECT series_id, t, round(score, 6) AS score FROM rz") + repaired("vz", "kz", "linear")
+    + top("kh", f"SELECT series_id, t, round({HAMPEL.format(v='mean')}, 6) AS score FROM pq") + repaired("vh", "kh", "linear")
+    + POINT + top("kg", "SELECT series_id, t, round(score, 6) AS score FROM o JOIN pg USING (series_id, obs)") + repaired("vg", "kg", "linear")
+    + top("kp", "SELECT series_id, t, round(score, 6) AS score FROM ps JOIN lk USING (series_id, candidate)") + repaired("vp", "kp", "linear") + repaired("vm", "kp", "linear", "mean")
+    + ", va AS (SELECT series_id, t, v, label, mask, vf AS repaired, 'no_repair' AS repair_method, 'none' AS mask_source FROM ra0"
+    + "".join(f" UNION ALL SELECT series_id, t, v, label, mask, repaired, '{m}', '{k}' FROM {c}" for c, m, k in (("vlinear", "linear_interpolation", "oracle_fault_mask"), ("vforward", "locf", "oracle_fault_mask"), ("vmedian", "rolling_median", "oracle_fault_mask"), ("vz", "robust_z_repair", "robust_z_topk_mask_linear"), ("vh", "mean_hampel_repair", "mean_hampel_topk_mask_linear"), ("vg", "point_glr_repair", "point_glr_topk_mask_linear"), ("vp", "posterior_repair", "posterior_topk_mask_linear")))
+    + " UNION ALL SELECT series_id, t, v, label, mask, mean + greatest(0, least(1, score)) * (repaired - mean), 'posterior_soft_repair', 'posterior_soft_private' FROM vm) "
+    + "SELECT series_id, repair_method, mask_source, sum(mask)::BIGINT AS masked, round(avg(abs(repaired - v)), 6) + 0 AS mae, round(sqrt(avg((repaired - v) ** 2)), 6) + 0 AS rmse, round(avg((mask = 1 AND label = 0)::INTEGER), 6) + 0 AS false_repairs FROM va GROUP BY 1, 2, 3"
+)
+TRUE_BUCKET = int((STUCK + 1.0) * D / 2)
+DIAGNOSIS = stuck() + f""", dg AS (SELECT series_id, t, candidate, round(score, 6) + 0 AS score, round(avg(score) OVER (PARTITION BY series_id), 6) AS rate FROM ps JOIN lk USING (series_id, candidate)),
+cal AS (SELECT series_id, sum(e) / sum(n) AS brier, sum(abs(s - y)) / sum(n) AS ece FROM (SELECT series_id, least(floor(score * 10), 9) AS b, count(*) AS n, sum(score) AS s, sum(label) AS y, sum((score - label) ** 2) AS e FROM dg JOIN f USING (series_id, t) GROUP BY 1, 2) GROUP BY 1)
+SELECT series_id, {r('avg(label)', 'rate_true')}, {r('max(rate)', 'rate_estimated')}, max(candidate)::INTEGER AS bucket_estimated, {r('abs(max(rate) - avg(label))', 'rate_error')}, {TRUE_BUCKET} AS bucket_true, abs(max(candidate) - {TRUE_BUCKET})::INTEGER AS bucket_error, (max(candidate) = {TRUE_BUCKET})::INTEGER::DOUBLE AS bucket_hit, {r('max(brier)', 'brier')}, {r('max(ece)', 'ece')} FROM dg JOIN f USING (series_id, t) JOIN cal USING (series_id) GROUP BY 1"""
+CHANGES = f"SELECT series_id, t, {r('probs[1]', 'score')}, -1::INTEGER AS candidate, 0::DOUBLE AS rate FROM cp WHERE t >= 0"
+RECURSIVE: dict[str, str] = {
+    "d4_change_points": change_points("n", "v", "SELECT series_id, avg(v) AS mean, var_pop(v) AS variance FROM n WHERE part = 'train' GROUP BY 1") + CHANGES,
+    "d4_private_change_points": CENTRED + change_points("oc", "yc", MOMENTS) + CHANGES,
+    "d14_stuck_hmm": stuck() + BEST,
+    "d15_row_hmm": stuck() + ROWS + "(SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY series_id, t ORDER BY round(score, 9) DESC, candidate) = 1)",
+    "d16_range_hmm": stuck(columns=AROUND) + BEST,
+    "d18_dropout_hmm": f", {injected('dropout')}" + hmm("SELECT series_id, t, candidate, CASE WHEN vf IS NULL THEN 0.01::DOUBLE ELSE 0.99::DOUBLE END AS e0, CASE WHEN vf IS NULL THEN candidate / 100.0::DOUBLE ELSE 1 - candidate / 100.0::DOUBLE END AS e1 FROM j, (VALUES (20), (40), (60), (80)) AS l(candidate)") + BEST,
+    "d19_raw_hmm": IDENTITY + stuck("vb", "SELECT stuck_bucket AS candidate, report_bucket AS obs, p FROM im0", "ip") + BEST,
+    "d20_wrong_epsilon_half": mistaken(0.5) + BEST,
+    "d20_wrong_epsilon_double": mistaken(2.0) + BEST,
+    "r2_repair_variants": VARIANTS,
+    "e7_diagnosis": DIAGNOSIS,
+}
+
 TABLE: dict[str, str] = {
     "m1_robust_normalize": f"SELECT series_id, t, part, {r('v')} FROM n",
     "m5_piecewise_sample": f"SELECT series_id, t, {r('y')}, obs FROM o",
@@ -170,12 +270,12 @@ TABLE: dict[str, str] = {
     "d2_rolling_median": mad("n", "v") + f"SELECT series_id, t, {r('abs(v - md)', 'score')} FROM q",
     "d2_hampel": mad("n", "v") + f"SELECT series_id, t, {r(HAMPEL.format(v='v'), 'score')} FROM q",
     "d3_cusum": cusum("n", "x", OWN.format(x="x", t="n")) + SCORE + "cu",
-    "d3_private_cusum": cusum("o", "y", MOMENTS) + SCORE + "cu",
+    "d3_private_cusum": CENTRED + cusum("oc", "yc", MOMENTS) + SCORE + "cu",
     "d5_surprise": f"SELECT o.series_id, t, {r('-ln(greatest(p0, 1e-15))', 'score')} FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs",
     "d6_frequency_surprise": f"SELECT series_id, t, {r('-ln((count(*) OVER (PARTITION BY series_id, obs) + 1) / (count(*) OVER (PARTITION BY series_id) + 32))', 'score')} FROM o",
     "d7_point_glr": POINT + f"SELECT series_id, t, {r('score')}, candidate FROM o JOIN pg USING (series_id, obs)",
-    "d8_window_glr": GLR + f"SELECT series_id, t, {r(f'greatest({spread(8)}, {spread(16)})', 'score')} FROM o LEFT JOIN b8 USING (series_id, t) LEFT JOIN b16 USING (series_id, t)",
-    "d9_window_kl": KL + f"SELECT series_id, t, {r(spread(16), 'score')} FROM o LEFT JOIN kl USING (series_id, t)",
+    "d8_window_glr": GLR + WINDOWS,
+    "d9_window_kl": KL + WINDOWS,
     "d10_llr_cusum": LC + SCORE + "lc",
     "d11_smoothed_glr": POINT + f"SELECT series_id, t, {r(f'avg(score) OVER ({ALONG} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 'score')}, candidate FROM o JOIN pg USING (series_id, obs)",
     "d12_mixture_fit": MIX + f"SELECT series_id, candidate, {r('rate')}, {r('loss')} FROM fit",
@@ -190,7 +290,7 @@ TABLE: dict[str, str] = {
     "w21_every_nth": f"SELECT series_id, t, {r('x')} FROM raw WHERE t % 6 = 0",
     "r1_repair_linear": LINEAR + f"SELECT series_id, t, mask, {r('repaired')} FROM rp",
     "r1_repair_forward": MASK + f"SELECT series_id, t, mask, {r(f'coalesce({FWD}, vf)', 'repaired')} FROM op",
-    "r1_repair_median": MASK + f"SELECT series_id, t, mask, {r(f'coalesce(x0, quantile_cont(x0, 0.5) OVER ({ALONG} {centred(9)}), {FWD}, vf)', 'repaired')} FROM op",
+    "r1_repair_median": MASK + f"SELECT series_id, t, mask, {r(f'CASE WHEN mask = 0 THEN vf ELSE coalesce(CASE WHEN count(vf) OVER ({ALONG} {centred(9)}) >= 3 THEN quantile_cont(vf, 0.5) OVER ({ALONG} {centred(9)}) END, vf) END', 'repaired')} FROM op",
     "r3_repair_metrics": METRICS,
     "r4_bucket_wasserstein": LINEAR + SIDES + ", wc AS (SELECT series_id, (lead(bin) OVER (PARTITION BY series_id ORDER BY bin) - bin) / 16.0::DOUBLE AS gap, sum(a - b) OVER (PARTITION BY series_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum FROM sh) SELECT series_id, round(coalesce(sum(abs(cum) * gap), 0), 6) AS wasserstein FROM wc GROUP BY 1",
     "r5_block_errors": LINEAR + ", bk AS (SELECT series_id, avg(v) AS a, avg(repaired) AS b FROM rp GROUP BY series_id, t // 8 HAVING count(*) = 8), bl AS (SELECT *, quantile_cont(a, 0.9) OVER (PARTITION BY series_id) AS lim FROM bk) SELECT series_id, round(avg(abs(a - b)), 6) AS block_error, count(*) FILTER (a > lim) AS above, count(*) FILTER (b > lim) AS above_repaired FROM bl GROUP BY 1",
@@ -209,7 +309,7 @@ TABLE: dict[str, str] = {
     "a31_pivot": f"SELECT series_id, {', '.join(r(f'avg(y) FILTER (t % 3 = {k})', f'y{k}') for k in range(3))} FROM o GROUP BY 1",
     "b13_capped_strata": "SELECT series_id, id FROM raw QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY (id * 7919) % 1000003, id) <= 10",
 }
-ORACLES: dict[str, str] = {key: BASE + sql for key, sql in TABLE.items()} | {
+ORACLES: dict[str, str] = {key: BASE + sql for key, sql in TABLE.items()} | {key: BASE.replace("WITH", "WITH RECURSIVE", 1) + sql for key, sql in RECURSIVE.items()} | {
     "m2_range_normalize": f"{BASE}, {normalized('nn', 'range')} SELECT series_id, t, {r('v')} FROM nn",
     "m3_reference_normalize": BASE + ", " + normalized("nn", where="part <> 'test'") + f" SELECT series_id, t, {r('v')} FROM nn",
     "m9_randomized_response": f"{BASE}, rb AS (SELECT *, greatest(0, least(31, floor((v + 1.0::DOUBLE) * 16.0::DOUBLE)))::INTEGER AS b, floor({uniform(2)} * 31)::INTEGER AS other FROM n) SELECT series_id, t, CASE WHEN {uniform(1)} < {num(exp(EPSILON) / (exp(EPSILON) + D - 1))} THEN b ELSE other + CASE WHEN other >= b THEN 1 ELSE 0 END END AS obs FROM rb",
@@ -218,7 +318,8 @@ ORACLES: dict[str, str] = {key: BASE + sql for key, sql in TABLE.items()} | {
     "e1_ranking": QS + f"SELECT lang, positives, negatives, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM ({ranking('qs', 'lang')})",
     "e2_stepwise_auprc": QS + "SELECT lang, round(sum(CASE WHEN label = 1 THEN tp / n ELSE 0 END) / nullif(sum(label), 0), 6) AS auprc_rows FROM (SELECT *, sum(label) OVER w AS tp, count(*) OVER w AS n FROM qs WINDOW w AS (PARTITION BY lang ORDER BY score DESC, t ROWS UNBOUNDED PRECEDING)) GROUP BY 1",
     "e3_at_budget": QS + "SELECT lang, max(k) AS k, round(count(*) FILTER (n <= k AND label = 1) / max(k), 6) AS precision, round(count(*) FILTER (n <= k AND label = 1) / nullif(sum(label), 0), 6) AS recall FROM (SELECT *, greatest(1, round(count(*) OVER (PARTITION BY lang) * 0.1::DOUBLE))::BIGINT AS k, row_number() OVER (PARTITION BY lang ORDER BY score DESC, t DESC) AS n FROM qs) GROUP BY 1",
-    "e4_recall_at_fpr": QS + "SELECT lang, round(count(*) FILTER (label = 1 AND score > lim) / nullif(sum(label), 0), 6) AS recall FROM qs JOIN (SELECT lang, quantile_cont(score, 0.95) AS lim FROM qs WHERE label = 0 GROUP BY 1) USING (lang) GROUP BY 1",
+    "e4_recall_at_fpr": QS + "SELECT lang, round(CASE WHEN max(lim) IS NOT NULL THEN count(*) FILTER (label = 1 AND score >= lim) / nullif(sum(label), 0) END, 6) AS recall FROM qs LEFT JOIN (SELECT lang, quantile_cont(score, 0.95) AS lim FROM qs WHERE label = 0 GROUP BY 1) USING (lang) GROUP BY 1",
+    "e4_recall_by_sweep": QS + "SELECT lang, round(CASE WHEN max(p) > 0 AND max(n) > 0 THEN coalesce(max(tp / p) FILTER (fp / n <= 0.05::DOUBLE), 0) END, 6) AS recall FROM (SELECT lang, sum(label) OVER w AS tp, sum(1 - label) OVER w AS fp, sum(label) OVER (PARTITION BY lang) AS p, sum(1 - label) OVER (PARTITION BY lang) AS n FROM qs WINDOW w AS (PARTITION BY lang ORDER BY score DESC, t ROWS UNBOUNDED PRECEDING)) GROUP BY 1",
     "e6_calibration": QS + "SELECT lang, round(sum(e) / sum(n), 6) AS brier, round(sum(abs(s - y)) / sum(n), 6) AS ece FROM (SELECT lang, least(floor(score * 10), 9) AS b, count(*) AS n, sum(score) AS s, sum(label) AS y, sum((score - label) ** 2) AS e FROM qs GROUP BY 1, 2) GROUP BY 1",
     "s25_html_links": "SELECT page_id, len(l)::INTEGER AS n_links, coalesce(l[1], '') AS first_link, length(regexp_extract(html, '<title>([^<]*)</title>', 1))::INTEGER AS title_chars FROM (SELECT *, regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1) AS l FROM pages)",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright import stage
 from tidewright.operators import channel as C
 from tidewright.operators import detectors as D
 from tidewright.operators import evaluation as E
@@ -27,7 +28,7 @@ class Series:
         self.spark, self.sf_dir = spark, sf_dir
         events = telemetry.table(spark, sf_dir, "events")
         self.reports = telemetry.reports(events)
-        self.raw = S.split(S.finite(S.from_reports(self.reports, events)))
+        self.raw = S.split(S.finite(S.from_reports(telemetry.reports(events, "value"))))
         self.clean = S.normalize(self.raw)
         self.faulty = faults.inject(faults.segment_mask(self.clean, SHARE, SEGMENT), "segment_stuck", stuck=STUCK)
         self.private = self.faulty.withColumn("y", C.piecewise(F.col("vf"), EPSILON)).withColumn("obs", C.discretize(F.col("y"), EPSILON))
@@ -36,12 +37,29 @@ class Series:
         self.p0 = C.normal(self.matrix, self.alpha)
         self.ratios = D.ratios(self.matrix, self.p0)
 
+    @property
+    def centred(self) -> DataFrame:
+        """Reports as the values at the centres of their bins."""
+        c = C.shape(EPSILON)[1]
+        return self.private.withColumn("y", F.lit(-c) + (F.col("obs") + F.lit(0.5)) * F.lit(2 * c / C.D))
+
+    def undisturbed(self) -> DataFrame:
+        """The stuck HMM on the buckets of the values themselves."""
+        matrix = C.identity_matrix(self.spark)
+        rows = self.faulty.withColumn("obs", C.bucket(F.col("vf")))
+        return hmm.stuck(rows, hmm.table(matrix), C.normal(matrix, self.alpha), **HMM)
+
+    def mistaken(self, factor: float) -> DataFrame:
+        """The stuck HMM with the channel of another epsilon."""
+        matrix = C.piecewise_matrix(self.spark, max(0.05, EPSILON * factor))
+        return hmm.stuck(self.private, hmm.table(matrix), C.normal(matrix, self.alpha), **HMM)
+
     def with_faults(self, mode: str) -> DataFrame:
         return faults.inject(faults.iid_mask(self.clean, SHARE), mode, stuck=STUCK)
 
     def scores(self) -> dict[str, DataFrame]:
         return {
-            "cusum": D.cusum(self.faulty, "vf"),
+            "cusum": D.cusum(self.faulty, "vf", moments=D.train_moments(self.clean, "v")),
             "hampel": D.hampel(self.faulty, "vf"),
             "point_glr": D.point_glr(self.private, self.ratios),
             "robust_z": D.robust_z(self.faulty, "vf"),
@@ -50,6 +68,9 @@ class Series:
 
     def runs(self) -> DataFrame:
         """series_id, method, positives, negatives, auroc, auprc: one pass over all methods' scores."""
+        self.faulty, self.private = (stage.table(x, name) for x, name in ((self.faulty, "faulty"), (self.private, "private")))
+        self.p0 = stage.table(self.p0, "normal-reports")
+        self.ratios = D.ratios(self.matrix, self.p0)
         parts = [d.select("series_id", "t", "label", F.round("score", 6).alias("score"), F.lit(name).alias("method")) for name, d in self.scores().items()]
         rows = parts[0]
         for p in parts[1:]:
@@ -76,6 +97,22 @@ def repaired(s: Series, how: str) -> DataFrame:
     return E.repair(masked(s), how)
 
 
+def stuck_scores(s: Series) -> DataFrame:
+    return hmm.stuck(s.private, hmm.table(s.matrix), s.p0, **HMM)
+
+
+def variants(s: Series) -> DataFrame:
+    """All ways of repair, measured."""
+    means = C.clean_mean(s.matrix, s.alpha).withColumnRenamed("report_bucket", "obs")
+    rows = stage.table(s.private.join(means, ["series_id", "obs"]), "private")
+    scores = {"robust_z": D.robust_z(rows, "y"), "mean_hampel": D.hampel(rows, "mean"), "point_glr": D.point_glr(rows, s.ratios)}
+    posterior = hmm.stuck(rows, hmm.table(s.matrix), s.p0, **HMM)
+    found = stage.table(E.variants(rows, {name: scored(d) for name, d in scores.items()}, scored(posterior)), "repaired")
+    keys = ("series_id", "repair_method", "mask_source")
+    counts = found.groupBy(*keys).agg(F.sum("mask").alias("masked"))
+    return counts.join(E.repair_metrics(found, keys=keys), list(keys)).select(*keys, "masked", "mae", "rmse", "false_repairs")
+
+
 def quality_scores(s: Series) -> DataFrame:
     """Labelled documents with a score in [0, 1] from their length."""
     docs, labels = telemetry.table(s.spark, s.sf_dir, "documents"), telemetry.table(s.spark, s.sf_dir, "labels")
@@ -122,12 +159,12 @@ SERIES: dict[str, Callable[[Series], DataFrame]] = {
     "d2_rolling_median": lambda s: scored(D.rolling_median_score(s.clean, "v")),
     "d2_hampel": lambda s: scored(D.hampel(s.clean, "v")),
     "d3_cusum": lambda s: scored(D.cusum(s.clean, "x")),
-    "d3_private_cusum": lambda s: scored(D.cusum(s.private, "y", moments=C.output_moments(s.matrix, s.alpha, EPSILON))),
+    "d3_private_cusum": lambda s: scored(D.cusum(s.centred, "y", moments=C.output_moments(s.matrix, s.alpha, EPSILON))),
     "d5_surprise": lambda s: scored(D.surprise(s.private, s.p0)),
     "d6_frequency_surprise": lambda s: scored(D.frequency_surprise(s.private)),
     "d7_point_glr": lambda s: scored(D.point_glr(s.private, s.ratios)),
-    "d8_window_glr": lambda s: scored(D.window_glr(s.private, s.ratios, (8, 16))),
-    "d9_window_kl": lambda s: scored(D.window_kl(s.private, s.p0, 16)),
+    "d8_window_glr": lambda s: scored(D.window_glr(s.private, s.ratios)),
+    "d9_window_kl": lambda s: scored(D.window_kl(s.private, s.p0)),
     "d10_llr_cusum": lambda s: scored(D.llr_cusum(s.private, s.ratios)),
     "d11_smoothed_glr": lambda s: scored(D.smoothed(D.point_glr(s.private, s.ratios))),
     "d12_mixture_fit": lambda s: rounded(D.mixture(s.private, s.matrix, s.p0)),
@@ -150,6 +187,7 @@ SERIES: dict[str, Callable[[Series], DataFrame]] = {
     "e3_at_budget": lambda s: rounded(E.at_budget(quality_scores(s), ["lang"], 0.1)),
     "e4_recall_at_fpr": lambda s: rounded(E.recall_at_fpr(quality_scores(s), ["lang"])),
     "e5_events": lambda s: rounded(E.events(S.runs(s.faulty, F.col("label") == 1), S.runs(masked(s), F.col("mask") == 1))),
+    "e4_recall_by_sweep": lambda s: rounded(E.recall_by_sweep(quality_scores(s), ["lang"])),
     "e6_calibration": lambda s: rounded(E.calibration(quality_scores(s), ["lang"])),
     "b1_gate": lambda s: rounded(gated(s)),
     "b2_tagged_separation": lambda s: B.tagged(rounded(C.separation(s.matrix, s.alpha)), ["series_id"], "tv").select("series_id", "stuck_bucket", "tv", "rank", "tag"),
@@ -166,16 +204,21 @@ SERIES: dict[str, Callable[[Series], DataFrame]] = {
     "a31_pivot": lambda s: rounded(s.private.withColumn("third", (F.col("t") % 3).cast("string")).groupBy("series_id").pivot("third", ["0", "1", "2"]).agg(F.avg("y"))).selectExpr("series_id", "`0` as y0", "`1` as y1", "`2` as y2"),
     "b13_capped_strata": lambda s: B.capped_strata(s.raw, "series_id", "id", 10).select("series_id", "id"),
 }
-#: Row-by-row detectors have no SQL; tests hold them against plain recursions.
+#: Row-by-row detectors; tests hold them against plain recursions too.
+HMM = {"rate": SHARE, "length": float(SEGMENT)}
 SEQUENTIAL: dict[str, Callable[[Series], DataFrame]] = {
-    "d4_change_points": lambda s: rounded(hmm.change_points(s.clean, "v")),
-    "d14_stuck_hmm": lambda s: rounded(hmm.stuck(s.private, hmm.table(s.matrix))),
-    "d15_row_hmm": lambda s: rounded(hmm.stuck(s.private, hmm.table(s.matrix), per_row=True)),
-    "d16_range_hmm": lambda s: rounded(hmm.stuck(s.private, hmm.table(s.matrix), radius=2)),
-    "d17_learned_hmm": lambda s: rounded(hmm.learned(s.private, hmm.table(s.matrix))),
-    "d18_dropout_hmm": lambda s: rounded(hmm.dropout(s.with_faults("dropout").withColumn("obs", C.bucket(F.col("vf"))))),
-    "d19_raw_hmm": lambda s: rounded(hmm.stuck(s.faulty.withColumn("obs", C.bucket(F.col("vf"))), hmm.table(C.identity_matrix(s.spark, 1e-3)))),
-    "d20_wrong_epsilon_hmm": lambda s: rounded(hmm.stuck(s.private, hmm.table(C.piecewise_matrix(s.spark, EPSILON / 2)))),
+    "d4_change_points": lambda s: rounded(hmm.change_points(s.clean, D.train_moments(s.clean, "v", robust=False), "v")),
+    "d4_private_change_points": lambda s: rounded(hmm.change_points(s.centred, C.output_moments(s.matrix, s.alpha, EPSILON), "y")),
+    "d14_stuck_hmm": lambda s: rounded(stuck_scores(s)),
+    "d15_row_hmm": lambda s: rounded(hmm.stuck(s.private, hmm.table(s.matrix), s.p0, per_row=True, **HMM)),
+    "d16_range_hmm": lambda s: rounded(hmm.stuck(s.private, hmm.table(s.matrix), s.p0, radius=2, **HMM)),
+    "d17_learned_hmm": lambda s: rounded(hmm.learned(s.private, hmm.table(s.matrix), s.p0, **HMM)),
+    "d18_dropout_hmm": lambda s: rounded(hmm.dropout(s.with_faults("dropout").withColumn("obs", C.bucket(F.col("vf"))), **HMM)),
+    "d19_raw_hmm": lambda s: rounded(s.undisturbed()),
+    **{f"d20_wrong_epsilon_{name}": (lambda s, f=f: rounded(s.mistaken(f))) for name, f in (("half", 0.5), ("double", 2.0))},
+    "r2_repair_variants": lambda s: rounded(variants(s)),
+    "e7_diagnosis": lambda s: rounded(E.diagnosis(rounded(stuck_scores(s)).join(s.faulty.select("series_id", "t", "label"), ["series_id", "t"]), int((STUCK + 1.0) * C.D / 2))),
+    "st13_shortlist_hmm": lambda s: rounded(hmm.shortlist(s.private, hmm.table(s.matrix), s.p0, **HMM)),
 }
 
 QUERIES: dict[str, Query] = {key: (lambda spark, d, build=build: build(Series(spark, d))) for key, build in {**SERIES, **SEQUENTIAL}.items()} | {"s25_html_links": html_links}

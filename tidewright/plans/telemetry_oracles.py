@@ -114,7 +114,10 @@ WORKFLOW = {
     "event_uncertainty": "SELECT device_id, hour_id::BIGINT AS hour_id, e.flagged_reports, round(e.avg_posterior, 9) AS avg_posterior, round(h.cleaned_mean, 9) AS cleaned_mean, round(h.uncertainty_proxy, 9) AS uncertainty_proxy FROM e JOIN h USING (device_id, hour_id) WHERE e.flagged_reports >= 3 ORDER BY e.flagged_reports DESC, round(e.avg_posterior, 9) DESC, device_id, hour_id LIMIT 100",
     "dashboard": f"SELECT CASE WHEN s.remaining_budget < {BANDS[0]} THEN 'near_cap' WHEN s.remaining_budget < {BANDS[1]} THEN 'low' ELSE 'ok' END AS budget_band, count(DISTINCT device_id) AS devices, count(*) AS hourly_groups, sum(coalesce(e.flagged_reports, 0))::BIGINT AS flagged_reports, round(avg(h.cleaned_mean), 9) AS avg_cleaned_mean, round(avg(h.uncertainty_proxy), 9) AS avg_uncertainty FROM h JOIN s USING (device_id) LEFT JOIN e USING (device_id, hour_id) GROUP BY 1",
     "manifest": "SELECT * EXCLUDE (latest), coalesce(greatest(-1, max(latest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), -1)::INTEGER AS watermark_before, greatest(-1, max(latest) OVER (ORDER BY batch_id ROWS UNBOUNDED PRECEDING))::INTEGER AS watermark_after FROM m",
-    "checks": "SELECT name, 0::BIGINT AS observed, 0::BIGINT AS expected, 'pass' AS status FROM (VALUES ('unique_report_ids'), ('cleaning_without_report'), ('devices_over_cap'), ('replay_inserts'), ('correction_lineage'), ('undecided_events')) AS v(name)",
+    "checks": f"""SELECT name, observed::BIGINT AS observed, 0::BIGINT AS expected, CASE WHEN observed = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
+  SELECT 'unique_report_ids' AS name, count(*) FILTER (n > 1) AS observed FROM (SELECT report_id, count(*) AS n FROM f GROUP BY 1) UNION ALL SELECT 'cleaning_without_report', count(*) FROM c WHERE report_id NOT IN (SELECT report_id FROM f)
+  UNION ALL SELECT 'devices_over_cap', count(*) FROM (SELECT device_id FROM d WHERE status = 'accepted' AND correction_version = 0 GROUP BY 1 HAVING sum(epsilon) > {CAP}) UNION ALL SELECT 'replay_inserts', count(*) FROM d WHERE batch_kind LIKE 'replay%' AND status = 'accepted'
+  UNION ALL SELECT 'correction_lineage', count(*) FROM f WHERE correction_version > 0 AND NOT starts_with(source_event_id, 'corr-') UNION ALL SELECT 'undecided_events', count(*) FROM d WHERE status IS NULL)""",
 }
 READERS = {
     "range_count": "SELECT device_id, count(*) AS reports, round(avg(report_bucket), 9) AS avg_bucket FROM r WHERE ts BETWEEN 100 AND 400 GROUP BY 1",

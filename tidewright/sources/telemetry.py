@@ -23,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reports(events: DataFrame) -> DataFrame:
-    """A report for each event: the device is the user, ts whole hours since 2024-01-01, value the bucket."""
+def reports(events: DataFrame, *more: str) -> DataFrame:
+    """A report for each event: the device is the user, ts whole hours since 2024-01-01, value the bucket. The event's
+    columns named in `more` come along."""
     epsilon = F.element_at(F.array(*map(F.lit, EPSILONS)), ((F.col("user_id") + F.col("event_id")) % 3 + 1).cast("int"))
     return events.select(
         F.col("event_id").alias("report_id"),
@@ -34,6 +35,7 @@ def reports(events: DataFrame) -> DataFrame:
         epsilon.alias("epsilon"),
         F.lit(MECHANISM).alias("mechanism_id"),
         F.lit(CALIBRATION).alias("calibration_version"),
+        *more,
     )
 
 

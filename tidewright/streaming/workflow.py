@@ -1,8 +1,9 @@
 """The micro-batch workflow: replays, late corrections and the privacy-budget guard.
 
-Each batch is decided against what the batches before it left behind, and its decisions are one table: accepted,
-rejected, duplicate or correction, for every event of the batch. All state (reports, budgets, manifest, rejected
-events) is a query over these tables. As a batch overwrites its own table, a batch that runs again changes nothing.
+Each batch is decided against two state tables, what is known of each report and what each device has spent, and its
+decisions are one table: accepted, rejected, duplicate or correction, for every event of the batch. Known reports are
+narrow rows of all earlier decisions, of which only those of the batch's reports are looked at; spending has a row for
+each device and is written anew. As a batch overwrites its own tables, a batch that runs again changes nothing.
 """
 
 from __future__ import annotations
@@ -19,36 +20,55 @@ from tidewright.operators import relations
 CAP = 60.0
 
 
-def decide(batch: DataFrame, before: DataFrame | None, watermark: int, cap: float) -> DataFrame:
+def decide(batch: DataFrame, known: DataFrame | None, spent: DataFrame | None, watermark: int, cap: float) -> DataFrame:
     """Adds late_event, status and projected_epsilon_sum to the events of one batch.
 
-    An event whose report is known with the same or a higher version is a duplicate, with a lower one a
-    correction. The others are candidates: along ts and report_id, what a device has spent and all candidates so
-    far, rejected ones too, must stay within the cap. Late events are marked, never dropped.
+    known: report_id, correction_version of what was accepted or corrected before, repeated ids allowed; spent:
+    device_id, spent. Of events with one report_id in the batch only that of the highest version counts (of equal
+    versions the one with the smallest ts and source_event_id), the others are duplicates. An event whose report is
+    known with the same or a higher version is a duplicate, with a lower one a correction. The others are candidates:
+    along ts and report_id, what a device has spent and all candidates so far, rejected ones too, must stay within the
+    cap. Late events are marked, never dropped.
     """
-    rows = batch.withColumn("late_event", (F.col("ts") < watermark).cast("int"))
-    if before is None:
-        rows = rows.withColumn("known", F.lit(None).cast("int")).withColumn("spent", F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("correction_version"), "ts", "source_event_id"))
+    rows = batch.withColumn("late_event", (F.col("ts") < watermark).cast("int")).withColumn("_first", place == 1)
+    if known is None:
+        rows = rows.withColumn("_known", F.lit(None).cast("int"))
     else:
-        kept = before.where(F.col("status").isin("accepted", "correction"))
-        known = kept.groupBy("report_id").agg(F.max("correction_version").alias("known"))
-        spent = before.where("status = 'accepted' and correction_version = 0").groupBy("device_id").agg(F.sum("epsilon").alias("spent"))
-        rows = rows.join(known, "report_id", "left").join(spent, "device_id", "left").fillna(0.0, ["spent"])
-    candidate = F.col("known").isNull()
-    order = Window.partitionBy("device_id").orderBy("ts", "report_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("projected_epsilon_sum", F.when(candidate, F.col("spent") + F.sum(F.when(candidate, F.col("epsilon"))).over(order)))
-    status = F.when(F.col("known") >= F.col("correction_version"), "duplicate").when(~candidate, "correction").when(F.col("projected_epsilon_sum") > cap, "rejected").otherwise("accepted")
-    return rows.withColumn("status", status).drop("known", "spent")
+        own = known.join(batch.select("report_id").distinct(), "report_id", "left_semi")
+        rows = rows.join(own.groupBy("report_id").agg(F.max("correction_version").alias("_known")), "report_id", "left")
+    if spent is None:
+        rows = rows.withColumn("_spent", F.lit(0.0))
+    else:
+        rows = rows.join(spent.select("device_id", F.col("spent").alias("_spent")), "device_id", "left").fillna(0.0, ["_spent"])
+    candidate = F.col("_known").isNull() & F.col("_first")
+    rows = rows.withColumn("_asked", F.when(candidate, F.col("epsilon")).otherwise(F.lit(0.0)))
+    rows = relations.running_sum(rows, "device_id", relations.hour(), ["ts", "report_id"], "_asked", "_sum")
+    rows = rows.withColumn("projected_epsilon_sum", F.when(candidate, F.col("_spent") + F.col("_sum")))
+    duplicate = ~F.col("_first") | (F.col("_known") >= F.col("correction_version"))
+    status = F.when(duplicate, "duplicate").when(~candidate, "correction").when(F.col("projected_epsilon_sum") > cap, "rejected").otherwise("accepted")
+    return rows.withColumn("status", status).drop("_known", "_spent", "_first", "_asked", "_sum")
+
+
+def known_of(decisions: DataFrame) -> DataFrame:
+    return decisions.where(F.col("status").isin("accepted", "correction")).select("report_id", "correction_version")
+
+
+def spending(decisions: DataFrame, spent: DataFrame | None) -> DataFrame:
+    """What each device has spent, with one batch's decisions added."""
+    new = decisions.where("status = 'accepted' and correction_version = 0").groupBy("device_id").agg(F.sum("epsilon").alias("spent"))
+    return new if spent is None else relations.upsert(spent, new, ["device_id"], ["spent"])
 
 
 def run(batches: DataFrame, cap: float = CAP) -> DataFrame:
     """The decisions on all batches, in the order of batch_id."""
     batches = stage.table(batches, "batches")
     tables: list[DataFrame] = []
-    watermark = -1
+    spent, watermark = None, -1
     for number, latest in batches.groupBy("batch_id").agg(F.max("ts")).orderBy("batch_id").collect():
-        before = reduce(DataFrame.unionByName, tables) if tables else None
-        tables.append(stage.table(decide(batches.where(F.col("batch_id") == number), before, watermark, cap), "decisions"))
+        known = reduce(DataFrame.unionByName, map(known_of, tables)) if tables else None
+        tables.append(stage.table(decide(batches.where(F.col("batch_id") == number), known, spent, watermark, cap), "decisions"))
+        spent = stage.table(spending(tables[-1], spent), "spent")
         watermark = max(watermark, latest)
     return reduce(DataFrame.unionByName, tables)
 
@@ -56,17 +76,22 @@ def run(batches: DataFrame, cap: float = CAP) -> DataFrame:
 def stream(spark: SparkSession, source: str, schema: str, folder: str, cap: float = CAP):
     """The same over a stream of Parquet files, one batch for each file in the order of their times.
 
-    Decisions of epoch n go to folder/decisions/n, which a repeated epoch overwrites; returns the running query.
+    Decisions of epoch n go to folder/decisions/n, spending after it to folder/spent/n and the watermark to
+    folder/watermark/n, which a repeated epoch overwrites; returns the running query.
     """
 
     def process(batch: DataFrame, epoch: int) -> None:
         own = batch.sparkSession
-        before, watermark = None, -1
+        known = spent = None
+        watermark = -1
         if epoch:
-            before = own.read.parquet(*[f"{folder}/decisions/{n}" for n in range(epoch)])
-            watermark = before.agg(F.max("ts")).first()[0]
-            watermark = -1 if watermark is None else watermark
-        decide(batch, before, watermark, cap).write.mode("overwrite").parquet(f"{folder}/decisions/{epoch}")
+            known = known_of(own.read.parquet(*[f"{folder}/decisions/{n}" for n in range(epoch)]))
+            spent = own.read.parquet(f"{folder}/spent/{epoch - 1}")
+            watermark = own.read.parquet(f"{folder}/watermark/{epoch - 1}").first()[0]
+        decide(batch, known, spent, watermark, cap).write.mode("overwrite").parquet(f"{folder}/decisions/{epoch}")
+        decided = own.read.parquet(f"{folder}/decisions/{epoch}")
+        spending(decided, spent).write.mode("overwrite").parquet(f"{folder}/spent/{epoch}")
+        decided.agg(F.greatest(F.max("ts"), F.lit(watermark)).alias("watermark")).write.mode("overwrite").parquet(f"{folder}/watermark/{epoch}")
 
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     return events.writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
