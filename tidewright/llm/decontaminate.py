@@ -1,41 +1,42 @@
 """Benchmark decontamination: passages within an edit distance of benchmark items.
 
-Windows as long as an item are embedded by random walks (Chakraborty, Goldenberg and Koucky): a walk reads a
-symbol, writes it, and moves on or stays by a random bit of symbol and step, so texts of small edit distance
-become texts of small Hamming distance. Keys made of a few sampled places of the walk, repeated with new walks
-until the target recall is reached, propose items; the edit distance then decides, exactly. Before that, windows
-are left out that can't match: with k edits, all but 2k of an item's word pairs remain.
-
-A walk reads the head of an item more than its tail, so edits in a bunch can hide an item from all walks. Each item
-is therefore also cut into one piece more than the edits allowed: one piece at least is left as it is, wherever the
-edits are, so places that hold a piece propose every passage that matches.
+Windows as long as an item are embedded by random walks (Chakraborty, Goldenberg and Koucky): a walk reads a symbol,
+writes it, and moves on or stays by a random bit of symbol and step, so texts of small edit distance become texts of
+small Hamming distance. Half of the walks go from the window's first word on, half from its last one back, so edits in
+a bunch at either end leave the walks from the other end alone; half take as many steps as the window has words and see
+one half of it, the others take twice as many. Keys made of a few sampled places of a walk propose items, with as many
+walks as reach the target recall whether the edits allowed are spread or bunched; the edit distance then decides,
+exactly. Before that, windows are left out that can't match: with k edits, all but 2k of an item's word pairs remain.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .rolling import GRAM, Words
+from .rolling import GRAM, Words, mix
 
 ROWS = "doc_id long, item_id long, edits int, first_word int, last_word int"
 #: ASCII letters count as lower-case, other ASCII signs part words.
 FOLD = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 FOLD[65:91] += 32
 SIMILARITY, RECALL, SAMPLED = 0.8, 0.99, 3
-#: Walks by which the number of repetitions is found.
-TRIALS = 32
-#: Words of a piece at most, and pairs of places and items looked at together.
-PIECE, PAIRED = 4, 1 << 20
-#: Bytes of benchmark text that a task holds at a time; a larger benchmark is searched in blocks.
+#: Walks by which the number of repetitions is found, edited items for each kind and place of edits, and walks at most.
+TRIALS, EDITED, MOST = 64, 40, 1024
+#: Windows whose walks are held at a time.
+HELD = 256
+#: Bytes of benchmark text that are searched for at a time: its words, 8 bytes each, are broadcast, and a task keeps
+#: about 700 bytes for each item. A larger benchmark takes several passes.
 BLOCK = 16 << 20
 
 
@@ -44,66 +45,95 @@ def allowed(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def class_of(n: int) -> int:
-    """Items are searched by windows of the power of two at or below their size."""
-    return 1 << (n.bit_length() - 1)
-
-
-def pieces_of(n: int, edits: int) -> tuple[int, range]:
-    """Words of a piece, and where the pieces of an item of n words begin; they are more than the edits."""
-    step = max(1, n // (edits + 1))
-    return min(step, PIECE), range(0, min(n, step * (edits + 1)), step)
-
-
 class Walks:
-    """Repeated walks over windows of `size` symbols, with the places of each that make a key.
-
-    A walk of `size` steps never leaves the window, and it is the same for every item that begins with it.
-    """
+    """Repeated walks over windows of any size, with the sampled places of each that make a key."""
+
+    def __init__(self, repetitions: int, longest: int):
+        rng = np.random.default_rng(7)
+        # drawn walk by walk, so that a few of many walks are the same as few
+        draws = [(rng.integers(0, 1 << 63, 2 * 4096, dtype=np.uint64) | np.uint64(1), rng.random(SAMPLED)) for _ in range(repetitions)]
+        self.seeds = np.stack([d[0][: 2 * longest] for d in draws], axis=1)  # steps x walks
+        self.shares = np.stack([d[1] for d in draws])
+        r = np.arange(repetitions)
+        self.back, self.long = r % 2 == 1, r // 2 % 2 == 1
+
+    def keys(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Walks x windows: the key of each window, which has at most `sizes` words and none at or after `ends`.
+
+        The size and the walk are part of the key, so that all keys can be looked up together.
+        """
+        out = np.zeros((len(self.back), len(starts)), np.uint64)
+        for at in range(0, len(starts), HELD):
+            part = slice(at, at + HELD)
+            out[:, part] = self.some(symbols, starts[part], np.minimum(sizes[part], ends[part] - starts[part]), sizes[part])
+        return out
 
-    def __init__(self, size: int, repetitions: int):
-        rng = np.random.default_rng(size)
-        self.size = size
-        self.seeds = rng.integers(0, 1 << 63, (repetitions, size), dtype=np.uint64) | np.uint64(1)
-        self.places = [set(rng.choice(size, min(SAMPLED, size), replace=False).tolist()) for _ in range(repetitions)]
-
-    def keys(self, symbols: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        """The key of the window from each start on."""
-        at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-        for j in range(max(self.places[r]) + 1):
-            symbol = symbols[at]
-            if j in self.places[r]:
-                key = (key ^ symbol) * np.uint64(GRAM)
-                key ^= key >> np.uint64(29)
-            at += ((symbol * self.seeds[r, j]) >> np.uint64(63)).view(np.int64)
+    def some(self, symbols: np.ndarray, starts: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        back = self.back[:, None]
+        steps = 2 * int(sizes.max())
+        base, sign = np.where(back, starts + words - 1, starts), np.where(back, -1, 1)
+        gone, written = np.zeros(base.shape, np.int64), np.zeros((steps, *base.shape), np.uint64)
+        for j in range(steps):
+            inside = gone < words
+            symbol = np.where(inside, symbols[np.where(inside, base + sign * gone, 0)], np.uint64(0))
+            written[j] = symbol
+            gone += ((symbol * self.seeds[j][:, None]) >> np.uint64(63)).view(np.int64) | ~inside
+        span = np.where(self.long[:, None], 2 * sizes, sizes)
+        key = np.arange(len(self.back), dtype=np.uint64)[:, None] * np.uint64(GRAM) + sizes.astype(np.uint64)
+        for share in self.shares.T:
+            place = (share[:, None] * span).astype(np.int64)
+            key = mix((key ^ np.take_along_axis(written, place[None], axis=0)[0]) * np.uint64(GRAM))
         return key
 
 
-def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> dict[int, int]:
-    """For each window size, walks that find an item with all edits allowed, in random places, as often as asked."""
-    rng, out = np.random.default_rng(7), {}
-    for size in sorted({class_of(len(w)) for w in items}):
-        own = [w for w in items if class_of(len(w)) == size]
-        tried, edited = [], []
-        for k in range(max(100, min(len(own), 1000))):
-            item = own[k % len(own)]
-            text = item.tolist()
-            for _ in range(allowed(len(item), similarity)):
-                i, kind = int(rng.integers(0, len(text))), rng.integers(0, 3)
-                if kind == 0:
-                    text[i] = int(rng.integers(1, 1 << 62))
-                elif kind == 1:
-                    text.insert(i, int(rng.integers(1, 1 << 62)))
-                elif len(text) > 1:
-                    del text[i]
-            tried.append(item[:size])
-            edited.append(np.array((text + [1] * size)[:size], np.uint64))
-        starts, walks = np.arange(len(tried)) * size, Walks(size, TRIALS)
-        a, b = np.concatenate(tried), np.concatenate(edited)
-        hits = sum((walks.keys(a, starts, r) == walks.keys(b, starts, r)).astype(float) for r in range(TRIALS))
-        missed = 1 - (hits + 0.5) / (TRIALS + 1)  # by one walk; some edits are harder than others
-        out[size] = next(n for n in range(1, 1000) if (missed**n).mean() <= 1 - recall or n == 999)
-    return out
+def edited(items: list[np.ndarray], similarity: float, seed: int = 7) -> Iterator[list[np.ndarray]]:
+    """For each kind and place of edits, items with all edits allowed: other, missing or more words at the head, at the
+    tail, in the middle or anywhere."""
+    rng = np.random.default_rng(seed)
+    for place in ("head", "tail", "middle", "spread"):
+        for kind in range(3):
+            out = []
+            for k in range(EDITED):
+                text = items[k * len(items) // EDITED].tolist()
+                n, edits = len(text), allowed(len(text), similarity)
+                first = {"head": 0, "tail": n - edits, "middle": (n - edits) // 2, "spread": 0}[place]
+                at = rng.choice(n, edits, replace=False) if place == "spread" else range(first, first + edits)
+                for i in sorted(at, reverse=True):
+                    text[i : i + (kind != 2)] = [] if kind == 1 else [int(rng.integers(1, 1 << 62))]
+                out.append(np.array(text, np.uint64))
+            yield out
+
+
+def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> int:
+    """Walks that find items, on average over each kind and place of edits, as often as asked."""
+    items = sorted((w for w in items if allowed(len(w), similarity)), key=len)
+    if not items:
+        return 2
+    rng, walks, needed = np.random.default_rng(8), Walks(TRIALS, max(map(len, items))), 2
+    own = [items[k * len(items) // EDITED] for k in range(EDITED)]
+    begins = np.cumsum([0, *map(len, own)])
+    sizes = np.diff(begins)
+    want = walks.keys(np.concatenate(own), begins[:-1], begins[1:], sizes)
+    for texts in edited(items, similarity):
+        symbols, starts, item, at = [], [], [], 0
+        for k, text in enumerate(texts):  # among other words, from all starts that can be right
+            edits = allowed(len(own[k]), similarity)
+            symbols += [rng.integers(1, 1 << 62, 2 * edits, dtype=np.uint64), text, rng.integers(1, 1 << 62, 3 * edits, dtype=np.uint64)]
+            starts.append(at + np.arange(edits, 3 * edits + 1))
+            item.append(np.full(2 * edits + 1, k))
+            at += len(text) + 5 * edits
+        starts, item = np.concatenate(starts), np.concatenate(item)
+        same = walks.keys(np.concatenate(symbols), starts, np.full(len(starts), at), sizes[item]) == want[:, item]
+        hits = np.zeros((TRIALS, EDITED))
+        np.maximum.at(hits, (slice(None), item), same)
+        missed = 1 - (hits.sum(axis=0) + 0.5) / (TRIALS + 1)  # by one walk; some edits are harder than others
+        n = 2
+        while (missed**n).mean() > 1 - recall:
+            n += 2
+            if n > MOST:
+                raise ValueError(f"{MOST} walks don't reach a recall of {recall}")
+        needed = max(needed, n)
+    return needed
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -127,106 +157,73 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Index:
-    """The items of one block of a benchmark."""
-
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float):
-        words = Words(pa.array([t.encode() for _, t in items], pa.binary()), FOLD)
-        cut = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.items = [(i, w, w.tolist()) for (i, _), w in zip(items, cut, strict=True) if len(w)]
-        self.similarity = similarity
-        self.pairs = np.unique(words.windows(2, GRAM)[words.whole(2)]) if len(words.hash) > 1 else np.zeros(0, np.uint64)
+    """The items of one block of a benchmark: their words in one array, and the keys of their walks in order."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, begins: np.ndarray, similarity: float, walks: int):
+        self.ids, self.words, self.begins, self.similarity = ids, words, begins, similarity
+        self.sizes = np.diff(begins)
+        self.edits = np.array([allowed(n, similarity) for n in self.sizes.tolist()], np.int64)
+        inside = np.ones(max(0, len(words) - 1), bool)
+        inside[begins[1:-1] - 1] = False
+        # each pair of words once, with a bit for each size of the items that have it
+        self.by_size = {n: np.uint64(k % 64) for k, n in enumerate(np.unique(self.sizes).tolist())}
+        pairs = pairs_of(words)[inside]
+        bits = np.uint64(1) << np.repeat([self.by_size[n] for n in self.sizes.tolist()], self.sizes)[:-1][inside].astype(np.uint64)
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, first = np.unique(pairs[order], return_index=True)
+        self.of_sizes = np.bitwise_or.reduceat(bits[order], first) if len(first) else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for k, (_, w, _) in enumerate(self.items):
-            self.by_size[class_of(len(w))].append(k)
-        times = repetitions([w for _, w, _ in self.items], similarity, recall)
-        self.walks = {n: Walks(n, times[n]) for n in self.by_size}
-        self.needed = {n: min(max(0, len(self.items[k][1]) - 1 - 2 * allowed(len(self.items[k][1]), similarity)) for k in own) for n, own in self.by_size.items()}
-        self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
-        for n, own in self.by_size.items():
-            symbols = np.concatenate([self.items[k][1][:n] for k in own])
-            for r in range(len(self.walks[n].places)):
-                keys = self.keys[n, r] = defaultdict(list)
-                for k, key in zip(own, self.walks[n].keys(symbols, np.arange(len(own)) * n, r).tolist(), strict=True):
-                    keys[key].append(k)
-        self.sizes = np.array([len(w) for _, w, _ in self.items], np.int64)
-        self.edits = np.array([allowed(len(w), similarity) for _, w, _ in self.items], np.int64)
-        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by words: keys in order, items, places in them
-        cuts = defaultdict(list)
-        begins = words.first[:-1][np.diff(words.first) > 0].tolist()
-        for k, (n, edits) in enumerate(zip(self.sizes.tolist(), self.edits.tolist(), strict=True)):
-            size, places = pieces_of(n, edits)
-            cuts[size] += [(begins[k] + at, k, at) for at in places]
-        for size, own in cuts.items():
-            at, k, place = np.array(own, np.int64).T
-            keys = words.windows(size, GRAM)[at]
-            order = np.argsort(keys, kind="stable")
-            self.pieces[size] = keys[order], k[order], place[order]
-
-    def by_pieces(self, words: Words, known: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Document, item and expected first word where a piece of an item stands among enough of its pairs."""
-        for size, (keys, items, places) in self.pieces.items():
-            at = words.whole(size)
-            for j in range(size - 1):
-                at = at[known[at + j]]
-            if not len(at):
-                continue
-            own = words.windows(size, GRAM)[at]
-            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            at, low, high = (x[high > low] for x in (at, low, high))
-            cut = np.flatnonzero(np.diff(np.cumsum(high - low) // PAIRED)) + 1
-            for p, a, b in zip(np.split(at, cut), np.split(low, cut), np.split(high, cut), strict=True):
-                n = b - a
-                which = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                k, p = items[which], np.repeat(p, n)
-                start, doc = p - places[which], words.doc[p]
-                first = np.maximum(words.first[doc], start - self.edits[k])
-                last = np.minimum(words.first[doc + 1], start + self.sizes[k] + self.edits[k])
-                left = count[np.maximum(last - 1, first)] - count[first] >= self.sizes[k] - 1 - 2 * self.edits[k]
-                yield from zip(doc[left].tolist(), k[left].tolist(), start[left].tolist(), strict=True)
+        self.walks = Walks(walks, int(self.sizes.max()))
+        keys = self.walks.keys(words, begins[:-1], begins[1:], self.sizes).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], (order % len(ids)).astype(np.int32)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """text, item, edits, first word, end: the best passage for each item within the similarity."""
         words = Words(texts, FOLD)
         n_words = len(words.hash)
-        if not n_words or not self.items:
+        if not n_words:
             return []
-        pairs = words.windows(2, GRAM)
+        pairs = pairs_of(words.hash)
         known = np.zeros(n_words, bool)
         near = np.flatnonzero(self.table[(pairs >> np.uint64(44)).astype(np.int64)])
         near = near[words.doc[near] == words.doc[near + 1]]
         at = np.minimum(np.searchsorted(self.pairs, pairs[near]), max(0, len(self.pairs) - 1))
-        known[near[self.pairs[at] == pairs[near]] if len(self.pairs) else near[:0]] = True
+        right = self.pairs[at] == pairs[near] if len(self.pairs) else np.zeros(len(near), bool)
+        near, of_sizes = near[right], self.of_sizes[at[right]]
+        known[near] = True
         count = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
-        symbols = np.concatenate([words.hash, np.zeros(max(self.by_size), np.uint64)])
         ends = words.first[1:][words.doc]  # of each word's document
-        proposed: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for n, walks in self.walks.items():
-            # the pairs left of the smallest item, within the span of the largest one
-            most = max(len(self.items[k][1]) for k in self.by_size[n])
-            span = most + allowed(most, self.similarity)
-            inside = np.concatenate([count[span:], np.full(min(span, len(count)), count[-1], np.int32)])[: len(count)] - count
-            starts = np.flatnonzero(inside[:n_words] >= self.needed[n])
-            starts = starts[ends[starts] - starts >= n - allowed(most, self.similarity)]
-            if not len(starts):
-                continue
-            for r in range(len(walks.places)):
-                keys, own = walks.keys(symbols, starts, r), self.keys[n, r]
-                for place in np.flatnonzero(np.isin(keys, np.fromiter(own, np.uint64, len(own)))).tolist():
-                    for item in own[int(keys[place])]:
-                        proposed[int(words.doc[starts[place]]), item].append(int(starts[place]))
-        for doc, item, start in self.by_pieces(words, known, count):
-            proposed[doc, item].append(start)
+        starts, sizes = [], []
+        for n, bit in self.by_size.items():
+            # with all edits, a window of the item's size keeps all pairs but two for each edit, or is k words off
+            k = allowed(n, self.similarity)
+            inside = np.concatenate([count[n + k :], np.full(min(n + k, len(count)), count[-1], np.int32)])[:n_words] - count[:n_words]
+            own = np.flatnonzero(inside >= n - 1 - 2 * k)
+            own = own[ends[own] - own >= n - k]
+            places = near[(of_sizes >> bit & np.uint64(1)).astype(bool)]
+            own = own[np.searchsorted(places, own + n + k) - np.searchsorted(places, own) >= n - 1 - 2 * k]
+            starts.append(own)
+            sizes.append(np.full(len(own), n))
+        starts, sizes = np.concatenate(starts), np.concatenate(sizes)
+        proposed: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for at in range(0, len(starts), 1 << 14):
+            own, n = starts[at : at + (1 << 14)], sizes[at : at + (1 << 14)]
+            found = self.walks.keys(words.hash, own, ends[own], n)
+            low, high = np.searchsorted(self.keys, found, "left"), np.searchsorted(self.keys, found, "right")
+            for r, w in zip(*np.nonzero(high > low), strict=True):
+                for item in self.owner[low[r, w] : high[r, w]].tolist():
+                    proposed[int(words.doc[own[w]]), item].add(int(own[w]))
         out = []
         for (doc, item), places in proposed.items():
-            out += self.verify(words, doc, item, sorted(set(places)))
+            out += self.verify(words, doc, item, sorted(places))
         return out
 
     def verify(self, words: Words, doc: int, item: int, places: list[int]) -> list[tuple[int, int, int, int, int]]:
         first, last = int(words.first[doc]), int(words.first[doc + 1])
-        item_id, _, own = self.items[item]
-        n, k = len(own), allowed(len(own), self.similarity)
+        item_id, own = int(self.ids[item]), self.words[self.begins[item] : self.begins[item + 1]].tolist()
+        n, k = len(own), int(self.edits[item])
         best: tuple | None = None
         begin, end = places[0], places[0]
         for p in [*places[1:], None]:
@@ -244,14 +241,45 @@ class Index:
         return [best] if best else []
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of BLOCK bytes of text or so."""
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one."""
+    return mix(words[:-1] * np.uint64(GRAM) + words[1:])
+
+
+def parsed(items: list[tuple[int, str]], similarity: float, recall: float) -> tuple | None:
+    """Ids, words, bounds, similarity and number of walks of an index; none if no item has words."""
+    words = Words(pa.array([t.encode() for _, t in items], pa.binary()), FOLD)
+    sizes = np.diff(words.first)
+    if not sizes.any():
+        return None
+    ids, sizes = np.array([i for i, _ in items], np.int64)[sizes > 0], sizes[sizes > 0]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    return ids, words.hash, begins, similarity, repetitions(np.split(words.hash, begins[1:-1]), similarity, recall)
+
+
+_indexes: dict[str, Index] = {}
+common.CACHES.append(_indexes.clear)
+
+
+def _index(own: Broadcast) -> Index:
+    """One for each broadcast block and Python worker."""
+    name, parts = own.value
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(*parts)
+    return _indexes[name]
+
+
+def _blocks(benchmark: DataFrame, similarity: float, recall: float) -> Iterator[Broadcast]:
+    """The items in blocks of BLOCK bytes of text or so; the walks' calibration is that of each block."""
     items = benchmark.select(common.long_id(benchmark, "item_id").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / (BLOCK // 2)))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield sorted(map(tuple, part.collect()))
+        own = parsed(sorted(map(tuple, part.collect())), similarity, recall)
+        if own:
+            yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, own))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -264,35 +292,32 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """
     rows = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8(docs["text"]).alias("text"))
 
-    def searched(own: list[tuple[int, str]]) -> DataFrame:
-        index = Index(own, similarity, recall)
-
+    def searched(own: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common.begin("decontamination")
-            for batch in common.chunks(batches, "text", 2 << 20):
+            for batch in common.chunks(batches, "text"):
                 ids = batch.column(0).to_pylist()
-                found = index.search(batch.column(1))
+                found = _index(own).search(batch.column(1))
                 yield common.batch_of(ROWS, list(zip(*[(ids[d], *x) for d, *x in found], strict=True)) or [[]] * 5)
 
         return rows.mapInArrow(run, ROWS)
 
-    return reduce(DataFrame.union, map(searched, _blocks(benchmark)))
+    nothing = rows.where("false").select("doc_id", F.col("doc_id").alias("item_id"), *[F.lit(0).alias(c) for c in ("edits", "first_word", "last_word")])
+    return reduce(DataFrame.union, map(searched, _blocks(benchmark, similarity, recall)), nothing)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of docs in which find() has nothing, with all their columns; nothing is shuffled."""
 
-    def without(left: DataFrame, own: list[tuple[int, str]]) -> DataFrame:
-        index = Index(own, similarity, recall)
-
+    def without(left: DataFrame, own: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common.begin("decontamination")
-            for batch in common.chunks(batches, "text", 2 << 20):
+            for batch in common.chunks(batches, "text"):
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).fill_null(b"")
                 clean = np.ones(batch.num_rows, bool)
-                clean[[x[0] for x in index.search(texts)]] = False
+                clean[[x[0] for x in _index(own).search(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
         return left.mapInArrow(run, left.schema)
 
-    return reduce(without, _blocks(benchmark), docs)
+    return reduce(without, _blocks(benchmark, similarity, recall), docs)
