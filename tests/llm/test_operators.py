@@ -236,6 +236,28 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.where("false"), common.new_folder(spark, "w"))).count() == 0
 
 
+def test_warc_query_gives_every_page(spark, tmp_path):
+    """The registered query against payloads hashed here, one of them of several MB."""
+    from tidewright.llm.queries import QUERIES
+
+    data = [(k, f"http://a/{k}", t) for k, t in enumerate(["<p>é</p>", "<p>é</p>", None, "", "z" * 5_000_000, "<p>é</p>", "z", "z" * 5_000_000, words(1, 50)])] + [(None, "http://n", "only")]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    owner = {}
+    for i, _, h in data:
+        owner[h or ""] = max(owner.get(h or "", -1), -1 if i is None else i)
+    want = set()
+    for i, _, h in data:
+        raw, first = (h or "").encode(), (-1 if i is None else i) == owner[h or ""]
+        want.add((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else owner[h or ""]))
+    for most in (500_000, 0):
+        warc.SMALL, kept = most, warc.SMALL
+        try:
+            got = QUERIES["op1_warc"](spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        finally:
+            warc.SMALL = kept
+        assert len(got) == len(data) and set(map(tuple, got)) == want
+
+
 def plain_counts(text):
     found = WORD.findall(text or "")
     grams = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
@@ -333,6 +355,23 @@ def test_url_filter(spark):
     assert got[7] == got[8] == got[9] == ("", "", None, "allow") and got[10][:2] == ("b:", "//org/es/") and got[11][3] == "block" and got[12][1] == ""
 
 
+def test_url_filter_edges(spark):
+    rules, spam = tuple(url_filter.Rule.of_site(v, s) for v, s in url_filter.SITES), tuple(url_filter.Rule(g, "block", g) for g in url_filter.SPAM)
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "h"), (1, "http://a.com/en/x", "h"), (None, "http://a.com/" + "y" * 20_000, None), (2, "http://x.org/a?b/en/", "h")], "page_id long, url string, html string")
+    pages = pages.withColumns({"host": F.lit("mine"), "path": F.lit(1), "rule": F.lit(True), "verdict": F.lit("x")})
+    got = sorted(((r.page_id, len(r.path), r.rule, r.verdict) for r in url_filter.judge(pages, rules, spam).collect()), key=str)
+    assert got == sorted([(1, 5, "com/en/", "block"), (1, 5, "com/en/", "block"), (None, 20_001, None, "allow"), (2, 2, None, "allow")], key=str)
+    assert url_filter.judge(pages.where("false"), rules, spam).count() == 0
+    assert url_filter.judge(pages, (), ()).select("verdict").distinct().collect() == [("allow",)]
+
+
+def test_url_automaton_with_thousands_of_globs():
+    globs = [f"*.{w}-{i}.*" if i % 2 else f"*/{w}/{i}/*" for i, w in enumerate(words(60, 3000).split())]
+    texts = [f".www.{g.strip('*.')}.org/x" if k % 2 else f".a.org/x{g[1:-1]}y" for k, g in enumerate(globs) if k % 50 < 2] + [".none.org/"]
+    found = url_filter.Automaton(globs).match([t.encode() for t in texts])
+    assert found.sum() == 120 and all(found[n, k] for n, k in enumerate(k for k in range(3000) if k % 50 < 2)) and not found[-1].any()
+
+
 def test_url_rules_keep_to_host_and_path(spark):
     sites = (*url_filter.SITES, ("block", "whole.info"))
     hosts = ["foo.org", "archive.example.org", "com", "a.com", "example.com", "xexample.com", "com.evil.org", "x.net", "example.net", "org", "é.com", "whole.info", "a.whole.info", "whole.info.biz"]
@@ -469,10 +508,36 @@ def test_site_rates_by_hand(spark):
     for (site, _), own in votes.items():
         for v in own:
             assert abs(got[n].site_rate - rate[site]) < 1e-9
-            assert abs(got[n].path_rate - (sum(own) - v + below * rate[site]) / (len(own) - 1 + below)) < 1e-9
+            path_rate = (sum(own) - v + below * rate[site]) / (len(own) - 1 + below)
+            assert abs(got[n].path_rate - path_rate) < 1e-9
+            odds = [np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))) for p in (got[n].classifier, path_rate, mean)]
+            quality = 1 / (1 + np.exp(-(odds[0] + odds[1] - odds[2])))
+            assert abs(got[n].quality - quality) < 1e-9 and got[n].kept == (quality >= site_quality.KEPT)
             n += 1
 
 
+def test_logistic_regression_and_its_ties(spark):
+    """The fit's slope against a plain gradient descent, and rows with clashing columns, ties and no label."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + 2
+    y = (x @ [1.0, -0.3, 2.0] + rng.normal(size=300) > 2).astype(float)
+    got = site_quality.fit(x, y)
+    scale = x.std(axis=0)
+    z, w = np.column_stack([np.ones(300), (x - x.mean(axis=0)) / scale]), np.zeros(4)
+    for _ in range(20_000):
+        w += 0.01 * (z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.r_[1e-3, 1, 1, 1] * w)
+    assert np.allclose(got[1:], w[1:] / scale, atol=1e-6) and abs(got[0] - (w[0] - (w[1:] / scale) @ x.mean(axis=0))) < 1e-5
+    data = [(i, words(i % 5, 60), "en", "s" if i % 2 else None, 0) for i in range(40)]
+    given = documents(spark, data).withColumns({c: F.lit("clash") for c in ("site", "path", "x", "vote", "label", "n", "s")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, None), (None, 1), (4, 1), (4, 0)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    rows = site_quality.judge(given, labels).collect()
+    by_text = {(r.doc_id % 5, r.doc_id % 2): set() for r in rows}
+    for r in rows:
+        if r.doc_id >= 20:
+            by_text[r.doc_id % 5, r.doc_id % 2].add(round(r.quality, 9))
+    assert len(rows) == 40 and all(len(v) == 1 for v in by_text.values())  # equal unlabelled documents of a site get the same
+
+
 def test_registered_queries_carry_ids_and_checksums(spark):
     from tidewright.llm.queries import QUERIES
 

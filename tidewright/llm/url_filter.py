@@ -125,7 +125,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], otherwise: tuple[Rule, ...]
             for own, machine, sign in machines:
                 fits[:, own] = machine.match([b"." + h + sign + p for h, p in parts])
             fits = fits[:, rank]
-            best = np.where(fits.any(axis=1), fits.argmax(axis=1), -1)
+            best = np.where(fits.any(axis=1), fits.argmax(axis=1), -1) if machines else np.full(len(parts), -1)
             chosen = [machine_rules[rank[b]] if b >= 0 else None for b in best.tolist()]
             own = common.batch_of("rule string, verdict string", [[r.name if r and b < len(rules) else None for r, b in zip(chosen, best.tolist(), strict=True)], [r.verdict if r else "allow" for r in chosen]])
             yield pa.RecordBatch.from_arrays([*batch.columns, *own.columns], names=[*keep, "host", "path", "rule", "verdict"])
@@ -137,7 +137,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], otherwise: tuple[Rule, ...]
 
 #: The rules of the registered query, and the globs that judge what they leave open.
 SITES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-SPAM = ("*cheap-pills.*", "*spam-farm.*", "*casino*.*")
+SPAM = (
+    "*cheap-pills.*", "*spam-farm.*", "*casino*.*", "*.doubleclick.*", "*.adserver.*", "*.bet365.*", "*poker-online*", "*online-poker*", "*slot-machine*", "*sports-betting*", "*payday-loan*", "*replica-watch*", "*cheap-viagra*", "*buy-viagra*",
+    "*free-crack*", "*keygen-*", "*warez*.*", "*torrent-download*", "*xxx-*.*", "*.xxx/*", "*adult-cam*", "*escort-service*", "*link-farm*", "*seo-backlinks*", "*click-track*", "*essay-writing-service*", "*work-from-home-jobs*",
+    "*/wp-login.php*", "*/xmlrpc.php*", "*/cgi-bin/*", "*/trackback/", "*/calendar/????-??-??*", "*/tag/*/page/*", "*/search/*/page/*", "*/print/*", "*/feed/", "*/amp/amp/*", "*//*//*//*",
+)
 
 
 def oracle_sql() -> str:
@@ -145,7 +149,7 @@ def oracle_sql() -> str:
         f"WHEN (host = '{s.split('/')[0]}' OR ends_with(host, '.{s.split('/')[0]}')) AND starts_with(path, '/{s.split('/', 1)[1]}') THEN '{s}'" for _, s in sorted(SITES, key=lambda x: -len(x[1]))
     ) + " END"
     verdict = "CASE " + " ".join(f"WHEN rule = '{s}' THEN '{v}'" for v, s in SITES)
-    spam = " OR ".join(f"('.' || host || path) LIKE '{g.replace('*', '%')}'" for g in SPAM)
+    spam = " OR ".join(f"('.' || host || path) LIKE '{g.replace('*', '%').replace('?', '_')}'" for g in SPAM)
     return f"""
 WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS x FROM pages),
 h AS (SELECT page_id, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.p AS path FROM u),
