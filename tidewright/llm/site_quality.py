@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common, quality_rules
 
 #: Labelled rows that the classifier is fitted on, at most; those whose hash of doc_id is below a share of its range.
-SAMPLE = 20_000
+SAMPLE = 50_000
 #: Least and largest weight of a prior, in votes.
 WEIGHT = (1.0, 1e6)
 KEPT = 0.5
