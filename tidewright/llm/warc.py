@@ -27,6 +27,8 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, digest
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Reads closer than this become one; no read is longer; an archive's blocks of so many bytes go to one task.
 GAP, READ, BLOCK = 64 << 10, 4 << 20, 8 << 20
+#: Repeated payloads (a digest and a page_id, some 100 bytes each) that are broadcast at most.
+SMALL = 500_000
 
 
 def digest(payload: bytes) -> str:
@@ -79,7 +81,9 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", lea
     rows = pages.select(common.long_id(pages, "page_id").alias("page_id"), F.coalesce(pages["url"], F.lit("")).alias("url"), common.utf8(pages["html"]).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.length("payload"))
     owners = rows.groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("owner"), F.max("bytes").alias("size")).where((F.col("n") > 1) & (F.col("size") >= least_bytes)).select("sha1", "owner")
-    typed = rows.join(owners, "sha1", "left").withColumn("revisit", F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")))
+    owners = common.stage_table(owners, "warc-owners")
+    small = owners.count() <= SMALL  # then payloads are written where they are read, else they go to their digest's task
+    typed = rows.join(F.broadcast(owners) if small else owners, "sha1", "left").withColumn("revisit", F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("warc")
