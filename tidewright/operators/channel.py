@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from math import exp
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,3 +147,58 @@ def budget_days(ledger: DataFrame, horizon: float, budgets: tuple[float, ...]) -
     rate = F.col("epsilon_sum") / F.lit(horizon)
     rows = ledger.select("device_id", "reports", "epsilon_sum", F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
     return rows.select("device_id", "budget", rate.alias("epsilon_per_day"), (rate * 30).alias("epsilon_per_30_days"), F.floor(F.col("budget") * F.col("reports") / F.col("epsilon_sum")).alias("max_reports"), F.floor(F.col("budget") / rate).alias("days"))
+
+
+def estimated_alpha(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """series_id, stuck_bucket, alpha: the shares of buckets whose reports would be nearest (least squares) to those seen.
+
+    The channel's pseudo-inverse is a table of fixed size, which is broadcast; a null report counts nowhere.
+    """
+    inverse = np.linalg.pinv(matrix, rcond=np.finfo(float).eps * max(matrix.shape))
+    spark, d = rows.sparkSession, matrix.shape[1]
+    table = spark.createDataFrame([(int(c), int(r), float(inverse[c, r])) for c in range(d) for r in range(matrix.shape[0])], "stuck_bucket int, obs int, w double")
+    counted = rows.where("obs is not null").groupBy("series_id", "obs").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("series_id"))
+    raw = counted.withColumn("q", share).join(F.broadcast(table), "obs").groupBy("series_id", "stuck_bucket").agg(F.greatest(F.sum(F.col("w") * F.col("q")), F.lit(1e-9)).alias("a"))
+    return raw.select("series_id", "stuck_bucket", (F.col("a") / F.sum("a").over(Window.partitionBy("series_id"))).alias("alpha"))
+
+
+def distances(matrix: DataFrame, calibration: DataFrame) -> DataFrame:
+    """series_id, stuck_bucket, l1, l2, chernoff: more distances of a stuck column from a normal series' reports."""
+    rows = normal(matrix, calibration).join(F.broadcast(matrix), "report_bucket")
+    p, q = F.greatest("p", F.lit(1e-12)), F.greatest("p0", F.lit(1e-12))
+    away = F.abs(p - q)
+    return rows.groupBy("series_id", "stuck_bucket").agg(F.sum(away).alias("l1"), F.sqrt(F.sum(away * away)).alias("l2"), (-F.log(F.sum(F.sqrt(p * q)))).alias("chernoff"))
+
+
+def channel_quality(matrix: DataFrame, calibration: DataFrame, condition: float) -> DataFrame:
+    """By series: the least total variation of neighbouring columns and the condition number (of the channel), and the
+    entropy of the calibration in bits."""
+    other = matrix.select((F.col("stuck_bucket") - 1).alias("stuck_bucket"), "report_bucket", F.col("p").alias("p1"))
+    near = matrix.join(other, ["stuck_bucket", "report_bucket"]).groupBy("stuck_bucket").agg((F.lit(0.5) * F.sum(F.abs(F.col("p") - F.col("p1")))).alias("tv")).agg(F.min("tv").alias("adjacent_tv"))
+    bits = calibration.groupBy("series_id").agg((-F.sum(F.col("alpha") * F.log2(F.greatest("alpha", F.lit(1e-12))))).alias("entropy_bits"))
+    return bits.crossJoin(F.broadcast(near)).withColumn("condition_number", F.lit(float(condition)))
+
+
+def stuck_values(rows: DataFrame, matrix: DataFrame, calibration: DataFrame, column: str = "v", d: int = D) -> DataFrame:
+    """series_id, kind, value, bucket: values at which a stuck sensor is hardest to see: the training median, the centre
+    of the fullest bucket, and that of the column nearest to normal reports (of equals the lowest)."""
+    middle = rows.where("part = 'train'").groupBy("series_id").agg(F.percentile(column, F.lit(0.5)).alias("value"))
+    middle = middle.select("series_id", F.lit("median").alias("kind"), "value", bucket(F.col("value"), d).alias("bucket"))
+    first = lambda name: F.row_number().over(Window.partitionBy("series_id").orderBy(name, "stuck_bucket"))
+    full = calibration.withColumn("_n", first(F.desc(F.round("alpha", 12)))).where("_n = 1")
+    near = separation(matrix, calibration).withColumn("_n", first(F.round("tv", 12))).where("_n = 1")
+    out = middle
+    for name, found in (("mode_bucket", full), ("min_tv_column", near)):
+        out = out.union(found.select("series_id", F.lit(name), centre(d=d), "stuck_bucket"))
+    return out.withColumn("value", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "value")))
+
+
+def device_grid(reports: DataFrame, minutes: tuple[int, ...] = (10, 60, 1440), budgets: tuple[float, ...] = (1.0, 10.0)) -> DataFrame:
+    """For each epsilon in use, cadence and budget: what a device spends by simple composition and when its budget is
+    gone; devices and reports: how many use that epsilon."""
+    used = reports.groupBy("epsilon").agg(F.countDistinct("device_id").alias("devices"), F.count("*").alias("reports"))
+    rows = used.withColumn("minutes", F.explode(F.array(*map(F.lit, minutes)))).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    daily, most = F.lit(1440.0) / F.col("minutes"), F.floor(F.col("budget") / F.col("epsilon"))
+    day = F.col("epsilon") * daily
+    return rows.select("epsilon", "minutes", "budget", "devices", "reports", daily.alias("reports_per_day"), day.alias("epsilon_per_day"), (day * 30).alias("epsilon_per_30_days"), (day * 365).alias("epsilon_per_year"), most.alias("max_reports"), (most / daily).alias("days"))

@@ -91,3 +91,68 @@ def capped_strata(rows: DataFrame, key: str, row_id: str, most: int) -> DataFram
     """At most `most` rows of each stratum, those that come first by a scatter of their ids."""
     order = Window.partitionBy(key).orderBy((F.col(row_id) * 7919) % 1000003, row_id)
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def mode(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The most frequent value, of equals the smallest, and how often it is there."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    best = counted.groupBy(*keys).agg(F.max(F.struct("n", (-F.col(column)).alias("v"))).alias("b"))
+    return best.select(*keys, (-F.col("b.v")).alias("mode"), F.col("b.n").alias("n"))
+
+
+def case_means(rows: DataFrame, keys: list[str], case: str, score: str, weight: str) -> DataFrame:
+    """The mean of the cases' means, and the mean of all rows by weight."""
+    per = rows.where(F.col(score).isNotNull()).groupBy(*keys, case).agg(F.avg(score).alias("m"), F.sum(F.col(score) * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
+    return per.groupBy(*keys).agg(F.count("*").alias("cases"), F.avg("m").alias("case_mean"), (F.sum("s") / F.sum("w")).alias("row_mean"))
+
+
+def pooled(rows: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
+    """Prevalence over all rows of a group, and for each share the precision, recall and lift of the first rows by score
+    (one at least; of equals the later t first)."""
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_n": F.count("*").over(whole), "_place": F.row_number().over(whole.orderBy(F.desc("score"), F.desc("t"), "series_id"))})
+    out = [F.count("*").alias("rows"), F.sum("label").alias("positives"), F.avg("label").alias("prevalence")]
+    for share in shares:
+        inside, name = F.col("_place") <= F.greatest(F.lit(1), F.round(F.col("_n") * F.lit(share))), f"{round(100 * share)}pct"
+        precision, hits = F.avg(F.when(inside, F.col("label"))), F.sum(F.when(inside, F.col("label")))
+        out += [precision.alias(f"precision_{name}"), (hits / F.nullif(F.sum("label"), F.lit(0))).alias(f"recall_{name}"), (precision / F.nullif(F.avg("label"), F.lit(0.0))).alias(f"lift_{name}")]
+    return rows.groupBy(*keys).agg(*out)
+
+
+def accounting(rows: DataFrame, tv: float = 0.10, kl: float = 0.03, lift: float = 1.0) -> DataFrame:
+    """bucket, count, mean_score, mean_lift: accepted or rejected by the separation screen against good or bad by the lift;
+    all four buckets have a row. rows: tv, kl, auprc, prevalence."""
+    good = F.col("auprc") / F.col("prevalence")
+    bucket = F.concat(F.when((F.col("tv") >= tv) & (F.col("kl") >= kl), "accepted").otherwise("rejected"), F.lit("-"), F.when(good >= lift, "good").otherwise("bad"))
+    found = rows.where("auprc is not null").select(bucket.alias("bucket"), "auprc", good.alias("lift")).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("auprc").alias("mean_score"), F.avg("lift").alias("mean_lift"))
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f"{a}-{b}") for a in ("accepted", "rejected") for b in ("good", "bad")])).alias("bucket"))
+    return names.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("count"), "mean_score", "mean_lift")
+
+
+def suite(rows: DataFrame, keys: list[str], own: Column, family: Column) -> DataFrame:
+    """By group: the best method by its mean score with its family, the best of the own ones, and the gain over that.
+
+    rows: method, auroc, auprc."""
+    means = rows.groupBy(*keys, "method").agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"), F.count("auprc").alias("cases")).where("auprc is not null")
+    first = best(means, keys, "auprc", "method").select(*keys, F.col("method").alias("recommended_method"), family.alias("recommended_family"), F.col("auroc").alias("best_auroc"), F.col("auprc").alias("best_auprc"), "cases")
+    mine = best(means.where(own), keys, "auprc", "method").select(*keys, F.col("method").alias("own_method"), F.col("auroc").alias("own_auroc"), F.col("auprc").alias("own_auprc"))
+    return first.join(mine, keys, "left").withColumn("gain", F.col("best_auprc") - F.col("own_auprc"))
+
+
+def boundary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """boundary_class, groups, mean_gap and counts: groups whose best method is the own one, and those where it isn't.
+
+    rows: as suite() gives them."""
+    kind = F.when(F.col("own_method").isNull(), "no_own_method").when(F.col("recommended_method") == F.col("own_method"), "compatible").otherwise("router_boundary")
+    return rows.groupBy(kind.alias("boundary_class")).agg(F.count("*").alias("groups"), F.avg("gain").alias("mean_gap"), F.max("gain").alias("largest_gap"))
+
+
+def router_ledger(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """By group: the methods allowed, the one chosen by its validation mean, and its test metrics; beside it what the best
+    on the test part would have had. rows: part (validation or test), method, auroc, auprc."""
+    at = lambda part, c: F.avg(F.when(F.col("part") == part, F.col(c)))
+    means = rows.groupBy(*keys, "method").agg(at("validation", "auprc").alias("validation"), at("test", "auroc").alias("test_auroc"), at("test", "auprc").alias("test_auprc"))
+    allowed = means.groupBy(*keys).agg(F.concat_ws(",", F.sort_array(F.collect_set("method"))).alias("allowed_methods"))
+    chosen = best(means.where("validation is not null"), keys, "validation", "method").select(*keys, F.col("method").alias("selected_method"), "validation", "test_auroc", "test_auprc")
+    oracle = best(means.where("test_auprc is not null"), keys, "test_auprc", "method").select(*keys, F.col("method").alias("best_method"), F.col("test_auprc").alias("best_auprc"))
+    return allowed.join(chosen, keys).join(oracle, keys, "left").withColumn("regret", F.col("best_auprc") - F.col("test_auprc"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import series_queries, telemetry_queries
+from tidewright.plans import report_queries, series_queries, telemetry_queries
+from tidewright.plans.report_oracles import ORACLES as REPORT_ORACLES
 from tidewright.plans.series_oracles import ORACLES as SERIES_ORACLES
 from tidewright.plans.telemetry_oracles import oracle
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**telemetry_queries.QUERIES, **series_queries.QUERIES}
-ORACLES: dict[str, str] = {key: sql for key in telemetry_queries.QUERIES if (sql := oracle(key))} | SERIES_ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**telemetry_queries.QUERIES, **series_queries.QUERIES, **report_queries.QUERIES}
+ORACLES: dict[str, str] = {key: sql for key in telemetry_queries.QUERIES if (sql := oracle(key))} | SERIES_ORACLES | REPORT_ORACLES
