@@ -18,11 +18,12 @@ def iid_mask(rows: DataFrame, share: float) -> DataFrame:
     return rows.withColumn("label", (F.row_number().over(order) <= target).cast("int"))
 
 
-def segment_mask(rows: DataFrame, share: float, length: int) -> DataFrame:
+def segment_mask(rows: DataFrame, share: float | Column, length: int | Column) -> DataFrame:
     """label 1 on whole segments of `length` rows, chosen by a scatter of their number until the share is reached."""
+    share = F.lit(share) if isinstance(share, float) else share
     segment = F.floor(F.col("t") / length)
     order = Window.partitionBy("series_id").orderBy((segment * 7919 + F.col("series_id") * 104729) % 1000003, segment, "t")
-    target = F.floor(F.count("*").over(Window.partitionBy("series_id")) * F.lit(share))
+    target = F.floor(F.count("*").over(Window.partitionBy("series_id")) * share)
     return rows.withColumn("label", (F.row_number().over(order) <= target).cast("int"))
 
 

@@ -7,9 +7,9 @@ from functools import cache
 import numpy as np
 
 from tidewright.operators.channel import D, shape
-from tidewright.plans.report_queries import BLOCK, LEAST, TEMPLATE, TOLERANCE
-from tidewright.plans.series_oracles import ALONG, BASE, BIN, RUNS, SEP, clip, num, r
-from tidewright.plans.series_queries import EPSILON, SHARE
+from tidewright.plans.report_queries import BLOCK, EPSILONS, LEAST, MODES, SEEDS, SETTINGS, SWEEP, TEMPLATE, TOLERANCE
+from tidewright.plans.series_oracles import ALONG, BASE, BIN, POINT, RUNS, SEP, Z, base, clip, num, r, ranking
+from tidewright.plans.series_queries import EPSILON, SHARE, STUCK
 from tidewright.sources.telemetry import POLICY
 
 
@@ -47,6 +47,29 @@ OPERATOR = f"CASE WHEN {POSTERIOR} >= 0.80::DOUBLE THEN 'stuck_hmm' WHEN {POSTER
 
 POLICIES = ", ".join(map(str, POLICY))
 
+DRIFT = "v + 0.45::DOUBLE * (sum(label) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) - 1) / greatest(sum(label) OVER (PARTITION BY series_id) - 1, 1)"
+FAULTY = f"CASE series_id % {SETTINGS} % {len(MODES)} WHEN 0 THEN {num(STUCK)} WHEN 1 THEN v + 0.35::DOUBLE ELSE {DRIFT} END"
+OF_PRIVATE = Z.format(v="vf", t="f") + POINT + f""", sc AS (SELECT series_id, t, label, round(score, 6) AS score, 'robust_z' AS method FROM rz UNION ALL SELECT series_id, t, label, round(score, 6), 'point_glr' FROM o JOIN pg USING (series_id, obs)
+  UNION ALL SELECT o.series_id, t, label, round(-ln(greatest(p0, 1e-15)), 6), 'surprise' FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs), rk AS ({ranking("sc", "series_id, method")}) """
+
+
+def grid(n: int, seed: str) -> str:
+    return f", n AS (SELECT series_id * {SETTINGS} + g AS series_id, t, id + {seed} * 1000003 AS id, x, part, k, v, g FROM n0 CROSS JOIN range({n}) AS q(g))"
+
+
+def panel(epsilon: float) -> str:
+    sql = base(epsilon, grid(len(SEEDS) * len(MODES), f"(g // {len(MODES)})"), FAULTY) + OF_PRIVATE
+    modes = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODES))
+    return f"({sql} SELECT series_id // {SETTINGS} AS series_id, {num(epsilon)} AS epsilon, (series_id % {SETTINGS} // {len(MODES)})::INTEGER AS seed, CASE series_id % {SETTINGS} % {len(MODES)} {modes} END AS mode, method, round(auroc, 6) + 0 AS auroc, round(auprc, 6) + 0 AS auprc FROM rk)"
+
+
+PANEL = " UNION ALL ".join(map(panel, EPSILONS))
+LAYERS = f"""WITH pn AS ({PANEL}), mt AS (SELECT mode, epsilon, method, avg(auroc) AS auroc, avg(auprc) AS auprc, count(auprc) AS cases FROM pn GROUP BY 1, 2, 3 HAVING avg(auprc) IS NOT NULL),
+b1 AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY mode, epsilon ORDER BY auprc DESC, method) = 1), b2 AS (SELECT * FROM mt WHERE method IN ('point_glr', 'surprise') QUALIFY row_number() OVER (PARTITION BY mode, epsilon ORDER BY auprc DESC, method) = 1)
+SELECT mode, epsilon, b1.method AS recommended_method, {FAMILY.replace('method', 'b1.method')} AS recommended_family, round(b1.auroc, 6) AS best_auroc, round(b1.auprc, 6) AS best_auprc, b1.cases, b2.method AS own_method, round(b2.auroc, 6) AS own_auroc, round(b2.auprc, 6) AS own_auprc, round(b1.auprc - b2.auprc, 6) + 0 AS gain, CASE WHEN b2.auprc >= b1.auprc - 0.02::DOUBLE THEN b2.method ELSE b1.method END AS router_choice FROM b1 LEFT JOIN b2 USING (mode, epsilon)"""
+PICK = lambda i: "CASE g " + " ".join(f"WHEN {k} THEN {x[i]}" for k, x in enumerate(SWEEP)) + " END"
+SWEPT = base(EPSILONS[-1], grid(len(SWEEP), "g"), share=f"({PICK(0)})::DOUBLE", length=f"({PICK(1)})") + OF_PRIVATE + f"SELECT ({PICK(0)})::DOUBLE AS share, ({PICK(1)})::INTEGER AS length, method, count(auprc) AS runs, round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc FROM (SELECT *, series_id % {SETTINGS} AS g FROM rk) GROUP BY 1, 2, 3"
+
 ORACLES: dict[str, str] = {key: BASE + sql for key, sql in {
     "a17_mode": "SELECT series_id, obs AS mode, n FROM (SELECT series_id, obs, count(*) AS n FROM o GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, obs) = 1",
     "a23_case_means": CASES + 'SELECT method, count(*) AS cases, round(avg(m), 6) AS case_mean, round(sum(s) / sum(w), 6) AS row_mean FROM (SELECT method, "case", avg(auprc) AS m, sum(auprc * positives) AS s, sum(positives) AS w FROM ca WHERE auprc IS NOT NULL GROUP BY 1, 2) GROUP BY 1',
@@ -86,5 +109,8 @@ SELECT series_id, blk::BIGINT AS block, CASE WHEN pn >= {LEAST} THEN 'previous'
     "p21_block_choice": BLOCKS + ", pb AS (SELECT series_id, blk, sum(label) AS positives, coalesce(sum(sum(1 - label)) OVER (PARTITION BY series_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM fb GROUP BY 1, 2) SELECT series_id, blk::BIGINT AS block, positives::BIGINT AS positives, earlier::BIGINT AS earlier FROM pb WHERE positives >= 1 AND earlier >= 20",
     "u4_set_checks": f"SELECT count(*) FILTER (c) AS both, 0::BIGINT AS left_only, count(*) FILTER (NOT c) AS right_only, true AS subset FROM (SELECT {POSTERIOR} >= 0.80::DOUBLE AS c FROM r)",
 }.items()} | {
+    "b4_layers": LAYERS,
+    "b12_sweep": SWEPT,
+    "b16_panel": PANEL,
     "p16_relevance": r"SELECT lang, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\b(constant|flat|stuck|persist|zero values|same value)\b') THEN 'repeated_value' WHEN regexp_matches(coalesce(text, ''), '(?i)\b(not working|malfunction|sensor drift|suspicious|bad data|failure|failed)\b') THEN 'sensor_failure' ELSE 'other' END AS relevance, count(*) AS n FROM documents GROUP BY 1, 2",
 }

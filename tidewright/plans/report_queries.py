@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright import stage
 from tidewright.operators import channel as C
 from tidewright.operators import detectors as D
+from tidewright.operators import evaluation as E
 from tidewright.operators import faults, hmm
 from tidewright.operators import relations as R
 from tidewright.operators import selection as P
 from tidewright.operators import series as S
 from tidewright.operators import summaries as B
-from tidewright.plans.series_queries import SHARE, Query, Series, rounded
+from tidewright.plans.series_queries import SEGMENT, SHARE, STUCK, Query, Series, rounded
 from tidewright.sources import telemetry
 
 #: Rows of a block (a month, a year) of the short series here, and of a calibration at least.
@@ -96,6 +99,57 @@ def policies(s: Series) -> DataFrame:
     return telemetry.router_policy(s.spark, workflow=True).join(cleaned, "operator", "left").withColumn("cleaned", F.coalesce("cleaned", F.lit(0)))
 
 
+#: Panel: epsilons, seeds, faults. Sweeps: shares of faults and lengths of segments. A series has one key for each setting.
+EPSILONS, SEEDS, MODES, SETTINGS = (1.0, 2.0), (0, 1), ("segment_stuck", "bias", "drift"), 64
+SWEEP = ((0.1, 4), (0.2, 4), (0.2, 8), (0.2, 16), (0.3, 8))
+
+
+def spread(s: Series, settings: list[tuple]) -> DataFrame:
+    """The clean series once for each setting, under a key of its own; settings: structs of named literals."""
+    grid = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in x]) for x in settings])
+    rows = s.clean.select("*", F.posexplode(grid).alias("setting", "x_"))
+    own = [F.col(f"x_.{k}").alias(k) for k, _ in settings[0]]
+    return rows.select((F.col("series_id").cast("long") * SETTINGS + F.col("setting")).alias("series_id"), "t", (F.col("id") + F.col("x_.seed") * 1_000_003).alias("id"), "x", "part", "v", "setting", *own)
+
+
+def private_runs(s: Series, faulty: DataFrame, epsilon: float) -> DataFrame:
+    """series_id, method, auroc, auprc of methods on raw values and on reports at one epsilon."""
+    private = stage.table(faulty.withColumn("obs", C.discretize(C.piecewise(F.col("vf"), epsilon), epsilon)), "panel")
+    matrix = C.piecewise_matrix(s.spark, epsilon)
+    p0 = stage.table(C.normal(matrix, C.alpha(private.where("part = 'train'"))), "normal-reports")
+    found = {"robust_z": D.robust_z(private, "vf"), "surprise": D.surprise(private, p0), "point_glr": D.point_glr(private, D.ratios(matrix, p0))}
+    parts = [d.select("series_id", "t", "label", F.round("score", 6).alias("score"), F.lit(name).alias("method")) for name, d in found.items()]
+    return E.ranking(reduce(DataFrame.union, parts), ["series_id", "method"])
+
+
+def panel(s: Series) -> DataFrame:
+    """A run for each series, epsilon, seed, fault and method."""
+    settings = [(("seed", seed), ("mode", mode)) for seed in SEEDS for mode in MODES]
+    labelled = faults.segment_mask(spread(s, settings), SHARE, SEGMENT)
+    faulty = reduce(DataFrame.unionByName, (faults.inject(labelled.where(F.col("mode") == mode), mode, stuck=STUCK) for mode in MODES))
+    faulty = stage.table(faulty, "faulty")
+    runs = reduce(DataFrame.unionByName, (private_runs(s, faulty, e).withColumn("epsilon", F.lit(e)) for e in EPSILONS))
+    place = F.col("series_id") % SETTINGS
+    seed, mode = F.element_at(F.array(*[F.lit(x[0][1]) for x in settings]), place + 1), F.element_at(F.array(*[F.lit(x[1][1]) for x in settings]), place + 1)
+    return runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), "epsilon", seed.alias("seed"), mode.alias("mode"), "method", "auroc", "auprc")
+
+
+def sweep(s: Series) -> DataFrame:
+    """Mean scores by share of faults and length of segments."""
+    settings = [(("seed", k), ("share", share), ("length", length)) for k, (share, length) in enumerate(SWEEP)]
+    faulty = faults.inject(faults.segment_mask(spread(s, settings), F.col("share"), F.col("length")), "segment_stuck", stuck=STUCK)
+    runs = private_runs(s, stage.table(faulty, "faulty"), EPSILONS[-1]).withColumn("k", (F.col("series_id") % SETTINGS + 1).cast("int"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SWEEP]), F.col("k"))
+    return runs.groupBy(pick(0).alias("share"), pick(1).alias("length"), "method").agg(F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
+
+
+def layers(s: Series) -> DataFrame:
+    """The panel by fault: the best method of all and of the own ones at each epsilon, and the router's choice."""
+    runs = panel(s).withColumns({"auroc": F.round("auroc", 6), "auprc": F.round("auprc", 6)})
+    found = B.suite(runs, ["mode", "epsilon"], F.col("method").isin(*OWN), P.method_profile(F.col("method"))["family"])
+    return found.withColumn("router_choice", F.when(F.col("own_auprc") >= F.col("best_auprc") - 0.02, F.col("own_method")).otherwise(F.col("recommended_method")))
+
+
 REPORTS: dict[str, Callable[[Series], DataFrame]] = {
     "a17_mode": lambda s: B.mode(s.private, ["series_id"], "obs"),
     "a23_case_means": lambda s: rounded(B.case_means(cases(s), ["method"], "case", "auprc", "positives")),
@@ -105,6 +159,9 @@ REPORTS: dict[str, Callable[[Series], DataFrame]] = {
     "b5_router_policy": lambda s: rounded(policies(s)),
     "b6_boundary": lambda s: rounded(B.boundary(suites(s), ["case"])),
     "b7_router_ledger": lambda s: rounded(B.router_ledger(cases(s), ["case"])),
+    "b4_layers": lambda s: rounded(layers(s)),
+    "b12_sweep": lambda s: rounded(sweep(s)),
+    "b16_panel": lambda s: rounded(panel(s)),
     "f4_templates": lambda s: rounded(mined(s)),
     "f4_template_faults": lambda s: rounded(template_series(s).select("series_id", "t", "label", "vf")),
     "j15_products": lambda s: rounded(products(s)),

@@ -9,8 +9,6 @@ from tidewright.plans.series_queries import EPSILON, SEGMENT, SHARE, STUCK
 from tidewright.plans.telemetry_oracles import REPORTS
 
 S, C = shape(EPSILON)
-WIDTH, STEP = 2 / (S - 1), 2 * C / D
-INSIDE, OUTSIDE = S / (S + 1) / WIDTH, 1 / (S + 1) / (2 * C - WIDTH)
 
 
 def num(x: float) -> str:
@@ -43,26 +41,32 @@ def injected(mode: str) -> str:
     return f"j AS (SELECT series_id, t, id, label, CASE WHEN label = 1 THEN {'NULL' if mode == 'dropout' else clip(faulty)} ELSE v END AS vf FROM {source})"
 
 
-low_y, high_y = f"({num(S)} * vf - 1.0::DOUBLE) / {num(S - 1)}", f"({num(S)} * vf + 1.0::DOUBLE) / {num(S - 1)}"
-BASE = f"""WITH {REPORTS},
+def base(epsilon: float = EPSILON, grid: str = "", faulty: str = num(STUCK), share: str = num(SHARE), length: str = str(SEGMENT)) -> str:
+    """The series, their faults, reports and channel; grid: a CTE n made of n0, the normalised series."""
+    s, c = shape(epsilon)
+    width, step = 2 / (s - 1), 2 * c / D
+    low_y, high_y = f"({num(s)} * vf - 1.0::DOUBLE) / {num(s - 1)}", f"({num(s)} * vf + 1.0::DOUBLE) / {num(s - 1)}"
+    return f"""WITH {REPORTS},
 s AS (SELECT device_id AS series_id, row_number() OVER (PARTITION BY device_id ORDER BY r.ts, report_id) - 1 AS t, report_id AS id, e.value AS x FROM r JOIN events e ON e.event_id = r.report_id),
 raw AS (SELECT *, CASE WHEN t::DOUBLE / k < 0.6::DOUBLE THEN 'train' WHEN t::DOUBLE / k < 0.8::DOUBLE THEN 'validation' ELSE 'test' END AS part, k FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS k FROM s)),
-{normalized("n")},
-m AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ((t // {SEGMENT}) * 7919 + series_id * 104729) % 1000003, t // {SEGMENT}, t) <= floor(k * {num(SHARE)}))::INTEGER AS label FROM n),
+{normalized("n" if not grid else "n0")}{grid},
+m AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ((t // {length}) * 7919 + series_id * 104729) % 1000003, t // {length}, t) <= floor(k * {share}))::INTEGER AS label FROM n),
 im AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY (id * 7919) % 1000003, id) <= floor(k * {num(SHARE)}))::INTEGER AS label FROM n),
-f AS (SELECT *, CASE WHEN label = 1 THEN {clip(num(STUCK))} ELSE v END AS vf FROM m),
+f AS (SELECT *, CASE WHEN label = 1 THEN {clip(faulty)} ELSE v END AS vf FROM m),
 u AS (SELECT *, {uniform(1)} AS u, {uniform(2)} AS w, {low_y} AS lo, {high_y} AS hi FROM f),
-y AS (SELECT *, CASE WHEN u < {num(S / (S + 1))} THEN lo + w * (hi - lo) WHEN w * (lo + {num(C)} + {num(C)} - hi) < lo + {num(C)} THEN {num(-C)} + w * (lo + {num(C)} + {num(C)} - hi) ELSE hi + (w * (lo + {num(C)} + {num(C)} - hi) - (lo + {num(C)})) END AS y FROM u),
-o AS (SELECT *, greatest(0, least({D - 1}, floor((y + {num(C)}) / {num(2 * C / D)})))::INTEGER AS obs FROM y),
-g AS (SELECT a AS stuck_bucket, b AS report_bucket, ({num(S)} * ({num(-1 + 1 / D)} + {num(2 / D)} * a) - 1.0::DOUBLE) / {num(S - 1)} AS lo, {num(-C)} + b * {num(STEP)} AS e FROM range({D}) AS p(a), range({D}) AS q(b)),
-gm AS (SELECT *, greatest(0::DOUBLE, least(e + {num(STEP)}, lo + {num(WIDTH)}) - greatest(e, lo)) AS ov FROM g),
-mx AS (SELECT stuck_bucket::INTEGER AS stuck_bucket, report_bucket::INTEGER AS report_bucket, mass / sum(mass) OVER (PARTITION BY stuck_bucket) AS p FROM (SELECT *, {num(INSIDE)} * ov + {num(OUTSIDE)} * ({num(STEP)} - ov) AS mass FROM gm)),
+y AS (SELECT *, CASE WHEN u < {num(s / (s + 1))} THEN lo + w * (hi - lo) WHEN w * (lo + {num(c)} + {num(c)} - hi) < lo + {num(c)} THEN {num(-c)} + w * (lo + {num(c)} + {num(c)} - hi) ELSE hi + (w * (lo + {num(c)} + {num(c)} - hi) - (lo + {num(c)})) END AS y FROM u),
+o AS (SELECT *, greatest(0, least({D - 1}, floor((y + {num(c)}) / {num(2 * c / D)})))::INTEGER AS obs FROM y),
+g AS (SELECT a AS stuck_bucket, b AS report_bucket, ({num(s)} * ({num(-1 + 1 / D)} + {num(2 / D)} * a) - 1.0::DOUBLE) / {num(s - 1)} AS lo, {num(-c)} + b * {num(step)} AS e FROM range({D}) AS p(a), range({D}) AS q(b)),
+gm AS (SELECT *, greatest(0::DOUBLE, least(e + {num(step)}, lo + {num(width)}) - greatest(e, lo)) AS ov FROM g),
+mx AS (SELECT stuck_bucket::INTEGER AS stuck_bucket, report_bucket::INTEGER AS report_bucket, mass / sum(mass) OVER (PARTITION BY stuck_bucket) AS p FROM (SELECT *, {num(s / (s + 1) / width)} * ov + {num(1 / (s + 1) / (2 * c - width))} * ({num(step)} - ov) AS mass FROM gm)),
 h AS (SELECT series_id, greatest(0, least({D - 1}, floor((v + 1.0::DOUBLE) * {num(D / 2)})))::INTEGER AS stuck_bucket, count(*) AS c FROM n WHERE part = 'train' GROUP BY 1, 2),
-al AS (SELECT series_id, a::INTEGER AS stuck_bucket, (coalesce(c, 0) + 0.001::DOUBLE) / (total + {num(D * 1e-3)}) AS alpha FROM (SELECT series_id, sum(c) AS total FROM h GROUP BY 1) CROSS JOIN range({D}) AS b(a) LEFT JOIN h USING (series_id) WHERE h.stuck_bucket IS NULL OR true),
+al AS (SELECT z.series_id, a::INTEGER AS stuck_bucket, (coalesce(c, 0) + 0.001::DOUBLE) / (total + {num(D * 1e-3)}) AS alpha FROM (SELECT series_id, sum(c) AS total FROM h GROUP BY 1) z CROSS JOIN range({D}) AS b(a) LEFT JOIN h ON h.series_id = z.series_id AND h.stuck_bucket = a),
 p0 AS (SELECT series_id, report_bucket, sum(p * alpha) AS p0 FROM al JOIN mx USING (stuck_bucket) GROUP BY 1, 2),
 rt AS (SELECT series_id, mx.report_bucket AS obs, stuck_bucket AS candidate, ln(greatest(p, 1e-15)) - ln(greatest(p0, 1e-15)) AS llr FROM p0 JOIN mx USING (report_bucket))
 """
-BASE = BASE.replace("CROSS JOIN range(32) AS b(a) LEFT JOIN h USING (series_id) WHERE h.stuck_bucket IS NULL OR true)", "CROSS JOIN range(32) AS b(a) LEFT JOIN h ON h.series_id = z.series_id AND h.stuck_bucket = a)").replace("(SELECT series_id, sum(c) AS total FROM h GROUP BY 1) CROSS", "(SELECT series_id, sum(c) AS total FROM h GROUP BY 1) z CROSS").replace("al AS (SELECT series_id, a::", "al AS (SELECT z.series_id, a::")
+
+
+BASE = base()
 
 
 def r(x: str, name: str | None = None, digits: int = 6) -> str:
