@@ -66,21 +66,21 @@ def panel(epsilon: float) -> str:
 PANEL = " UNION ALL ".join(map(panel, EPSILONS))
 LAYERS = f"""WITH pn AS ({PANEL}), mt AS (SELECT mode, epsilon, method, avg(auroc) AS auroc, avg(auprc) AS auprc, count(auprc) AS cases FROM pn GROUP BY 1, 2, 3 HAVING avg(auprc) IS NOT NULL),
 b1 AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY mode, epsilon ORDER BY auprc DESC, method) = 1), b2 AS (SELECT * FROM mt WHERE method IN ('point_glr', 'surprise') QUALIFY row_number() OVER (PARTITION BY mode, epsilon ORDER BY auprc DESC, method) = 1)
-SELECT mode, epsilon, b1.method AS recommended_method, {FAMILY.replace('method', 'b1.method')} AS recommended_family, round(b1.auroc, 6) AS best_auroc, round(b1.auprc, 6) AS best_auprc, b1.cases, b2.method AS own_method, round(b2.auroc, 6) AS own_auroc, round(b2.auprc, 6) AS own_auprc, round(b1.auprc - b2.auprc, 6) + 0 AS gain, CASE WHEN b2.auprc >= b1.auprc - 0.02::DOUBLE THEN b2.method ELSE b1.method END AS router_choice FROM b1 LEFT JOIN b2 USING (mode, epsilon)"""
+SELECT mode, epsilon, b1.method AS recommended_method, {FAMILY.replace('method', 'b1.method')} AS recommended_family, round(b1.auroc, 9) AS best_auroc, round(b1.auprc, 9) AS best_auprc, b1.cases, b2.method AS own_method, round(b2.auroc, 9) AS own_auroc, round(b2.auprc, 9) AS own_auprc, round(b1.auprc - b2.auprc, 9) + 0 AS gain, CASE WHEN b2.auprc >= b1.auprc - 0.02::DOUBLE THEN b2.method ELSE b1.method END AS router_choice FROM b1 LEFT JOIN b2 USING (mode, epsilon)"""
 PICK = lambda i: "CASE g " + " ".join(f"WHEN {k} THEN {x[i]}" for k, x in enumerate(SWEEP)) + " END"
 SWEPT = base(EPSILONS[-1], grid(len(SWEEP), "g"), share=f"({PICK(0)})::DOUBLE", length=f"({PICK(1)})") + OF_PRIVATE + f"SELECT ({PICK(0)})::DOUBLE AS share, ({PICK(1)})::INTEGER AS length, method, count(auprc) AS runs, round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc FROM (SELECT *, series_id % {SETTINGS} AS g FROM rk) GROUP BY 1, 2, 3"
 
 ORACLES: dict[str, str] = {key: BASE + sql for key, sql in {
     "a17_mode": "SELECT series_id, obs AS mode, n FROM (SELECT series_id, obs, count(*) AS n FROM o GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, obs) = 1",
-    "a23_case_means": CASES + 'SELECT method, count(*) AS cases, round(avg(m), 6) AS case_mean, round(sum(s) / sum(w), 6) AS row_mean FROM (SELECT method, "case", avg(auprc) AS m, sum(auprc * positives) AS s, sum(positives) AS w FROM ca WHERE auprc IS NOT NULL GROUP BY 1, 2) GROUP BY 1',
+    "a23_case_means": CASES + 'SELECT method, count(*) AS cases, round(avg(m), 9) AS case_mean, round(sum(s) / sum(w), 9) AS row_mean FROM (SELECT method, "case", avg(auprc) AS m, sum(auprc * positives) AS s, sum(positives) AS w FROM ca WHERE auprc IS NOT NULL GROUP BY 1, 2) GROUP BY 1',
     "a27_pooled": f', sq AS (SELECT o.series_id, o.series_id % 5 AS "case", t, label, round(-ln(greatest(p0, 1e-15)), 6) AS score FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs) SELECT "case", count(*) AS rows, sum(label)::BIGINT AS positives, round(avg(label), 6) AS prevalence, {POOL} FROM (SELECT *, count(*) OVER (PARTITION BY "case") AS n, row_number() OVER (PARTITION BY "case" ORDER BY score DESC, t DESC, series_id) AS place FROM sq) GROUP BY 1',
-    "a30_accounting": CASES + "SELECT v.b AS bucket, count(x.b) AS count, round(avg(auprc), 6) AS mean_score, round(avg(lift), 6) AS mean_lift FROM (VALUES ('accepted-good'), ('accepted-bad'), ('rejected-good'), ('rejected-bad')) v(b) LEFT JOIN (SELECT CASE WHEN tv >= 0.10::DOUBLE AND kl >= 0.03::DOUBLE THEN 'accepted' ELSE 'rejected' END || '-' || CASE WHEN auprc / prevalence >= 1 THEN 'good' ELSE 'bad' END AS b, auprc, auprc / prevalence AS lift FROM ca WHERE auprc IS NOT NULL) x ON x.b = v.b GROUP BY 1",
-    "b3_suite": SUITE + f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0 AS {c}' for c in ('best_auroc', 'best_auprc', 'own_auroc', 'own_auprc', 'gain'))}), {FAMILY.replace('method', 'recommended_method')} AS recommended_family FROM su",
+    "a30_accounting": CASES + "SELECT v.b AS bucket, count(x.b) AS count, round(avg(auprc), 9) AS mean_score, round(avg(lift), 9) AS mean_lift FROM (VALUES ('accepted-good'), ('accepted-bad'), ('rejected-good'), ('rejected-bad')) v(b) LEFT JOIN (SELECT CASE WHEN tv >= 0.10::DOUBLE AND kl >= 0.03::DOUBLE THEN 'accepted' ELSE 'rejected' END || '-' || CASE WHEN auprc / prevalence >= 1 THEN 'good' ELSE 'bad' END AS b, auprc, auprc / prevalence AS lift FROM ca WHERE auprc IS NOT NULL) x ON x.b = v.b GROUP BY 1",
+    "b3_suite": SUITE + f"SELECT * REPLACE ({', '.join(f'round({c}, 9) + 0 AS {c}' for c in ('best_auroc', 'best_auprc', 'own_auroc', 'own_auprc', 'gain'))}), {FAMILY.replace('method', 'recommended_method')} AS recommended_family FROM su",
     "b5_router_policy": f"SELECT p.*, coalesce(n, 0) AS cleaned, round(a, 6) AS posterior FROM (VALUES {POLICIES}) p(operator, semantic_layer, output_relation, privacy_effect) LEFT JOIN (SELECT {OPERATOR} AS operator, count(*) AS n, avg({POSTERIOR}) AS a FROM r GROUP BY 1) USING (operator)",
-    "b6_boundary": SUITE + "SELECT CASE WHEN own_method IS NULL THEN 'no_own_method' WHEN own_method = recommended_method THEN 'compatible' ELSE 'router_boundary' END AS boundary_class, count(*) AS groups, round(avg(gain), 6) + 0 AS mean_gap, round(max(gain), 6) + 0 AS largest_gap FROM su GROUP BY 1",
+    "b6_boundary": SUITE + "SELECT CASE WHEN own_method IS NULL THEN 'no_own_method' WHEN own_method = recommended_method THEN 'compatible' ELSE 'router_boundary' END AS boundary_class, count(*) AS groups, round(avg(gain), 9) + 0 AS mean_gap, round(max(gain), 9) + 0 AS largest_gap FROM su GROUP BY 1",
     "b7_router_ledger": CASES + """, rm AS (SELECT "case", method, avg(auprc) FILTER (part = 'validation') AS validation, avg(auroc) FILTER (part = 'test') AS test_auroc, avg(auprc) FILTER (part = 'test') AS test_auprc FROM ca GROUP BY 1, 2),
 al2 AS (SELECT "case", string_agg(method, ',' ORDER BY method) AS allowed_methods FROM rm GROUP BY 1), ch AS (SELECT * FROM rm WHERE validation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY validation DESC, method) = 1), oc AS (SELECT * FROM rm WHERE test_auprc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY test_auprc DESC, method) = 1)
-SELECT "case", allowed_methods, ch.method AS selected_method, round(ch.validation, 6) AS validation, round(ch.test_auroc, 6) AS test_auroc, round(ch.test_auprc, 6) AS test_auprc, oc.method AS best_method, round(oc.test_auprc, 6) AS best_auprc, round(oc.test_auprc - ch.test_auprc, 6) + 0 AS regret FROM al2 JOIN ch USING ("case") LEFT JOIN oc USING ("case")""",
+SELECT "case", allowed_methods, ch.method AS selected_method, round(ch.validation, 9) AS validation, round(ch.test_auroc, 9) AS test_auroc, round(ch.test_auprc, 9) AS test_auprc, oc.method AS best_method, round(oc.test_auprc, 9) AS best_auprc, round(oc.test_auprc - ch.test_auprc, 9) + 0 AS regret FROM al2 JOIN ch USING ("case") LEFT JOIN oc USING ("case")""",
     "f4_templates": templates("raw", "x", TOLERANCE) + f'SELECT series_id, b AS "begin", e AS "end", n, {r("level")}, {r("rng", "range")}, {r("delta", "flank_delta")}, {r("score")}, rank::INTEGER AS rank FROM ts',
     "f4_template_faults": templates("n", "v", TOLERANCE / 200) + f""", tw AS (SELECT z.series_id, size, coalesce(greatest(8, least(greatest(8, least(96, size // 3)), ts.n)), 48) AS length, coalesce({clip('level')}, high) AS level FROM (SELECT series_id, count(*) AS size, quantile_cont(v, 0.95) AS high FROM n GROUP BY 1) z LEFT JOIN ts ON ts.series_id = z.series_id AND rank = 1),
 tl AS (SELECT n.*, level, (row_number() OVER (PARTITION BY n.series_id ORDER BY ((t // length) * 7919 + n.series_id * 104729) % 1000003, t // length, t) <= greatest(1, round(size * {num(SHARE)})))::INTEGER AS label FROM n JOIN tw USING (series_id)) SELECT series_id, t, label, round(CASE WHEN label = 1 THEN level ELSE v END, 6) + 0 AS vf FROM tl""",

@@ -129,7 +129,7 @@ def panel(s: Series) -> DataFrame:
     faulty = reduce(DataFrame.unionByName, (faults.inject(labelled.where(F.col("mode") == mode), mode, stuck=STUCK) for mode in MODES))
     faulty = stage.table(faulty, "faulty")
     runs = reduce(DataFrame.unionByName, (private_runs(s, faulty, e).withColumn("epsilon", F.lit(e)) for e in EPSILONS))
-    place = F.col("series_id") % SETTINGS
+    place = (F.col("series_id") % SETTINGS).cast("int")
     seed, mode = F.element_at(F.array(*[F.lit(x[0][1]) for x in settings]), place + 1), F.element_at(F.array(*[F.lit(x[1][1]) for x in settings]), place + 1)
     return runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), "epsilon", seed.alias("seed"), mode.alias("mode"), "method", "auroc", "auprc")
 
@@ -152,14 +152,14 @@ def layers(s: Series) -> DataFrame:
 
 REPORTS: dict[str, Callable[[Series], DataFrame]] = {
     "a17_mode": lambda s: B.mode(s.private, ["series_id"], "obs"),
-    "a23_case_means": lambda s: rounded(B.case_means(cases(s), ["method"], "case", "auprc", "positives")),
+    "a23_case_means": lambda s: rounded(B.case_means(cases(s), ["method"], "case", "auprc", "positives"), 9),
     "a27_pooled": lambda s: rounded(B.pooled(surprising(s), ["case"])),
-    "a30_accounting": lambda s: rounded(B.accounting(cases(s))),
-    "b3_suite": lambda s: rounded(suites(s)),
+    "a30_accounting": lambda s: rounded(B.accounting(cases(s)), 9),
+    "b3_suite": lambda s: rounded(suites(s), 9),
     "b5_router_policy": lambda s: rounded(policies(s)),
-    "b6_boundary": lambda s: rounded(B.boundary(suites(s), ["case"])),
-    "b7_router_ledger": lambda s: rounded(B.router_ledger(cases(s), ["case"])),
-    "b4_layers": lambda s: rounded(layers(s)),
+    "b6_boundary": lambda s: rounded(B.boundary(suites(s), ["case"]), 9),
+    "b7_router_ledger": lambda s: rounded(B.router_ledger(cases(s), ["case"]), 9),
+    "b4_layers": lambda s: rounded(layers(s), 9),
     "b12_sweep": lambda s: rounded(sweep(s)),
     "b16_panel": lambda s: rounded(panel(s)),
     "f4_templates": lambda s: rounded(mined(s)),

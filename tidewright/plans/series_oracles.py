@@ -240,7 +240,7 @@ VARIANTS = (
 TRUE_BUCKET = int((STUCK + 1.0) * D / 2)
 DIAGNOSIS = stuck() + f""", dg AS (SELECT series_id, t, candidate, round(score, 6) + 0 AS score, round(avg(score) OVER (PARTITION BY series_id), 6) AS rate FROM ps JOIN lk USING (series_id, candidate)),
 cal AS (SELECT series_id, sum(e) / sum(n) AS brier, sum(abs(s - y)) / sum(n) AS ece FROM (SELECT series_id, least(floor(score * 10), 9) AS b, count(*) AS n, sum(score) AS s, sum(label) AS y, sum((score - label) ** 2) AS e FROM dg JOIN f USING (series_id, t) GROUP BY 1, 2) GROUP BY 1)
-SELECT series_id, {r('avg(label)', 'rate_true')}, {r('max(rate)', 'rate_estimated')}, max(candidate)::INTEGER AS bucket_estimated, {r('abs(max(rate) - avg(label))', 'rate_error')}, {TRUE_BUCKET} AS bucket_true, abs(max(candidate) - {TRUE_BUCKET})::INTEGER AS bucket_error, (max(candidate) = {TRUE_BUCKET})::INTEGER::DOUBLE AS bucket_hit, {r('max(brier)', 'brier')}, {r('max(ece)', 'ece')} FROM dg JOIN f USING (series_id, t) JOIN cal USING (series_id) GROUP BY 1"""
+SELECT series_id, {r('avg(label)', 'rate_true', 12)}, {r('max(rate)', 'rate_estimated', 12)}, max(candidate)::INTEGER AS bucket_estimated, {r('abs(max(rate) - avg(label))', 'rate_error', 12)}, {TRUE_BUCKET} AS bucket_true, abs(max(candidate) - {TRUE_BUCKET})::INTEGER AS bucket_error, (max(candidate) = {TRUE_BUCKET})::INTEGER::DOUBLE AS bucket_hit, {r('max(brier)', 'brier', 12)}, {r('max(ece)', 'ece', 12)} FROM dg JOIN f USING (series_id, t) JOIN cal USING (series_id) GROUP BY 1"""
 CHANGES = f"SELECT series_id, t, {r('probs[1]', 'score')}, -1::INTEGER AS candidate, 0::DOUBLE AS rate FROM cp WHERE t >= 0"
 RECURSIVE: dict[str, str] = {
     "d4_change_points": change_points("n", "v", "SELECT series_id, avg(v) AS mean, var_pop(v) AS variance FROM n WHERE part = 'train' GROUP BY 1") + CHANGES,

@@ -217,7 +217,7 @@ SEQUENTIAL: dict[str, Callable[[Series], DataFrame]] = {
     "d19_raw_hmm": lambda s: rounded(s.undisturbed()),
     **{f"d20_wrong_epsilon_{name}": (lambda s, f=f: rounded(s.mistaken(f))) for name, f in (("half", 0.5), ("double", 2.0))},
     "r2_repair_variants": lambda s: rounded(variants(s)),
-    "e7_diagnosis": lambda s: rounded(E.diagnosis(rounded(stuck_scores(s)).join(s.faulty.select("series_id", "t", "label"), ["series_id", "t"]), int((STUCK + 1.0) * C.D / 2))),
+    "e7_diagnosis": lambda s: rounded(E.diagnosis(rounded(stuck_scores(s)).join(s.faulty.select("series_id", "t", "label"), ["series_id", "t"]), int((STUCK + 1.0) * C.D / 2)), 12),
     "st13_shortlist_hmm": lambda s: rounded(hmm.shortlist(s.private, hmm.table(s.matrix), s.p0, **HMM)),
 }
 
