@@ -56,3 +56,25 @@ def test_backfill_and_csv(spark, tmp_path):
     assert sorted(r.month.month for r in L.backfill(months, "2020-04-01").collect()) == [2, 3]
     L.write_csv(months, str(tmp_path / "out"), ["n", "month"])
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["n", "month"]
+
+
+def test_registry_settings_results_and_documents(spark, tmp_path):
+    import json
+
+    (tmp_path / "hour.csv").write_text("dteday,hr,cnt\n2011-01-01,0,16\n2011-01-01,1,40\n")
+    rows = L.streams(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [(r.series_id, r.value) for r in rows] == [("bike_sharing", 16.0), ("bike_sharing", 40.0)]
+    assert L.streams(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "c.json").write_text('{"a": {"n": 1, "name": "x"}, "list": [1, 2]}')
+    spark.conf.set("tidewright.a.n", "7")
+    try:
+        assert L.config(spark, str(tmp_path / "c.json")) == {"a.n": 7, "a.name": "x", "list": [1, 2]}
+    finally:
+        spark.conf.unset("tidewright.a.n")
+    runs = spark.createDataFrame([("m", 0.5, None), ("k", None, 3)], "method string, auprc double, n int")
+    L.write_csv(runs, str(tmp_path / "runs"), ["n", "method", "auprc"])
+    back = L.read_results(spark, str(tmp_path / "runs"), "method string, auprc double, n int")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, runs.collect()), key=str)
+    L.write_document(runs.where("method = 'k'"), str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in (tmp_path / "doc").glob("part-*"))
+    assert json.loads(text) == {"method": "k", "auprc": None, "n": 3}

@@ -195,6 +195,39 @@ def missing_share(rows: DataFrame, column: str, width: int = 9, least: int = 2)
     return rows.withColumn("score", F.when(F.count("*").over(centred(width)) >= least, F.avg(gone).over(centred(width))).otherwise(gone))
 
 
+def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32, k: int = 5, most: int = 512) -> DataFrame:
+    """series_id, t, score: for each test row the mean distance of its last `window` values to the k nearest such pieces of
+    the training part, all z-normalised and then scaled by each place's deviation in training.
+
+    A piece that begins before its part is filled up with the part's first value. Of longer training parts, `most` pieces
+    evenly spaced count, so a series' pieces are one array of bounded size, which its test rows carry.
+    """
+    part = Window.partitionBy("series_id", "part").orderBy("t")
+    rows = rows.where(F.col("part").isin("train", "test")).withColumns({"_seg": F.collect_list(column).over(part.rowsBetween(-(window - 1), 0)), "_i": F.row_number().over(part) - 1})
+    full = F.concat(F.array_repeat(F.col("_seg")[0], F.lit(window) - F.size("_seg")), "_seg")
+    rows = rows.withColumn("_seg", full)
+    mean = F.aggregate("_seg", F.lit(0.0), lambda s, x: s + x) / F.lit(window)
+    rows = rows.withColumn("_mean", mean)
+    deviation = F.sqrt(F.aggregate("_seg", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.lit(window))
+    rows = rows.withColumn("_dev", F.greatest(deviation, F.lit(1e-6))).withColumn("_z", F.transform("_seg", lambda x: (x - F.col("_mean")) / F.col("_dev")))
+    train = rows.where("part = 'train'")
+    places = train.select("series_id", F.posexplode("_z").alias("place", "z")).groupBy("series_id", "place").agg(F.stddev_pop("z").alias("d"))
+    scale = F.when(F.col("d") > 1e-12, F.col("d")).otherwise(F.lit(1.0))
+    scales = places.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("place", scale.alias("d")))).alias("_s")).select("series_id", F.col("_s.d").alias("_s"))
+    n = F.count("*").over(Window.partitionBy("series_id"))
+    step = (n - 1) / F.lit(most - 1)
+    spaced = (n <= most) | (F.floor(F.ceil(F.col("_i") / step) * step + 1e-9) == F.col("_i"))
+    known = train.withColumn("_in", spaced).where("_in").groupBy("series_id").agg(F.collect_list("_z").alias("_known"))
+    tests = rows.where("part = 'test'").join(scales, "series_id").join(known, "series_id")
+
+    def distance(other: Column) -> Column:
+        parts = F.zip_with(F.zip_with("_z", other, lambda a, b: a - b), "_s", lambda a, d: a / d)
+        return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x))
+
+    near = F.slice(F.array_sort(F.transform("_known", distance)), 1, k)
+    return tests.select("series_id", "t", (F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)).alias("score"))
+
+
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """query_id, score: the mean distance of a query to its k nearest rows, itself apart; exact.
 

@@ -81,6 +81,11 @@ ORACLES: dict[str, str] = {key: BASE + sql for key, sql in {
     "b7_router_ledger": CASES + """, rm AS (SELECT "case", method, avg(auprc) FILTER (part = 'validation') AS validation, avg(auroc) FILTER (part = 'test') AS test_auroc, avg(auprc) FILTER (part = 'test') AS test_auprc FROM ca GROUP BY 1, 2),
 al2 AS (SELECT "case", string_agg(method, ',' ORDER BY method) AS allowed_methods FROM rm GROUP BY 1), ch AS (SELECT * FROM rm WHERE validation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY validation DESC, method) = 1), oc AS (SELECT * FROM rm WHERE test_auprc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY test_auprc DESC, method) = 1)
 SELECT "case", allowed_methods, ch.method AS selected_method, round(ch.validation, 9) AS validation, round(ch.test_auroc, 9) AS test_auroc, round(ch.test_auprc, 9) AS test_auprc, oc.method AS best_method, round(oc.test_auprc, 9) AS best_auprc, round(oc.test_auprc - ch.test_auprc, 9) + 0 AS regret FROM al2 JOIN ch USING ("case") LEFT JOIN oc USING ("case")""",
+    "d26_subsequences": """, sg AS (SELECT series_id, part, t, list(x) OVER (PARTITION BY series_id, part ORDER BY t ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS l FROM raw WHERE part <> 'validation'),
+sp AS (SELECT series_id, part, t, list_concat(list_transform(range(16 - len(l)), lambda i: l[1]), l) AS s FROM sg), sz AS (SELECT series_id, part, t, unnest(range(16)) AS i, unnest(list_transform(s, lambda v: (v - list_avg(s)) / greatest(list_stddev_pop(s), 1e-6))) AS z FROM sp),
+sd AS (SELECT series_id, i, CASE WHEN stddev_pop(z) > 1e-12 THEN stddev_pop(z) ELSE 1 END AS d FROM sz WHERE part = 'train' GROUP BY 1, 2),
+sn AS (SELECT a.series_id, a.t, b.t AS u, sqrt(sum(((a.z - b.z) / d) ** 2)) AS away FROM sz a JOIN sz b ON b.series_id = a.series_id AND b.i = a.i AND b.part = 'train' JOIN sd ON sd.series_id = a.series_id AND sd.i = a.i WHERE a.part = 'test' GROUP BY 1, 2, 3)
+SELECT series_id, t, round(avg(away), 6) AS score FROM (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY series_id, t ORDER BY away) <= 5) GROUP BY 1, 2""",
     "f4_templates": templates("raw", "x", TOLERANCE) + f'SELECT series_id, b AS "begin", e AS "end", n, {r("level")}, {r("rng", "range")}, {r("delta", "flank_delta")}, {r("score")}, rank::INTEGER AS rank FROM ts',
     "f4_template_faults": templates("n", "v", TOLERANCE / 200) + f""", tw AS (SELECT z.series_id, size, coalesce(greatest(8, least(greatest(8, least(96, size // 3)), ts.n)), 48) AS length, coalesce({clip('level')}, high) AS level FROM (SELECT series_id, count(*) AS size, quantile_cont(v, 0.95) AS high FROM n GROUP BY 1) z LEFT JOIN ts ON ts.series_id = z.series_id AND rank = 1),
 tl AS (SELECT n.*, level, (row_number() OVER (PARTITION BY n.series_id ORDER BY ((t // length) * 7919 + n.series_id * 104729) % 1000003, t // length, t) <= greatest(1, round(size * {num(SHARE)})))::INTEGER AS label FROM n JOIN tw USING (series_id)) SELECT series_id, t, label, round(CASE WHEN label = 1 THEN level ELSE v END, 6) + 0 AS vf FROM tl""",

@@ -162,6 +162,7 @@ REPORTS: dict[str, Callable[[Series], DataFrame]] = {
     "b4_layers": lambda s: rounded(layers(s), 9),
     "b12_sweep": lambda s: rounded(sweep(s)),
     "b16_panel": lambda s: rounded(panel(s)),
+    "d26_subsequences": lambda s: rounded(D.subsequence_neighbours(s.raw, "x", 16)),
     "f4_templates": lambda s: rounded(mined(s)),
     "f4_template_faults": lambda s: rounded(template_series(s).select("series_id", "t", "label", "vf")),
     "j15_products": lambda s: rounded(products(s)),

@@ -154,3 +154,48 @@ def backfill(months: DataFrame, at: str, least: int = 100, most: int = 12) -> Da
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     """Fixed column order, a header also where there are no rows."""
     rows.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Streams by name: the reader and the file or folder that it takes, below a common folder.
+STREAMS = {"air_quality": (air_quality, "AirQualityUCI.csv"), "household_power": (household_power, "household_power_consumption.txt"), "bike_sharing": (bike_sharing, "hour.csv"), "beijing_air": (beijing_air, "PRSA_data.csv"), "timestamped": (timestamped, "timestamped")}
+
+
+def streams(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(STREAMS)) -> DataFrame:
+    """All streams that are there as one table (series_id, ts, value); files that aren't are left out."""
+    found = spark.createDataFrame([], "series_id string, ts timestamp, value double")
+    for name in names:
+        reader, file = STREAMS[name]
+        path = f"{folder.rstrip('/')}/{file}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            found = found.unionByName(reader(spark, path).select("series_id", F.col("ts").cast("timestamp").alias("ts"), "value"))
+    return found
+
+
+def config(spark: SparkSession, path: str, prefix: str = "tidewright.") -> dict:
+    """A JSON document's values by dotted name, with those of the session's settings under the prefix in their place."""
+    import json
+
+    def flat(value, name: str) -> dict:
+        if isinstance(value, dict):
+            return {k: v for key, own in value.items() for k, v in flat(own, f"{name}.{key}" if name else key).items()}
+        return {name: value}
+
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())  # one small file
+    found = flat(json.loads(text), "")
+    for key in found:
+        if (own := spark.conf.get(prefix + key, None)) is not None:
+            found[key] = own if isinstance(found[key], str) else json.loads(own)
+    return found
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A result table that write_csv left, with its columns in any order; an empty field is null."""
+    rows = csv(spark, path)
+    fields = [x.strip().rsplit(" ", 1) for x in schema.split(",")]
+    return rows.select(*[F.nullif(F.col(f"`{n}`"), F.lit("")).try_cast(t).alias(n) for n, t in fields])
+
+
+def write_document(row: DataFrame, path: str) -> None:
+    """A summary of one row as a JSON document, nulls included."""
+    row.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
