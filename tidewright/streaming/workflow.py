@@ -35,19 +35,20 @@ def decide(batch: DataFrame, known: DataFrame | None, spent: DataFrame | None, w
     if known is None:
         rows = rows.withColumn("_known", F.lit(None).cast("int"))
     else:
-        own = known.join(batch.select("report_id").distinct(), "report_id", "left_semi")
+        own = known.join(batch.select("report_id"), "report_id", "left_semi")
         rows = rows.join(own.groupBy("report_id").agg(F.max("correction_version").alias("_known")), "report_id", "left")
     if spent is None:
         rows = rows.withColumn("_spent", F.lit(0.0))
     else:
         rows = rows.join(spent.select("device_id", F.col("spent").alias("_spent")), "device_id", "left").fillna(0.0, ["_spent"])
     candidate = F.col("_known").isNull() & F.col("_first")
-    rows = rows.withColumn("_asked", F.when(candidate, F.col("epsilon")).otherwise(F.lit(0.0)))
-    rows = relations.running_sum(rows, "device_id", relations.hour(), ["ts", "report_id"], "_asked", "_sum")
-    rows = rows.withColumn("projected_epsilon_sum", F.when(candidate, F.col("_spent") + F.col("_sum")))
+    # a device's events of one batch are one task's, as a batch is of bounded size
+    order = Window.partitionBy("device_id").orderBy("ts", "report_id").rowsBetween(Window.unboundedPreceding, 0)
+    asked = F.sum(F.when(candidate, F.col("epsilon"))).over(order)
+    rows = rows.withColumn("projected_epsilon_sum", F.when(candidate, F.col("_spent") + asked))
     duplicate = ~F.col("_first") | (F.col("_known") >= F.col("correction_version"))
     status = F.when(duplicate, "duplicate").when(~candidate, "correction").when(F.col("projected_epsilon_sum") > cap, "rejected").otherwise("accepted")
-    return rows.withColumn("status", status).drop("_known", "_spent", "_first", "_asked", "_sum")
+    return rows.withColumn("status", status).drop("_known", "_spent", "_first")
 
 
 def known_of(decisions: DataFrame) -> DataFrame:
