@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licences, packing, quality_rules, simhash, site_quality, substring, token_files, url_filter, warc
+from . import common, decontaminate, hard_negatives, licences, packing, quality_rules, secret_scan, simhash, site_quality, substring, token_files, url_filter, warc
 from .tokens import vocabulary
 
 
@@ -72,7 +72,22 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(common.prepare(spark), sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), anchor="vec_id % 100 = 0")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rules = common.table(common.prepare(spark), sf_dir, "documents").select("doc_id", "text"), (*secret_scan.BASE, *secret_scan.MORE)
+    ledger = secret_scan.Ledger(spark, common.new_folder(spark, "secrets"))
+    ledger.scan(docs, rules)
+    rows, base = ledger.findings(docs, rules), [r.kind for r in secret_scan.BASE]
+    counts = [F.size(secret_scan.of_kinds("spans", k)).cast("long").alias(f"n_{k}") for k in base]
+    return rows.select("doc_id", *counts, F.sha2(secret_scan.listed(secret_scan.of_kinds("spans", *base)), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring, op10_site_quality)
+    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring, op10_site_quality, op11_hard_negatives, op13_secret_scan)
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql()}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op13_secret_scan": secret_scan.oracle_sql()}
