@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, hard_negatives, licences, packing, quality_rules, secret_scan, simhash, site_quality, substring, token_files, url_filter, warc
+from . import common, decontaminate, hard_negatives, licences, merkle, packing, quality_rules, secret_scan, simhash, site_quality, substring, token_files, url_filter, warc
 from .tokens import vocabulary
 
 
@@ -78,6 +78,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), anchor="vec_id % 100 = 0")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(common.prepare(spark), sf_dir, "documents")
+    of = lambda text: merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, of(F.translate("text", "\n", "")))
+    leaves = docs.select(F.col("source").alias("part"), common.long_id(docs, "doc_id").alias("id"), of(F.col("text")).alias("leaf"), tampered.alias("changed"))
+    rows = merkle.build(leaves).fold()
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rules = common.table(common.prepare(spark), sf_dir, "documents").select("doc_id", "text"), (*secret_scan.BASE, *secret_scan.MORE)
     ledger = secret_scan.Ledger(spark, common.new_folder(spark, "secrets"))
@@ -88,6 +97,6 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring, op10_site_quality, op11_hard_negatives, op13_secret_scan)
+    f.__name__: f for f in (op1_warc, op2_quality_rules, op3_licences, op4_packing, op5_simhash, op6_url_filter, op7_token_files, op8_decontaminate, op9_substring, op10_site_quality, op11_hard_negatives, op12_merkle, op13_secret_scan)
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op13_secret_scan": secret_scan.oracle_sql()}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op3_licences": licences.oracle_sql(), "op6_url_filter": url_filter.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_merkle": merkle.oracle_sql(), "op13_secret_scan": secret_scan.oracle_sql()}
