@@ -453,6 +453,58 @@ def test_decontamination_against_every_pair(spark):
     given, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find(given, bench).collect()}
     assert got.items() <= want.items() and len(got) >= 0.97 * len(want) > 30
+    by_size = Counter(i // 6 for _, i in want)  # no band of sizes is lost
+    assert all(sum(i // 6 == band for _, i in got) >= 0.9 * n for band, n in by_size.items())
+
+
+def with_edits(text: str, place: str, kind: str, rng) -> str:
+    """All edits allowed, of one kind and at one place."""
+    own = text.split()
+    n, k = len(own), decontaminate.allowed(len(own), 0.8)
+    at = {"head": range(k), "tail": range(n - k, n), "middle": range((n - k) // 2, (n - k) // 2 + k), "spread": sorted(rng.choice(n, k, replace=False).tolist())}[place]
+    for j in sorted(at, reverse=True):
+        own[j : j + (kind != "more")] = [] if kind == "missing" else [f"zz{rng.integers(0, 1 << 40)}"]
+    return " ".join(own)
+
+
+def test_decontamination_finds_rare_sizes():
+    """Among many short items, those of each other size are found as often as asked, and none is too long."""
+    rng = np.random.default_rng(15)
+    sizes = [8 + i % 22 for i in range(400)] + [45] * 6 + [64] * 6 + [65] * 6 + [150] * 4 + [300] * 3 + [600] * 3 + [5000]
+    items = [(i, words(20_000 + i, n)) for i, n in enumerate(sizes)]
+    index = decontaminate.Index(*decontaminate.parsed(items, 0.8, 0.99))
+    tried, found = Counter(), Counter()
+    for place in ("head", "tail", "middle", "spread"):
+        for kind in ("other", "missing", "more"):
+            texts = [" ".join([words(1, 20), with_edits(items[i][1], place, kind, rng), words(2, 20)]) for i in range(400, len(items))]
+            got = {(400 + d, i) for d, i, *_ in index.search(pa.array([t.encode() for t in texts], pa.binary()))}
+            assert all(i == j for i, j in got)
+            tried.update(sizes[400:])
+            found.update(sizes[i] for i, _ in got)
+    assert all(found[n] >= 0.95 * tried[n] for n in tried), (tried, found)
+
+
+@pytest.mark.parametrize("n", [6, 12, 20, 28, 36, 44, 52, 60, 64])
+def test_decontamination_walks_of_a_size(n):
+    rng = np.random.default_rng(n)
+    items = [(i, words(30_000 + 100 * n + i, n)) for i in range(100)]
+    index = decontaminate.Index(*decontaminate.parsed(items, 0.8, 0.99))
+    for kind in ("other", "missing", "more"):
+        texts = [" ".join([words(1, 20), with_edits(t, "spread", kind, rng), words(2, 20)]).encode() for _, t in items]
+        assert len({d for d, i, *_ in index.search(pa.array(texts, pa.binary())) if d == i}) >= 96, kind
+
+
+def test_decontamination_of_awkward_rows(spark):
+    item = words(50, 40)
+    bench = spark.createDataFrame([(1, item, 9, "x"), (1, item, 9, "x"), (2, words(51, 5000), 9, "y")], "item_id long, text string, doc_id long, edits string")
+    long = words(52, 90_000) + " " + item + " " + words(53, 1000)
+    data = [(None, item, 1, "a"), (7, item, 2, "b"), (7, item, 2, "b"), (7, "other words", 3, "c"), (8, long, 4, "d")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, item_id long, first_word string")
+    got = Counter((r.doc_id, r.item_id, r.first_word) for r in decontaminate.find(docs, bench).collect())
+    assert got == {(None, 1, 0): 2, (7, 1, 0): 4, (8, 1, 90_000): 2}
+    assert [tuple(r) for r in decontaminate.remove(docs, bench).collect()] == [data[3]]
+    with pytest.raises(ValueError, match="similarities"):
+        decontaminate.find(docs, bench, similarity=0.7)
 
 
 def test_best_match_is_the_edit_distance():

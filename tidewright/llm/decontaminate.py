@@ -5,8 +5,10 @@ writes it, and moves on or stays by a random bit of symbol and step, so texts of
 small Hamming distance. Half of the walks go from the window's first word on, half from its last one back, so edits in
 a bunch at either end leave the walks from the other end alone; half take as many steps as the window has words and see
 one half of it, the others take twice as many. Keys made of a few sampled places of a walk propose items, with as many
-walks as reach the target recall whether the edits allowed are spread or bunched; the edit distance then decides,
-exactly. Before that, windows are left out that can't match: with k edits, all but 2k of an item's word pairs remain.
+walks as reach the target recall for an item's own size, whether the edits allowed are spread or bunched; the edit
+distance then decides, exactly. Before that, windows are left out that can't match: with k edits, all but 2k of an item's
+word pairs remain. The longer an item, the rarer its walks agree, so one beyond PART words is looked for by its parts:
+of the edits that it allows, one part at least has no more than its share, and is found as an item of its size is.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ ROWS = "doc_id long, item_id long, edits int, first_word int, last_word int"
 FOLD = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 FOLD[65:91] += 32
 SIMILARITY, RECALL, SAMPLED = 0.8, 0.99, 3
-#: Walks by which the number of repetitions is found, edited items for each kind and place of edits, and walks at most.
-TRIALS, EDITED, MOST = 64, 40, 1024
+#: Words of an item's part at most, and walks that find 0.99 of parts with so many edits (0, 1, ...), each kind and place
+#: of edits for itself, where a fifth of the words may be edited; tests measure it for all sizes.
+PART, WALKS = 64, (2, 10, 14, 16, 20, 24, 28, 34, 38, 42, 48, 52, 56)
 #: Windows whose walks are held at a time.
 HELD = 256
 #: Bytes of benchmark text that are searched for at a time: its words, 8 bytes each, are broadcast, and a task keeps
@@ -45,31 +48,38 @@ def allowed(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
+def repetitions(n: int, similarity: float, recall: float) -> int:
+    """Walks for a part of n words."""
+    return 2 * ceil(WALKS[allowed(n, similarity)] * max(1.0, log(1 - recall) / log(0.01)) / 2)
+
+
 class Walks:
     """Repeated walks over windows of any size, with the sampled places of each that make a key."""
 
-    def __init__(self, repetitions: int, longest: int):
+    def __init__(self, repetitions: int):
         rng = np.random.default_rng(7)
         # drawn walk by walk, so that a few of many walks are the same as few
-        draws = [(rng.integers(0, 1 << 63, 2 * 4096, dtype=np.uint64) | np.uint64(1), rng.random(SAMPLED)) for _ in range(repetitions)]
-        self.seeds = np.stack([d[0][: 2 * longest] for d in draws], axis=1)  # steps x walks
+        draws = [(rng.integers(0, 1 << 63, 2 * PART, dtype=np.uint64) | np.uint64(1), rng.random(SAMPLED)) for _ in range(repetitions)]
+        self.seeds = np.stack([d[0] for d in draws], axis=1)  # steps x walks
         self.shares = np.stack([d[1] for d in draws])
         r = np.arange(repetitions)
         self.back, self.long = r % 2 == 1, r // 2 % 2 == 1
 
-    def keys(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def keys(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, walks: np.ndarray) -> np.ndarray:
         """Walks x windows: the key of each window, which has at most `sizes` words and none at or after `ends`.
 
-        The size and the walk are part of the key, so that all keys can be looked up together.
+        Only the first `walks` of a window count. The size and the walk are part of the key, so that all keys can be
+        looked up together.
         """
-        out = np.zeros((len(self.back), len(starts)), np.uint64)
+        out = np.zeros((int(walks.max(initial=0)), len(starts)), np.uint64)
         for at in range(0, len(starts), HELD):
             part = slice(at, at + HELD)
-            out[:, part] = self.some(symbols, starts[part], np.minimum(sizes[part], ends[part] - starts[part]), sizes[part])
+            most = int(walks[part].max())
+            out[:most, part] = self.some(symbols, starts[part], np.minimum(sizes[part], ends[part] - starts[part]), sizes[part], most)
         return out
 
-    def some(self, symbols: np.ndarray, starts: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        back = self.back[:, None]
+    def some(self, symbols: np.ndarray, starts: np.ndarray, words: np.ndarray, sizes: np.ndarray, walks: int) -> np.ndarray:
+        back = self.back[:walks, None]
         steps = 2 * int(sizes.max())
         base, sign = np.where(back, starts + words - 1, starts), np.where(back, -1, 1)
         gone, written = np.zeros(base.shape, np.int64), np.zeros((steps, *base.shape), np.uint64)
@@ -77,65 +87,15 @@ class Walks:
             inside = gone < words
             symbol = np.where(inside, symbols[np.where(inside, base + sign * gone, 0)], np.uint64(0))
             written[j] = symbol
-            gone += ((symbol * self.seeds[j][:, None]) >> np.uint64(63)).view(np.int64) | ~inside
-        span = np.where(self.long[:, None], 2 * sizes, sizes)
-        key = np.arange(len(self.back), dtype=np.uint64)[:, None] * np.uint64(GRAM) + sizes.astype(np.uint64)
-        for share in self.shares.T:
+            gone += ((symbol * self.seeds[j, :walks, None]) >> np.uint64(63)).view(np.int64) | ~inside
+        span = np.where(self.long[:walks, None], 2 * sizes, sizes)
+        key = np.arange(walks, dtype=np.uint64)[:, None] * np.uint64(GRAM) + sizes.astype(np.uint64)
+        for share in self.shares[:walks].T:
             place = (share[:, None] * span).astype(np.int64)
             key = mix((key ^ np.take_along_axis(written, place[None], axis=0)[0]) * np.uint64(GRAM))
         return key
 
 
-def edited(items: list[np.ndarray], similarity: float, seed: int = 7) -> Iterator[list[np.ndarray]]:
-    """For each kind and place of edits, items with all edits allowed: other, missing or more words at the head, at the
-    tail, in the middle or anywhere."""
-    rng = np.random.default_rng(seed)
-    for place in ("head", "tail", "middle", "spread"):
-        for kind in range(3):
-            out = []
-            for k in range(EDITED):
-                text = items[k * len(items) // EDITED].tolist()
-                n, edits = len(text), allowed(len(text), similarity)
-                first = {"head": 0, "tail": n - edits, "middle": (n - edits) // 2, "spread": 0}[place]
-                at = rng.choice(n, edits, replace=False) if place == "spread" else range(first, first + edits)
-                for i in sorted(at, reverse=True):
-                    text[i : i + (kind != 2)] = [] if kind == 1 else [int(rng.integers(1, 1 << 62))]
-                out.append(np.array(text, np.uint64))
-            yield out
-
-
-def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> int:
-    """Walks that find items, on average over each kind and place of edits, as often as asked."""
-    items = sorted((w for w in items if allowed(len(w), similarity)), key=len)
-    if not items:
-        return 2
-    rng, walks, needed = np.random.default_rng(8), Walks(TRIALS, max(map(len, items))), 2
-    own = [items[k * len(items) // EDITED] for k in range(EDITED)]
-    begins = np.cumsum([0, *map(len, own)])
-    sizes = np.diff(begins)
-    want = walks.keys(np.concatenate(own), begins[:-1], begins[1:], sizes)
-    for texts in edited(items, similarity):
-        symbols, starts, item, at = [], [], [], 0
-        for k, text in enumerate(texts):  # among other words, from all starts that can be right
-            edits = allowed(len(own[k]), similarity)
-            symbols += [rng.integers(1, 1 << 62, 2 * edits, dtype=np.uint64), text, rng.integers(1, 1 << 62, 3 * edits, dtype=np.uint64)]
-            starts.append(at + np.arange(edits, 3 * edits + 1))
-            item.append(np.full(2 * edits + 1, k))
-            at += len(text) + 5 * edits
-        starts, item = np.concatenate(starts), np.concatenate(item)
-        same = walks.keys(np.concatenate(symbols), starts, np.full(len(starts), at), sizes[item]) == want[:, item]
-        hits = np.zeros((TRIALS, EDITED))
-        np.maximum.at(hits, (slice(None), item), same)
-        missed = 1 - (hits.sum(axis=0) + 0.5) / (TRIALS + 1)  # by one walk; some edits are harder than others
-        n = 2
-        while (missed**n).mean() > 1 - recall:
-            n += 2
-            if n > MOST:
-                raise ValueError(f"{MOST} walks don't reach a recall of {recall}")
-        needed = max(needed, n)
-    return needed
-
-
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     """Least edit distance of the item to a part of the text, and the end of the first such part (bit-parallel)."""
     m = len(item)
@@ -157,27 +117,39 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Index:
-    """The items of one block of a benchmark: their words in one array, and the keys of their walks in order."""
-
-    def __init__(self, ids: np.ndarray, words: np.ndarray, begins: np.ndarray, similarity: float, walks: int):
-        self.ids, self.words, self.begins, self.similarity = ids, words, begins, similarity
-        self.sizes = np.diff(begins)
-        self.edits = np.array([allowed(n, similarity) for n in self.sizes.tolist()], np.int64)
+    """The items of one block of a benchmark: their words in one array, their parts, and the keys of these in order."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, begins: np.ndarray, similarity: float, recall: float):
+        self.ids, self.words, self.begins, self.similarity, self.recall = ids, words, begins, similarity, recall
+        whole = np.diff(begins)
+        self.edits = np.array([allowed(n, similarity) for n in whole.tolist()], np.int64)
+        # of each part: its item, its first word there and its size
+        parts = -(-whole // PART)
+        self.item = np.repeat(np.arange(len(whole)), parts)
+        at = np.arange(len(self.item)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.offset = at * whole[self.item] // parts[self.item]
+        self.sizes = (at + 1) * whole[self.item] // parts[self.item] - self.offset
+        first = begins[self.item] + self.offset
         inside = np.ones(max(0, len(words) - 1), bool)
-        inside[begins[1:-1] - 1] = False
-        # each pair of words once, with a bit for each size of the items that have it
-        self.by_size = {n: np.uint64(k % 64) for k, n in enumerate(np.unique(self.sizes).tolist())}
+        inside[first[1:] - 1] = False
+        # each pair of words once, with a bit for each size of the parts that have it
+        self.by_size = {n: np.uint64(k) for k, n in enumerate(np.unique(self.sizes).tolist())}
         pairs = pairs_of(words)[inside]
         bits = np.uint64(1) << np.repeat([self.by_size[n] for n in self.sizes.tolist()], self.sizes)[:-1][inside].astype(np.uint64)
         order = np.argsort(pairs, kind="stable")
-        self.pairs, first = np.unique(pairs[order], return_index=True)
-        self.of_sizes = np.bitwise_or.reduceat(bits[order], first) if len(first) else np.zeros(0, np.uint64)
+        self.pairs, start = np.unique(pairs[order], return_index=True)
+        self.of_sizes = np.bitwise_or.reduceat(bits[order], start) if len(start) else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
-        self.walks = Walks(walks, int(self.sizes.max()))
-        keys = self.walks.keys(words, begins[:-1], begins[1:], self.sizes).ravel()
+        self.needed = {n: repetitions(n, similarity, recall) for n in self.by_size}
+        self.walks = Walks(max(self.needed.values()))
+        by = np.argsort(self.sizes, kind="stable")
+        needed = np.array([self.needed[n] for n in self.sizes[by].tolist()])
+        keys = self.walks.keys(words, first[by], first[by] + self.sizes[by], self.sizes[by], needed)
+        of_walk, part = np.nonzero(np.arange(len(keys))[:, None] < needed)
+        keys, part = keys[of_walk, part], by[part]
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], (order % len(ids)).astype(np.int32)
+        self.keys, self.owner = keys[order], part[order].astype(np.int32)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """text, item, edits, first word, end: the best passage for each item within the similarity."""
@@ -197,7 +169,7 @@ class Index:
         ends = words.first[1:][words.doc]  # of each word's document
         starts, sizes = [], []
         for n, bit in self.by_size.items():
-            # with all edits, a window of the item's size keeps all pairs but two for each edit, or is k words off
+            # with all edits, a window of the part's size keeps all pairs but two for each edit, or is k words off
             k = allowed(n, self.similarity)
             inside = np.concatenate([count[n + k :], np.full(min(n + k, len(count)), count[-1], np.int32)])[:n_words] - count[:n_words]
             own = np.flatnonzero(inside >= n - 1 - 2 * k)
@@ -210,11 +182,11 @@ class Index:
         proposed: dict[tuple[int, int], set[int]] = defaultdict(set)
         for at in range(0, len(starts), 1 << 14):
             own, n = starts[at : at + (1 << 14)], sizes[at : at + (1 << 14)]
-            found = self.walks.keys(words.hash, own, ends[own], n)
+            found = self.walks.keys(words.hash, own, ends[own], n, np.array([self.needed[x] for x in n.tolist()], np.int64))
             low, high = np.searchsorted(self.keys, found, "left"), np.searchsorted(self.keys, found, "right")
             for r, w in zip(*np.nonzero(high > low), strict=True):
-                for item in self.owner[low[r, w] : high[r, w]].tolist():
-                    proposed[int(words.doc[own[w]]), item].add(int(own[w]))
+                for part in self.owner[low[r, w] : high[r, w]].tolist():
+                    proposed[int(words.doc[own[w]]), int(self.item[part])].add(int(own[w]) - int(self.offset[part]))
         out = []
         for (doc, item), places in proposed.items():
             out += self.verify(words, doc, item, sorted(places))
@@ -230,7 +202,8 @@ class Index:
             if p is not None and p - end <= n:
                 end = p
                 continue
-            a, b = max(first, begin - k), min(last, end + n + 2 * k)
+            # a place is where the item would begin: its part may be k words off, and k more before the part are edits
+            a, b = max(first, begin - 2 * k), min(last, end + n + 3 * k)
             text = words.hash[a:b].tolist()
             edits, stop = best_match(own, text)
             if edits <= k and (best is None or edits < best[2]):
@@ -247,14 +220,14 @@ def pairs_of(words: np.ndarray) -> np.ndarray:
 
 
 def parsed(items: list[tuple[int, str]], similarity: float, recall: float) -> tuple | None:
-    """Ids, words, bounds, similarity and number of walks of an index; none if no item has words."""
+    """Ids, words, bounds, similarity and recall of an index; none if no item has words."""
     words = Words(pa.array([t.encode() for _, t in items], pa.binary()), FOLD)
     sizes = np.diff(words.first)
     if not sizes.any():
         return None
     ids, sizes = np.array([i for i, _ in items], np.int64)[sizes > 0], sizes[sizes > 0]
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    return ids, words.hash, begins, similarity, repetitions(np.split(words.hash, begins[1:-1]), similarity, recall)
+    return ids, words.hash, begins, similarity, recall
 
 
 _indexes: dict[str, Index] = {}
@@ -271,7 +244,9 @@ def _index(own: Broadcast) -> Index:
 
 
 def _blocks(benchmark: DataFrame, similarity: float, recall: float) -> Iterator[Broadcast]:
-    """The items in blocks of BLOCK bytes of text or so; the walks' calibration is that of each block."""
+    """The items in blocks of BLOCK bytes of text or so."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"the number of walks is known for similarities of {SIMILARITY} or more")
     items = benchmark.select(common.long_id(benchmark, "item_id").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / (BLOCK // 2)))
@@ -287,8 +262,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     A passage matches an item of n words within n * (1 - similarity) inserted, missing or other words; case and
     ASCII signs don't count. Items with no words, and null ids or texts of the benchmark, match nothing; a null
-    document text has no words; repeated rows match each on its own; other columns are ignored. The benchmark is
-    a query set: it is read in blocks of a bounded size, each searched against all documents.
+    document text has no words; repeated rows match each on its own, null ids too; other columns are ignored. Texts and
+    items are read whole, however long. The benchmark is a query set: it is read in blocks of a bounded size, each
+    searched against all documents. A similarity below 0.8 is refused.
     """
     rows = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8(docs["text"]).alias("text"))
 
