@@ -654,6 +654,23 @@ def test_similar_classes_decide_exactly(spark, monkeypatch):
         assert not [p for p in below if got[2 * p] == got[2 * p + 1]]
 
 
+def test_what_links_does_not_depend_on_the_size_of_a_part(spark, monkeypatch):
+    """Chains of near copies, just above and below 0.8, in buckets of one part and of many."""
+    rng, data = np.random.default_rng(11), []
+    for group in range(8):
+        own = words(7000 + group, 120).split()
+        for k in range(25):
+            data.append((len(data), " ".join(own)))
+            for _ in range(1 + k % 4):
+                own[int(rng.integers(0, 120))] = f"new{len(data)}"
+    given, got = spark.createDataFrame(data, "doc_id long, text string"), []
+    for part, held in ((4096, 4_000_000), (3, 4_000_000), (4096, 400)):
+        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(simhash, "HELD", held)
+        got.append({r.doc_id: r.component_id for r in simhash.similar_classes(given).collect()})
+    assert got[0] == got[1] == got[2] and 8 < len(set(got[0].values())) < len(data)
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Texts with a common passage, and chains of near copies among them, in buckets far beyond a part's size."""
     monkeypatch.setattr(simhash, "PART", 5)

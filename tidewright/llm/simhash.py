@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .rolling import mix
 
 #: Lanes compared at a time.
 LANES = 4096
@@ -183,11 +184,13 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 8)
     return prints.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits of the wide fingerprints, and min-hashes that make the buckets; as many more part buckets that are too large.
-WIDE, KEYS = 256, 4
+#: Bits of the wide fingerprints, keys that make the buckets, and least hashes that make a key.
+WIDE, KEYS, DEEP = 256, 9, 3
 #: Fingerprints, and hashes of their shingles, that a task compares with as many others.
 PART, HELD = 4096, 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Odd multipliers: with the four columns of _MIX, as many permutations as the keys take.
+_TURNS = mix(np.arange(1, -(-KEYS * DEEP // len(_MIX)) + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -203,9 +206,9 @@ def set_name(h: np.ndarray) -> bytes:
 
 
 def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """A fingerprint of WIDE bits, and the least of the shingles' hashes under twice KEYS permutations."""
+    """A fingerprint of WIDE bits, and KEYS keys, each of the least of the shingles' hashes under DEEP permutations."""
     if not len(h):
-        return bytes(WIDE // 8), [0] * 2 * KEYS
+        return bytes(WIDE // 8), [0] * KEYS
     bits, least = np.zeros(WIDE, np.int64), []
     for part in np.split(h, range(BITS, len(h), BITS)):
         spread = part[:, None] * _MIX  # each column is a hash of its own
@@ -213,8 +216,11 @@ def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
         spread *= _MIX[::-1]
         spread ^= spread >> np.uint64(29)
         bits += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        least.append(np.concatenate([(spread[:, :KEYS] * np.uint64(m)).min(axis=0) for m in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]))
-    return np.packbits(2 * bits > len(h)).tobytes(), np.min(least, axis=0).view(np.int64).tolist()
+        least.append(np.concatenate([(spread * m).min(axis=0) for m in _TURNS]))
+    keys = np.zeros(KEYS, np.uint64)
+    for one in np.min(least, axis=0)[: KEYS * DEEP].reshape(DEEP, KEYS):
+        keys = mix(keys * _MIX[0] + one)
+    return np.packbits(2 * bits > len(h)).tobytes(), keys.view(np.int64).tolist()
 
 
 def radius_of(similarity: float, bits: int = WIDE) -> int:
@@ -279,16 +285,16 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """doc_id, text_hash, component_id (the smallest doc_id reachable), stays: a row for each row of docs.
 
     Documents link by the similarity of their word shingles. Here the radius is too wide for buckets of agreeing
-    bits: at a similarity of 0.8 a seventh of the bits differ. Buckets are documents that share the least hash of
-    their shingles under one of KEYS permutations, which those of that similarity do in all but 1 of 600 cases; in a
-    bucket, wide fingerprints are compared bit-sliced, with a radius that leaves out hardly any pair of that
-    similarity, and those within it link if the Jaccard similarity of their shingles is high enough.
+    bits: at a similarity of 0.8 a seventh of the bits differ. Buckets are documents that share one of KEYS keys, each
+    made of the least hashes of their shingles under DEEP permutations: those of that similarity do in all but 1 of 600
+    cases, those that share a frequent passage only hardly ever. In a bucket, wide fingerprints are compared bit-sliced,
+    with a radius that leaves out hardly any pair of that similarity, and those within it link if the Jaccard similarity
+    of their shingles is high enough.
 
-    Equal sets of shingles are one node. A bucket beyond PART nodes is dealt into parts, each of which gets the
-    bucket's leader too. Nodes that a part ties to the leader are one component and needn't meet each other again.
-    The others meet them, and each other, in buckets parted by KEYS more least hashes, of which similar texts share
-    one in all but 1 of 600 cases; where these are too large as well, in pairs of parts. So a group of copies costs
-    its own size, whatever that is, and texts that share a frequent passage meet few others.
+    Equal sets of shingles are one node. All nodes of a bucket meet, whatever its size: one beyond PART nodes is dealt
+    into parts, each of which gets the bucket's leader too; nodes that a part ties to the leader are one component and
+    needn't meet each other again, and the others meet all nodes, part by part. So a group of near copies costs its own
+    size, whatever that is.
 
     text_hash: XXH64 of the text, which with doc_id names a row. stays: true for the rows of a component's smallest
     doc_id and, of these, hash; repeated rows share it. Rows with one doc_id and different texts are documents of
@@ -296,7 +302,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Other columns are ignored.
     """
     radius = radius_of(similarity)
-    bucket, form = ["choice", "key", "choice2", "key2", "p", "q"], "node long, fp binary, hashes binary"
+    bucket, form = ["choice", "key", "p", "q"], "node long, fp binary, hashes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("simhash")
@@ -342,7 +348,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     nodes = prints.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     nodes = common.stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    rows = nodes.select(F.posexplode(F.slice("keys", 1, KEYS)).alias("choice", "key"), "node", "name", "fp", "keys", "size")
+    rows = nodes.select(F.posexplode("keys").alias("choice", "key"), "node", "name", "fp", "size")
     counts = (F.count("*").alias("n"), F.sum("size").alias("held"))
     parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("held") / HELD), F.lit(1)).cast("int")
     sizes = rows.groupBy("choice", "key").agg(*counts, F.min("node").alias("leader")).where("n > 1").select("choice", "key", "leader", parts.alias("parts"))
@@ -350,19 +356,16 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     # only texts that meet others are read again for their shingles
     sets = common.stage_table(_of_nodes(texts, nodes, rows).mapInArrow(shingled, "name binary, hashes binary").groupBy("name").agg(F.first("hashes").alias("hashes")), "shingle-sets")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    none = [F.lit(-1).alias("choice2"), F.lit(0).cast("long").alias("key2"), F.lit(0).alias("q")]
     first = rows.withColumn("p", F.explode(F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
-    links = common.stage_table(met(first.select("*", *none).join(sets, "name")), "links")
+    links = common.stage_table(met(first.withColumn("q", F.lit(-1)).join(sets, "name")), "links")
 
-    large = rows.where("parts > 1").select("choice", "key", "node", "name", "leader", "fp", "keys", "size")
+    large = rows.where("parts > 1").select("choice", "key", "node", "name", "leader", "fp", "size", "parts")
     tied = links.join(large.select("choice", "key", "leader").distinct(), ["choice", "key"]).where("b = leader").select("choice", "key", F.col("a").alias("node"), F.lit(False).alias("apart"))
     large = large.join(tied.distinct(), ["choice", "key", "node"], "left").withColumn("apart", F.coalesce("apart", F.lit(True)))
-    large = common.stage_table(large.select("choice", "key", F.posexplode(F.slice("keys", KEYS + 1, KEYS)).alias("choice2", "key2"), "node", "name", "fp", "size", "apart"), "large-buckets")
-    side = [F.count_if("apart").alias("others"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("others_held")]
-    sizes = large.groupBy("choice", "key", "choice2", "key2").agg(*counts, *side).where("n > 1 and others > 0")
-    few = F.greatest(F.ceil(F.col("others") / PART), F.ceil(F.col("others_held") / HELD), F.lit(1)).cast("int")
-    sizes = sizes.select("choice", "key", "choice2", "key2", parts.alias("parts"), few.alias("few"))
-    large = large.join(sizes, ["choice", "key", "choice2", "key2"])
+    large = common.stage_table(large, "large-buckets")
+    sizes = large.groupBy("choice", "key").agg(F.count_if("apart").alias("others"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("held")).where("others > 0")
+    few = F.greatest(F.ceil(F.col("others") / PART), F.ceil(F.col("held") / HELD), F.lit(1)).cast("int")
+    large = large.join(sizes.select("choice", "key", few.alias("few")), ["choice", "key"])
     # a part of the others, p, meets every part of all nodes, q
     all_p = F.sequence(F.lit(0), F.col("few") - 1)
     all_q = F.sequence(F.lit(0), F.col("parts") - 1)
