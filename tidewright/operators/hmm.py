@@ -1,16 +1,22 @@
 """Detectors that go through a series row by row: hidden Markov models and change points.
 
-A series is one group of applyInPandas; all candidates are worked on at once with NumPy. What a group needs
-besides its rows (channel columns, a fixed 32 x 32 table) travels with the function.
+Models with fixed columns are a parallel scan (operators/scan.py), so a series may be of any length. For those that
+learn or shortlist, and for change points, a series is one group of applyInPandas; all candidates are worked on at once
+with NumPy. What a group needs besides its rows (channel columns, a fixed 32 x 32 table) travels with the function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 SCORES = "series_id int, t long, score double, candidate int, rate double"
 LEAST, FLOOR = 1e-15, 1e-12
 
@@ -44,52 +50,29 @@ def stuck(rows: DataFrame, matrix: np.ndarray, p0: DataFrame, rate: float = 0.2,
     """rows: series_id, t, obs. matrix: reports x candidates. p0: series_id, report_bucket, p0, a normal series' reports
     by its calibration. Scores by the candidate of the largest likelihood (of those equal to nine digits the lowest), or,
     with per_row, by the best candidate of each row. With a radius, a candidate is the mean of the columns around it. A
-    null report tells nothing; a report that a series' p0 doesn't have counts as impossible when normal."""
+    null report tells nothing; a report that a series' p0 doesn't have counts as impossible when normal. A series without
+    p0 has no scores."""
     out, d = matrix.shape
     columns = np.stack([matrix[:, max(0, c - radius) : c + radius + 1].mean(axis=1) for c in range(d)], axis=1)
-    columns = np.maximum(columns, FLOOR)
-    p01, p11 = transition(rate, length)
-
-    def run(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return pd.DataFrame({c.split(" ")[0]: [] for c in SCORES.split(", ")})
-        group = group.sort_values("t")
-        normal = np.zeros(out)
-        normal[own["report_bucket"].to_numpy(int)] = own["p0"]
-        normal = np.maximum(normal, FLOOR)
-        seen = group["obs"].notna().to_numpy()
-        obs = group["obs"].fillna(0).astype(int).to_numpy()
-        e = np.stack([np.repeat(normal[obs][:, None], d, axis=1), columns[obs]], axis=1)
-        e[~seen] = 1.0
-        likelihood, posterior = forward_backward(e, p01, p11, rate)
-        best = int(np.argmax(np.round(likelihood, 9)))
-        score = posterior.max(axis=1) if per_row else posterior[:, best]
-        candidate = np.round(posterior, 9).argmax(axis=1) if per_row else best
-        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": score, "candidate": candidate, "rate": float(score.mean())})
-
-    rows, p0 = rows.select("series_id", "t", "obs"), p0.select(F.col("series_id").alias("own_id"), "report_bucket", "p0")
-    return rows.groupBy("series_id").cogroup(p0.groupBy("own_id")).applyInPandas(run, SCORES)
+    chain = scan.Chain(np.maximum(columns, FLOOR), *transition(rate, length), rate)
+    return _scored(rows, scan.posteriors(rows, scan.normals(p0, out, FLOOR), chain, per_row))
 
 
 def dropout(rows: DataFrame, normal_loss: float = 0.01, losses: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8), rate: float = 0.2, length: float = 48.0) -> DataFrame:
     """State 1 loses reports (null) at one of the rates above normal_loss, that of the largest likelihood; state 0 with
     normal_loss. What is reported tells nothing, as both states report the same. candidate: the loss in hundredths."""
-    p01, p11 = transition(rate, length)
     losses = tuple(x for x in losses if x > normal_loss)
     if not losses:
         raise ValueError("no loss is above the normal one")
+    chain = scan.Chain(np.array([[1 - x for x in losses], losses]), *transition(rate, length), rate)
+    gone = rows.select("series_id", "t", F.col("obs").isNull().cast("int").alias("obs"))
+    normal = rows.select("series_id").distinct().withColumn("normal", F.array(F.lit(1 - normal_loss), F.lit(normal_loss)))
+    found = _scored(rows, scan.posteriors(gone, normal, chain))
+    return found.withColumn("candidate", F.element_at(F.array(*[F.lit(round(100 * x)) for x in losses]), F.col("candidate") + 1))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        gone = group["obs"].isna().to_numpy()[:, None]
-        fault = np.array(losses)
-        e = np.stack([np.where(gone, normal_loss, 1 - normal_loss) * np.ones(len(fault)), np.where(gone, fault, 1 - fault)], axis=1)
-        likelihood, posterior = forward_backward(e, p01, p11, rate)
-        best = int(np.argmax(np.round(likelihood, 9)))
-        score = posterior[:, best]
-        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": score, "candidate": round(100 * losses[best]), "rate": float(score.mean())})
 
-    return rows.select("series_id", "t", "obs").groupBy("series_id").applyInPandas(run, SCORES)
+def _scored(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return found.select(*[F.col(c).cast(rows.schema[c].dataType) for c in ("series_id", "t")], "score", "candidate", "rate")
 
 
 def learned(rows: DataFrame, matrix: np.ndarray, p0: DataFrame, rounds: int = 20, rate: float = 0.2, length: float = 48.0) -> DataFrame:
@@ -128,17 +111,62 @@ def learned(rows: DataFrame, matrix: np.ndarray, p0: DataFrame, rounds: int = 20
     return rows.groupBy("series_id").cogroup(p0.groupBy("own_id")).applyInPandas(run, SCORES)
 
 
+@dataclass
+class Shortlist:
+    """The forward filter of a few candidates with what it has seen: states of all candidates, counts of the reports, the
+    candidates at work and the number of rows so far."""
+
+    columns: np.ndarray
+    normal: np.ndarray
+    move: np.ndarray
+    few: int
+    block: int
+    state: np.ndarray
+    counts: np.ndarray
+    active: np.ndarray
+    seen: int = 0
+
+    @classmethod
+    def new(cls, matrix: np.ndarray, normal: np.ndarray, few: int = 4, block: int = 16, rate: float = 0.2, length: float = 48.0) -> Shortlist:
+        p01, p11 = transition(rate, length)
+        out, d = matrix.shape
+        move = np.array([[1 - p01, p01], [1 - p11, p11]])
+        return cls(np.maximum(matrix, FLOOR), np.maximum(normal, FLOOR), move, few, block, np.repeat([[1 - rate, rate]], d, axis=0), np.zeros(out), np.arange(min(few, d)))
+
+    def ranked(self) -> np.ndarray:
+        grid = np.linspace(0.02, 0.65, 32)[:, None]
+        apart, step = self.counts / max(self.counts.sum(), 1.0) - self.normal, self.columns - self.normal[:, None]
+        loss = (apart @ apart) - 2 * grid * (apart @ step) + grid**2 * (step * step).sum(axis=0)
+        return np.argsort(np.round(loss.min(axis=0), 12), kind="stable")[: self.few]
+
+    def feed(self, reports: Iterable[float | None]) -> tuple[list[float], list[int]]:
+        """The score and the candidate of each further row; a null report moves the states and counts nowhere."""
+        score, best = [], []
+        for report in reports:
+            known = report == report and report is not None
+            if known:
+                self.counts[int(report)] += 1
+            if self.seen and self.seen % self.block == 0:
+                self.active = self.ranked()
+            own = self.active
+            now = self.state[own] @ self.move
+            if known:
+                now = now * np.stack([np.repeat(self.normal[int(report)], len(own)), self.columns[int(report), own]], axis=1)
+            self.state[own] = now / np.maximum(now.sum(axis=1, keepdims=True), FLOOR)
+            first = int(np.argmax(np.round(self.state[own, 1], 12)))
+            score.append(float(self.state[own[first], 1]))
+            best.append(int(own[first]))
+            self.seen += 1
+        return score, best
+
+
 def shortlist(rows: DataFrame, matrix: np.ndarray, p0: DataFrame, few: int = 4, block: int = 16, rate: float = 0.2, length: float = 48.0) -> DataFrame:
-    """The forward filter of a few candidates, as a stream would keep it: every `block` rows the shortlist becomes the
-    candidates whose mixture with p0 is nearest to the reports' shares so far. candidate: the one with the row's score.
+    """The forward filter of a few candidates, as streaming/shortlist.py keeps it: every `block` rows the shortlist becomes
+    the candidates whose mixture with p0 is nearest to the reports' shares so far. candidate: the one with the row's score.
 
-    A candidate that returns goes on from where it was left; a null report moves the states and counts nowhere.
+    A candidate that returns goes on from where it was left.
     """
-    out, d = matrix.shape
-    columns = np.maximum(matrix, FLOOR)
-    p01, p11 = transition(rate, length)
-    move = np.array([[1 - p01, p01], [1 - p11, p11]])
-    grid = np.linspace(0.02, 0.65, 32)
+    out = matrix.shape[0]
 
     def run(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
@@ -146,26 +174,8 @@ def shortlist(rows: DataFrame, matrix: np.ndarray, p0: DataFrame, few: int = 4,
         group = group.sort_values("t")
         normal = np.zeros(out)
         normal[own["report_bucket"].to_numpy(int)] = own["p0"]
-        normal = np.maximum(normal, FLOOR)
-        state = np.repeat([[1 - rate, rate]], d, axis=0)
-        counts, active = np.zeros(out), np.arange(min(few, d))
-        score, best = np.zeros(len(group)), np.zeros(len(group), int)
-        for k, report in enumerate(group["obs"]):
-            known = report == report and report is not None
-            if known:
-                counts[int(report)] += 1
-            if k and k % block == 0:
-                q = counts / max(counts.sum(), 1.0)
-                apart, step = q - normal, columns - normal[:, None]
-                loss = (apart @ apart) - 2 * grid[:, None] * (apart @ step) + grid[:, None] ** 2 * (step * step).sum(axis=0)
-                active = np.argsort(np.round(loss.min(axis=0), 12), kind="stable")[:few]
-            now = state[active] @ move
-            if known:
-                now = now * np.stack([np.repeat(normal[int(report)], len(active)), columns[int(report), active]], axis=1)
-            state[active] = now / np.maximum(now.sum(axis=1, keepdims=True), FLOOR)
-            first = int(np.argmax(np.round(state[active, 1], 12)))
-            score[k], best[k] = state[active[first], 1], active[first]
-        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": score, "candidate": best, "rate": float(score.mean())})
+        score, best = Shortlist.new(matrix, normal, few, block, rate, length).feed(group["obs"])
+        return pd.DataFrame({"series_id": group["series_id"], "t": group["t"], "score": score, "candidate": best, "rate": float(np.mean(score))})
 
     rows, p0 = rows.select("series_id", "t", "obs"), p0.select(F.col("series_id").alias("own_id"), "report_bucket", "p0")
     return rows.groupBy("series_id").cogroup(p0.groupBy("own_id")).applyInPandas(run, SCORES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright import stage
+
 #: Patterns of comments on repeated values and on failures, in order of priority.
 REPEATED = r"(?i)\b(constant|flat|stuck|persist|zero values|same value)\b"
 FAILURE = r"(?i)\b(not working|malfunction|sensor drift|suspicious|bad data|failure|failed)\b"
@@ -92,26 +94,53 @@ def prior_rows(rows: DataFrame, value: str, block: int, most: int) -> DataFrame:
     return wanted.join(known, ["series_id", "at"]).select("series_id", "block", F.least(F.col("k"), F.lit(most)).alias("n"), ((F.col("s") - F.col("before")) / F.least(F.col("k"), F.lit(most))).alias("mean"))
 
 
+def sparse_table(rows: DataFrame, value: str, longest: int, block: int = 1024) -> DataFrame:
+    """series_id, blk, t, own, low, high, fault: of each row, arrays over powers of two up to `longest` with the least and
+    the largest value and whether there is a fault in the next 1, 2, 4, ... rows (null where the series ends before).
+
+    A series is cut into blocks, each with the rows of the next one beside its own, so a block has all that windows from
+    its own rows on can reach, and no task holds a series. t counts rows without gaps.
+    """
+    block = max(block, longest)
+    home = F.floor(F.col("t") / block)
+    wide = rows.select("series_id", "t", F.col(value).alias("_low"), F.col(value).alias("_high"), F.col("label").alias("_fault"), F.explode(F.array(home, home - 1)).alias("blk"))
+    wide = wide.where("blk >= 0").withColumn("own", F.col("blk") == home)
+    order, names = Window.partitionBy("series_id", "blk").orderBy("t"), ("_low", "_high", "_fault")
+    join = dict(zip(names, (F.least, F.greatest, F.greatest), strict=True))
+    levels = [names]
+    while 2 ** len(levels) <= longest:
+        half, last = 2 ** (len(levels) - 1), levels[-1]
+        own = [f"{n}{len(levels)}" for n in names]
+        beyond = {c: F.lead(c, half).over(order) for c in last}
+        wide = wide.withColumns({new: F.when(beyond[c].isNotNull() & F.col(c).isNotNull(), join[n](F.col(c), beyond[c])) for n, c, new in zip(names, last, own, strict=True)})
+        levels.append(own)
+    return wide.select("series_id", "blk", "t", "own", *[F.array(*[level[k] for level in levels]).alias(n) for k, n in enumerate(("low", "high", "fault"))])
+
+
 def matched_negatives(rows: DataFrame, runs: DataFrame, value: str, width: float, most: int = 5) -> DataFrame:
     """series_id, begin (of a run of faults), n (its rows), negative, start: windows of the same length without a fault
     whose range is beyond `width`, at most so many by a scatter of their starts; where those are fewer than `most`, any
     window without a fault.
 
-    Lengths are few (a run's length), so windows are taken once for each length of a series, not for each run.
+    Two windows of a power of two cover a window of any length, so its range and its faults take two rows of a sparse
+    table. Lengths are few (a run's length); windows are taken once for each length of a series, not for each run. t
+    counts rows without gaps; a run as long as its series has no negatives; values must not be null.
     """
-    lengths = runs.select("series_id", F.col("n").alias("length")).distinct()
-    order = Window.partitionBy("series_id", "length").orderBy("t")
-    wide = rows.join(lengths, "series_id").withColumn("_clean", F.sum("label").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    after = F.col("t") + F.col("length") - 1
-    last = wide.select("series_id", "length", F.col("t").alias("_end"), F.col("_clean").alias("_upto"))
-    spread = wide.join(rows.select("series_id", F.col("t").alias("_u"), F.col(value).alias("_x")), "series_id").where(F.col("_u").between(F.col("t"), after))
-    spread = spread.groupBy("series_id", "length", "t").agg((F.max("_x") - F.min("_x")).alias("range"))
-    starts = wide.withColumn("_end", after).join(last, ["series_id", "length", "_end"]).where(F.col("_upto") - F.col("_clean") + F.col("label") == 0)
-    starts = starts.select("series_id", "length", "t").join(spread, ["series_id", "length", "t"])
-    group = Window.partitionBy("series_id", "length")
-    starts = starts.withColumn("_good", F.count_if(F.col("range") > width).over(group)).where((F.col("range") > width) | (F.col("_good") < most))
-    place = F.row_number().over(group.orderBy((F.col("t") * 7919 + F.col("series_id") * 104729) % 1000003, "t"))
-    starts = starts.withColumn("negative", place - 1).where(F.col("negative") < most)
+    longest = runs.agg(F.max("n")).first()[0] or 1
+    table = stage.table(sparse_table(rows, value, longest), "ranges")
+    lengths = runs.select("series_id", F.col("n").alias("length"), F.floor(F.log2("n") + F.lit(1e-9)).cast("int").alias("power")).distinct()
+    at = F.element_at
+    first = table.where("own").join(lengths, "series_id")
+    first = first.select("series_id", "blk", "t", "length", "power", (F.col("t") + F.col("length") - F.pow(F.lit(2.0), F.col("power")).cast("long")).alias("_u"), *[at(c, F.col("power") + 1).alias(f"_{c}") for c in ("low", "high", "fault")])
+    second = table.select("series_id", "blk", F.col("t").alias("_u"), "low", "high", "fault")
+    both = first.join(second, ["series_id", "blk", "_u"])
+    low, high = F.least("_low", at("low", F.col("power") + 1)), F.greatest("_high", at("high", F.col("power") + 1))
+    clean = (F.col("_fault") == 0) & (at("fault", F.col("power") + 1) == 0)
+    starts = stage.table(both.where(clean).select("series_id", "length", "t", (high - low > width).alias("good")), "starts")
+    few = starts.groupBy("series_id", "length").agg(F.count_if("good").alias("_good"))
+    starts = starts.join(few, ["series_id", "length"]).where(F.col("good") | (F.col("_good") < most))
+    place = F.row_number().over(Window.partitionBy("series_id", "length").orderBy((F.col("t") * 7919 + F.col("series_id") * 104729) % 1000003, "t"))
+    starts = starts.withColumn("_place", place).where(F.col("_place") <= most).withColumn("negative", F.col("_place") - 1)
     return runs.select("series_id", "begin", "n").join(starts.select("series_id", F.col("length").alias("n"), "negative", F.col("t").alias("start")), ["series_id", "n"])
 
 

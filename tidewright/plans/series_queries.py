@@ -11,11 +11,12 @@ from tidewright import stage
 from tidewright.operators import channel as C
 from tidewright.operators import detectors as D
 from tidewright.operators import evaluation as E
-from tidewright.operators import faults, hmm
+from tidewright.operators import faults, hmm, scan
 from tidewright.operators import relations as R
 from tidewright.operators import series as S
 from tidewright.operators import summaries as B
 from tidewright.sources import telemetry
+from tidewright.streaming import shortlist
 
 Query = Callable[[SparkSession, str], DataFrame]
 EPSILON, SHARE, SEGMENT, STUCK = 2.0, 0.2, 8, 0.3
@@ -218,6 +219,7 @@ SEQUENTIAL: dict[str, Callable[[Series], DataFrame]] = {
     **{f"d20_wrong_epsilon_{name}": (lambda s, f=f: rounded(s.mistaken(f))) for name, f in (("half", 0.5), ("double", 2.0))},
     "r2_repair_variants": lambda s: rounded(variants(s)),
     "e7_diagnosis": lambda s: rounded(E.diagnosis(rounded(stuck_scores(s)).join(s.faulty.select("series_id", "t", "label"), ["series_id", "t"]), int((STUCK + 1.0) * C.D / 2)), 12),
+    "st13_stream": lambda s: rounded(shortlist.replay(s.private.join(scan.normals(s.p0, C.D), "series_id"), hmm.table(s.matrix), HMM)),
     "st13_shortlist_hmm": lambda s: rounded(hmm.shortlist(s.private, hmm.table(s.matrix), s.p0, **HMM)),
 }
 
