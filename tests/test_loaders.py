@@ -35,7 +35,7 @@ def test_windows_and_flags(spark, tmp_path):
     assert [(r.value, r.label) for r in levels.orderBy("ts").collect()] == [(1.5, 1), (None, 0)] and L.flag_counts(levels).first().counts == '{"p":1,"v":1}'
     p = save(tmp_path, "m.csv", "t0,t1,variable,flag,comment\n#2020-01-01,2020-01-02,a,x,y\n2020-01-01T00:00:00,2020-01-01T06:00:00,t_u p_u,CHECKME,sensor Stuck\n")
     r = L.manual_flags(spark, p).first()
-    assert r.hours == 6.0 and r.kind == "flatline" and r.variables == ["t_u", "p_u"]
+    assert r.hours == 6.0 and r.kind == "explicit_repeated_value_or_zero" and r.variables == ["t_u", "p_u"]
 
 
 def test_text_sources(spark, tmp_path):

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright import stage
 from tidewright.operators import channel
 from tidewright.operators.series import along, centred, rolling_mad, trailing
 
@@ -209,7 +210,8 @@ def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32,
     mean = F.aggregate("_seg", F.lit(0.0), lambda s, x: s + x) / F.lit(window)
     rows = rows.withColumn("_mean", mean)
     deviation = F.sqrt(F.aggregate("_seg", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.lit(window))
-    rows = rows.withColumn("_dev", F.greatest(deviation, F.lit(1e-6))).withColumn("_z", F.transform("_seg", lambda x: (x - F.col("_mean")) / F.col("_dev")))
+    # written, as else each value's z would be planned with the mean and the deviation in it
+    rows = stage.table(rows.withColumn("_dev", F.greatest(deviation, F.lit(1e-6))), "pieces").withColumn("_z", F.transform("_seg", lambda x: (x - F.col("_mean")) / F.col("_dev")))
     train = rows.where("part = 'train'")
     places = train.select("series_id", F.posexplode("_z").alias("place", "z")).groupBy("series_id", "place").agg(F.stddev_pop("z").alias("d"))
     scale = F.when(F.col("d") > 1e-12, F.col("d")).otherwise(F.lit(1.0))

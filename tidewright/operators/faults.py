@@ -27,20 +27,26 @@ def segment_mask(rows: DataFrame, share: float | Column, length: int | Column) -
     return rows.withColumn("label", (F.row_number().over(order) <= target).cast("int"))
 
 
-def templates(rows: DataFrame, column: str, tolerance: float, least: int = 8, most: int = 24) -> DataFrame:
+def tolerances(rows: DataFrame, column: str, share: float = 0.01, least: float = 1e-3) -> DataFrame:
+    """series_id, tolerance: a low quantile of a series' steps that aren't zero."""
+    step = F.abs(F.col(column) - F.lag(column).over(Window.partitionBy("series_id").orderBy("t")))
+    return rows.withColumn("_s", step).groupBy("series_id").agg(F.greatest(F.lit(least), F.coalesce(F.percentile(F.when(F.col("_s") > 1e-12, F.col("_s")), F.lit(share)), F.lit(least))).alias("tolerance"))
+
+
+def templates(rows: DataFrame, column: str, known: DataFrame, least: int = 8, most: int = 24) -> DataFrame:
     """Flat pieces of series by how much they stand out, with their rank: series_id, begin, end (exclusive), n, level,
     range, flank_delta, score, rank.
 
-    A piece's steps stay within twice the tolerance; a series' last one is left out. Flanks are as long as a piece is
+    A piece's steps stay within twice the series' tolerance (known: series_id, tolerance); a series' last one is left out. Flanks are as long as a piece is
     at least. score: the flanks' distance times the root of the length, over the range.
     """
     order = Window.partitionBy("series_id").orderBy("t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    broken = F.when(F.abs(F.col(column) - F.lag(column).over(order)) > 2 * tolerance, 1).otherwise(0)
-    rows = rows.withColumns({"_step": broken, "_all": F.sum(column).over(upto)}).withColumn("_run", F.sum("_step").over(upto))
+    broken = F.when(F.abs(F.col(column) - F.lag(column).over(order)) > 2 * F.col("tolerance"), 1).otherwise(0)
+    rows = rows.join(known, "series_id").withColumns({"_step": broken, "_all": F.sum(column).over(upto)}).withColumn("_run", F.sum("_step").over(upto))
     size = F.count("*").over(Window.partitionBy("series_id"))
     rows = rows.withColumns({"_last": F.max("_run").over(Window.partitionBy("series_id")), "_size": size})
-    found = rows.where("_run < _last").groupBy("series_id", "_run").agg(F.min("t").alias("begin"), (F.max("t") + 1).alias("end"), F.count("*").alias("n"), F.avg(column).alias("level"), (F.max(column) - F.min(column)).alias("range"), F.max("_size").alias("_size"), F.sum(column).alias("_own"))
+    found = rows.where("_run < _last").groupBy("series_id", "_run").agg(F.min("t").alias("begin"), (F.max("t") + 1).alias("end"), F.count("*").alias("n"), F.avg(column).alias("level"), (F.max(column) - F.min(column)).alias("range"), F.max("_size").alias("_size"), F.sum(column).alias("_own"), F.max("tolerance").alias("tolerance"))
     found = found.where(F.col("n") >= least)
     sums = rows.select("series_id", (F.col("t") + 1).alias("_at"), "_all").union(rows.where("t = 0").select("series_id", F.lit(0).cast("long"), F.lit(0.0)))
     low, high = F.greatest(F.lit(0), F.col("begin") - least), F.least(F.col("_size"), F.col("end") + least)
@@ -48,15 +54,16 @@ def templates(rows: DataFrame, column: str, tolerance: float, least: int = 8, mo
         found = found.withColumn("_at", at.cast("long")).join(sums.withColumnRenamed("_all", name), ["series_id", "_at"]).withColumnRenamed("_at", f"{name}_at")
     rest = (F.col("_b_at") - F.col("_a_at") - F.col("n")).cast("double")
     flank = F.when(rest > 0, F.abs((F.col("_b") - F.col("_a") - F.col("_own")) / rest - F.col("level"))).otherwise(F.lit(0.0))
-    found = found.withColumn("flank_delta", flank).withColumn("score", F.col("flank_delta") * F.sqrt("n") / F.greatest(F.col("range"), F.lit(tolerance)))
+    found = found.withColumn("flank_delta", flank).withColumn("score", F.col("flank_delta") * F.sqrt("n") / F.greatest("range", "tolerance"))
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.round("score", 9)), "begin"))).where(F.col("rank") <= most)
     return found.select("series_id", "begin", "end", "n", "level", "range", "flank_delta", "score", "rank")
 
 
 def template_faults(rows: DataFrame, found: DataFrame, share: float, column: str = "v", length: int = 48) -> DataFrame:
-    """label and vf: segments stuck at the level of a series' first template and as long as that (8 rows at least, a third
-    of the series or 96 at most); without one, at the 95th percentile for `length` rows."""
-    first = found.where("rank = 1").select("series_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "level")).alias("_level"), F.col("n").alias("_n"))
+    """label and vf: segments stuck at the level of one of a series' templates, drawn by a hash of its id, and as long as
+    that (8 rows at least, a third of the series or 96 at most); without one, at the 95th percentile for `length` rows."""
+    count = found.groupBy("series_id").agg((((F.col("series_id") * 7919 + 12345) % 1000003) % F.count("*") + 1).alias("rank"))
+    first = found.join(count, ["series_id", "rank"]).select("series_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "level")).alias("_level"), F.col("n").alias("_n"))
     whole = rows.groupBy("series_id").agg(F.count("*").alias("_size"), F.percentile(column, F.lit(0.95)).alias("_high")).join(first, "series_id", "left")
     least = F.greatest(F.lit(8), F.least(F.lit(96), F.floor(F.col("_size") / 3)))
     size = F.coalesce(F.greatest(F.lit(8), F.least(least, F.col("_n"))), F.lit(length))

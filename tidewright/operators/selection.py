@@ -7,24 +7,80 @@ from pyspark.sql import functions as F
 
 from tidewright import stage
 
-#: Patterns of comments on repeated values and on failures, in order of priority.
-REPEATED = r"(?i)\b(constant|flat|stuck|persist|zero values|same value)\b"
-FAILURE = r"(?i)\b(not working|malfunction|sensor drift|suspicious|bad data|failure|failed)\b"
+#: Patterns of comments on repeated values and on failures, in order of priority, and their classes.
+REPEATED = r"(?i)\b(constant|flat|stuck|persist|zero values|too much zero|give 0degc|same value)\b"
+FAILURE = r"(?i)\b(not working|malfunction|sensor drift|suspicious|bad data|disfunctional|failure|failed)\b"
+CLASSES = ("explicit_repeated_value_or_zero", "sensor_failure_or_suspicious", "other_manual_flag")
+#: What a layer's labels mean, by the layers that have that meaning; all others are as the last one.
+TRIGGERS = {
+    "iid scalar stuck-at points": ("iid_stuck",),
+    "official flat-tolerance labels with scalar values preserved": ("official_flat_tolerance_labels",),
+    "row-level prepared multivariate stuck labels": ("prepared_multivariate_stuck_labels",),
+    "explicit availability or dropout labels": ("explicit_availability_dropout",),
+    "deployed field-QC stuck labels encoding local regime changes": ("field_qc",),
+    "persistent scalar stuck-at or flatline segments": (),
+}
+#: Classes of evidence with what they support and how they count.
+BOUNDARIES = {
+    "availability": ("availability_extension", "supports dropout emission, not stuck-at generality", "count separately from stuck-at/flatline evidence"),
+    "streak": ("own_compatible", "supports scalar repeated-value/stuck semantics", "real-streak evidence of stations"),
+    "tolerance": ("own_compatible", "supports official scalar flat-tolerance semantics with public values preserved", "direct value and label benchmark"),
+    "own": ("own_compatible", "supports scalar flatline/stuck semantics", "mined native flatline-like evidence"),
+    "other": ("semantic_mismatch_router_boundary", "supports router selection for label semantics outside single-bucket stuck-at", "validation selects local channel statistics"),
+}
 
 
 def relevance(text: Column) -> Column:
-    """A comment's class: the first pattern that it has; a null text has none."""
-    return F.when(F.coalesce(text.rlike(REPEATED), F.lit(False)), "repeated_value").when(F.coalesce(text.rlike(FAILURE), F.lit(False)), "sensor_failure").otherwise("other")
+    """The class of a flag's comment, variable and name: the first pattern that they have; a null text has none."""
+    has = lambda pattern: F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.when(has(REPEATED), CLASSES[0]).when(has(FAILURE), CLASSES[1]).otherwise(CLASSES[2])
 
 
-def method_profile(method: Column) -> dict[str, Column]:
-    """What a method, by its name, looks at."""
+def variable_family(name: Column) -> Column:
+    """The quantity that a station's variable measures, by its name."""
+    temperature = name.startswith("t_i_") | name.isin("t_i", "t_u", "t_l")
+    return F.when(temperature, "temperature").when(name.isin("p_i", "p_u", "p_l"), "pressure").when(name.isin("rh_i", "rh_u", "rh_l"), "humidity").when(name.startswith("wspd"), "wind_speed").when(name.startswith("wdir"), "wind_direction").otherwise("other")
+
+
+def family(method: Column) -> Column:
     raw = method.isin("robust_z", "hampel", "cusum")
+    return F.when(method.contains("glr") | method.contains("cusum") | method.contains("spike"), "local channel statistic").when(method.contains("surprise") | method.contains("mixture"), "report distribution").when(raw, "raw values").otherwise("other")
+
+
+def method_profile(method: Column, category: Column, own: str = "own_") -> dict[str, Column]:
+    """What a method looks at, by its name and category; names begin with ldp_ or, of posterior models, with `own`."""
+    raw, wrong = category == "raw_domain_upper_bound", method.contains("wrong_epsilon")
     temporal = F.lit(False)
-    for token in ("hmm", "cusum", "rolling", "window", "hampel"):
+    for token in ("hmm", "cusum", "bocpd", "rolling", "window"):
         temporal = temporal | method.contains(token)
-    family = F.when(method.contains("glr") | method.contains("cusum") | method.contains("spike"), "local channel statistic").when(method.contains("surprise") | method.contains("mixture"), "report distribution").when(raw, "raw values").otherwise("other")
-    return {"access_regime": F.when(raw, "raw_upper_bound").otherwise("private_reports"), "uses_channel": method.isin("surprise", "point_glr"), "uses_temporal_model": temporal, "family": family}
+    return {
+        "access_regime": F.when(raw, "raw_upper_bound").otherwise("pm_ldp_reports"),
+        "uses_raw_values": raw,
+        "uses_pm_reports": category.isin("privatized_domain", "channel_aware_baseline", "privacy_aware", "channel_ablation"),
+        "uses_pm_channel": method.startswith("ldp_") | method.startswith(own) | wrong,
+        "uses_temporal_model": temporal,
+        "diagnostic_outputs": method.isin(f"{own}mixture", f"{own}hmm", "ldp_window_glr") | wrong,
+        "privacy_comparable": ~raw,
+    }
+
+
+def layer_trigger(layer: Column) -> Column:
+    """The row of the router's policy that a layer of labels falls under; field_qc and what begins with it are one."""
+    names = list(TRIGGERS)
+    out = F.lit(names[-1])
+    for name in reversed(names[:-1]):
+        own = TRIGGERS[name]
+        out = F.when(layer.startswith("field_qc") if own == ("field_qc",) else layer.isin(*own), name).otherwise(out)
+    return out
+
+
+def boundary_class(source: Column, layer: Column, best: Column, own: Column) -> dict[str, Column]:
+    """boundary_class, supports and counts of evidence, by where it comes from, its layer and the best operator."""
+    low = F.lower(source)
+    kind = F.when(low.contains("dropout") | F.lower(layer).contains("availability"), "availability").when(low.contains("hadisd"), "streak").when(low.contains("co-ops") | low.contains("coops"), "tolerance")
+    kind = kind.when(best.eqNullSafe(own) | F.coalesce(best.startswith("identity_channel_hmm"), F.lit(False)), "own").otherwise("other")
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in BOUNDARIES.items() for x in (k, v[i])]), kind)
+    return {name: pick(i) for i, name in enumerate(("boundary_class", "supports", "counts"))}
 
 
 def eligible(rows: DataFrame, keys: list[str], least_positive: int, least_negative: int, most: float) -> DataFrame:

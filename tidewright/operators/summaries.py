@@ -156,3 +156,34 @@ def router_ledger(rows: DataFrame, keys: list[str]) -> DataFrame:
     chosen = best(means.where("validation is not null"), keys, "validation", "method").select(*keys, F.col("method").alias("selected_method"), "validation", "test_auroc", "test_auprc")
     oracle = best(means.where("test_auprc is not null"), keys, "test_auprc", "method").select(*keys, F.col("method").alias("best_method"), F.col("test_auprc").alias("best_auprc"))
     return allowed.join(chosen, keys).join(oracle, keys, "left").withColumn("regret", F.col("best_auprc") - F.col("test_auprc"))
+
+
+def ablation(rows: DataFrame, keys: list[str], family: Column) -> DataFrame:
+    """By group and left-out family (`none` first): the method that the validation part chooses of those that stay, its
+    test metrics, and its regret against the best of all on the test part.
+
+    Each method stands under every family but its own, so one aggregation chooses for all sets at once. rows: part
+    (validation or test), method, auroc, auprc. A set without a validated method is left out.
+    """
+    at = lambda part, c: F.avg(F.when(F.col("part") == part, F.col(c)))
+    means = rows.groupBy(*keys, "method").agg(at("validation", "auprc").alias("validation"), at("test", "auroc").alias("test_auroc"), at("test", "auprc").alias("test_auprc")).withColumn("family", family)
+    families = means.groupBy(*keys).agg(F.array_union(F.array(F.lit("none")), F.sort_array(F.collect_set("family"))).alias("_all"), F.max("test_auprc").alias("best_auprc"))
+    kept = means.join(families, keys).withColumn("left_out", F.explode(F.filter("_all", lambda f: f != F.col("family"))))
+    order = F.struct(F.when(F.col("validation").isNotNull(), -F.round("validation", 12)).otherwise(float("inf")).alias("v"), "method", "family", "validation", "test_auroc", "test_auprc")
+    chosen = kept.groupBy(*keys, "left_out").agg(F.min(order).alias("c"), F.max("best_auprc").alias("best_auprc"), F.count("*").alias("methods")).where("c.validation is not null")
+    return chosen.select(*keys, "left_out", "methods", F.col("c.method").alias("selected_method"), F.col("c.family").alias("selected_family"), *[F.col(f"c.{x}").alias(x) for x in ("validation", "test_auroc", "test_auprc")], (F.col("best_auprc") - F.col("c.test_auprc")).alias("regret"))
+
+
+def operational(cases: DataFrame) -> DataFrame:
+    """threshold, precision, recall, lift, review rows: what reviewing the first rows costs and finds, over all cases.
+
+    cases: rows, positives, precision_1pct, precision_5pct, lift_1pct, lift_5pct and recall_fpr of each case. Recall of
+    a share follows from its mean precision and all faults; at 5 % false positives the mean recall is given.
+    """
+    sums = cases.agg(F.sum("rows").alias("total_test_rows"), F.sum("positives").alias("total_fault_rows"), *[F.avg(c).alias(c) for c in ("precision_1pct", "precision_5pct", "lift_1pct", "lift_5pct", "recall_fpr")])
+    total, faults = F.col("total_test_rows"), F.greatest(F.col("total_fault_rows"), F.lit(1))
+    null = F.lit(None).cast("double")
+    share = lambda x, name: F.struct(F.lit(f"top_{name}_rank").alias("threshold"), F.col(f"precision_{name}").alias("precision"), (total * F.lit(x) * F.col(f"precision_{name}") / faults).alias("recall"), F.col(f"lift_{name}").alias("prevalence_lift"), F.round(total * F.lit(x)).cast("long").alias("review_rows"))
+    rate = F.struct(F.lit("5pct_fpr").alias("threshold"), null.alias("precision"), F.col("recall_fpr").alias("recall"), null.alias("prevalence_lift"), F.lit(None).cast("long").alias("review_rows"))
+    rows = sums.withColumn("r", F.explode(F.array(share(0.01, "1pct"), share(0.05, "5pct"), rate)))
+    return rows.select("r.*", "total_test_rows", "total_fault_rows", (F.col("total_fault_rows") / total).alias("pooled_prevalence"))

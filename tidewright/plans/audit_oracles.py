@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tidewright.operators.channel import D, shape
 from tidewright.operators.simulation import HASH, places
-from tidewright.plans.audit_queries import LENGTHS, STREAM_EPSILONS, STREAMS, WINDOWS
-from tidewright.plans.series_oracles import base, num, r, ranking
+from tidewright.operators.selection import BOUNDARIES, FAILURE, REPEATED, TRIGGERS
+from tidewright.plans.audit_queries import BLOCK, CHOSEN, COMMENTS, EPISODE, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, TESTS, VARIABLES, WINDOWS
+from tidewright.plans.report_oracles import CASES, FAMILY, FAULTS, POOL, SUITE
+from tidewright.plans.series_oracles import ALONG, BASE, base, num, r, ranking
 
 MEASURES = ("kl", "chernoff", "bucket_p_under_fault", "bucket_p_under_normal", "bucket_auc", "llr_auc", "llr_auprc", "stuck_value", "bucket_delta", "auroc_gap")
 
@@ -37,7 +39,68 @@ FROM ar JOIN di USING (series_id, candidate))"""
 
 ADVANTAGE = " UNION ALL ".join(map(advantage, STREAM_EPSILONS))
 MEDIANS = ", ".join(f"round(quantile_cont(round({c}, 9), 0.5), 6) + 0 AS median_{c}" for c in ("bucket_auc", "llr_auc", "llr_auprc", "kl", "auroc_gap"))
+
+
+def of(values: tuple, number: str) -> str:
+    quoted = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"([{quoted}])[({number}) % {len(values)} + 1]"
+
+
+def family_of(method: str) -> str:
+    return FAMILY.replace("method", method)
+
+
+RUNS_OF = "SELECT series_id, min(t) AS b, max(t) AS e, count(*) AS n FROM (SELECT series_id, t, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS g FROM {source} WHERE {flag}) GROUP BY series_id, g"
+SCALAR = "list_filter(string_split_regex(trim(coalesce(variable, '')), '\\s+'), lambda v: regexp_matches(v, '(?i)^(t|p|rh|wspd|wdir|t_i_)'))"
+QUANTITY = "CASE WHEN starts_with(v, 't_i_') OR v IN ('t_i', 't_u', 't_l') THEN 'temperature' WHEN v IN ('p_i', 'p_u', 'p_l') THEN 'pressure' WHEN v IN ('rh_i', 'rh_u', 'rh_l') THEN 'humidity' WHEN starts_with(v, 'wspd') THEN 'wind_speed' WHEN starts_with(v, 'wdir') THEN 'wind_direction' ELSE 'other' END"
+TEXT = "coalesce(comment, '') || ' ' || coalesce(variable, '') || ' ' || flag"
+RELEVANCE = f"CASE WHEN regexp_matches({TEXT}, '{REPEATED}') THEN 'explicit_repeated_value_or_zero' WHEN regexp_matches({TEXT}, '{FAILURE}') THEN 'sensor_failure_or_suspicious' ELSE 'other_manual_flag' END"
+FLAGS = f"""{FAULTS.replace('AS b,', 'AS b, max(t) AS e,')}, mf0 AS (SELECT series_id, b - 2 AS b, e + 2 AS e, series_id * 1000 + b AS flag_id FROM fr UNION ALL SELECT series_id, 0, max(t), max(series_id * 1000 + 999) FROM f WHERE series_id % 5 = 0 GROUP BY 1),
+mf AS (SELECT *, {of(VARIABLES, 'flag_id')} AS variable, {of(COMMENTS, 'flag_id // 7')} AS comment, 'CHECKME' AS flag, flag_id % 11 = 0 AS out FROM mf0),
+fl AS (SELECT *, {SCALAR} AS scalar, {RELEVANCE} AS relevance FROM mf) """
+QC = f""", jp AS (SELECT *, coalesce(obs - lag(obs) OVER ({ALONG}), 0) AS jump FROM o), qc AS (SELECT series_id, t, unnest(['stuck', 'range', 'jump']) AS test, unnest([label, CASE WHEN v > 0.8::DOUBLE THEN 1 WHEN v < -0.8::DOUBLE THEN -1 ELSE 0 END, CASE WHEN jump > 12 THEN 1 WHEN jump < -12 THEN -1 ELSE 0 END]) AS qc FROM jp) """
+TRIGGER = "CASE " + " ".join(f"WHEN starts_with(layer, 'field_qc') THEN '{k}'" if v == ("field_qc",) else f"WHEN layer IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in TRIGGERS.items() if v) + f" ELSE '{list(TRIGGERS)[-1]}' END"
+KIND = "CASE WHEN contains(lower(source), 'dropout') OR contains(lower(layer), 'availability') THEN 'availability' WHEN contains(lower(source), 'hadisd') THEN 'streak' WHEN contains(lower(source), 'co-ops') OR contains(lower(source), 'coops') THEN 'tolerance' WHEN recommended_method IS NOT DISTINCT FROM own_method OR starts_with(recommended_method, 'identity_channel_hmm') THEN 'own' ELSE 'other' END"
+BOUNDARY = f"{SUITE}, bd AS (SELECT *, {of(SOURCES, '\"case\"')} AS source, {of(LAYERS, '\"case\"')} AS layer FROM su), bk AS (SELECT *, {KIND} AS kind FROM bd) SELECT \"case\", source, layer, " + ", ".join(f"CASE kind {' '.join(f'WHEN {k!r} THEN {v[i]!r}' for k, v in BOUNDARIES.items())} END AS {name}" for i, name in enumerate(("boundary_class", "supports", "counts"))) + ", round(gain, 9) + 0 AS gain FROM bk"
+ROUTER = f"""{CASES}, cx AS (SELECT 0 AS batch, "case", {of(LAYERS, '"case"')} AS layer, method, auprc FROM ca UNION ALL SELECT 1, "case", {of(LAYERS, '"case"')}, method, auprc FROM ca WHERE part = 'test' AND "case" IN (1, 3) UNION ALL SELECT 1, 4, 'all layers', method, auprc FROM ca),
+cm AS (SELECT batch, "case", layer, method, avg(auprc) AS auprc FROM cx GROUP BY ALL HAVING avg(auprc) IS NOT NULL), c1 AS (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY batch, layer ORDER BY auprc DESC, method) = 1), c2 AS (SELECT * FROM cm WHERE method IN ('point_glr', 'surprise') QUALIFY row_number() OVER (PARTITION BY batch, layer ORDER BY auprc DESC, method) = 1),
+ro AS (SELECT layer, {of(SOURCES, 'c1."case"')} AS source, c1.method AS router_operator, {family_of('c1.method')} AS operator_family, round(c1.auprc, 9) AS best_auprc, c2.method AS own_operator, round(c2.auprc, 9) AS own_auprc FROM c1 LEFT JOIN c2 USING (batch, layer) QUALIFY row_number() OVER (PARTITION BY layer ORDER BY batch DESC) = 1) """
+ABLATION = CASES + f""", rm AS (SELECT "case", method, {FAMILY} AS family, avg(auprc) FILTER (part = 'validation') AS validation, avg(auroc) FILTER (part = 'test') AS test_auroc, avg(auprc) FILTER (part = 'test') AS test_auprc FROM ca GROUP BY 1, 2),
+lo AS (SELECT DISTINCT "case", family AS left_out FROM rm UNION ALL SELECT DISTINCT "case", 'none' FROM rm), al3 AS (SELECT rm.*, left_out, count(*) OVER (PARTITION BY rm."case", left_out) AS methods FROM rm JOIN lo ON lo."case" = rm."case" AND left_out <> family)
+SELECT "case", left_out, methods, method AS selected_method, family AS selected_family, round(validation, 9) + 0 AS validation, round(test_auroc, 9) + 0 AS test_auroc, round(test_auprc, 9) + 0 AS test_auprc, round(best - test_auprc, 9) + 0 AS regret FROM al3 JOIN (SELECT "case", max(test_auprc) AS best FROM rm GROUP BY 1) USING ("case")
+WHERE validation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case", left_out ORDER BY round(validation, 12) DESC, method) = 1"""
+REVIEW = f""", sq AS (SELECT o.series_id, o.series_id % 5 AS "case", t, label, round(-ln(greatest(p0, 1e-15)), 6) AS score FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs),
+pl AS (SELECT "case", count(*) AS rows, sum(label)::BIGINT AS positives, {POOL.replace(', 6)', ', 9)')} FROM (SELECT *, count(*) OVER (PARTITION BY "case") AS n, row_number() OVER (PARTITION BY "case" ORDER BY score DESC, t DESC, series_id) AS place FROM sq) GROUP BY 1),
+lm AS (SELECT "case", quantile_cont(score, 0.95) FILTER (label = 0) AS cut, sum(label) AS hits FROM sq GROUP BY 1), rf AS (SELECT "case", count(*) FILTER (label = 1 AND score >= cut) / max(hits) AS recall_fpr FROM sq JOIN lm USING ("case") GROUP BY 1),
+ov AS (SELECT sum(rows)::BIGINT AS total_test_rows, sum(positives)::BIGINT AS total_fault_rows, avg(precision_1pct) AS p1, avg(precision_5pct) AS p5, avg(lift_1pct) AS l1, avg(lift_5pct) AS l5, avg(recall_fpr) AS rf FROM pl JOIN rf USING ("case"))
+SELECT threshold, round(p, 6) + 0 AS precision, round(rc, 6) + 0 AS recall, round(l, 6) + 0 AS prevalence_lift, review_rows::BIGINT AS review_rows, total_test_rows, total_fault_rows, round(total_fault_rows / total_test_rows, 6) + 0 AS pooled_prevalence
+FROM (SELECT *, unnest(['top_1pct_rank', 'top_5pct_rank', '5pct_fpr']) AS threshold, unnest([p1, p5, NULL]) AS p, unnest([total_test_rows * 0.01::DOUBLE * p1 / total_fault_rows, total_test_rows * 0.05::DOUBLE * p5 / total_fault_rows, rf]) AS rc, unnest([l1, l5, NULL]) AS l, unnest([round(total_test_rows * 0.01::DOUBLE), round(total_test_rows * 0.05::DOUBLE), NULL]) AS review_rows FROM ov)"""
+HITS = f"""{FLAGS} SELECT flag_id, fl.series_id, fl.b AS "begin", fl.e AS "end", fl.e - fl.b AS duration, len(scalar)::INTEGER AS scalar_variable_count, array_to_string(list_sort(list_distinct(list_transform(scalar, lambda v: {QUANTITY}))), ' ') AS variable_families, relevance, (NOT out AND relevance = 'explicit_repeated_value_or_zero' AND len(scalar) > 0)::INTEGER AS usable,
+(SELECT count(*) FROM f WHERE f.series_id = fl.series_id AND f.t BETWEEN fl.b AND fl.e) AS rows, coalesce((SELECT sum(label) FROM f WHERE f.series_id = fl.series_id AND f.t BETWEEN fl.b AND fl.e), 0)::BIGINT AS hits FROM fl"""
+STREAKS = f"""{FLAGS}, sk AS ({RUNS_OF.format(source='o', flag='obs >= 16')}), un AS (SELECT DISTINCT relevance, sk.series_id, sk.b, sk.n, o.t FROM sk JOIN o ON o.series_id = sk.series_id AND o.t BETWEEN sk.b AND sk.e JOIN fl ON fl.series_id = o.series_id AND o.t BETWEEN fl.b AND fl.e),
+up AS (SELECT relevance, series_id, b, n, count(*) AS c FROM un GROUP BY ALL) SELECT relevance, count(*) AS streaks, sum(n)::BIGINT AS streak_rows, sum(c)::BIGINT AS flagged_rows FROM up GROUP BY 1"""
+INVENTORY = f""", yb AS (SELECT series_id, t, label, t // {BLOCK} AS block FROM f), lg AS ({RUNS_OF.format(source='f', flag='label = 1')} HAVING count(*) >= {EPISODE}),
+pe AS (SELECT yb.series_id, block, count(*) AS c FROM yb JOIN lg ON lg.series_id = yb.series_id AND yb.t BETWEEN lg.b AND lg.e GROUP BY 1, 2), ep AS (SELECT series_id, block, count(*) AS n FROM (SELECT series_id, block, t - row_number() OVER (PARTITION BY series_id, block ORDER BY t) AS g FROM yb WHERE label = 1) GROUP BY series_id, block, g),
+es AS (SELECT series_id, block, count(*) AS k, quantile_cont(n::DOUBLE, 0.5) AS md, max(n) AS mx FROM ep GROUP BY 1, 2), co AS (SELECT series_id, block, count(*) FILTER (label = 0) AS good_rows, count(*) FILTER (label = 1) AS all_stuck_rows FROM yb GROUP BY 1, 2)
+SELECT series_id, block, good_rows, all_stuck_rows, coalesce(c, 0) AS persistent_stuck_rows, coalesce(k, 0) AS stuck_episodes, md AS median_stuck_episode_length, coalesce(mx, 0) AS max_stuck_episode_length, all_stuck_rows - coalesce(c, 0) AS short_stuck_rows_excluded,
+(coalesce(c, 0) > 0 AND row_number() OVER (PARTITION BY series_id ORDER BY coalesce(c, 0) DESC, block) <= {CHOSEN})::INTEGER AS selected FROM co LEFT JOIN pe USING (series_id, block) LEFT JOIN es USING (series_id, block)"""
+SUMMARY = QC + """, qr AS (SELECT test, count(*) AS runs, max(n) AS longest FROM (SELECT series_id, test, count(*) AS n FROM (SELECT series_id, test, t - row_number() OVER (PARTITION BY series_id, test ORDER BY t) AS g FROM qc WHERE qc > 0) GROUP BY series_id, test, g) GROUP BY 1)
+SELECT test, count(*) AS rows, count(*) FILTER (qc > 0) AS positive_flags, count(*) FILTER (qc < 0) AS negative_flags, coalesce(max(runs), 0) AS positive_runs, coalesce(max(longest), 0) AS max_positive_run_length, count(*) FILTER (qc <> 0) AS nonzero_flags, (test = 'stuck')::INTEGER AS string_or_streak_code, CASE WHEN test = 'stuck' THEN 'value' ELSE '' END AS mapped_variable,
+CASE WHEN test = 'stuck' AND count(*) FILTER (qc > 0) > 0 THEN 'semantic candidate' ELSE 'not used' END AS fit FROM qc LEFT JOIN qr USING (test) GROUP BY test"""
+EVENTS = QC + f""", st AS ({RUNS_OF.format(source="qc", flag="test = 'stuck' AND qc > 0")}) SELECT a.series_id, a.t, b AS positive_run_start, e AS positive_run_end, n AS positive_run_length, (SELECT string_agg(test, '|' ORDER BY list_position(['{"', '".join(TESTS)}'], test)) FROM qc k WHERE k.series_id = a.series_id AND k.t = a.t AND k.qc > 0) AS cooccurring_positive_flags
+FROM qc a JOIN st ON st.series_id = a.series_id AND a.t BETWEEN b AND e WHERE a.test = 'stuck' AND a.qc > 0"""
 ORACLES: dict[str, str] = {
     "d27_channel_advantage": f"SELECT * REPLACE ({', '.join(r(c, digits=9) for c in MEASURES)}) FROM ({ADVANTAGE})",
     "d27_by_epsilon": f"SELECT epsilon, count(*) AS settings, round(avg(hard_case), 6) + 0 AS weak_bucket_case_fraction, {MEDIANS} FROM ({ADVANTAGE}) GROUP BY 1",
+    "j14_flagged_rows": BASE + HITS,
+    "b6_boundary_classes": BASE + BOUNDARY,
+    "b7_ablation": BASE + ABLATION,
+    "b7_operational": BASE + REVIEW,
+    "b10_router_rows": BASE + ROUTER + "SELECT * FROM ro",
+    "b10_rollup": BASE + ROUTER + "SELECT operator_family, count(*) AS tasks, round(avg(best_auprc), 6) AS mean_best_auprc FROM ro GROUP BY 1",
+    "b14_streaks_against_flags": BASE + STREAKS,
+    "b14_inventory": BASE + INVENTORY,
+    "b14_test_summary": BASE + SUMMARY,
+    "b14_streak_events": BASE + EVENTS,
+    "p17_layer_triggers": BASE + f"SELECT layer, {TRIGGER} AS semantic_trigger, count(*) AS rows, sum(label)::BIGINT AS faults FROM (SELECT *, {of(LAYERS, 'series_id')} AS layer FROM f) GROUP BY ALL",
 }

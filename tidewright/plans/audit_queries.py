@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright import stage
+from tidewright.operators import audits, simulation
 from tidewright.operators import channel as C
-from tidewright.operators import simulation
+from tidewright.operators import evaluation as E
+from tidewright.operators import selection as P
+from tidewright.operators import series as S
+from tidewright.operators import summaries as B
+from tidewright.plans.report_queries import OWN, cases, surprising
 from tidewright.plans.series_queries import Query, Series, rounded
+from tidewright.sources.versioned import KeyedTable
 
 #: Groups of devices that stand for streams, and the epsilons of their channels.
 STREAMS, STREAM_EPSILONS = 5, (2.0, 4.0)
@@ -21,9 +29,112 @@ def advantage(s: Series) -> DataFrame:
     return simulation.channel_advantage(C.alpha(stream), {e: C.piecewise_matrix(s.spark, e) for e in STREAM_EPSILONS}, LENGTHS, WINDOWS)
 
 
+#: A station's variables, and texts of manual flags, by the number of a flag.
+VARIABLES = ("t_u t_l", "p_u", "rh_u wspd_u", "gps_lat", "t_i_1 t_i_2 wdir_l", "", "wspd_l")
+COMMENTS = ("constant since May", "sensor drift", "Too much zero", "checked on site", "disfunctional", None, "give 0degC")
+#: Rows of a block (a year), of an episode at least, and blocks that are chosen.
+BLOCK, EPISODE, CHOSEN = 16, 3, 2
+TESTS = ("stuck", "range", "jump")
+#: Sources and layers of evidence, by case.
+SOURCES = ("HadISD stations", "CO-OPS water level", "IORS dropout", "IORS field QC", "native windows")
+LAYERS = ("real_station_straight_string", "official_flat_tolerance_labels", "explicit_availability_dropout", "field_qc_stuck_labels", "native_flatline_windows", "prepared_multivariate_stuck_labels", "iid_stuck")
+ROUTER = 'layer string, source string, router_operator string, operator_family string, best_auprc double, own_operator string, own_auprc double'
+
+
+def of(values: tuple, number: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+
+def manual_flags(s: Series) -> DataFrame:
+    """Flags as a station's keeper would set them: around each run of faults, and over the whole of every fifth series."""
+    runs = S.runs(s.faulty, F.col("label") == 1).select("series_id", (F.col("begin") - 2).alias("begin"), (F.col("end") + 2).alias("end"), (F.col("series_id") * 1000 + F.col("begin")).alias("flag_id"))
+    whole = s.faulty.where("series_id % 5 = 0").groupBy("series_id").agg(F.lit(0).cast("long").alias("begin"), F.max("t").alias("end"), F.max(F.col("series_id") * 1000 + 999).alias("flag_id"))
+    flags = runs.unionByName(whole)
+    return flags.withColumns({"variable": of(VARIABLES, F.col("flag_id")), "comment": of(COMMENTS, F.floor(F.col("flag_id") / 7)), "flag": F.lit("CHECKME"), "commented_out": F.col("flag_id") % 11 == 0})
+
+
+def flagged(s: Series) -> DataFrame:
+    flags = stage.table(audits.flag_inventory(manual_flags(s)), "flags")
+    rows = audits.flagged_rows(s.faulty, flags, F.col("label") == 1)
+    return rows.select("flag_id", "series_id", "begin", "end", "duration", "scalar_variable_count", "variable_families", "relevance", "usable", "rows", "hits")
+
+
+def streak_audit(s: Series) -> DataFrame:
+    private = stage.table(s.private.select("series_id", "t", "obs", "label"), "reports")
+    return audits.streaks_against_flags(private, S.runs(private, F.col("obs") >= 16), stage.table(audits.flag_inventory(manual_flags(s)), "flags"), "relevance")
+
+
+def tests(s: Series) -> DataFrame:
+    """series_id, t, test, qc: stuck values, values out of range on either side, jumps up and down."""
+    jump = F.col("obs") - F.lag("obs").over(S.along())
+    sign = lambda x, most: F.when(x > most, 1).when(x < -most, -1).otherwise(0)
+    each = {"stuck": F.col("label"), "range": sign(F.col("v"), 0.8), "jump": sign(F.coalesce(jump, F.lit(0)), 12)}
+    rows = s.private.select("series_id", "t", F.array(*[F.struct(F.lit(k).alias("test"), each[k].cast("int").alias("qc")) for k in TESTS]).alias("_q"))
+    return stage.table(rows.select("series_id", "t", F.explode("_q").alias("_q")).select("series_id", "t", "_q.test", "_q.qc"), "tests")
+
+
+def evidence(s: Series) -> DataFrame:
+    """The best and the best own method of each case, with where it comes from."""
+    found = B.suite(cases(s), ["case"], F.col("method").isin(*OWN), P.family(F.col("method")))
+    return found.withColumns({"source": of(SOURCES, F.col("case")), "layer": of(LAYERS, F.col("case"))})
+
+
+def boundaries(s: Series) -> DataFrame:
+    found = evidence(s)
+    kinds = P.boundary_class(F.col("source"), F.col("layer"), F.col("recommended_method"), F.col("own_method"))
+    return found.select("case", "source", "layer", *[c.alias(k) for k, c in kinds.items()], F.round("gain", 9).alias("gain"))
+
+
+def router_rows(runs: DataFrame, name: Column) -> DataFrame:
+    found = B.suite(runs, ["case"], F.col("method").isin(*OWN), P.family(F.col("method")))
+    names = {"layer": name, "source": of(SOURCES, F.col("case"))}
+    return found.select(*[c.alias(k) for k, c in names.items()], F.col("recommended_method").alias("router_operator"), F.col("recommended_family").alias("operator_family"), F.round("best_auprc", 9).alias("best_auprc"), F.col("own_method").alias("own_operator"), F.round("own_auprc", 9).alias("own_auprc"))
+
+
+def layered(s: Series) -> KeyedTable:
+    """The router's table: all cases, then two measured again on the test part and one over all rows; the second batch twice."""
+    runs = stage.table(cases(s), "cases")
+    table = KeyedTable(s.spark, f"{stage.folder(s.spark).rstrip('/')}/router-{uuid4().hex}", ROUTER, ["layer"], 4)
+    layer = of(LAYERS, F.col("case"))
+    table.upsert(router_rows(runs, layer), 0)
+    again = router_rows(runs.where("part = 'test' and case in (1, 3)"), layer).unionByName(router_rows(runs.withColumn("case", F.lit(4)), F.lit("all layers")))
+    for _ in range(2):
+        table.upsert(again, 1)
+    return table
+
+
+def rollup(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("operator_family").agg(F.count("*").alias("tasks"), F.round(F.avg("best_auprc"), 6).alias("mean_best_auprc"))
+
+
+def review(s: Series) -> DataFrame:
+    """What reviewing the rows of least likely reports costs and finds."""
+    rows = stage.table(surprising(s), "scores")
+    pooled = rounded(B.pooled(rows, ["case"]), 9)
+    rate = E.recall_at_fpr(rows, ["case"]).withColumnRenamed("recall", "recall_fpr")
+    return B.operational(pooled.join(rate, "case"))
+
+
+def triggers(s: Series) -> DataFrame:
+    """Faulty rows by what their layer's labels mean."""
+    rows = s.faulty.withColumn("layer", of(LAYERS, F.col("series_id")))
+    return rows.groupBy("layer", P.layer_trigger(F.col("layer")).alias("semantic_trigger")).agg(F.count("*").alias("rows"), F.sum("label").alias("faults"))
+
+
 AUDITS: dict[str, Callable[[Series], DataFrame]] = {
     "d27_channel_advantage": lambda s: rounded(advantage(s), 9),
     "d27_by_epsilon": lambda s: rounded(simulation.by_epsilon(rounded(advantage(s), 9))),
+    "j14_flagged_rows": flagged,
+    "b6_boundary_classes": boundaries,
+    "b7_ablation": lambda s: rounded(B.ablation(cases(s), ["case"], P.family(F.col("method"))), 9),
+    "b7_operational": lambda s: rounded(review(s)),
+    "b10_router_rows": lambda s: layered(s).read(),
+    "b10_rollup": lambda s: rollup(layered(s).read()),
+    "b14_streaks_against_flags": streak_audit,
+    "b14_inventory": lambda s: audits.block_inventory(s.faulty, BLOCK, EPISODE, CHOSEN),
+    "b14_test_summary": lambda s: audits.test_summary(tests(s), {"stuck": "value"}),
+    "b14_streak_events": lambda s: audits.streak_events(tests(s), "stuck", list(TESTS)),
+    "p17_layer_triggers": triggers,
 }
 
 QUERIES: dict[str, Query] = {key: (lambda spark, d, build=build: build(Series(spark, d))) for key, build in AUDITS.items()}

@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 
 from tidewright.operators.channel import D, shape
-from tidewright.plans.report_queries import BLOCK, EPSILONS, LEAST, MODES, SEEDS, SETTINGS, SWEEP, TEMPLATE, TOLERANCE
+from tidewright.plans.report_queries import BLOCK, EPSILONS, LEAST, MODES, SEEDS, SETTINGS, SUBSEQUENCE, SWEEP, TEMPLATE, TOLERANCE
 from tidewright.plans.series_oracles import ALONG, BASE, BIN, POINT, RUNS, SEP, Z, base, clip, num, r, ranking
 from tidewright.plans.series_queries import EPSILON, SHARE, STUCK
 from tidewright.sources.telemetry import POLICY
@@ -39,6 +39,12 @@ tf AS (SELECT tg.series_id, tg.b, tg.e, n, level, rng, coalesce(abs(avg(k.{x}) -
 ts AS (SELECT *, delta * sqrt(n) / greatest(rng, {num(tolerance)}) AS score, row_number() OVER (PARTITION BY series_id ORDER BY round(delta * sqrt(n) / greatest(rng, {num(tolerance)}), 9) DESC, b) AS rank FROM tf QUALIFY rank <= 24) """
 
 
+#: Of the faulty series: each series' tolerance, flat pieces of eight rows and more, and their flanks.
+MINED = f""", ms AS (SELECT series_id, t, round(vf, 9) AS x FROM f), mo AS (SELECT series_id, greatest(1e-3, coalesce(quantile_cont(step, 0.01) FILTER (step > 1e-12), 1e-3)) AS tol FROM (SELECT series_id, abs(x - lag(x) OVER ({ALONG})) AS step FROM ms) GROUP BY 1),
+tb AS (SELECT *, sum(b) OVER ({ALONG} ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT ms.*, tol, CASE WHEN abs(x - lag(x) OVER ({ALONG})) > 2 * tol THEN 1 ELSE 0 END AS b FROM ms JOIN mo USING (series_id))),
+tg AS (SELECT series_id, g, min(t) AS b, max(t) + 1 AS e, count(*) AS n, avg(x) AS level, max(x) - min(x) AS rng, max(tol) AS tol FROM (SELECT *, max(g) OVER (PARTITION BY series_id) AS last FROM tb) WHERE g < last GROUP BY 1, 2 HAVING count(*) >= 8),
+tf AS (SELECT tg.series_id, tg.b, tg.e, n, level, rng, tol, coalesce(abs(avg(k.x) - level), 0) AS delta FROM tg LEFT JOIN ms k ON k.series_id = tg.series_id AND (k.t BETWEEN tg.b - 8 AND tg.b - 1 OR k.t BETWEEN tg.e AND tg.e + 7) GROUP BY tg.series_id, tg.b, tg.e, n, level, rng, tol),
+ts AS (SELECT *, delta * sqrt(n) / greatest(rng, tol) AS score, row_number() OVER (PARTITION BY series_id ORDER BY round(delta * sqrt(n) / greatest(rng, tol), 9) DESC, b) AS rank FROM tf QUALIFY rank <= 24) """
 BLOCKS = f", fb AS (SELECT *, t // {BLOCK} AS blk FROM f)"
 FAULTS = ", fr AS (SELECT series_id, min(t) AS b, count(*) AS n FROM (SELECT series_id, t, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS g FROM f WHERE label = 1) GROUP BY series_id, g)"
 POOL = ", ".join(f"round(avg(label) FILTER (place <= greatest(1, round(n * {s}::DOUBLE))), 6) + 0 AS precision_{k}, round(sum(label) FILTER (place <= greatest(1, round(n * {s}::DOUBLE))) / nullif(sum(label), 0), 6) + 0 AS recall_{k}, round(avg(label) FILTER (place <= greatest(1, round(n * {s}::DOUBLE))) / nullif(avg(label), 0), 6) + 0 AS lift_{k}" for s, k in (("0.01", "1pct"), ("0.05", "5pct")))
@@ -81,13 +87,14 @@ ORACLES: dict[str, str] = {key: BASE + sql for key, sql in {
     "b7_router_ledger": CASES + """, rm AS (SELECT "case", method, avg(auprc) FILTER (part = 'validation') AS validation, avg(auroc) FILTER (part = 'test') AS test_auroc, avg(auprc) FILTER (part = 'test') AS test_auprc FROM ca GROUP BY 1, 2),
 al2 AS (SELECT "case", string_agg(method, ',' ORDER BY method) AS allowed_methods FROM rm GROUP BY 1), ch AS (SELECT * FROM rm WHERE validation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY validation DESC, method) = 1), oc AS (SELECT * FROM rm WHERE test_auprc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY test_auprc DESC, method) = 1)
 SELECT "case", allowed_methods, ch.method AS selected_method, round(ch.validation, 9) AS validation, round(ch.test_auroc, 9) AS test_auroc, round(ch.test_auprc, 9) AS test_auprc, oc.method AS best_method, round(oc.test_auprc, 9) AS best_auprc, round(oc.test_auprc - ch.test_auprc, 9) + 0 AS regret FROM al2 JOIN ch USING ("case") LEFT JOIN oc USING ("case")""",
-    "d26_subsequences": """, sg AS (SELECT series_id, part, t, list(x) OVER (PARTITION BY series_id, part ORDER BY t ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS l FROM raw WHERE part <> 'validation'),
-sp AS (SELECT series_id, part, t, list_concat(list_transform(range(16 - len(l)), lambda i: l[1]), l) AS s FROM sg), sz AS (SELECT series_id, part, t, unnest(range(16)) AS i, unnest(list_transform(s, lambda v: (v - list_avg(s)) / greatest(list_stddev_pop(s), 1e-6))) AS z FROM sp),
+    "d26_subsequences": f""", sg AS (SELECT series_id, part, t, list(x) OVER (PARTITION BY series_id, part ORDER BY t ROWS BETWEEN {SUBSEQUENCE - 1} PRECEDING AND CURRENT ROW) AS l FROM raw WHERE part <> 'validation'),
+sp AS (SELECT series_id, part, t, list_concat(list_transform(range({SUBSEQUENCE} - len(l)), lambda i: l[1]), l) AS s FROM sg), sz AS (SELECT series_id, part, t, unnest(range({SUBSEQUENCE})) AS i, unnest(list_transform(s, lambda v: (v - list_avg(s)) / greatest(list_stddev_pop(s), 1e-6))) AS z FROM sp),
 sd AS (SELECT series_id, i, CASE WHEN stddev_pop(z) > 1e-12 THEN stddev_pop(z) ELSE 1 END AS d FROM sz WHERE part = 'train' GROUP BY 1, 2),
 sn AS (SELECT a.series_id, a.t, b.t AS u, sqrt(sum(((a.z - b.z) / d) ** 2)) AS away FROM sz a JOIN sz b ON b.series_id = a.series_id AND b.i = a.i AND b.part = 'train' JOIN sd ON sd.series_id = a.series_id AND sd.i = a.i WHERE a.part = 'test' GROUP BY 1, 2, 3)
 SELECT series_id, t, round(avg(away), 6) AS score FROM (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY series_id, t ORDER BY away) <= 5) GROUP BY 1, 2""",
-    "f4_templates": templates("raw", "x", TOLERANCE) + f'SELECT series_id, b AS "begin", e AS "end", n, {r("level")}, {r("rng", "range")}, {r("delta", "flank_delta")}, {r("score")}, rank::INTEGER AS rank FROM ts',
-    "f4_template_faults": templates("n", "v", TOLERANCE / 200) + f""", tw AS (SELECT z.series_id, size, coalesce(greatest(8, least(greatest(8, least(96, size // 3)), ts.n)), 48) AS length, coalesce({clip('level')}, high) AS level FROM (SELECT series_id, count(*) AS size, quantile_cont(v, 0.95) AS high FROM n GROUP BY 1) z LEFT JOIN ts ON ts.series_id = z.series_id AND rank = 1),
+    "f4_templates": MINED + f'SELECT series_id, b AS "begin", e AS "end", n, {r("level")}, {r("rng", "range")}, {r("delta", "flank_delta")}, {r("score")}, rank::INTEGER AS rank FROM ts',
+    "f4_template_faults": MINED + f""", tn AS (SELECT series_id, ((series_id * 7919 + 12345) % 1000003) % count(*) + 1 AS rank FROM ts GROUP BY 1), tc AS (SELECT ts.series_id, n, level FROM ts JOIN tn USING (series_id, rank)),
+tw AS (SELECT z.series_id, size, coalesce(greatest(8, least(greatest(8, least(96, size // 3)), tc.n)), 48) AS length, CASE WHEN level IS NULL THEN high ELSE {clip('level')} END AS level FROM (SELECT series_id, count(*) AS size, quantile_cont(v, 0.95) AS high FROM n GROUP BY 1) z LEFT JOIN tc USING (series_id)),
 tl AS (SELECT n.*, level, (row_number() OVER (PARTITION BY n.series_id ORDER BY ((t // length) * 7919 + n.series_id * 104729) % 1000003, t // length, t) <= greatest(1, round(size * {num(SHARE)})))::INTEGER AS label FROM n JOIN tw USING (series_id)) SELECT series_id, t, label, round(CASE WHEN label = 1 THEN level ELSE v END, 6) + 0 AS vf FROM tl""",
     "j15_products": f"SELECT a.series_id, count(*) AS n, count(b.x) AS available, {r('avg(abs(a.x - b.x))', 'difference')} FROM raw a LEFT JOIN raw b ON b.series_id = a.series_id AND b.t = a.t AND b.id % 3 <> 0 GROUP BY 1",
     "j17_prior_rows": BLOCKS + f"SELECT series_id, blk::BIGINT AS block, count(*) AS n, {r('avg(v)', 'mean')} FROM (SELECT a.series_id, a.blk, b.v, row_number() OVER (PARTITION BY a.series_id, a.blk ORDER BY b.t DESC) AS k FROM (SELECT DISTINCT series_id, blk FROM fb) a JOIN fb b ON b.series_id = a.series_id AND b.blk < a.blk AND b.label = 0) WHERE k <= 12 GROUP BY 1, 2",
@@ -106,16 +113,16 @@ UNION ALL SELECT series_id, 'min_tv_column', {num(-1 + 1 / D)} + {num(2 / D)} *
     "o5_top_and_forced": "SELECT series_id, positives::BIGINT AS positives FROM (SELECT series_id, sum(label) AS positives FROM f GROUP BY 1) QUALIFY row_number() OVER (ORDER BY positives DESC, series_id) <= 3 OR series_id IN (1, 2)",
     "o6_ordered_parts": f"SELECT part, count(*) AS n, {r('avg(v)', 'mean')}, CASE part WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS place FROM n GROUP BY 1",
     "p14_quality_flags": f"SELECT series_id, count(*) FILTER (qf = 1) AS good, count(*) FILTER (qf = 5) AS stuck, count(*) FILTER (qf = 8) AS missing, {r('avg(CASE WHEN qf = 5 THEN vf ELSE v END)', 'usable_mean')}, {r('avg(v) FILTER (qf = 1)', 'good_mean')} FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 8 WHEN label = 1 THEN 5 ELSE 1 END AS qf FROM f) GROUP BY 1",
-    "p17_method_profile": RUNS + f"SELECT method, count(*) AS runs, CASE WHEN method IN ('robust_z', 'hampel', 'cusum') THEN 'raw_upper_bound' ELSE 'private_reports' END AS access_regime, method IN ('surprise', 'point_glr') AS uses_channel, regexp_matches(method, 'hmm|cusum|rolling|window|hampel') AS uses_temporal_model, {FAMILY} AS family FROM rr GROUP BY 1",
+    "p17_method_profile": RUNS + f"SELECT method, count(*) AS runs, CASE WHEN raw THEN 'raw_upper_bound' ELSE 'pm_ldp_reports' END AS access_regime, raw AS uses_raw_values, NOT raw AS uses_pm_reports, starts_with(name, 'ldp_') AS uses_pm_channel, regexp_matches(name, 'hmm|cusum|bocpd|rolling|window') AS uses_temporal_model, name = 'ldp_window_glr' AS diagnostic_outputs, NOT raw AS privacy_comparable, {FAMILY} AS family FROM (SELECT method, method NOT IN ('surprise', 'point_glr') AS raw, CASE WHEN method IN ('surprise', 'point_glr') THEN 'ldp_' ELSE '' END || method AS name FROM rr) GROUP BY ALL",
     "p18_eligible": f"SELECT series_id, sum(label)::BIGINT AS positives, sum(1 - label)::BIGINT AS negatives, {r('avg(label)', 'rate')} FROM f GROUP BY 1 HAVING sum(label) >= 5 AND sum(1 - label) >= 20 AND sum(label) / count(*) <= 0.2::DOUBLE",
     "p19_calibration_source": BLOCKS + f""", pb AS (SELECT series_id, blk, count(*) FILTER (label = 0) AS c, sum(v) FILTER (label = 0) AS cs, count(*) AS a, sum(v) AS s FROM fb GROUP BY 1, 2), pc AS (SELECT x.*, coalesce(y.c, 0) AS pn, y.cs AS ps FROM pb x LEFT JOIN pb y ON y.series_id = x.series_id AND y.blk = x.blk - 1)
 SELECT series_id, blk::BIGINT AS block, CASE WHEN pn >= {LEAST} THEN 'previous' WHEN c >= {LEAST} THEN 'same' ELSE 'all' END AS source, CASE WHEN pn >= {LEAST} THEN pn WHEN c >= {LEAST} THEN c ELSE a END AS n, round(CASE WHEN pn >= {LEAST} THEN ps / pn WHEN c >= {LEAST} THEN cs / c ELSE s / a END, 6) + 0 AS mean FROM pc""",
     "p20_alignment": f", xa AS (SELECT series_id, x, row_number() OVER ({ALONG}) AS k FROM raw WHERE id % 7 <> 0), ya AS (SELECT series_id, label AS y, row_number() OVER ({ALONG}) AS k FROM f WHERE id % 5 <> 0) SELECT series_id, count(*) AS n, {r('avg(x)', 'mean')}, sum(y)::BIGINT AS positives FROM xa JOIN ya USING (series_id, k) GROUP BY 1",
     "p21_block_choice": BLOCKS + ", pb AS (SELECT series_id, blk, sum(label) AS positives, coalesce(sum(sum(1 - label)) OVER (PARTITION BY series_id ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM fb GROUP BY 1, 2) SELECT series_id, blk::BIGINT AS block, positives::BIGINT AS positives, earlier::BIGINT AS earlier FROM pb WHERE positives >= 1 AND earlier >= 20",
-    "u4_set_checks": f"SELECT count(*) FILTER (c) AS both, 0::BIGINT AS left_only, count(*) FILTER (NOT c) AS right_only, true AS subset FROM (SELECT {POSTERIOR} >= 0.80::DOUBLE AS c FROM r)",
+    "u4_set_checks": f"SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS both, count(*) FILTER (b.k IS NULL) AS left_only, count(*) FILTER (a.k IS NULL) AS right_only, count(*) FILTER (b.k IS NULL) = 0 AS subset FROM (SELECT DISTINCT report_id AS k FROM r WHERE {POSTERIOR} >= 0.80::DOUBLE) a FULL JOIN (SELECT DISTINCT report_id AS k FROM r WHERE report_id % 2 = 0) b USING (k)",
 }.items()} | {
     "b4_layers": LAYERS,
     "b12_sweep": SWEPT,
     "b16_panel": PANEL,
-    "p16_relevance": r"SELECT lang, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\b(constant|flat|stuck|persist|zero values|same value)\b') THEN 'repeated_value' WHEN regexp_matches(coalesce(text, ''), '(?i)\b(not working|malfunction|sensor drift|suspicious|bad data|failure|failed)\b') THEN 'sensor_failure' ELSE 'other' END AS relevance, count(*) AS n FROM documents GROUP BY 1, 2",
+    "p16_relevance": r"SELECT lang, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\b(constant|flat|stuck|persist|zero values|too much zero|give 0degc|same value)\b') THEN 'explicit_repeated_value_or_zero' WHEN regexp_matches(coalesce(text, ''), '(?i)\b(not working|malfunction|sensor drift|suspicious|bad data|disfunctional|failure|failed)\b') THEN 'sensor_failure_or_suspicious' ELSE 'other_manual_flag' END AS relevance, count(*) AS n FROM documents GROUP BY 1, 2",
 }

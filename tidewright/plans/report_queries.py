@@ -26,6 +26,8 @@ BLOCK, LEAST = 8, 3
 #: Methods that work on reports; the others see raw values.
 OWN = ("point_glr", "surprise")
 TOLERANCE, TEMPLATE = 30.0, 2
+#: Values of a subsequence.
+SUBSEQUENCE = 32
 
 
 def cases(s: Series) -> DataFrame:
@@ -37,7 +39,7 @@ def cases(s: Series) -> DataFrame:
 
 
 def suites(s: Series) -> DataFrame:
-    return B.suite(cases(s), ["case"], F.col("method").isin(*OWN), P.method_profile(F.col("method"))["family"])
+    return B.suite(cases(s), ["case"], F.col("method").isin(*OWN), P.family(F.col("method")))
 
 
 def surprising(s: Series) -> DataFrame:
@@ -47,16 +49,18 @@ def surprising(s: Series) -> DataFrame:
 
 def profiles(s: Series) -> DataFrame:
     runs = s.runs().groupBy("method").agg(F.count("*").alias("runs"))
-    return runs.select("method", "runs", *[c.alias(name) for name, c in P.method_profile(F.col("method")).items()])
+    own = F.col("method").isin(*OWN)
+    name, category = F.when(own, F.concat(F.lit("ldp_"), "method")).otherwise(F.col("method")), F.when(own, "channel_aware_baseline").otherwise("raw_domain_upper_bound")
+    return runs.select("method", "runs", *[c.alias(k) for k, c in P.method_profile(name, category).items()], P.family(F.col("method")).alias("family"))
 
 
 def mined(s: Series) -> DataFrame:
-    return faults.templates(s.raw, "x", TOLERANCE, TEMPLATE)
+    rows = s.faulty.select("series_id", "t", F.round("vf", 9).alias("x"))
+    return faults.templates(rows, "x", faults.tolerances(rows, "x"))
 
 
 def template_series(s: Series) -> DataFrame:
-    levels = faults.templates(s.clean.select("series_id", "t", "v"), "v", TOLERANCE / 200, TEMPLATE)
-    return faults.template_faults(s.clean, levels, SHARE, length=48)
+    return faults.template_faults(s.clean, mined(s), SHARE, length=48)
 
 
 def alignment(s: Series) -> DataFrame:
@@ -146,7 +150,7 @@ def sweep(s: Series) -> DataFrame:
 def layers(s: Series) -> DataFrame:
     """The panel by fault: the best method of all and of the own ones at each epsilon, and the router's choice."""
     runs = panel(s).withColumns({"auroc": F.round("auroc", 6), "auprc": F.round("auprc", 6)})
-    found = B.suite(runs, ["mode", "epsilon"], F.col("method").isin(*OWN), P.method_profile(F.col("method"))["family"])
+    found = B.suite(runs, ["mode", "epsilon"], F.col("method").isin(*OWN), P.family(F.col("method")))
     return found.withColumn("router_choice", F.when(F.col("own_auprc") >= F.col("best_auprc") - 0.02, F.col("own_method")).otherwise(F.col("recommended_method")))
 
 
@@ -162,7 +166,7 @@ REPORTS: dict[str, Callable[[Series], DataFrame]] = {
     "b4_layers": lambda s: rounded(layers(s), 9),
     "b12_sweep": lambda s: rounded(sweep(s)),
     "b16_panel": lambda s: rounded(panel(s)),
-    "d26_subsequences": lambda s: rounded(D.subsequence_neighbours(s.raw, "x", 16)),
+    "d26_subsequences": lambda s: rounded(D.subsequence_neighbours(s.raw, "x", SUBSEQUENCE)),
     "f4_templates": lambda s: rounded(mined(s)),
     "f4_template_faults": lambda s: rounded(template_series(s).select("series_id", "t", "label", "vf")),
     "j15_products": lambda s: rounded(products(s)),
@@ -184,7 +188,7 @@ REPORTS: dict[str, Callable[[Series], DataFrame]] = {
     "p19_calibration_source": lambda s: rounded(P.calibration_source(s.faulty, "v", BLOCK, LEAST)),
     "p20_alignment": lambda s: rounded(alignment(s)),
     "p21_block_choice": lambda s: P.block_choice(s.faulty, BLOCK, 1, 20),
-    "u4_set_checks": lambda s: P.set_checks(R.cleaning(s.reports).where("action = 'repair'"), s.reports, "report_id"),
+    "u4_set_checks": lambda s: P.set_checks(R.cleaning(s.reports).where("action = 'repair'"), s.reports.where("report_id % 2 = 0"), "report_id"),
 }
 
 QUERIES: dict[str, Query] = {key: (lambda spark, d, build=build: build(Series(spark, d))) for key, build in REPORTS.items()}

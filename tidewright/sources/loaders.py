@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.selection import relevance
+
 #: Flags of a sea-level record, and numbers that stand for missing.
 GOOD, OUT_OF_RANGE, SPIKE, STUCK, METADATA, MISSING = 1, 2, 4, 5, 7, 8
 SENTINELS = (-99999.0, -9999.0, -999.0, -888.0, -200.0, 1e20, -1e20)
@@ -128,7 +130,7 @@ def manual_flags(spark: SparkSession, path: str) -> DataFrame:
     """Intervals t0, t1, variable, flag, comment; lines that begin with # don't count. hours: their length."""
     rows = spark.read.option("header", True).option("comment", "#").csv(path)
     begin, end = F.try_to_timestamp("t0"), F.try_to_timestamp("t1")
-    kind = F.when(F.col("comment").rlike(r"(?i)flat|stuck|constant|frozen"), "flatline").when(F.col("comment").rlike(r"(?i)spike|jump|outlier"), "spike").otherwise("other")
+    kind = relevance(F.concat_ws(" ", "comment", "variable", "flag"))
     return rows.select(begin.alias("begin"), end.alias("end"), F.split("variable", r"[\s|;]+").alias("variables"), "flag", "comment", kind.alias("kind"), ((F.unix_timestamp(end) - F.unix_timestamp(begin)) / 3600.0).alias("hours"))
 
 
