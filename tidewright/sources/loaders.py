@@ -81,9 +81,17 @@ def gas_drift(spark: SparkSession, path: str, feature: int = 1) -> DataFrame:
     return rows.select("batch", F.split("value", "[ ;]")[0].alias("label"), number(F.regexp_extract("value", rf"(?:^|\s){feature}:(\S+)", 1)).alias("value")).where("value is not null")
 
 
-def with_units_row(spark: SparkSession, path: str) -> DataFrame:
-    """CSV whose second row has units: rows without a parsable time are left out."""
-    return csv(spark, path).where(F.try_to_timestamp("time").isNotNull()).withColumn("ts", F.try_to_timestamp("time"))
+def with_units_row(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """CSV whose second row has units: rows without a parsable time are left out.
+
+    begin, end (exclusive): ISO times; as such texts are in the order of time, the bounds go down to the CSV reader.
+    """
+    rows = csv(spark, path)
+    if begin is not None:
+        rows = rows.where(F.col("time") >= begin)
+    if end is not None:
+        rows = rows.where(F.col("time") < end)
+    return rows.where(F.try_to_timestamp("time").isNotNull()).withColumn("ts", F.try_to_timestamp("time"))
 
 
 def flag_bits(flags: Column, width: int = 4) -> Column:
@@ -121,9 +129,20 @@ def dimensions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of code=description."""
-    rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\w+\s*="))
-    return rows.select(F.trim(F.split("value", "=", 2)[0]).alias("code"), F.trim(F.split("value", "=", 2)[1]).alias("description"))
+    """Lines of code=description; blanks in a row are one."""
+    rows = spark.read.text(path).where(F.contains("value", F.lit("=")))
+    return rows.select(F.trim(F.split("value", "=", 2)[0]).alias("code"), F.trim(F.regexp_replace(F.split("value", "=", 2)[1], r"\s+", " ")).alias("description"))
+
+
+def fail_summary(spark: SparkSession, path: str, tests: int = 71) -> DataFrame:
+    """Lines of a number and a code, eight counts of stations and eight percentages: index, code, ordered (whether it is one
+    of the tests' own columns), counts, percentages."""
+    line = r"^\s*(\d+)([A-Z_]+)\s+(.*)$"
+    rows = spark.read.text(path).where(F.col("value").rlike(line))
+    rest = F.split(F.trim(F.regexp_extract("value", line, 3)), r"\s+")
+    index = F.regexp_extract("value", line, 1).cast("int")
+    counts, shares = F.transform(F.slice(rest, 1, 8), lambda x: x.try_cast("int")), F.transform(F.slice(rest, 9, 8), lambda x: x.try_cast("double"))
+    return rows.select(index.alias("index"), F.regexp_extract("value", line, 2).alias("code"), (index < tests).alias("ordered"), counts.alias("counts"), shares.alias("percentages"))
 
 
 def manual_flags(spark: SparkSession, path: str) -> DataFrame:
