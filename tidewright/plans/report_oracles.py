@@ -7,8 +7,8 @@ from functools import cache
 import numpy as np
 
 from tidewright.operators.channel import D, shape
-from tidewright.plans.report_queries import BLOCK, EPSILONS, LEAST, MODES, SEEDS, SETTINGS, SUBSEQUENCE, SWEEP, TEMPLATE, TOLERANCE
-from tidewright.plans.series_oracles import ALONG, BASE, BIN, POINT, RUNS, SEP, Z, base, clip, num, r, ranking
+from tidewright.plans.report_queries import BLOCK, EPSILONS, LEAST, LENGTH, MODES, SEEDS, SETTINGS, SUBSEQUENCE, SWEEP, TEMPLATE, TOLERANCE
+from tidewright.plans.series_oracles import ALONG, BASE, BIN, GLR, MIX, POINT, RUNS, SEP, WINDOWS, Z, base, clip, hmm, num, r, ranking
 from tidewright.plans.series_queries import EPSILON, SHARE, STUCK
 from tidewright.sources.telemetry import POLICY
 
@@ -53,28 +53,62 @@ OPERATOR = f"CASE WHEN {POSTERIOR} >= 0.80::DOUBLE THEN 'stuck_hmm' WHEN {POSTER
 
 POLICIES = ", ".join(map(str, POLICY))
 
-DRIFT = "v + 0.45::DOUBLE * (sum(label) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) - 1) / greatest(sum(label) OVER (PARTITION BY series_id) - 1, 1)"
-FAULTY = f"CASE series_id % {SETTINGS} % {len(MODES)} WHEN 0 THEN {num(STUCK)} WHEN 1 THEN v + 0.35::DOUBLE ELSE {DRIFT} END"
-OF_PRIVATE = Z.format(v="vf", t="f") + POINT + f""", sc AS (SELECT series_id, t, label, round(score, 6) AS score, 'robust_z' AS method FROM rz UNION ALL SELECT series_id, t, label, round(score, 6), 'point_glr' FROM o JOIN pg USING (series_id, obs)
-  UNION ALL SELECT o.series_id, t, label, round(-ln(greatest(p0, 1e-15)), 6), 'surprise' FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs), rk AS ({ranking("sc", "series_id, method")}) """
 
 
 def grid(n: int, seed: str) -> str:
     return f", n AS (SELECT series_id * {SETTINGS} + g AS series_id, t, id + {seed} * 1000003 AS id, x, part, k, v, g FROM n0 CROSS JOIN range({n}) AS q(g))"
 
 
+def pick(i: int, kind: str) -> str:
+    """A setting's value, by the number of the setting in a series' key."""
+    return f"(([{', '.join(repr(x[i]) for x in SWEEP)}])[series_id % {SETTINGS} + 1])::{kind}"
+
+
+def of_private(methods: tuple[str, ...], rate: str, length: str) -> str:
+    """Scores of methods and their areas (rk); rate and length: what the posterior model expects of a series."""
+    p11 = f"greatest(0.5::DOUBLE, 1 - 1 / greatest(({length})::DOUBLE, 2::DOUBLE))"
+    chances = f"SELECT *, least(0.2::DOUBLE, greatest(1e-4::DOUBLE, rho * (1 - p11) / greatest(1 - rho, 1e-6))) AS p01 FROM (SELECT DISTINCT series_id, ({rate})::DOUBLE AS rho, {p11} AS p11 FROM p0)"
+    model = hmm("SELECT a.series_id, a.t, c.stuck_bucket AS candidate, greatest(b.p0, 1e-12) AS e0, greatest(c.p, 1e-12) AS e1, rho, p01, p11 FROM o a JOIN p0 b ON b.series_id = a.series_id AND b.report_bucket = a.obs JOIN mx c ON c.report_bucket = a.obs JOIN hc ON hc.series_id = a.series_id", "rho", "p01", "p11")
+    found = {
+        "robust_z": (Z.format(v="vf", t="f"), "SELECT series_id, t, score FROM rz"),
+        "surprise": ("", "SELECT o.series_id, t, -ln(greatest(p0, 1e-15)) AS score FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs"),
+        "point_glr": (POINT, "SELECT series_id, t, score FROM o JOIN pg USING (series_id, obs)"),
+        "window_glr": (GLR, WINDOWS),
+        "mixture": (MIX, "SELECT o.series_id, t, rate * p / greatest(rate * p + (1 - rate) * p0, 1e-15) AS score FROM o JOIN p0 ON p0.series_id = o.series_id AND p0.report_bucket = o.obs JOIN fit ON fit.series_id = o.series_id JOIN mx ON mx.stuck_bucket = fit.candidate AND mx.report_bucket = o.obs"),
+        "hmm": (f", hc AS ({chances})" + model, "SELECT series_id, t, score FROM ps JOIN lk USING (series_id, candidate)"),
+    }
+    scores = " UNION ALL ".join(f"SELECT z.series_id, z.t, label, round(score, 6) AS score, '{m}' AS method FROM ({found[m][1]}) z JOIN f USING (series_id, t)" for m in methods)
+    return "".join(found[m][0] for m in methods) + f", sc AS ({scores}), rk AS ({ranking('sc', 'series_id, method')}) "
+
+
+#: Of the panel's keyed series: a template drawn for each, and its faults.
+DRAWN = f"""tp AS MATERIALIZED ({BASE}{MINED} SELECT series_id, n, level, rank, count(*) OVER (PARTITION BY series_id) AS c FROM ts),
+tc AS (SELECT series_id * {SETTINGS} + k AS series_id, n, level FROM tp CROSS JOIN range({len(SEEDS) * len(MODES)}) AS q(k) WHERE rank = ((series_id * {SETTINGS} + k) * 7919 + 12345) % 1000003 % c + 1),
+tw AS (SELECT z.series_id, size, coalesce(greatest(8, least(greatest(8, least(96, size // 3)), tc.n)), {LENGTH}) AS length, CASE WHEN level IS NULL THEN high ELSE {clip('level')} END AS level FROM (SELECT series_id, count(*) AS size, quantile_cont(v, 0.95) AS high FROM n GROUP BY 1) z LEFT JOIN tc USING (series_id)),
+tl AS (SELECT n.*, level, (row_number() OVER (PARTITION BY n.series_id ORDER BY ((t // length) * 7919 + n.series_id * 104729) % 1000003, t // length, t) <= greatest(1, round(size * {num(SHARE)})))::INTEGER AS label FROM n JOIN tw USING (series_id)),
+f AS MATERIALIZED (SELECT series_id, t, id, x, part, k, v, label, CASE WHEN label = 1 THEN {num(STUCK)} ELSE v END AS vf FROM im WHERE g % {len(MODES)} = 0 UNION ALL SELECT series_id, t, id, x, part, k, v, label, CASE WHEN label = 1 THEN CASE WHEN g % {len(MODES)} = 1 THEN {num(STUCK)} ELSE {clip('v + 0.35::DOUBLE')} END ELSE v END FROM m WHERE g % {len(MODES)} IN (1, 3)
+  UNION ALL SELECT series_id, t, id, x, part, k, v, label, CASE WHEN label = 1 THEN level ELSE v END FROM tl WHERE g % {len(MODES)} = 2),"""
+METHODS = ("robust_z", "surprise", "point_glr", "window_glr", "mixture", "hmm")
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
 def panel(epsilon: float) -> str:
-    sql = base(epsilon, grid(len(SEEDS) * len(MODES), f"(g // {len(MODES)})"), FAULTY) + OF_PRIVATE
+    sql = base(epsilon, grid(len(SEEDS) * len(MODES), f"(g // {len(MODES)})"), length=str(LENGTH))
+    begin = sql.index("f AS (SELECT *, CASE WHEN label")
+    sql = sql[:begin] + DRAWN + sql[sql.index("\n", begin) :] + of_private(METHODS, num(SHARE), str(LENGTH))
     modes = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MODES))
-    return f"({sql} SELECT series_id // {SETTINGS} AS series_id, {num(epsilon)} AS epsilon, (series_id % {SETTINGS} // {len(MODES)})::INTEGER AS seed, CASE series_id % {SETTINGS} % {len(MODES)} {modes} END AS mode, method, round(auroc, 6) + 0 AS auroc, round(auprc, 6) + 0 AS auprc FROM rk)"
+    return f"({recursive(sql)} SELECT series_id // {SETTINGS} AS series_id, {num(epsilon)} AS epsilon, (series_id % {SETTINGS} // {len(MODES)})::INTEGER AS seed, CASE series_id % {SETTINGS} % {len(MODES)} {modes} END AS mode, method, round(auroc, 6) + 0 AS auroc, round(auprc, 6) + 0 AS auprc FROM rk)"
 
 
 PANEL = " UNION ALL ".join(map(panel, EPSILONS))
 LAYERS = f"""WITH pn AS ({PANEL}), mt AS (SELECT mode, epsilon, method, avg(auroc) AS auroc, avg(auprc) AS auprc, count(auprc) AS cases FROM pn GROUP BY 1, 2, 3 HAVING avg(auprc) IS NOT NULL),
 b1 AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY mode, epsilon ORDER BY auprc DESC, method) = 1), b2 AS (SELECT * FROM mt WHERE method IN ('point_glr', 'surprise') QUALIFY row_number() OVER (PARTITION BY mode, epsilon ORDER BY auprc DESC, method) = 1)
 SELECT mode, epsilon, b1.method AS recommended_method, {FAMILY.replace('method', 'b1.method')} AS recommended_family, round(b1.auroc, 9) AS best_auroc, round(b1.auprc, 9) AS best_auprc, b1.cases, b2.method AS own_method, round(b2.auroc, 9) AS own_auroc, round(b2.auprc, 9) AS own_auprc, round(b1.auprc - b2.auprc, 9) + 0 AS gain, CASE WHEN b2.auprc >= b1.auprc - 0.02::DOUBLE THEN b2.method ELSE b1.method END AS router_choice FROM b1 LEFT JOIN b2 USING (mode, epsilon)"""
-PICK = lambda i: "CASE g " + " ".join(f"WHEN {k} THEN {x[i]}" for k, x in enumerate(SWEEP)) + " END"
-SWEPT = base(EPSILONS[-1], grid(len(SWEEP), "g"), share=f"({PICK(0)})::DOUBLE", length=f"({PICK(1)})") + OF_PRIVATE + f"SELECT ({PICK(0)})::DOUBLE AS share, ({PICK(1)})::INTEGER AS length, method, count(auprc) AS runs, round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc FROM (SELECT *, series_id % {SETTINGS} AS g FROM rk) GROUP BY 1, 2, 3"
+SWEPT = recursive(base(EPSILONS[0], grid(len(SWEEP), f"({pick(2, 'BIGINT').replace(f'series_id % {SETTINGS}', 'g')})"), share=pick(3, "DOUBLE"), length=f"({pick(4, 'BIGINT')})") + of_private(("window_glr", "hmm", "surprise"), pick(3, "DOUBLE"), pick(4, "DOUBLE")))
+SWEPT += f"SELECT {pick(0, 'VARCHAR')} AS axis, {pick(1, 'DOUBLE')} AS axis_value, {pick(2, 'INTEGER')} AS seed, method, count(auprc) AS runs, round(avg(auroc), 6) + 0 AS auroc, round(avg(auprc), 6) + 0 AS auprc FROM rk GROUP BY ALL"
 
 ORACLES: dict[str, str] = {key: BASE + sql for key, sql in {
     "a17_mode": "SELECT series_id, obs AS mode, n FROM (SELECT series_id, obs, count(*) AS n FROM o GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, obs) = 1",

@@ -6,14 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright import stage
 from tidewright.operators import channel as C
 from tidewright.operators import detectors as D
 from tidewright.operators import evaluation as E
-from tidewright.operators import faults, hmm
+from tidewright.operators import faults, hmm, scan
 from tidewright.operators import relations as R
 from tidewright.operators import selection as P
 from tidewright.operators import series as S
@@ -103,9 +103,11 @@ def policies(s: Series) -> DataFrame:
     return telemetry.router_policy(s.spark, workflow=True).join(cleaned, "operator", "left").withColumn("cleaned", F.coalesce("cleaned", F.lit(0)))
 
 
-#: Panel: epsilons, seeds, faults. Sweeps: shares of faults and lengths of segments. A series has one key for each setting.
-EPSILONS, SEEDS, MODES, SETTINGS = (1.0, 2.0), (0, 1), ("segment_stuck", "bias", "drift"), 64
-SWEEP = ((0.1, 4), (0.2, 4), (0.2, 8), (0.2, 16), (0.3, 8))
+#: Panel: epsilons, seeds, faults and the rows of a segment. Sweeps: lengths and shares, each with three seeds. A series has
+#: one key for each setting.
+EPSILONS, SEEDS, MODES, LENGTH, SETTINGS = (2.0, 4.0), (0, 1, 2), ("iid_stuck", "segment_stuck", "template_stuck", "bias"), 48, 64
+AXES = {"segment_length": (12, 24, 48, 96), "fault_rate": (0.05, 0.10, 0.20, 0.30)}
+SWEEP = tuple((axis, float(v), seed, v if axis == "fault_rate" else SHARE, v if axis == "segment_length" else LENGTH) for axis, values in AXES.items() for v in values for seed in SEEDS)
 
 
 def spread(s: Series, settings: list[tuple]) -> DataFrame:
@@ -116,35 +118,56 @@ def spread(s: Series, settings: list[tuple]) -> DataFrame:
     return rows.select((F.col("series_id").cast("long") * SETTINGS + F.col("setting")).alias("series_id"), "t", (F.col("id") + F.col("x_.seed") * 1_000_003).alias("id"), "x", "part", "v", "setting", *own)
 
 
-def private_runs(s: Series, faulty: DataFrame, epsilon: float) -> DataFrame:
-    """series_id, method, auroc, auprc of methods on raw values and on reports at one epsilon."""
+def of_setting(values: list) -> Column:
+    """The value of a series' setting, by its key."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("series_id") % SETTINGS + 1).cast("int"))
+
+
+def private_runs(s: Series, faulty: DataFrame, epsilon: float, methods: tuple[str, ...], rate: Column, length: Column) -> DataFrame:
+    """series_id, method, auroc, auprc of methods on raw values and on reports at one epsilon; rate and length: what the
+    posterior model expects of a series."""
     private = stage.table(faulty.withColumn("obs", C.discretize(C.piecewise(F.col("vf"), epsilon), epsilon)), "panel")
     matrix = C.piecewise_matrix(s.spark, epsilon)
     p0 = stage.table(C.normal(matrix, C.alpha(private.where("part = 'train'"))), "normal-reports")
-    found = {"robust_z": D.robust_z(private, "vf"), "surprise": D.surprise(private, p0), "point_glr": D.point_glr(private, D.ratios(matrix, p0))}
-    parts = [d.select("series_id", "t", "label", F.round("score", 6).alias("score"), F.lit(name).alias("method")) for name, d in found.items()]
+    ratios = D.ratios(matrix, p0)
+    p11 = F.greatest(F.lit(0.5), 1 - 1 / F.greatest(length.cast("double"), F.lit(2.0)))
+    p01 = F.least(F.lit(0.2), F.greatest(F.lit(1e-4), rate * (1 - p11) / F.greatest(1 - rate, F.lit(1e-6))))
+    chain = scan.Chain(np.maximum(hmm.table(matrix), hmm.FLOOR), p01, p11, rate)
+    found = {
+        "robust_z": lambda: D.robust_z(private, "vf"),
+        "surprise": lambda: D.surprise(private, p0),
+        "point_glr": lambda: D.point_glr(private, ratios),
+        "window_glr": lambda: D.window_glr(private, ratios),
+        "mixture": lambda: D.mixture_posterior(private, matrix, p0, stage.table(D.mixture(private, matrix, p0), "fit")),
+        "hmm": lambda: scan.posteriors(private, scan.normals(p0, C.D), chain).drop("label").join(private.select("series_id", "t", "label"), ["series_id", "t"]),
+    }
+    parts = [found[name]().select("series_id", "t", "label", F.round("score", 6).alias("score"), F.lit(name).alias("method")) for name in methods]
     return E.ranking(reduce(DataFrame.union, parts), ["series_id", "method"])
 
 
 def panel(s: Series) -> DataFrame:
     """A run for each series, epsilon, seed, fault and method."""
     settings = [(("seed", seed), ("mode", mode)) for seed in SEEDS for mode in MODES]
-    labelled = faults.segment_mask(spread(s, settings), SHARE, SEGMENT)
-    faulty = reduce(DataFrame.unionByName, (faults.inject(labelled.where(F.col("mode") == mode), mode, stuck=STUCK) for mode in MODES))
-    faulty = stage.table(faulty, "faulty")
-    runs = reduce(DataFrame.unionByName, (private_runs(s, faulty, e).withColumn("epsilon", F.lit(e)) for e in EPSILONS))
-    place = (F.col("series_id") % SETTINGS).cast("int")
-    seed, mode = F.element_at(F.array(*[F.lit(x[0][1]) for x in settings]), place + 1), F.element_at(F.array(*[F.lit(x[1][1]) for x in settings]), place + 1)
+    rows = stage.table(spread(s, settings), "panel-series")
+    of = {mode: rows.where(F.col("mode") == mode) for mode in MODES}
+    keyed = mined(s).withColumn("_k", F.explode(F.array(*[F.lit(k) for k, x in enumerate(settings) if x[1][1] == "template_stuck"])))
+    keyed = keyed.withColumn("series_id", F.col("series_id").cast("long") * SETTINGS + F.col("_k")).drop("_k")
+    parts = [faults.inject(faults.iid_mask(of["iid_stuck"], SHARE), "iid_stuck", stuck=STUCK), faults.template_faults(of["template_stuck"], keyed, SHARE, length=LENGTH)]
+    parts += [faults.inject(faults.segment_mask(of[mode], SHARE, LENGTH), mode, stuck=STUCK) for mode in ("segment_stuck", "bias")]
+    faulty = stage.table(reduce(DataFrame.unionByName, [x.select("series_id", "t", "id", "part", "v", "label", "vf") for x in parts]), "faulty")
+    methods = ("robust_z", "surprise", "point_glr", "window_glr", "mixture", "hmm")
+    runs = reduce(DataFrame.unionByName, (private_runs(s, faulty, e, methods, F.lit(SHARE), F.lit(LENGTH)).withColumn("epsilon", F.lit(e)) for e in EPSILONS))
+    seed, mode = of_setting([x[0][1] for x in settings]), of_setting([x[1][1] for x in settings])
     return runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), "epsilon", seed.alias("seed"), mode.alias("mode"), "method", "auroc", "auprc")
 
 
 def sweep(s: Series) -> DataFrame:
-    """Mean scores by share of faults and length of segments."""
-    settings = [(("seed", k), ("share", share), ("length", length)) for k, (share, length) in enumerate(SWEEP)]
+    """Mean scores along each axis, by seed."""
+    settings = [(("seed", seed), ("share", share), ("length", length)) for _, _, seed, share, length in SWEEP]
     faulty = faults.inject(faults.segment_mask(spread(s, settings), F.col("share"), F.col("length")), "segment_stuck", stuck=STUCK)
-    runs = private_runs(s, stage.table(faulty, "faulty"), EPSILONS[-1]).withColumn("k", (F.col("series_id") % SETTINGS + 1).cast("int"))
-    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SWEEP]), F.col("k"))
-    return runs.groupBy(pick(0).alias("share"), pick(1).alias("length"), "method").agg(F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
+    runs = private_runs(s, stage.table(faulty, "faulty"), EPSILONS[0], ("window_glr", "hmm", "surprise"), of_setting([x[3] for x in SWEEP]), of_setting([x[4] for x in SWEEP]))
+    names = [of_setting([x[i] for x in SWEEP]).alias(name) for i, name in enumerate(("axis", "axis_value", "seed"))]
+    return runs.groupBy(*names, "method").agg(F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
 
 
 def layers(s: Series) -> DataFrame:

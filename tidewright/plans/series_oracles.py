@@ -164,12 +164,14 @@ P11 = max(0.5, 1 - 1 / max(float(SEGMENT), 2.0))
 P01 = min(0.2, max(1e-4, SHARE * (1 - P11) / max(1 - SHARE, 1e-6)))
 
 
-def hmm(emissions: str) -> str:
-    """Forward and backward pass by recursion over t; emissions: series_id, t, candidate, e0, e1."""
-    step = f"SELECT *, (f0 * {num(1 - P01)} + f1 * {num(1 - P11)}) * x0 AS a0, (f0 * {num(P01)} + f1 * {num(P11)}) * x1 AS a1 FROM (SELECT fw.*, em.e0 AS x0, em.e1 AS x1 FROM fw JOIN em ON em.series_id = fw.series_id AND em.candidate = fw.candidate AND em.t = fw.t + 1)"
-    back = f"SELECT *, {num(1 - P01)} * x0 * g0 + {num(P01)} * x1 * g1 AS a0, {num(1 - P11)} * x0 * g0 + {num(P11)} * x1 * g1 AS a1 FROM (SELECT bw.*, em.e0 AS x0, em.e1 AS x1 FROM bw JOIN em ON em.series_id = bw.series_id AND em.candidate = bw.candidate AND em.t = bw.t WHERE bw.t > 0)"
+def hmm(emissions: str, rho: str = num(SHARE), p01: str = num(P01), p11: str = num(P11)) -> str:
+    """Forward and backward pass by recursion over t; emissions: series_id, t, candidate, e0, e1 and what chances are named."""
+    named = [c for c in ("rho", "p01", "p11") if c in (rho, p01, p11)]
+    of = "".join(f", em.{c}" for c in named)
+    step = f"SELECT *, (f0 * (1 - {p01}) + f1 * (1 - {p11})) * x0 AS a0, (f0 * {p01} + f1 * {p11}) * x1 AS a1 FROM (SELECT fw.*, em.e0 AS x0, em.e1 AS x1{of} FROM fw JOIN em ON em.series_id = fw.series_id AND em.candidate = fw.candidate AND em.t = fw.t + 1)"
+    back = f"SELECT *, (1 - {p01}) * x0 * g0 + {p01} * x1 * g1 AS a0, (1 - {p11}) * x0 * g0 + {p11} * x1 * g1 AS a1 FROM (SELECT bw.*, em.e0 AS x0, em.e1 AS x1{of} FROM bw JOIN em ON em.series_id = bw.series_id AND em.candidate = bw.candidate AND em.t = bw.t WHERE bw.t > 0)"
     return f""", em AS MATERIALIZED ({emissions}),
-fw AS (SELECT series_id, candidate, t, {num(1 - SHARE)} * e0 / ({num(1 - SHARE)} * e0 + {num(SHARE)} * e1) AS f0, {num(SHARE)} * e1 / ({num(1 - SHARE)} * e0 + {num(SHARE)} * e1) AS f1, ln({num(1 - SHARE)} * e0 + {num(SHARE)} * e1) AS ll FROM em WHERE t = 0
+fw AS (SELECT series_id, candidate, t, (1 - {rho}) * e0 / ((1 - {rho}) * e0 + {rho} * e1) AS f0, {rho} * e1 / ((1 - {rho}) * e0 + {rho} * e1) AS f1, ln((1 - {rho}) * e0 + {rho} * e1) AS ll FROM em WHERE t = 0
   UNION ALL SELECT series_id, candidate, t + 1, a0 / (a0 + a1), a1 / (a0 + a1), ll + ln(a0 + a1) FROM ({step})),
 bw AS (SELECT series_id, candidate, max(t) AS t, 1::DOUBLE AS g0, 1::DOUBLE AS g1 FROM em GROUP BY 1, 2
   UNION ALL SELECT series_id, candidate, t - 1, a0 / (a0 + a1), a1 / (a0 + a1) FROM ({back})),
