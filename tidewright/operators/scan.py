@@ -34,19 +34,22 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Chain:
-    """columns: reports x candidates, what state 1 reports; p01, p11: chances to enter and to stay in it; start: to begin in
-    it. Chances are numbers, or columns of the table of what is normal."""
+    """columns: reports x candidates, what state 1 reports, or several such tables of one size, filled up with zeros; p01,
+    p11: chances to enter and to stay in it; start: to begin in it; channel: which table holds for a series. Chances and
+    channel are numbers, or columns of the table of what is normal."""
 
     columns: np.ndarray
     p01: float | Column
     p11: float | Column
     start: float | Column
+    channel: int | Column = 0
 
     def emissions(self, normal: np.ndarray, obs: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Blocks x rows, and blocks x rows x candidates (or the one chosen of each block): chances of the reports in both
-        states; -1 tells nothing."""
-        known, own = obs >= 0, np.maximum(obs, 0)
-        fault = self.columns[own] if chosen is None else self.columns[own, chosen[:, None]][:, :, None]
+        states; -1 tells nothing. The last entry of what is normal is the channel."""
+        known, own, tables = obs >= 0, np.maximum(obs, 0), self.columns.reshape(-1, *self.columns.shape[-2:])
+        channel, normal = normal[:, -1:].astype(np.int64), normal[:, :-1]
+        fault = tables[channel, own] if chosen is None else tables[channel, own, chosen[:, None]][:, :, None]
         quiet = np.where(known, np.take_along_axis(normal, own, axis=1), 1.0)
         return np.maximum(quiet, LEAST), np.maximum(np.where(known[:, :, None], fault, 1.0), LEAST)
 
@@ -138,12 +141,12 @@ def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool =
     largest likelihood (of those equal to nine digits the lowest), or, with per_row, by the row's best candidate. Rows of
     one t stand in the order of their reports. Of an empty table nothing is returned; other columns are ignored.
     """
-    m = chain.columns.shape[1]
+    m = chain.columns.shape[-1]
     item = F.struct(F.col("t").cast("long").alias("t"), F.col("obs").cast("int").alias("obs"))
     own = rows.groupBy(F.col("series_id").cast("long").alias("series_id"), F.floor(F.col("t") / block).alias("at")).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    chances = [(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(k) for k, v in (("p01", chain.p01), ("p11", chain.p11), ("start", chain.start))]
+    chances = [(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(k) for k, v in (("p01", chain.p01), ("p11", chain.p11), ("start", chain.start), ("channel", chain.channel))]
     own = own.join(normal.select(F.col("series_id").cast("long").alias("series_id"), "normal", *chances), "series_id")
-    blocks = stage.table(own.select("series_id", "at", F.col("_items.t").alias("t"), F.col("_items.obs").alias("obs"), "normal", "p01", "p11", "start"), "blocks")
+    blocks = stage.table(own.select("series_id", "at", F.col("_items.t").alias("t"), F.col("_items.obs").alias("obs"), F.concat("normal", F.array("channel")).alias("normal"), "p01", "p11", "start"), "blocks")
     chain = Chain(chain.columns, 0.0, 0.0, 0.0)  # what goes to workers
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from tidewright.operators.channel import D, shape
+from tidewright.operators.hmm import transition
 from tidewright.operators.simulation import HASH, places
 from tidewright.operators.selection import BOUNDARIES, FAILURE, REPEATED, TRIGGERS
-from tidewright.plans.audit_queries import BLOCK, CHOSEN, COMMENTS, EPISODE, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, TESTS, VARIABLES, WINDOWS
-from tidewright.plans.report_oracles import CASES, FAMILY, FAULTS, POOL, SUITE
-from tidewright.plans.series_oracles import ALONG, BASE, base, num, r, ranking
+from tidewright.plans.audit_queries import BLOCK, CHANNELS, CHOSEN, COMMENTS, EPISODE, FLEETS, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, STRESSED, TESTS, TRUE_EPSILON, VARIABLES, WINDOWS
+from tidewright.plans.report_oracles import CASES, FAMILY, FAULTS, POOL, SUITE, grid, recursive
+from tidewright.plans.report_queries import LENGTH, SETTINGS
+from tidewright.plans.series_oracles import ALONG, BASE, base, hmm, num, r, ranking
+from tidewright.plans.series_queries import SHARE, STUCK
 
 MEASURES = ("kl", "chernoff", "bucket_p_under_fault", "bucket_p_under_normal", "bucket_auc", "llr_auc", "llr_auprc", "stuck_value", "bucket_delta", "auroc_gap")
 
@@ -89,6 +92,36 @@ SELECT test, count(*) AS rows, count(*) FILTER (qc > 0) AS positive_flags, count
 CASE WHEN test = 'stuck' AND count(*) FILTER (qc > 0) > 0 THEN 'semantic candidate' ELSE 'not used' END AS fit FROM qc LEFT JOIN qr USING (test) GROUP BY test"""
 EVENTS = QC + f""", st AS ({RUNS_OF.format(source="qc", flag="test = 'stuck' AND qc > 0")}) SELECT a.series_id, a.t, b AS positive_run_start, e AS positive_run_end, n AS positive_run_length, (SELECT string_agg(test, '|' ORDER BY list_position(['{"', '".join(TESTS)}'], test)) FROM qc k WHERE k.series_id = a.series_id AND k.t = a.t AND k.qc > 0) AS cooccurring_positive_flags
 FROM qc a JOIN st ON st.series_id = a.series_id AND a.t BETWEEN b AND e WHERE a.test = 'stuck' AND a.qc > 0"""
+def chosen(i: int, kind: str, key: str = f"series_id % {SETTINGS}") -> str:
+    return f"(([{', '.join(repr(x[i]) for x in STRESSED)}])[{key} + 1])::{kind}"
+
+
+def stress() -> str:
+    """All settings of the posterior model; a channel's table follows from its s, c and size."""
+    _, c = shape(TRUE_EPSILON)
+    known = ", ".join(f"({k}, {num(shape(e)[0])}, {num(shape(e)[1])}, {d})" for k, (e, d) in enumerate(CHANNELS))
+    p01, p11 = transition(SHARE, float(LENGTH))
+    inside = lambda x: f"greatest(0, least(d - 1, floor({x})))::INTEGER"
+    sizes = f"([{', '.join(str(CHANNELS[x[4]][1]) for x in STRESSED)}])[series_id % {SETTINGS} + 1]"
+    means = "count(auprc) AS runs, round(avg(auroc), 6) + 0 AS auroc, round(avg(auprc), 6) + 0 AS auprc"
+    plain = ", ".join(str(k) for k, x in enumerate(STRESSED) if x[:2] == ("calibration_contamination", 0.0))
+    model = hmm("SELECT a.series_id, a.t, q.stuck_bucket AS candidate, greatest(b.p0, 1e-12) AS e0, greatest(q.p, 1e-12) AS e1 FROM so a JOIN sp b ON b.series_id = a.series_id AND b.report_bucket = a.obs JOIN cm q ON q.channel = a.channel AND q.report_bucket = a.obs", num(SHARE), num(p01), num(p11))
+    sql = base(TRUE_EPSILON, grid(len(STRESSED), f"({chosen(2, 'BIGINT', 'g')})"), length=str(LENGTH)) + f""", so0 AS (SELECT *, {sizes} AS d, {chosen(4, 'INTEGER')} AS channel, {chosen(3, 'DOUBLE')} AS share FROM y),
+so AS MATERIALIZED (SELECT *, {inside(f'(y + {num(c)}) / ({num(2 * c)} / d)')} AS obs, {inside(f'{num(STUCK + 1.0)} * (d / 2.0::DOUBLE)')} AS bucket FROM so0),
+cg AS (SELECT channel, s, c, d, a AS stuck_bucket, b AS report_bucket, 2 / (s - 1) AS width, 2 * c / d AS step, (s * (-1 + 1.0::DOUBLE / d + 2.0::DOUBLE / d * a) - 1) / (s - 1) AS lo FROM (VALUES {known}) k(channel, s, c, d), range(64) AS p(a), range(64) AS q(b) WHERE a < d AND b < d),
+co AS (SELECT *, greatest(0::DOUBLE, least(-c + report_bucket * step + step, lo + width) - greatest(-c + report_bucket * step, lo)) AS ov FROM cg),
+cw AS (SELECT *, s / (s + 1) / width * ov + 1 / (s + 1) / (2 * c - width) * (step - ov) AS mass FROM co), cm AS MATERIALIZED (SELECT channel, stuck_bucket::INTEGER AS stuck_bucket, report_bucket::INTEGER AS report_bucket, mass / sum(mass) OVER (PARTITION BY channel, stuck_bucket) AS p FROM cw),
+sh AS (SELECT series_id, d, channel, share, bucket, {inside('(v + 1.0::DOUBLE) * (d / 2.0::DOUBLE)')} AS sb, count(*) AS n FROM so WHERE part = 'train' GROUP BY ALL),
+sa AS (SELECT z.series_id, z.channel, b AS stuck_bucket, (coalesce(n, 0) + 0.001::DOUBLE) / (total + z.d * 0.001::DOUBLE) * (1 - z.share) + CASE WHEN b = z.bucket THEN z.share ELSE 0 END AS alpha FROM (SELECT series_id, d, channel, share, bucket, sum(n) AS total FROM sh GROUP BY ALL) z JOIN range(64) AS w(b) ON b < z.d LEFT JOIN sh ON sh.series_id = z.series_id AND sh.sb = b),
+sp AS MATERIALIZED (SELECT series_id, report_bucket, sum(p * alpha) AS p0 FROM sa JOIN cm USING (channel, stuck_bucket) GROUP BY 1, 2){model},
+sx AS MATERIALIZED (SELECT series_id, t, so.label, candidate, bucket, round(score, 6) AS score FROM ps JOIN lk USING (series_id, candidate) JOIN so USING (series_id, t)), rk AS ({ranking("sx", "series_id")}),
+hi AS (SELECT series_id, max((candidate = bucket)::INTEGER)::DOUBLE AS hit FROM sx GROUP BY 1), fl AS (SELECT unnest([{', '.join(map(str, FLEETS))}]) AS x, {chosen(2, 'INTEGER')} AS seed, series_id // {SETTINGS} AS device, label, score FROM sx WHERE series_id % {SETTINGS} IN ({plain})),
+fg AS (SELECT *, device // x AS fleet FROM fl), fk AS ({ranking("fg", "x, seed, fleet")})
+SELECT {chosen(0, 'VARCHAR')} AS panel, {chosen(1, 'DOUBLE')} AS x, {chosen(2, 'INTEGER')} AS seed, {means}, round(avg(hit), 6) + 0 AS bucket_hit FROM rk JOIN hi USING (series_id) GROUP BY 1, 2, 3
+UNION ALL SELECT 'multi_device_short_traces', x::DOUBLE, seed, {means}, NULL FROM fk GROUP BY ALL"""
+    return recursive(sql)
+
+
 ORACLES: dict[str, str] = {
     "d27_channel_advantage": f"SELECT * REPLACE ({', '.join(r(c, digits=9) for c in MEASURES)}) FROM ({ADVANTAGE})",
     "d27_by_epsilon": f"SELECT epsilon, count(*) AS settings, round(avg(hard_case), 6) + 0 AS weak_bucket_case_fraction, {MEDIANS} FROM ({ADVANTAGE}) GROUP BY 1",
@@ -103,4 +136,5 @@ ORACLES: dict[str, str] = {
     "b14_test_summary": BASE + SUMMARY,
     "b14_streak_events": BASE + EVENTS,
     "p17_layer_triggers": BASE + f"SELECT layer, {TRIGGER} AS semantic_trigger, count(*) AS rows, sum(label)::BIGINT AS faults FROM (SELECT *, {of(LAYERS, 'series_id')} AS layer FROM f) GROUP BY ALL",
+    "b12_stress": stress(),
 }

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright import stage
-from tidewright.operators import audits, simulation
+from tidewright.operators import audits, faults, hmm, scan, simulation
 from tidewright.operators import channel as C
 from tidewright.operators import evaluation as E
 from tidewright.operators import selection as P
 from tidewright.operators import series as S
 from tidewright.operators import summaries as B
-from tidewright.plans.report_queries import OWN, cases, surprising
-from tidewright.plans.series_queries import Query, Series, rounded
+from tidewright.plans.report_queries import LENGTH, OWN, SEEDS, SETTINGS, cases, of_setting, spread, surprising
+from tidewright.plans.series_queries import SHARE, STUCK, Query, Series, rounded
 from tidewright.sources.versioned import KeyedTable
 
 #: Groups of devices that stand for streams, and the epsilons of their channels.
@@ -121,7 +122,59 @@ def triggers(s: Series) -> DataFrame:
     return rows.groupBy("layer", P.layer_trigger(F.col("layer")).alias("semantic_trigger")).agg(F.count("*").alias("rows"), F.sum("label").alias("faults"))
 
 
+#: What the posterior model is put under: calibrations mixed with the stuck bucket, channels of other sizes, and a channel
+#: of another epsilon than the reports'; fleets of so many devices.
+STRESS = {"calibration_contamination": (0.0, 0.02, 0.05, 0.10, 0.20, 0.35), "bucket_count": (8, 16, 32, 64), "epsilon_mismatch": (0.75, 1.0, 1.5, 2.0, 3.0, 4.0)}
+FLEETS, TRUE_EPSILON = (4, 16, 32), 2.0
+CHANNELS = ((TRUE_EPSILON, 32), (TRUE_EPSILON, 8), (TRUE_EPSILON, 16), (TRUE_EPSILON, 64), *((e, 32) for e in STRESS["epsilon_mismatch"] if e != TRUE_EPSILON))
+#: panel, x, seed, share of the stuck bucket in the calibration, channel of each setting.
+STRESSED = tuple((panel, float(x), seed, x if panel == "calibration_contamination" else 0.0, CHANNELS.index((x, 32) if panel == "epsilon_mismatch" else (TRUE_EPSILON, x) if panel == "bucket_count" else (TRUE_EPSILON, 32))) for panel, values in STRESS.items() for x in values for seed in SEEDS)
+
+
+def stressed(s: Series) -> DataFrame:
+    """series_id (keyed), t, label, score, candidate, d and bucket (the true one): all settings in one scan."""
+    largest = max(d for _, d in CHANNELS)
+    pick = lambda i: of_setting([x[i] for x in STRESSED])
+    size = of_setting([CHANNELS[x[4]][1] for x in STRESSED])
+    inside = lambda x: F.greatest(F.lit(0), F.least(F.col("d") - 1, F.floor(x))).cast("int")
+    rows = spread(s, [(("seed", x[2]),) for x in STRESSED]).withColumn("d", size)
+    rows = faults.inject(faults.segment_mask(rows, SHARE, LENGTH), "segment_stuck", stuck=STUCK)
+    _, c = C.shape(TRUE_EPSILON)
+    rows = stage.table(rows.withColumn("obs", inside((C.piecewise(F.col("vf"), TRUE_EPSILON) + F.lit(c)) / (F.lit(2 * c) / F.col("d")))), "stressed")
+    bucket = inside(F.lit(STUCK + 1.0) * (F.col("d") / F.lit(2.0)))
+    counted = rows.where("part = 'train'").groupBy("series_id", "d", inside((F.col("v") + F.lit(1.0)) * (F.col("d") / F.lit(2.0))).alias("stuck_bucket")).agg(F.count("*").alias("n"))
+    every = counted.groupBy("series_id", "d").agg(F.sum("n").alias("total")).withColumn("stuck_bucket", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
+    share = (F.coalesce("n", F.lit(0)) + F.lit(1e-3)) / (F.col("total") + F.col("d") * F.lit(1e-3))
+    alpha = every.join(counted, ["series_id", "d", "stuck_bucket"], "left").withColumn("alpha", share * (1 - pick(3)) + F.when(F.col("stuck_bucket") == bucket, pick(3)).otherwise(F.lit(0.0))).withColumn("channel", pick(4))
+    tables, matrix = np.zeros((len(CHANNELS), largest, largest)), None
+    for k, (e, d) in enumerate(CHANNELS):
+        own = C.piecewise_matrix(s.spark, e, d, d)
+        tables[k, :d, :d] = np.maximum(hmm.table(own, d), hmm.FLOOR)
+        own = own.withColumn("channel", F.lit(k))
+        matrix = own if matrix is None else matrix.unionByName(own)
+    p0 = alpha.join(F.broadcast(matrix), ["channel", "stuck_bucket"]).groupBy("series_id", "report_bucket").agg(F.sum(F.col("p") * F.col("alpha")).alias("p0"))
+    p01, p11 = hmm.transition(SHARE, float(LENGTH))
+    found = scan.posteriors(rows, scan.normals(p0, largest), scan.Chain(tables, p01, p11, SHARE, pick(4)))
+    return stage.table(found.join(rows.select("series_id", "t", "label", "d"), ["series_id", "t"]).withColumn("bucket", bucket), "stressed-scores")
+
+
+def stress(s: Series) -> DataFrame:
+    """Means over devices of each setting's areas and of how often the true bucket is found; fleets of devices are scored
+    as one, on what isn't contaminated."""
+    rows = stressed(s).withColumn("score", F.round("score", 6))
+    hits = rows.groupBy("series_id").agg(F.max((F.col("candidate") == F.col("bucket")).cast("double")).alias("hit"))
+    runs = E.ranking(rows, ["series_id"]).join(hits, "series_id")
+    pick = lambda i, name: of_setting([x[i] for x in STRESSED]).alias(name)
+    means = [F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc")]
+    single = runs.groupBy(pick(0, "panel"), pick(1, "x"), pick(2, "seed")).agg(*means, F.avg("hit").alias("bucket_hit"))
+    plain = rows.where((F.col("series_id") % SETTINGS).isin([k for k, x in enumerate(STRESSED) if x[:2] == ("calibration_contamination", 0.0)]))
+    plain = plain.withColumn("x", F.explode(F.array(*map(F.lit, FLEETS)))).withColumn("fleet", F.floor(F.floor(F.col("series_id") / SETTINGS) / F.col("x"))).withColumn("seed", pick(2, "seed"))
+    fleets = E.ranking(plain, ["x", "seed", "fleet"]).groupBy(F.lit("multi_device_short_traces").alias("panel"), F.col("x").cast("double").alias("x"), "seed").agg(*means, F.lit(None).cast("double").alias("bucket_hit"))
+    return single.unionByName(fleets)
+
+
 AUDITS: dict[str, Callable[[Series], DataFrame]] = {
+    "b12_stress": lambda s: rounded(stress(s)),
     "d27_channel_advantage": lambda s: rounded(advantage(s), 9),
     "d27_by_epsilon": lambda s: rounded(simulation.by_epsilon(rounded(advantage(s), 9))),
     "j14_flagged_rows": flagged,
