@@ -233,13 +233,13 @@ def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32,
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """query_id, score: the mean distance of a query to its k nearest rows, itself apart; exact.
 
-    queries and vectors: vec_id, embedding. The queries are a stated set; they go to all rows in blocks of a fixed
-    number, as one array per block, and each row keeps to the k nearest that its partition has seen.
+    queries and vectors: vec_id, embedding. The queries are a stated set; they go to all rows in blocks of about a fixed
+    number by a hash of their ids, and each row keeps to the k nearest that its partition has seen.
     """
-    total = queries.count()
+    blocks = -(-queries.count() // block) or 1
     out = None
-    for b in range(-(-total // block) or 1):
-        own = queries.withColumn("_n", F.row_number().over(Window.orderBy("vec_id"))).where(F.floor((F.col("_n") - 1) / block) == b).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
         pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
         squares = F.aggregate(F.zip_with("embedding", "query", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
         near = pairs.select("query_id", F.sqrt(squares).alias("distance"))

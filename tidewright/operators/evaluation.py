@@ -119,14 +119,31 @@ def stepwise_auprc(rows: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.when(F.sum("label") > 0, F.sum(F.when(F.col("label") == 1, F.col("_tp") / F.col("_n"))) / F.sum("label")).alias("auprc_rows"))
 
 
+def first_hits(rows: DataFrame, keys: list[str], ties: list[Column], sizes: dict[str, Column]) -> DataFrame:
+    """keys, rows, positives and, for each size, <name>_k and <name>_hits: faults among the first k rows by score.
+
+    sizes: k from rows and positives. Rows are first counted by score; only those of the score at which the k-th row
+    stands are put in order, by `ties`, so no group's rows meet in one task unless their scores are equal.
+    """
+    by_score = rows.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("label").alias("_hits"))
+    whole = by_score.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.sum("_hits").alias("positives"))
+    whole = whole.select("*", *[k.cast("long").alias(f"{name}_k") for name, k in sizes.items()])
+    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    before = by_score.withColumns({"_above": F.coalesce(F.sum("_n").over(down), F.lit(0)), "_found": F.coalesce(F.sum("_hits").over(down), F.lit(0))}).join(whole.drop("rows", "positives"), keys)
+    edges = before.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"{name}_k").alias("k")) for name in sizes])).alias("_e")).select(*keys, "score", "_n", "_above", "_found", "_e.name", "_e.k")
+    edges = edges.where((F.col("_above") < F.col("k")) & (F.col("k") <= F.col("_above") + F.col("_n"))).withColumn("_need", F.col("k") - F.col("_above"))
+    place = F.row_number().over(Window.partitionBy(*keys, "score", "name").orderBy(*ties))
+    inside = rows.join(edges, [*keys, "score"]).withColumn("_place", place).where(F.col("_place") <= F.col("_need"))
+    found = inside.groupBy(*keys, "name").agg((F.max("_found") + F.sum("label")).alias("_hits"))
+    out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("_hits"))).alias(f"{name}_hits") for name in sizes])
+    return whole.join(out, keys, "left").select(*keys, "rows", "positives", *[c for name in sizes for c in (F.col(f"{name}_k"), F.coalesce(f"{name}_hits", F.lit(0)).alias(f"{name}_hits"))])
+
+
 def at_budget(rows: DataFrame, keys: list[str], share: float | None = None) -> DataFrame:
     """Precision and recall of the first k rows: as many as there are faults, or a share of all (one at least)."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("t"))
-    whole = Window.partitionBy(*keys)
-    k = F.sum("label").over(whole) if share is None else F.greatest(F.lit(1), F.round(F.count("*").over(whole) * F.lit(share))).cast("long")
-    ranked = rows.withColumn("_k", k).withColumn("_in", F.row_number().over(order) <= k)
-    hit = F.count_if(F.col("_in") & (F.col("label") == 1))
-    return ranked.groupBy(*keys).agg(F.max("_k").alias("k"), F.when(F.max("_k") > 0, hit / F.max("_k")).alias("precision"), F.when(F.sum("label") > 0, hit / F.sum("label")).alias("recall"))
+    k = F.col("positives") if share is None else F.greatest(F.lit(1), F.round(F.col("rows") * F.lit(share)))
+    found = first_hits(rows, keys, [F.desc("t")], {"own": k})
+    return found.select(*keys, F.col("own_k").alias("k"), F.when(F.col("own_k") > 0, F.col("own_hits") / F.col("own_k")).alias("precision"), F.when(F.col("positives") > 0, F.col("own_hits") / F.col("positives")).alias("recall"))
 
 
 def recall_at_fpr(rows: DataFrame, keys: list[str], rate: float = 0.05) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import first_hits
+
 
 def best(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
     """The row of largest score in each group; of equals the first by `tie`."""
@@ -109,14 +111,13 @@ def case_means(rows: DataFrame, keys: list[str], case: str, score: str, weight:
 def pooled(rows: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
     """Prevalence over all rows of a group, and for each share the precision, recall and lift of the first rows by score
     (one at least; of equals the later t first)."""
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumns({"_n": F.count("*").over(whole), "_place": F.row_number().over(whole.orderBy(F.desc("score"), F.desc("t"), "series_id"))})
-    out = [F.count("*").alias("rows"), F.sum("label").alias("positives"), F.avg("label").alias("prevalence")]
-    for share in shares:
-        inside, name = F.col("_place") <= F.greatest(F.lit(1), F.round(F.col("_n") * F.lit(share))), f"{round(100 * share)}pct"
-        precision, hits = F.avg(F.when(inside, F.col("label"))), F.sum(F.when(inside, F.col("label")))
-        out += [precision.alias(f"precision_{name}"), (hits / F.nullif(F.sum("label"), F.lit(0))).alias(f"recall_{name}"), (precision / F.nullif(F.avg("label"), F.lit(0.0))).alias(f"lift_{name}")]
-    return rows.groupBy(*keys).agg(*out)
+    names = {f"{round(100 * x)}pct": F.greatest(F.lit(1), F.round(F.col("rows") * F.lit(x))) for x in shares}
+    found = first_hits(rows, keys, [F.desc("t"), F.col("series_id")], names).withColumn("prevalence", F.col("positives") / F.col("rows"))
+    out = []
+    for name in names:
+        precision = F.col(f"{name}_hits") / F.col(f"{name}_k")
+        out += [precision.alias(f"precision_{name}"), (F.col(f"{name}_hits") / F.nullif(F.col("positives"), F.lit(0))).alias(f"recall_{name}"), (precision / F.nullif(F.col("prevalence"), F.lit(0.0))).alias(f"lift_{name}")]
+    return found.select(*keys, "rows", "positives", "prevalence", *out)
 
 
 def accounting(rows: DataFrame, tv: float = 0.10, kl: float = 0.03, lift: float = 1.0) -> DataFrame:
