@@ -26,15 +26,16 @@ MAGIC = b"TWTOKEN1"
 TRAILER = np.dtype([("ids", "<u8"), ("docs", "<u8"), ("nulls", "<u8"), ("least", "<i8"), ("width", "<u8"), ("footer", "<u8"), ("magic", "S8")])
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
-#: Documents that one reading task looks up at a time.
-BLOCK = 2000
+#: Documents that one reading task looks up at a time, and bytes of a text by which rows of one id are parted.
+BLOCK, PREFIX = 2000, 64
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Writes doc_id and text of docs as token files under folder; returns the manifest (shard, path, n_docs, n_ids).
 
-    Each document's ids end with end_id. Documents are ordered by doc_id, nulls first, then by text; a null text
-    counts as empty; repeated rows are written as often as they occur. Other columns are ignored. An empty table
+    Each document's ids end with end_id. Documents are ordered by doc_id, nulls first, those of one id by how their texts
+    begin, so that an id or its lack may fill many files; a null text counts as empty; repeated rows are written as often
+    as they occur. Other columns are ignored. An empty table
     gives an empty manifest.
     """
 
@@ -66,7 +67,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
         yield common.batch_of(MANIFEST, row)
 
     rows = docs.select(common.long_id(docs, "doc_id").alias("doc_id"), common.utf8("text").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without any, are parted by how their texts begin, and equal rows by their place
+    rows = rows.withColumns({"start": F.substring("text", 1, PREFIX), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "start", "row").select("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return common.stage_table(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
