@@ -6,10 +6,11 @@ from tidewright.operators.channel import D, shape
 from tidewright.operators.hmm import transition
 from tidewright.operators.simulation import HASH, places
 from tidewright.operators.selection import BOUNDARIES, FAILURE, REPEATED, TRIGGERS
-from tidewright.plans.audit_queries import BLOCK, CHANNELS, CHOSEN, COMMENTS, EPISODE, FLEETS, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, STRESSED, TESTS, TRUE_EPSILON, VARIABLES, WINDOWS
-from tidewright.plans.report_oracles import CASES, FAMILY, FAULTS, POOL, SUITE, grid, recursive
-from tidewright.plans.report_queries import LENGTH, SETTINGS
-from tidewright.plans.series_oracles import ALONG, BASE, base, hmm, num, r, ranking
+from tidewright.plans.audit_queries import BLOCK, CHANNELS, CHOSEN, COMMENTS, EPISODE, FLEETS, GATED, KINDS, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, STRESSED, TESTS, TRUE_EPSILON, VARIABLES, WINDOWS
+from tidewright.plans.report_oracles import CASES, FAMILY, FAULTS, POOL, SUITE, grid, of_private, recursive
+from tidewright.plans.report_oracles import ORACLES as REPORT_ORACLES
+from tidewright.plans.report_queries import LENGTH, SEEDS, SETTINGS
+from tidewright.plans.series_oracles import ALONG, BASE, BIN, base, hmm, num, r, ranking
 from tidewright.plans.series_queries import SHARE, STUCK
 
 MEASURES = ("kl", "chernoff", "bucket_p_under_fault", "bucket_p_under_normal", "bucket_auc", "llr_auc", "llr_auprc", "stuck_value", "bucket_delta", "auroc_gap")
@@ -122,6 +123,23 @@ UNION ALL SELECT 'multi_device_short_traces', x::DOUBLE, seed, {means}, NULL FRO
     return recursive(sql)
 
 
+def gate(epsilon: float) -> str:
+    """Stuck segments at values of each kind at one epsilon, with the separation of the value's bucket."""
+    kind, n = f"(['{"', '".join(KINDS)}'])[{{k}} // {len(SEEDS)} + 1]", len(KINDS) * len(SEEDS)
+    tails = f"{BASE}SELECT series_id, quantile_cont(v, 0.05) AS low, quantile_cont(v, 0.95) AS high FROM n WHERE part = 'train' GROUP BY 1"
+    drawn = f"""st AS ({tails}), sv0 AS MATERIALIZED (SELECT series_id, '{KINDS[0]}' AS kind, round(low, 6) AS value FROM st UNION ALL SELECT series_id, '{KINDS[1]}', round(high, 6) FROM st WHERE high > low UNION ALL SELECT series_id, kind, value FROM ({REPORT_ORACLES['m17_stuck_values']})),
+f AS MATERIALIZED (SELECT m.*, CASE WHEN label = 1 THEN value ELSE v END AS vf FROM m JOIN sv0 ON sv0.series_id = m.series_id // {SETTINGS} AND sv0.kind = {kind.format(k='g')}),"""
+    sql = base(epsilon, grid(n, f"(g % {len(SEEDS)})"), length=str(LENGTH))
+    begin = sql.index("f AS (SELECT *, CASE WHEN label")
+    sql = sql[:begin] + drawn + sql[sql.index("\n", begin) :] + of_private(GATED, num(SHARE), str(LENGTH))
+    sql += f""", hn AS (SELECT series_id, {BIN.format(c='v')} AS stuck_bucket, count(*) AS c FROM n0 WHERE part = 'train' GROUP BY 1, 2), an AS (SELECT z.series_id, b AS stuck_bucket, (coalesce(c, 0) + 0.001::DOUBLE) / (total + {num(D * 1e-3)}) AS alpha FROM (SELECT series_id, sum(c) AS total FROM hn GROUP BY 1) z CROSS JOIN range({D}) AS w(b) LEFT JOIN hn ON hn.series_id = z.series_id AND hn.stuck_bucket = b),
+pn AS (SELECT series_id, report_bucket, sum(p * alpha) AS p0 FROM an JOIN mx USING (stuck_bucket) GROUP BY 1, 2), sn AS (SELECT series_id, stuck_bucket, 0.5::DOUBLE * sum(abs(p - p0)) AS tv, sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12) / greatest(p0, 1e-12))) AS kl FROM pn JOIN mx USING (report_bucket) GROUP BY 1, 2)
+SELECT sv0.series_id, {num(epsilon)} AS epsilon, kind AS stuck_value_type, (rk.series_id % {SETTINGS} % {len(SEEDS)})::INTEGER AS seed, method, auprc, positives / (positives + negatives) AS prevalence, tv AS tv_sep, kl AS kl_sep, CASE WHEN starts_with(kind, 'tail') THEN 'controlled_tail_segment' ELSE 'controlled_central_segment' END AS semantic_layer
+FROM rk JOIN sv0 ON sv0.series_id = rk.series_id // {SETTINGS} AND kind = {kind.format(k=f'(rk.series_id % {SETTINGS})')} JOIN sn ON sn.series_id = sv0.series_id AND sn.stuck_bucket = {BIN.format(c='value')}"""
+    return f"({recursive(sql)})"
+
+
+GATE = " UNION ALL ".join(map(gate, STREAM_EPSILONS))
 ORACLES: dict[str, str] = {
     "d27_channel_advantage": f"SELECT * REPLACE ({', '.join(r(c, digits=9) for c in MEASURES)}) FROM ({ADVANTAGE})",
     "d27_by_epsilon": f"SELECT epsilon, count(*) AS settings, round(avg(hard_case), 6) + 0 AS weak_bucket_case_fraction, {MEDIANS} FROM ({ADVANTAGE}) GROUP BY 1",
@@ -137,4 +155,6 @@ ORACLES: dict[str, str] = {
     "b14_streak_events": BASE + EVENTS,
     "p17_layer_triggers": BASE + f"SELECT layer, {TRIGGER} AS semantic_trigger, count(*) AS rows, sum(label)::BIGINT AS faults FROM (SELECT *, {of(LAYERS, 'series_id')} AS layer FROM f) GROUP BY ALL",
     "b12_stress": stress(),
+    "b17_gate_runs": f"SELECT * REPLACE ({', '.join(r(c, digits=9) for c in ('auprc', 'prevalence', 'tv_sep', 'kl_sep'))}) FROM ({GATE})",
+    "b2_failures": f"SELECT stuck_value_type, epsilon, count(auprc) AS cases, {', '.join(f'round(avg(round({c}, 9)), 6) + 0 AS {c}' for c in ('tv_sep', 'kl_sep', 'auprc', 'prevalence'))} FROM ({GATE}) WHERE method = 'hmm' GROUP BY 1, 2",
 }

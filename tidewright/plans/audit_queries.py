@@ -16,7 +16,7 @@ from tidewright.operators import evaluation as E
 from tidewright.operators import selection as P
 from tidewright.operators import series as S
 from tidewright.operators import summaries as B
-from tidewright.plans.report_queries import LENGTH, OWN, SEEDS, SETTINGS, cases, of_setting, spread, surprising
+from tidewright.plans.report_queries import LENGTH, OWN, SEEDS, SETTINGS, cases, of_setting, private_runs, spread, surprising
 from tidewright.plans.series_queries import SHARE, STUCK, Query, Series, rounded
 from tidewright.sources.versioned import KeyedTable
 
@@ -173,7 +173,48 @@ def stress(s: Series) -> DataFrame:
     return single.unionByName(fleets)
 
 
+#: Kinds of stuck values, in the order of reports: the tails of the training part, then what is hardest to see.
+KINDS = ("tail_q05", "tail_q95", "median", "mode_bucket", "min_tv_column")
+GATED = ("hmm", "window_glr", "surprise")
+
+
+def stuck_kinds(s: Series) -> DataFrame:
+    """series_id, kind, value of each series; where both tails are one value, it is the lower one."""
+    tails = s.clean.where("part = 'train'").groupBy("series_id").agg(F.percentile("v", F.lit(0.05)).alias("low"), F.percentile("v", F.lit(0.95)).alias("high"))
+    pair = F.array(F.struct(F.lit(KINDS[0]).alias("kind"), F.col("low").alias("value")), F.struct(F.when(F.col("high") > F.col("low"), KINDS[1]).otherwise(KINDS[0]).alias("kind"), F.col("high").alias("value")))
+    tails = tails.select("series_id", F.explode(F.array_distinct(pair)).alias("x")).select("series_id", "x.kind", "x.value")
+    return tails.unionByName(C.stuck_values(s.clean, s.matrix, s.alpha).select("series_id", "kind", "value")).withColumn("value", F.round("value", 6))
+
+
+def gate_runs(s: Series) -> DataFrame:
+    """Runs that a gate of separation judges: stuck segments at values of each kind, with the channel's separation there."""
+    settings = [(("seed", seed), ("kind", kind)) for kind in KINDS for seed in SEEDS]
+    values = stage.table(stuck_kinds(s), "stuck-values")
+    rows = spread(s, settings).withColumn("_own", F.floor(F.col("series_id") / SETTINGS)).join(values.select(F.col("series_id").alias("_own"), "kind", "value"), ["_own", "kind"])
+    labelled = faults.segment_mask(rows, SHARE, LENGTH)
+    faulty = stage.table(labelled.withColumn("vf", F.when(F.col("label") == 1, F.col("value")).otherwise(F.col("v"))), "faulty")
+    out = None
+    for e in STREAM_EPSILONS:
+        runs = private_runs(s, faulty, e, GATED, F.lit(SHARE), F.lit(LENGTH))
+        runs = runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), F.lit(e).alias("epsilon"), of_setting([x[1][1] for x in settings]).alias("stuck_value_type"), of_setting([x[0][1] for x in settings]).alias("seed"), "method", F.col("auprc"), (F.col("positives") / (F.col("positives") + F.col("negatives"))).alias("prevalence"))
+        apart = C.separation(C.piecewise_matrix(s.spark, e), s.alpha)
+        lookup = values.withColumn("stuck_bucket", C.bucket(F.col("value"))).join(apart, ["series_id", "stuck_bucket"]).select("series_id", F.col("kind").alias("stuck_value_type"), F.col("tv").alias("tv_sep"), F.col("kl").alias("kl_sep"))
+        runs = runs.join(lookup, ["series_id", "stuck_value_type"])
+        out = runs if out is None else out.unionByName(runs)
+    layer = F.when(F.col("stuck_value_type").startswith("tail"), "controlled_tail_segment").otherwise("controlled_central_segment")
+    return out.withColumn("semantic_layer", layer)
+
+
+def failures(runs: DataFrame) -> DataFrame:
+    """What the posterior model loses where the channel tells little: means by kind of stuck value and epsilon, in order."""
+    means = [F.avg(c).alias(c) for c in ("tv_sep", "kl_sep", "auprc", "prevalence")]
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("stuck_value_type"))
+    return runs.where("method = 'hmm'").groupBy("stuck_value_type", "epsilon").agg(F.count("auprc").alias("cases"), *means).orderBy(place, "epsilon")
+
+
 AUDITS: dict[str, Callable[[Series], DataFrame]] = {
+    "b2_failures": lambda s: rounded(failures(rounded(gate_runs(s), 9))),
+    "b17_gate_runs": lambda s: rounded(gate_runs(s), 9),
     "b12_stress": lambda s: rounded(stress(s)),
     "d27_channel_advantage": lambda s: rounded(advantage(s), 9),
     "d27_by_epsilon": lambda s: rounded(simulation.by_epsilon(rounded(advantage(s), 9))),
