@@ -64,6 +64,8 @@ class Walks:
         self.shares = np.stack([d[1] for d in draws])
         r = np.arange(repetitions)
         self.back, self.long = r % 2 == 1, r // 2 % 2 == 1
+        # the last sampled place of a walk, in window sizes: no walk goes further
+        self.reach = self.shares.max(axis=1) * np.where(self.long, 2, 1)
 
     def keys(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, walks: np.ndarray) -> np.ndarray:
         """Walks x windows: the key of each window, which has at most `sizes` words and none at or after `ends`.
@@ -79,21 +81,30 @@ class Walks:
         return out
 
     def some(self, symbols: np.ndarray, starts: np.ndarray, words: np.ndarray, sizes: np.ndarray, walks: int) -> np.ndarray:
-        back = self.back[:walks, None]
-        steps = 2 * int(sizes.max())
-        base, sign = np.where(back, starts + words - 1, starts), np.where(back, -1, 1)
-        gone, written = np.zeros(base.shape, np.int64), np.zeros((steps, *base.shape), np.uint64)
-        for j in range(steps):
-            inside = gone < words
-            symbol = np.where(inside, symbols[np.where(inside, base + sign * gone, 0)], np.uint64(0))
-            written[j] = symbol
-            gone += ((symbol * self.seeds[j, :walks, None]) >> np.uint64(63)).view(np.int64) | ~inside
-        span = np.where(self.long[:walks, None], 2 * sizes, sizes)
-        key = np.arange(walks, dtype=np.uint64)[:, None] * np.uint64(GRAM) + sizes.astype(np.uint64)
-        for share in self.shares[:walks].T:
+        largest, n = int(sizes.max()), len(starts)
+        # windows as columns, forward and then back, ended by zeros, at which a walk stays
+        row = np.arange(largest + 1)[:, None]
+        inside = row < words
+        both = [np.where(inside, symbols[np.where(inside, at, 0)], np.uint64(0)) for at in (starts + row, starts + words - 1 - row)]
+        flat = np.concatenate(both).ravel()
+        order = np.argsort(-self.reach[:walks], kind="stable")  # at each step the walks that go on are the first
+        last = (self.reach[order] * largest).astype(np.int64)
+        at = np.where(self.back[order], (largest + 1) * n, 0)[:, None] + np.arange(n)
+        written = np.empty((int(last[0]) + 1, walks, n), np.uint64)
+        seeds = self.seeds[:, order, None]
+        for j in range(len(written)):
+            on = int(np.searchsorted(-last, -j, "right"))
+            symbol = flat.take(at[:on])
+            written[j, :on] = symbol
+            at[:on] += ((symbol * seeds[j, :on]) >> np.uint64(63)).view(np.int64) * n
+        span = np.where(self.long[order, None], 2 * sizes, sizes)
+        key = order.astype(np.uint64)[:, None] * np.uint64(GRAM) + sizes.astype(np.uint64)
+        for share in self.shares[order].T:
             place = (share[:, None] * span).astype(np.int64)
             key = mix((key ^ np.take_along_axis(written, place[None], axis=0)[0]) * np.uint64(GRAM))
-        return key
+        out = np.empty_like(key)
+        out[order] = key
+        return out
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -132,16 +143,19 @@ class Index:
         first = begins[self.item] + self.offset
         inside = np.ones(max(0, len(words) - 1), bool)
         inside[first[1:] - 1] = False
-        # each pair of words once, with a bit for each size of the parts that have it
-        self.by_size = {n: np.uint64(k) for k, n in enumerate(np.unique(self.sizes).tolist())}
-        pairs = pairs_of(words)[inside]
-        bits = np.uint64(1) << np.repeat([self.by_size[n] for n in self.sizes.tolist()], self.sizes)[:-1][inside].astype(np.uint64)
-        order = np.argsort(pairs, kind="stable")
-        self.pairs, start = np.unique(pairs[order], return_index=True)
-        self.of_sizes = np.bitwise_or.reduceat(bits[order], start) if len(start) else np.zeros(0, np.uint64)
+        # each pair of words once, and the parts that have it
+        pairs, owner = pairs_of(words)[inside], np.repeat(np.arange(len(self.sizes)), self.sizes)[:-1][inside]
+        order = np.lexsort((owner, pairs))
+        pairs, owner = pairs[order], owner[order]
+        first_of = np.ones(len(pairs), bool)
+        first_of[1:] = (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])
+        self.of_pair = owner[first_of]
+        self.pairs, start = np.unique(pairs[first_of], return_index=True)
+        self.begins_of = np.append(start, len(self.of_pair))
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
-        self.needed = {n: repetitions(n, similarity, recall) for n in self.by_size}
+        self.within = np.array([allowed(n, similarity) for n in self.sizes.tolist()], np.int64)
+        self.needed = {n: repetitions(n, similarity, recall) for n in np.unique(self.sizes).tolist()}
         self.walks = Walks(max(self.needed.values()))
         by = np.argsort(self.sizes, kind="stable")
         needed = np.array([self.needed[n] for n in self.sizes[by].tolist()])
@@ -158,27 +172,12 @@ class Index:
         if not n_words:
             return []
         pairs = pairs_of(words.hash)
-        known = np.zeros(n_words, bool)
         near = np.flatnonzero(self.table[(pairs >> np.uint64(44)).astype(np.int64)])
         near = near[words.doc[near] == words.doc[near + 1]]
         at = np.minimum(np.searchsorted(self.pairs, pairs[near]), max(0, len(self.pairs) - 1))
         right = self.pairs[at] == pairs[near] if len(self.pairs) else np.zeros(len(near), bool)
-        near, of_sizes = near[right], self.of_sizes[at[right]]
-        known[near] = True
-        count = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
+        starts, sizes = self.windows(words, near[right], at[right])
         ends = words.first[1:][words.doc]  # of each word's document
-        starts, sizes = [], []
-        for n, bit in self.by_size.items():
-            # with all edits, a window of the part's size keeps all pairs but two for each edit, or is k words off
-            k = allowed(n, self.similarity)
-            inside = np.concatenate([count[n + k :], np.full(min(n + k, len(count)), count[-1], np.int32)])[:n_words] - count[:n_words]
-            own = np.flatnonzero(inside >= n - 1 - 2 * k)
-            own = own[ends[own] - own >= n - k]
-            places = near[(of_sizes >> bit & np.uint64(1)).astype(bool)]
-            own = own[np.searchsorted(places, own + n + k) - np.searchsorted(places, own) >= n - 1 - 2 * k]
-            starts.append(own)
-            sizes.append(np.full(len(own), n))
-        starts, sizes = np.concatenate(starts), np.concatenate(sizes)
         proposed: dict[tuple[int, int], set[int]] = defaultdict(set)
         for at in range(0, len(starts), 1 << 14):
             own, n = starts[at : at + (1 << 14)], sizes[at : at + (1 << 14)]
@@ -192,6 +191,34 @@ class Index:
             out += self.verify(words, doc, item, sorted(places))
         return out
 
+    def windows(self, words: Words, near: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the windows that can match; near: places of known pairs of words, pair: which these are.
+
+        With k edits, a window holds all pairs of one part but two for each edit, so as many of the part's places must
+        lie within its size and k words.
+        """
+        counts = np.diff(self.begins_of)[pair]
+        place = np.repeat(near, counts)
+        part = self.of_pair[np.repeat(self.begins_of[pair], counts) + np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        order = np.argsort(part, kind="stable")
+        place, part = place[order], part[order]
+        n, k = self.sizes[part], self.within[part]
+        last = np.arange(len(part)) + n - 2 - 2 * k  # the place by which there are enough
+        enough = np.flatnonzero((last >= np.arange(len(part))) & (last < len(part)))
+        last = last[enough]
+        close = (part[last] == part[enough]) & (place[last] - place[enough] < (n + k)[enough]) & (words.doc[place[last]] == words.doc[place[enough]])
+        enough, last = enough[close], last[close]
+        n, k = n[enough], k[enough]
+        low = np.maximum(place[last] - n - k + 1, words.first[words.doc[place[enough]]])
+        many = place[enough] - low + 1
+        start = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        code = np.unique(np.repeat(n, many) * len(words.hash) + start)
+        size, start = code // len(words.hash), code % len(words.hash)
+        if 1 in self.needed:  # a single word has no pair
+            start, size = np.concatenate([np.arange(len(words.hash)), start]), np.concatenate([np.ones(len(words.hash), np.int64), size])
+        fits = words.first[1:][words.doc[start]] - start >= size - (size * (1 - self.similarity) + 1e-9).astype(np.int64)
+        return start[fits], size[fits]
+
     def verify(self, words: Words, doc: int, item: int, places: list[int]) -> list[tuple[int, int, int, int, int]]:
         first, last = int(words.first[doc]), int(words.first[doc + 1])
         item_id, own = int(self.ids[item]), self.words[self.begins[item] : self.begins[item + 1]].tolist()
