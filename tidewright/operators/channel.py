@@ -46,6 +46,18 @@ def discretize(y: Column, epsilon: float, out: int = D) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(out - 1), F.floor((y + F.lit(c)) / F.lit(2 * c / out)))).cast("int")
 
 
+def discretize_right(y: Column, epsilon: float, out: int = D) -> Column:
+    """The other convention: a value on an edge falls into the bin below it."""
+    _, c = shape(epsilon)
+    return F.greatest(F.lit(0), F.least(F.lit(out - 1), F.ceil((y + F.lit(c)) / F.lit(2 * c / out)) - 1)).cast("int")
+
+
+def discretize_range(v: Column, low: Column, high: Column, out: int = D) -> Column:
+    """Bins of equal width from low to high; what is beyond falls into the outer ones."""
+    scaled = (v - low) / F.greatest(high - low, F.lit(1e-12))
+    return F.greatest(F.lit(0), F.least(F.lit(out - 1), F.floor(scaled * out))).cast("int")
+
+
 def bucket(v: Column, d: int = D) -> Column:
     """The bucket of v in [-1, 1], left-closed; a null has none."""
     return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(d - 1), F.floor((v + F.lit(1.0)) * F.lit(d / 2)))).cast("int"))

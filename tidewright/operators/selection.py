@@ -109,9 +109,13 @@ def calibration_source(rows: DataFrame, value: str, block: int, least: int) -> D
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str = "series_id", order: str = "t") -> DataFrame:
-    """The n-th row of each side of a key together, up to the shorter one; left: key, order, x; right: key, order, y."""
+    """The n-th row of each side of a key together, up to the shorter one; left: key, order, x; right: key, order, y.
+
+    Rows without a finite value are dropped on each side before they are numbered.
+    """
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return left.select(key, n.alias("n"), "x").join(right.select(key, n.alias("n"), "y"), [key, "n"])
+    sound = lambda rows, c: rows.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")))
+    return sound(left, "x").select(key, n.alias("n"), "x").join(sound(right, "y").select(key, n.alias("n"), "y"), [key, "n"])
 
 
 def block_choice(rows: DataFrame, block: int, least_positive: int, least_calibration: int) -> DataFrame:

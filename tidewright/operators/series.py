@@ -41,6 +41,26 @@ def normalize(rows: DataFrame, how: str = "robust", reference: Column | None = N
     return rows.join(bounds, "series_id").withColumn("v", v).drop("low", "high")
 
 
+def chronological(rows: DataFrame, train: float = 0.6, validation: float = 0.2, test_len: int = 1200, least: int = 300) -> DataFrame:
+    """series_id, t, part, v: the train, validation and test parts of series of at least `least` rows, in [-1, 1] by the
+    training part's 1st and 99th percentile.
+
+    The test part is the first `test_len` rows after the others, or, where these are fewer than 200 and than half of it,
+    the series' last ones, which may be rows of other parts too. t counts rows; values must be finite.
+    """
+    size = F.count("*").over(Window.partitionBy("series_id"))
+    rows = rows.withColumn("_size", size).where(F.col("_size") >= least)
+    n_train, n_validation = F.floor(F.col("_size") * F.lit(train)), F.floor(F.col("_size") * F.lit(validation))
+    after = F.col("t") - n_train - n_validation
+    left = F.least(F.lit(test_len), F.col("_size") - n_train - n_validation)
+    few = left < min(200, test_len // 2)
+    test = F.when(few, F.col("t") >= F.col("_size") - test_len).otherwise((after >= 0) & (after < test_len))
+    parts = F.array_compact(F.array(F.when(F.col("t") < n_train, "train").when(after < 0, "validation"), F.when(test, "test")))
+    bounds = rows.where(F.col("t") < n_train).groupBy("series_id").agg(F.percentile("x", F.lit(0.01)).alias("low"), F.percentile("x", F.lit(0.99)).alias("high"))
+    v = F.lit(2.0) * (F.col("x") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12)) - F.lit(1.0)
+    return rows.withColumn("part", F.explode(parts)).join(bounds, "series_id").select("series_id", "t", "part", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)).alias("v"))
+
+
 def centred(width: int) -> WindowSpec:
     """width // 2 rows before, (width - 1) // 2 after."""
     return along().rowsBetween(-(width // 2), (width - 1) // 2)

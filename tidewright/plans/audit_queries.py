@@ -6,7 +6,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright import stage
@@ -212,7 +212,30 @@ def failures(runs: DataFrame) -> DataFrame:
     return runs.where("method = 'hmm'").groupBy("stuck_value_type", "epsilon").agg(F.count("auprc").alias("cases"), *means).orderBy(place, "epsilon")
 
 
+#: Rows of a test part, and of a series at least.
+TEST, ENOUGH = 150, 120
+
+
+def chronological(s: Series) -> DataFrame:
+    """Groups of devices as long series, in the order of their reports."""
+    t = F.row_number().over(Window.partitionBy("series_id").orderBy("id")) - 1
+    streams = s.raw.select((F.col("series_id") % STREAMS).alias("series_id"), "id", "x").withColumn("t", t)
+    return S.chronological(streams, test_len=TEST, least=ENOUGH)
+
+
+def buckets(s: Series) -> DataFrame:
+    """A report's bin by both conventions, on its value and on the value's own edge, and the raw value's in its series' range."""
+    _, c = C.shape(TRUE_EPSILON)
+    edge = F.lit(-c) + F.col("obs") * F.lit(2 * c / C.D)
+    whole = Window.partitionBy("series_id")
+    rows = s.private.withColumns({"_low": F.min("x").over(whole), "_high": F.max("x").over(whole)})
+    right = {"right": C.discretize_right(F.col("y"), TRUE_EPSILON), "edge": C.discretize_right(edge - F.lit(1e-9), TRUE_EPSILON)}
+    return rows.select("series_id", "t", "obs", *[x.alias(k) for k, x in right.items()], C.discretize_range(F.col("x"), F.col("_low"), F.col("_high"), 24).alias("raw"))
+
+
 AUDITS: dict[str, Callable[[Series], DataFrame]] = {
+    "m1_chronological": lambda s: rounded(chronological(s)),
+    "m7_discretize": buckets,
     "b2_failures": lambda s: rounded(failures(rounded(gate_runs(s), 9))),
     "b17_gate_runs": lambda s: rounded(gate_runs(s), 9),
     "b12_stress": lambda s: rounded(stress(s)),

@@ -64,10 +64,10 @@ def template_series(s: Series) -> DataFrame:
 
 
 def alignment(s: Series) -> DataFrame:
-    """Values and labels with rows missing on either side, by position."""
-    left = s.raw.where("id % 7 <> 0").select("series_id", "t", "x")
-    right = s.faulty.where("id % 5 <> 0").select("series_id", "t", F.col("label").alias("y"))
-    return P.aligned(left, right).groupBy("series_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum("y").alias("positives"))
+    """Values and labels, missing, infinite or no numbers on either side, by position of what is left."""
+    left = s.raw.select("series_id", "t", F.when(F.col("id") % 14 == 0, float("nan")).when(F.col("id") % 7 != 0, F.col("x")).alias("x"))
+    right = s.faulty.select("series_id", "t", F.when(F.col("id") % 10 == 0, float("inf")).when(F.col("id") % 5 != 0, F.col("label").cast("double")).alias("y"))
+    return P.aligned(left, right).groupBy("series_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum("y").cast("long").alias("positives"))
 
 
 def products(s: Series) -> DataFrame:
