@@ -73,22 +73,6 @@ def test_token_files(spark, docs, empty):
     assert token_files.read(spark, token_files.write(empty, common.new_folder(spark, "t"), vocabulary("word_bpe_49k.json"), 1)).count() == 0
 
 
-def test_token_files_part_rows_of_one_id(spark):
-    """Most rows have no id or the same one: several files, ids in order, every row once."""
-    plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    data = [(None if i % 2 else 7, f"{i % 40} some words {i}" if i % 5 else "same", None, None, 0) for i in range(400)] + [(3, "early", None, None, 0), (9, "late", None, None, 0)]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        manifest = token_files.write(documents(spark, data).repartition(8), common.new_folder(spark, "t"), vocabulary("word_bpe_49k.json"), 1)
-        got = token_files.read(spark, manifest).orderBy("start").collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert manifest.count() >= 6 and manifest.agg(F.max("n_docs")).first()[0] < 150
-    assert [r.doc_id for r in got] == sorted((d[0] for d in data), key=lambda i: (i is not None, i or 0))
-    assert Counter((r.doc_id, r.ids) for r in got) == Counter((i, np.array(plain.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t, *_ in data)
-    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
-
-
 def test_packing(docs, empty):
     plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), 64, 0).collect()
