@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import hmm, scan, selection
+from tidewright.operators import series as S
 from tidewright.streaming import shortlist
 
 OUT, CANDIDATES = 6, 4
@@ -136,3 +137,19 @@ def test_matched_negatives_against_all_windows(spark):
         assert table.where("own").count() == len(rows)
     got = {(r.series_id, r.n, r.begin, r.negative, r.start) for r in selection.matched_negatives(frame, given, "v", 0.06).collect()}
     assert got == want
+
+
+def test_wide_medians_against_sorted_windows(spark):
+    rng, rows = np.random.default_rng(6), []
+    for i, n in enumerate((400, 37, 1)):
+        rows += [(i, t, None if rng.random() < 0.2 else float(rng.integers(0, 9))) for t in range(n)]  # many ties
+    frame = spark.createDataFrame(rows, "series_id long, t long, x double")
+    for width, block in ((31, 40), (8, 40), (51, 4096)):
+        got = {(r.series_id, r.t): r.median for r in S.wide_median(frame, "x", width, block=block).collect()}
+        assert len(got) == len(rows)
+        for i in (0, 1, 2):
+            own = [x for k, _, x in rows if k == i]
+            for t in range(len(own)):
+                inside = [x for x in own[max(0, t - width // 2) : t + (width - 1) // 2 + 1] if x is not None]
+                assert got[i, t] == (float(np.median(inside)) if len(inside) >= max(3, width // 4) else None)
+    assert S.wide_median(frame.where("false"), "x", 9).count() == 0

@@ -6,6 +6,9 @@ series are worked on side by side and one shuffle serves all windows of a plan.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -76,6 +79,42 @@ def rolling_median(column: str | Column, width: int, least: int | None = None) -
     return F.when(F.count(c).over(frame) >= (least or max(3, width // 4)), F.percentile(c, F.lit(0.5)).over(frame))
 
 
+def wide_median(rows: DataFrame, column: str, width: int, least: int | None = None, block: int = 4096) -> DataFrame:
+    """series_id, t, median: as rolling_median, for windows so wide that sorting each anew would cost too much.
+
+    A series is cut into blocks with the rows that windows from its own rows reach beside them, so no task holds a
+    series; within a block the window's values are kept in order while it moves on. t counts rows without gaps; nulls
+    don't count; windows with fewer values than `least` have no median.
+    """
+    before, after, enough = width // 2, (width - 1) // 2, least or max(3, width // 4)
+    size = max(block, width)
+    home = F.floor(F.col("t") / size)
+    near = F.array_compact(F.array(home, F.when(F.col("t") >= (home + 1) * size - before, home + 1), F.when((F.col("t") < home * size + after) & (home > 0), home - 1)))
+    spread = rows.select("series_id", F.col("t").cast("long").alias("t"), F.col(column).cast("double").alias("x"), F.explode(near).alias("blk"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        t, x, blk = table["t"].to_pylist(), table["x"].to_pylist(), table["blk"][0].as_py()
+        kept, found, end, begin = [], [], 0, 0
+        own = [i for i, v in enumerate(t) if v // size == blk]
+        for i in own:
+            while end < len(x) and end <= i + after:
+                if x[end] is not None:
+                    insort(kept, x[end])
+                end += 1
+            while begin < i - before:
+                if x[begin] is not None:
+                    kept.pop(bisect_left(kept, x[begin]))
+                begin += 1
+            n = len(kept)
+            found.append((kept[(n - 1) // 2] + kept[n // 2]) / 2 if n >= enough else None)
+        return pa.table({"series_id": [table["series_id"][0].as_py()] * len(own), "t": [t[i] for i in own], "median": pa.array(found, pa.float64())}).cast(form)
+
+    kind = spread.schema["series_id"].dataType
+    form = pa.schema([("series_id", pa.int64() if kind.simpleString() == "bigint" else pa.int32()), ("t", pa.int64()), ("median", pa.float64())])
+    return spread.groupBy("series_id", "blk").applyInArrow(run, f"series_id {kind.simpleString()}, t bigint, median double")
+
+
 def rolling_mad(rows: DataFrame, column: str, width: int) -> DataFrame:
     """Adds median and mad: the rolling median, and the rolling median of distances from it; edges take the nearest."""
     rows = rows.withColumn("median", rolling_median(column, width))

@@ -6,11 +6,11 @@ from tidewright.operators.channel import D, shape
 from tidewright.operators.hmm import transition
 from tidewright.operators.simulation import HASH, places
 from tidewright.operators.selection import BOUNDARIES, FAILURE, REPEATED, TRIGGERS
-from tidewright.plans.audit_queries import BLOCK, CHANNELS, CHOSEN, COMMENTS, ENOUGH, EPISODE, FLEETS, GATED, KINDS, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, STRESSED, TEST, TESTS, TRUE_EPSILON, VARIABLES, WINDOWS
+from tidewright.plans.audit_queries import BLOCK, CHANNELS, CHOSEN, COMMENTS, ENOUGH, EPISODE, FLEETS, GATED, KINDS, LAYERS, LENGTHS, SOURCES, STREAM_EPSILONS, STREAMS, STRESSED, TEST, TESTS, TRUE_EPSILON, VARIABLES, WIDE, WINDOWS
 from tidewright.plans.report_oracles import CASES, FAMILY, FAULTS, POOL, SUITE, grid, of_private, recursive
 from tidewright.plans.report_oracles import ORACLES as REPORT_ORACLES
 from tidewright.plans.report_queries import LENGTH, SEEDS, SETTINGS
-from tidewright.plans.series_oracles import ALONG, BASE, BIN, base, hmm, num, r, ranking
+from tidewright.plans.series_oracles import ALONG, BASE, BIN, base, centred, hmm, num, r, ranking
 from tidewright.plans.series_queries import SHARE, STUCK
 
 MEASURES = ("kl", "chernoff", "bucket_p_under_fault", "bucket_p_under_normal", "bucket_auc", "llr_auc", "llr_auprc", "stuck_value", "bucket_delta", "auroc_gap")
@@ -161,4 +161,6 @@ ORACLES: dict[str, str] = {
 bo AS (SELECT series_id, quantile_cont(x, 0.01) AS low, quantile_cont(x, 0.99) AS high FROM sp WHERE t < a GROUP BY 1), pt AS (SELECT *, CASE WHEN t < a THEN 'train' ELSE 'validation' END AS part FROM sp WHERE t < a + b UNION ALL SELECT *, 'test' FROM sp WHERE CASE WHEN least({TEST}, n - a - b) < {min(200, TEST // 2)} THEN t >= n - {TEST} ELSE t >= a + b AND t < a + b + {TEST} END)
 SELECT series_id, t, part, round(greatest(-1::DOUBLE, least(1::DOUBLE, 2.0::DOUBLE * (x - low) / greatest(high - low, 1e-12) - 1.0::DOUBLE)), 6) + 0 AS v FROM pt JOIN bo USING (series_id)""",
     "m7_discretize": BASE + f"SELECT series_id, t, obs, greatest(0, least({D - 1}, ceil((y + {num(shape(TRUE_EPSILON)[1])}) / {num(2 * shape(TRUE_EPSILON)[1] / D)}) - 1))::INTEGER AS \"right\", greatest(0, obs - 1)::INTEGER AS edge, greatest(0, least(23, floor((x - min(x) OVER (PARTITION BY series_id)) / greatest(max(x) OVER (PARTITION BY series_id) - min(x) OVER (PARTITION BY series_id), 1e-12) * 24)))::INTEGER AS raw FROM o",
+    "w5_wide_medians": BASE + f""", sr AS (SELECT series_id % {STREAMS} AS series_id, CASE WHEN id % 14 <> 0 THEN x END AS x, row_number() OVER (PARTITION BY series_id % {STREAMS} ORDER BY id) - 1 AS t FROM raw)
+SELECT series_id, t, CASE WHEN count(x) OVER w >= {max(3, WIDE // 4)} THEN round(quantile_cont(x, 0.5) OVER w, 6) + 0 END AS median FROM sr WINDOW w AS ({ALONG} {centred(WIDE)})""",
 }

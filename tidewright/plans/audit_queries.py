@@ -212,15 +212,19 @@ def failures(runs: DataFrame) -> DataFrame:
     return runs.where("method = 'hmm'").groupBy("stuck_value_type", "epsilon").agg(F.count("auprc").alias("cases"), *means).orderBy(place, "epsilon")
 
 
-#: Rows of a test part, and of a series at least.
-TEST, ENOUGH = 150, 120
+#: Rows of a test part, of a series at least, and of a wide window.
+TEST, ENOUGH, WIDE = 150, 120, 257
 
 
-def chronological(s: Series) -> DataFrame:
+def long_series(s: Series) -> DataFrame:
     """Groups of devices as long series, in the order of their reports."""
     t = F.row_number().over(Window.partitionBy("series_id").orderBy("id")) - 1
-    streams = s.raw.select((F.col("series_id") % STREAMS).alias("series_id"), "id", "x").withColumn("t", t)
-    return S.chronological(streams, test_len=TEST, least=ENOUGH)
+    return s.raw.select((F.col("series_id") % STREAMS).alias("series_id"), "id", "x").withColumn("t", t)
+
+
+def wide_medians(s: Series) -> DataFrame:
+    """Medians of wide windows over long series in which values are missing."""
+    return S.wide_median(long_series(s).withColumn("x", F.when(F.col("id") % 14 != 0, F.col("x"))), "x", WIDE)
 
 
 def buckets(s: Series) -> DataFrame:
@@ -234,7 +238,8 @@ def buckets(s: Series) -> DataFrame:
 
 
 AUDITS: dict[str, Callable[[Series], DataFrame]] = {
-    "m1_chronological": lambda s: rounded(chronological(s)),
+    "m1_chronological": lambda s: rounded(S.chronological(long_series(s), test_len=TEST, least=ENOUGH)),
+    "w5_wide_medians": lambda s: rounded(wide_medians(s)),
     "m7_discretize": buckets,
     "b2_failures": lambda s: rounded(failures(rounded(gate_runs(s), 9))),
     "b17_gate_runs": lambda s: rounded(gate_runs(s), 9),
