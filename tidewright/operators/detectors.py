@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,12 +198,12 @@ def missing_share(rows: DataFrame, column: str, width: int = 9, least: int = 2)
     return rows.withColumn("score", F.when(F.count("*").over(centred(width)) >= least, F.avg(gone).over(centred(width))).otherwise(gone))
 
 
-def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32, k: int = 5, most: int = 512) -> DataFrame:
+def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32, k: int = 5, most: int = 512, block: int = 4096) -> DataFrame:
     """series_id, t, score: for each test row the mean distance of its last `window` values to the k nearest such pieces of
     the training part, all z-normalised and then scaled by each place's deviation in training.
 
     A piece that begins before its part is filled up with the part's first value. Of longer training parts, `most` pieces
-    evenly spaced count, so a series' pieces are one array of bounded size, which its test rows carry.
+    evenly spaced count, so a series' pieces are one array of bounded size, which goes to each block of its test rows.
     """
     part = Window.partitionBy("series_id", "part").orderBy("t")
     rows = rows.where(F.col("part").isin("train", "test")).withColumns({"_seg": F.collect_list(column).over(part.rowsBetween(-(window - 1), 0)), "_i": F.row_number().over(part) - 1})
@@ -220,14 +222,23 @@ def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32,
     step = (n - 1) / F.lit(most - 1)
     spaced = (n <= most) | (F.floor(F.ceil(F.col("_i") / step) * step + 1e-9) == F.col("_i"))
     known = train.withColumn("_in", spaced).where("_in").groupBy("series_id").agg(F.collect_list("_z").alias("_known"))
-    tests = rows.where("part = 'test'").join(scales, "series_id").join(known, "series_id")
-
-    def distance(other: Column) -> Column:
-        parts = F.zip_with(F.zip_with("_z", other, lambda a, b: a - b), "_s", lambda a, d: a / d)
-        return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x))
-
-    near = F.slice(F.array_sort(F.transform("_known", distance)), 1, k)
-    return tests.select("series_id", "t", (F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)).alias("score"))
+    tests = rows.where("part = 'test'").select(F.col("series_id").cast("long").alias("series_id"), F.col("t").cast("long").alias("t"), "_z", F.floor(F.col("t") / block).alias("blk"))
+    # a series' pieces go to each block of its test rows, not to each row
+    trained = known.join(scales, "series_id").withColumn("series_id", F.col("series_id").cast("long")).join(tests.select("series_id", "blk").distinct(), "series_id")
+    trained = trained.select(F.col("series_id").alias("_own"), F.col("blk").alias("_blk"), "_known", "_s")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        scale = np.array(right["_s"][0].as_py())
+        pieces, z = np.array(right["_known"][0].as_py()) / scale, np.array(left["_z"].to_pylist()) / scale
+        few = min(k, len(pieces))
+        score = [float(np.sort(np.sqrt(((pieces - row) ** 2).sum(axis=1)))[:few].mean()) for row in z]
+        return pa.table([left["series_id"], left["t"], pa.array(score, pa.float64())], schema=out)
+
+    out = pa.schema([("series_id", pa.int64()), ("t", pa.int64()), ("score", pa.float64())])
+    found = tests.groupBy("series_id", "blk").cogroup(trained.groupBy("_own", "_blk")).applyInArrow(run, "series_id long, t long, score double")
+    return found.withColumn("series_id", F.col("series_id").cast(rows.schema["series_id"].dataType))
 
 
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
