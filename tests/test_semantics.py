@@ -284,3 +284,14 @@ def test_upsert_and_replace(spark):
     state, delta = spark.createDataFrame([(1, 2, 5)], "k int, n int, lo int"), spark.createDataFrame([(1, 3, 4), (2, 1, 9)], "k int, n int, lo int")
     assert sorted(map(tuple, relations.upsert(state, delta, ["k"], ["n"], ["lo"]).collect())) == [(1, 5, 4), (2, 1, 9)]
     assert sorted(map(tuple, relations.replace(state, delta, ["k"]).collect())) == [(1, 3, 4), (2, 1, 9)]
+
+
+def test_choices_of_faults_for_large_series_ids(spark):
+    """Products of series ids pass 2**31 from id 20,505 on; ids 1,000,003 apart scatter alike."""
+    rows = spark.createDataFrame([(k, t, k * 100 + t, float(t)) for k in (7, 1000010, 2000013) for t in range(24)], SERIES).withColumn("v", F.col("x") / 24)
+    labels = {}
+    for r in faults.segment_mask(rows, 0.25, 4).collect():
+        labels.setdefault(r.series_id, {})[r.t] = r.label
+    assert labels[7] == labels[1000010] == labels[2000013] and sum(labels[7].values()) == 6
+    known = rows.groupBy("series_id").agg(F.lit(0.5).alias("level"), F.lit(8).alias("n"), F.lit(1).alias("rank"))
+    assert faults.template_faults(rows, known, 0.25).groupBy("series_id").agg(F.sum("label").alias("n")).where("n = 6").count() == 3

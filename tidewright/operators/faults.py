@@ -11,6 +11,11 @@ def scatter(row_id: str = "id") -> Column:
     return (F.col(row_id) * 7919) % 100
 
 
+def mixed(segment: Column) -> Column:
+    """A scatter of a segment's number and its series; in long numbers, as an int product passes 2**31 at series 20,505."""
+    return (segment * 7919 + F.col("series_id").cast("long") * 104729) % 1000003
+
+
 def iid_mask(rows: DataFrame, share: float) -> DataFrame:
     """label 1 for the floor(n * share) rows of a series that come first by a scatter of their ids."""
     order = Window.partitionBy("series_id").orderBy((F.col("id") * 7919) % 1000003, "id")
@@ -22,7 +27,7 @@ def segment_mask(rows: DataFrame, share: float | Column, length: int | Column) -
     """label 1 on whole segments of `length` rows, chosen by a scatter of their number until the share is reached."""
     share = F.lit(share) if isinstance(share, float) else share
     segment = F.floor(F.col("t") / length)
-    order = Window.partitionBy("series_id").orderBy((segment * 7919 + F.col("series_id") * 104729) % 1000003, segment, "t")
+    order = Window.partitionBy("series_id").orderBy(mixed(segment), segment, "t")
     target = F.floor(F.count("*").over(Window.partitionBy("series_id")) * share)
     return rows.withColumn("label", (F.row_number().over(order) <= target).cast("int"))
 
@@ -62,14 +67,14 @@ def templates(rows: DataFrame, column: str, known: DataFrame, least: int = 8, mo
 def template_faults(rows: DataFrame, found: DataFrame, share: float, column: str = "v", length: int = 48) -> DataFrame:
     """label and vf: segments stuck at the level of one of a series' templates, drawn by a hash of its id, and as long as
     that (8 rows at least, a third of the series or 96 at most); without one, at the 95th percentile for `length` rows."""
-    count = found.groupBy("series_id").agg((((F.col("series_id") * 7919 + 12345) % 1000003) % F.count("*") + 1).alias("rank"))
+    count = found.groupBy("series_id").agg((((F.col("series_id").cast("long") * 7919 + 12345) % 1000003) % F.count("*") + 1).alias("rank"))
     first = found.join(count, ["series_id", "rank"]).select("series_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "level")).alias("_level"), F.col("n").alias("_n"))
     whole = rows.groupBy("series_id").agg(F.count("*").alias("_size"), F.percentile(column, F.lit(0.95)).alias("_high")).join(first, "series_id", "left")
     least = F.greatest(F.lit(8), F.least(F.lit(96), F.floor(F.col("_size") / 3)))
     size = F.coalesce(F.greatest(F.lit(8), F.least(least, F.col("_n"))), F.lit(length))
     rows = rows.join(whole.select("series_id", "_size", size.alias("_length"), F.coalesce("_level", "_high").alias("_level")), "series_id")
     segment = F.floor(F.col("t") / F.col("_length"))
-    order = Window.partitionBy("series_id").orderBy((segment * 7919 + F.col("series_id") * 104729) % 1000003, segment, "t")
+    order = Window.partitionBy("series_id").orderBy(mixed(segment), segment, "t")
     rows = rows.withColumn("label", (F.row_number().over(order) <= F.greatest(F.lit(1), F.round(F.col("_size") * F.lit(share)))).cast("int"))
     return rows.withColumn("vf", F.when(F.col("label") == 1, F.col("_level")).otherwise(F.col(column))).drop("_size", "_length", "_level")
 

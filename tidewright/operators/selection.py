@@ -199,7 +199,7 @@ def matched_negatives(rows: DataFrame, runs: DataFrame, value: str, width: float
     starts = stage.table(both.where(clean).select("series_id", "length", "t", (high - low > width).alias("good")), "starts")
     few = starts.groupBy("series_id", "length").agg(F.count_if("good").alias("_good"))
     starts = starts.join(few, ["series_id", "length"]).where(F.col("good") | (F.col("_good") < most))
-    place = F.row_number().over(Window.partitionBy("series_id", "length").orderBy((F.col("t") * 7919 + F.col("series_id") * 104729) % 1000003, "t"))
+    place = F.row_number().over(Window.partitionBy("series_id", "length").orderBy((F.col("t") * 7919 + F.col("series_id").cast("long") * 104729) % 1000003, "t"))
     starts = starts.withColumn("_place", place).where(F.col("_place") <= most).withColumn("negative", F.col("_place") - 1)
     return runs.select("series_id", "begin", "n").join(starts.select("series_id", F.col("length").alias("n"), "negative", F.col("t").alias("start")), ["series_id", "n"])
 

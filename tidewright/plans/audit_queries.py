@@ -48,8 +48,8 @@ def of(values: tuple, number: Column) -> Column:
 
 def manual_flags(s: Series) -> DataFrame:
     """Flags as a station's keeper would set them: around each run of faults, and over the whole of every fifth series."""
-    runs = S.runs(s.faulty, F.col("label") == 1).select("series_id", (F.col("begin") - 2).alias("begin"), (F.col("end") + 2).alias("end"), (F.col("series_id") * 1000 + F.col("begin")).alias("flag_id"))
-    whole = s.faulty.where("series_id % 5 = 0").groupBy("series_id").agg(F.lit(0).cast("long").alias("begin"), F.max("t").alias("end"), F.max(F.col("series_id") * 1000 + 999).alias("flag_id"))
+    runs = S.runs(s.faulty, F.col("label") == 1).select("series_id", (F.col("begin") - 2).alias("begin"), (F.col("end") + 2).alias("end"), (F.col("series_id").cast("long") * 1000 + F.col("begin")).alias("flag_id"))
+    whole = s.faulty.where("series_id % 5 = 0").groupBy("series_id").agg(F.lit(0).cast("long").alias("begin"), F.max("t").alias("end"), F.max(F.col("series_id").cast("long") * 1000 + 999).alias("flag_id"))
     flags = runs.unionByName(whole)
     return flags.withColumns({"variable": of(VARIABLES, F.col("flag_id")), "comment": of(COMMENTS, F.floor(F.col("flag_id") / 7)), "flag": F.lit("CHECKME"), "commented_out": F.col("flag_id") % 11 == 0})
 
