@@ -295,3 +295,17 @@ def test_choices_of_faults_for_large_series_ids(spark):
     assert labels[7] == labels[1000010] == labels[2000013] and sum(labels[7].values()) == 6
     known = rows.groupBy("series_id").agg(F.lit(0.5).alias("level"), F.lit(8).alias("n"), F.lit(1).alias("rank"))
     assert faults.template_faults(rows, known, 0.25).groupBy("series_id").agg(F.sum("label").alias("n")).where("n = 6").count() == 3
+
+
+def test_groups_dealt_at_once_rank_alike_and_posteriors_go_without_rates(spark):
+    """What panels leave out of their shuffles changes no area and no score."""
+    from tidewright.operators import scan
+
+    rows = spark.createDataFrame([(k, t, (k + t) % 3 % 2, float(t * 7 % 5)) for k in range(6) for t in range(20)], "g int, t int, label int, score double")
+    plain, dealt = (sorted(map(tuple, evaluation.ranking(rows, ["g"], many=m).collect())) for m in (False, True))
+    assert plain == dealt and len(plain) == 6
+    reports = spark.createDataFrame([(1, t, t % 2) for t in range(12)], "series_id long, t long, obs int")
+    normal = spark.createDataFrame([(1, [0.6, 0.4])], "series_id long, normal array<double>")
+    chain = scan.Chain(np.array([[0.2], [0.8]]), 0.1, 0.8, 0.2)
+    full, bare = scan.posteriors(reports, normal, chain), scan.posteriors(reports, normal, chain, rate=False)
+    assert "rate" not in bare.columns and sorted(map(tuple, full.drop("rate").select(bare.columns).collect())) == sorted(map(tuple, bare.collect()))

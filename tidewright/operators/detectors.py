@@ -107,9 +107,14 @@ def _placed(rows: DataFrame, values: dict[int, Column]) -> DataFrame:
 
 
 def _with_ratios(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Adds _l, the ratios of a row's report by candidate: rows stay as many as they are."""
+    """Adds _l, the ratios of a row's report by candidate: rows stay as many as they are.
+
+    A series' lists are one map, met by the series alone: rows are dealt as the windows over them ask, and the lists don't
+    travel with each row.
+    """
     lists = table.groupBy("series_id", "obs").agg(F.array_sort(F.collect_list(F.struct("candidate", "llr"))).alias("_l"))
-    return rows.join(lists.select("series_id", "obs", F.col("_l.llr").alias("_l")), ["series_id", "obs"])
+    maps = lists.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("obs", F.col("_l.llr").alias("_l")))).alias("_of"))
+    return rows.join(maps, "series_id").withColumn("_l", F.try_element_at("_of", F.col("obs"))).drop("_of").where(F.col("_l").isNotNull())
 
 
 def _each(column: str, d: int, do) -> Column:

@@ -133,8 +133,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             at += n
 
 
-def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool = False, block: int = BLOCK, fan: int = FAN) -> DataFrame:
-    """series_id, t, score, candidate and rate (the mean score of the series).
+def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool = False, block: int = BLOCK, fan: int = FAN, rate: bool = True) -> DataFrame:
+    """series_id, t, score, candidate and, if asked for, rate (the mean score of the series).
 
     rows: series_id, t (whole numbers) and obs, a report's number; a null one tells nothing. normal: series_id, an array
     of the chances of the reports in state 0, and the columns that the chain names. A row's score is the chance of state 1 by the candidate of the
@@ -206,6 +206,8 @@ def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool =
         below = nodes.withColumn("parent", F.floor(F.col("at") / fan)).drop("logs", "begin").join(enters.withColumnRenamed("at", "parent"), ["series_id", "parent"])
         enters = stage.table(below.groupBy("series_id", "parent").applyInArrow(down, ENTERS), "enters")
     scores = blocks.join(enters, ["series_id", "at"]).mapInArrow(last, SCORES)
+    if not rate:
+        return scores
     scores = stage.table(scores, "posteriors")
     return scores.join(scores.groupBy("series_id").agg(F.avg("score").alias("rate")), "series_id")
 

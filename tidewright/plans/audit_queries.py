@@ -140,7 +140,7 @@ def stressed(s: Series) -> DataFrame:
     rows = spread(s, [(("seed", x[2]),) for x in STRESSED]).withColumn("d", size)
     rows = faults.inject(faults.segment_mask(rows, SHARE, LENGTH), "segment_stuck", stuck=STUCK)
     _, c = C.shape(TRUE_EPSILON)
-    rows = stage.table(rows.withColumn("obs", inside((C.piecewise(F.col("vf"), TRUE_EPSILON) + F.lit(c)) / (F.lit(2 * c) / F.col("d")))), "stressed")
+    rows = stage.table(rows.withColumn("obs", inside((C.piecewise(F.col("vf"), TRUE_EPSILON) + F.lit(c)) / (F.lit(2 * c) / F.col("d")))).select("series_id", "t", "part", "v", "label", "d", "obs"), "stressed")
     bucket = inside(F.lit(STUCK + 1.0) * (F.col("d") / F.lit(2.0)))
     counted = rows.where("part = 'train'").groupBy("series_id", "d", inside((F.col("v") + F.lit(1.0)) * (F.col("d") / F.lit(2.0))).alias("stuck_bucket")).agg(F.count("*").alias("n"))
     every = counted.groupBy("series_id", "d").agg(F.sum("n").alias("total")).withColumn("stuck_bucket", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
@@ -154,7 +154,7 @@ def stressed(s: Series) -> DataFrame:
         matrix = own if matrix is None else matrix.unionByName(own)
     p0 = alpha.join(F.broadcast(matrix), ["channel", "stuck_bucket"]).groupBy("series_id", "report_bucket").agg(F.sum(F.col("p") * F.col("alpha")).alias("p0"))
     p01, p11 = hmm.transition(SHARE, float(LENGTH))
-    found = scan.posteriors(rows, scan.normals(p0, largest), scan.Chain(tables, p01, p11, SHARE, pick(4)))
+    found = scan.posteriors(rows, scan.normals(p0, largest), scan.Chain(tables, p01, p11, SHARE, pick(4)), rate=False)
     return stage.table(found.join(rows.select("series_id", "t", "label", "d"), ["series_id", "t"]).withColumn("bucket", bucket), "stressed-scores")
 
 
@@ -163,7 +163,7 @@ def stress(s: Series) -> DataFrame:
     as one, on what isn't contaminated."""
     rows = stressed(s).withColumn("score", F.round("score", 6))
     hits = rows.groupBy("series_id").agg(F.max((F.col("candidate") == F.col("bucket")).cast("double")).alias("hit"))
-    runs = E.ranking(rows, ["series_id"]).join(hits, "series_id")
+    runs = E.ranking(rows, ["series_id"], many=True).join(hits, "series_id")
     pick = lambda i, name: of_setting([x[i] for x in STRESSED]).alias(name)
     means = [F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc")]
     single = runs.groupBy(pick(0, "panel"), pick(1, "x"), pick(2, "seed")).agg(*means, F.avg("hit").alias("bucket_hit"))
@@ -192,7 +192,7 @@ def gate_runs(s: Series) -> DataFrame:
     values = stage.table(stuck_kinds(s), "stuck-values")
     rows = spread(s, settings).withColumn("_own", F.floor(F.col("series_id") / SETTINGS)).join(values.select(F.col("series_id").alias("_own"), "kind", "value"), ["_own", "kind"])
     labelled = faults.segment_mask(rows, SHARE, LENGTH)
-    faulty = stage.table(labelled.withColumn("vf", F.when(F.col("label") == 1, F.col("value")).otherwise(F.col("v"))), "faulty")
+    faulty = stage.table(labelled.select("series_id", "t", "id", "part", "v", "label", F.when(F.col("label") == 1, F.col("value")).otherwise(F.col("v")).alias("vf")), "faulty")
     out = None
     for e in STREAM_EPSILONS:
         runs = private_runs(s, faulty, e, GATED, F.lit(SHARE), F.lit(LENGTH))

@@ -126,7 +126,7 @@ def of_setting(values: list) -> Column:
 def private_runs(s: Series, faulty: DataFrame, epsilon: float, methods: tuple[str, ...], rate: Column, length: Column) -> DataFrame:
     """series_id, method, auroc, auprc of methods on raw values and on reports at one epsilon; rate and length: what the
     posterior model expects of a series."""
-    private = stage.table(faulty.withColumn("obs", C.discretize(C.piecewise(F.col("vf"), epsilon), epsilon)), "panel")
+    private = stage.table(faulty.select("series_id", "t", "part", "v", "label", "vf", C.discretize(C.piecewise(F.col("vf"), epsilon), epsilon).alias("obs")), "panel")
     matrix = C.piecewise_matrix(s.spark, epsilon)
     p0 = stage.table(C.normal(matrix, C.alpha(private.where("part = 'train'"))), "normal-reports")
     ratios = D.ratios(matrix, p0)
@@ -139,10 +139,10 @@ def private_runs(s: Series, faulty: DataFrame, epsilon: float, methods: tuple[st
         "point_glr": lambda: D.point_glr(private, ratios),
         "window_glr": lambda: D.window_glr(private, ratios),
         "mixture": lambda: D.mixture_posterior(private, matrix, p0, stage.table(D.mixture(private, matrix, p0), "fit")),
-        "hmm": lambda: scan.posteriors(private, scan.normals(p0, C.D), chain).drop("label").join(private.select("series_id", "t", "label"), ["series_id", "t"]),
+        "hmm": lambda: scan.posteriors(private, scan.normals(p0, C.D), chain, rate=False).join(private.select("series_id", "t", "label"), ["series_id", "t"]),
     }
     parts = [found[name]().select("series_id", "t", "label", F.round("score", 6).alias("score"), F.lit(name).alias("method")) for name in methods]
-    return E.ranking(reduce(DataFrame.union, parts), ["series_id", "method"])
+    return E.ranking(reduce(DataFrame.union, parts), ["series_id", "method"], many=True)
 
 
 def panel(s: Series) -> DataFrame:
@@ -165,7 +165,7 @@ def sweep(s: Series) -> DataFrame:
     """Mean scores along each axis, by seed."""
     settings = [(("seed", seed), ("share", share), ("length", length)) for _, _, seed, share, length in SWEEP]
     faulty = faults.inject(faults.segment_mask(spread(s, settings), F.col("share"), F.col("length")), "segment_stuck", stuck=STUCK)
-    runs = private_runs(s, stage.table(faulty, "faulty"), EPSILONS[0], ("window_glr", "hmm", "surprise"), of_setting([x[3] for x in SWEEP]), of_setting([x[4] for x in SWEEP]))
+    runs = private_runs(s, faulty, EPSILONS[0], ("window_glr", "hmm", "surprise"), of_setting([x[3] for x in SWEEP]), of_setting([x[4] for x in SWEEP]))
     names = [of_setting([x[i] for x in SWEEP]).alias(name) for i, name in enumerate(("axis", "axis_value", "seed"))]
     return runs.groupBy(*names, "method").agg(F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
 
