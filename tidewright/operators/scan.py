@@ -99,6 +99,11 @@ def scaled(p: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p / total[:, None, None], logs + np.log(total)
 
 
+def largest(x: np.ndarray, axis: int) -> np.ndarray:
+    """The first place within 1e-9 of the largest; rounded values would part equal ones that lie on either side of a half."""
+    return (x >= x.max(axis=axis, keepdims=True) - 1e-9).argmax(axis=axis)
+
+
 def multiplied(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Products of 2 x 2 matrices, for each candidate."""
     return np.einsum("ijm,jkm->ikm", p, q)
@@ -138,7 +143,7 @@ def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool =
 
     rows: series_id, t (whole numbers) and obs, a report's number; a null one tells nothing. normal: series_id, an array
     of the chances of the reports in state 0, and the columns that the chain names. A row's score is the chance of state 1 by the candidate of the
-    largest likelihood (of those equal to nine digits the lowest), or, with per_row, by the row's best candidate. Rows of
+    largest likelihood (of those within 1e-9 of it the lowest), or, with per_row, by the row's best candidate. Rows of
     one t stand in the order of their reports. Of an empty table nothing is returned; other columns are ignored.
     """
     m = chain.columns.shape[-1]
@@ -168,7 +173,7 @@ def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool =
             products, logs = _array(batch.column("product"), 2, 2, m), _array(batch.column("logs"), m)
             begin = _array(batch.column("begin"), 2)
             likelihood = np.log(np.einsum("ni,nijm->nm", begin, products)) + logs
-            best = np.round(likelihood, 9).argmax(axis=1).astype(np.int32)
+            best = largest(likelihood, 1).astype(np.int32)
             yield _batch(ENTERS, [batch.column("series_id"), batch.column("at"), _binary(np.repeat(begin[:, :, None], m, axis=2)), [np.ones((2, m)).tobytes()] * n, best])
 
     def down(table: pa.Table) -> pa.Table:
@@ -194,7 +199,7 @@ def posteriors(rows: DataFrame, normal: DataFrame, chain: Chain, per_row: bool =
             posterior = chain.posterior(normal, obs, sizes, moves, left, right, None if per_row else best)
             inside = np.arange(obs.shape[1]) < sizes[:, None]
             score = posterior.max(axis=2).T[inside]
-            candidate = np.round(posterior, 9).argmax(axis=2).T[inside] if per_row else np.repeat(best, sizes)
+            candidate = largest(posterior, 2).T[inside] if per_row else np.repeat(best, sizes)
             yield _batch(SCORES, [np.repeat(own.column("series_id").to_numpy(), sizes), own.column("t").flatten(), score, candidate.astype(np.int32)])
 
     levels = [stage.table(blocks.drop("t").mapInArrow(first, NODES), "products")]

@@ -176,7 +176,7 @@ fw AS (SELECT series_id, candidate, t, (1 - {rho}) * e0 / ((1 - {rho}) * e0 + {r
 bw AS (SELECT series_id, candidate, max(t) AS t, 1::DOUBLE AS g0, 1::DOUBLE AS g1 FROM em GROUP BY 1, 2
   UNION ALL SELECT series_id, candidate, t - 1, a0 / (a0 + a1), a1 / (a0 + a1) FROM ({back})),
 ps AS (SELECT fw.series_id, fw.t, fw.candidate, f1 * g1 / (f0 * g0 + f1 * g1) AS score FROM fw JOIN bw ON fw.series_id = bw.series_id AND fw.candidate = bw.candidate AND fw.t = bw.t),
-lk AS (SELECT series_id, candidate FROM (SELECT series_id, candidate, ll, t, max(t) OVER (PARTITION BY series_id) AS last FROM fw) WHERE t = last QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(ll, 9) DESC, candidate) = 1) """
+lk AS (SELECT series_id, min(candidate) AS candidate FROM (SELECT *, max(ll) OVER (PARTITION BY series_id) AS best FROM (SELECT series_id, candidate, ll, t, max(t) OVER (PARTITION BY series_id) AS last FROM fw) WHERE t = last) WHERE ll >= best - 1e-9::DOUBLE GROUP BY 1) """
 
 
 def stuck(rows: str = "o", columns: str = "SELECT stuck_bucket AS candidate, report_bucket AS obs, p FROM mx", p0: str = "p0") -> str:
@@ -248,7 +248,7 @@ RECURSIVE: dict[str, str] = {
     "d4_change_points": change_points("n", "v", "SELECT series_id, avg(v) AS mean, var_pop(v) AS variance FROM n WHERE part = 'train' GROUP BY 1") + CHANGES,
     "d4_private_change_points": CENTRED + change_points("oc", "yc", MOMENTS) + CHANGES,
     "d14_stuck_hmm": stuck() + BEST,
-    "d15_row_hmm": stuck() + ROWS + "(SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY series_id, t ORDER BY round(score, 9) DESC, candidate) = 1)",
+    "d15_row_hmm": stuck() + ROWS + "(SELECT series_id, t, max(score) AS score, min(candidate) FILTER (score >= best - 1e-9::DOUBLE) AS candidate FROM (SELECT *, max(score) OVER (PARTITION BY series_id, t) AS best FROM ps) GROUP BY 1, 2)",
     "d16_range_hmm": stuck(columns=AROUND) + BEST,
     "d18_dropout_hmm": f", {injected('dropout')}" + hmm("SELECT series_id, t, candidate, CASE WHEN vf IS NULL THEN 0.01::DOUBLE ELSE 0.99::DOUBLE END AS e0, CASE WHEN vf IS NULL THEN candidate / 100.0::DOUBLE ELSE 1 - candidate / 100.0::DOUBLE END AS e1 FROM j, (VALUES (20), (40), (60), (80)) AS l(candidate)") + BEST,
     "d19_raw_hmm": IDENTITY + stuck("vb", "SELECT stuck_bucket AS candidate, report_bucket AS obs, p FROM im0", "ip") + BEST,
