@@ -309,3 +309,18 @@ def test_groups_dealt_at_once_rank_alike_and_posteriors_go_without_rates(spark):
     chain = scan.Chain(np.array([[0.2], [0.8]]), 0.1, 0.8, 0.2)
     full, bare = scan.posteriors(reports, normal, chain), scan.posteriors(reports, normal, chain, rate=False)
     assert "rate" not in bare.columns and sorted(map(tuple, full.drop("rate").select(bare.columns).collect())) == sorted(map(tuple, bare.collect()))
+
+
+def test_equal_candidates_on_either_side_of_a_half_are_equal(spark):
+    """Ratios and likelihoods that differ by an ulp only, about a half of the ninth digit; the score stays unrounded."""
+    from tidewright.operators import scan
+
+    low = 0.5085404995
+    high = float(np.nextafter(low, 1))
+    table = spark.createDataFrame([(1, 0, 20, low), (1, 0, 21, high), (1, 0, 22, 0.1)], "series_id int, obs int, candidate int, llr double")
+    rows = spark.createDataFrame([(1, 0, 0)], "series_id int, t long, obs int")
+    found = detectors.point_glr(rows, table).first()
+    assert (found.candidate, found.score) == (20, high)
+    halves = [(k + 0.5) * 1e-9 for k in range(400)]
+    close = np.array([[0.0, np.nextafter(x, 0), np.nextafter(x, 1)] for x in halves]) + np.array([0.0, 1.0, 1.0])
+    assert (scan.largest(close, 1) == 1).all()

@@ -86,9 +86,11 @@ def ratios(matrix: DataFrame, p0: DataFrame) -> DataFrame:
 
 
 def point_glr(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The largest ratio over candidates, and the candidate (the lowest of those equal to nine digits)."""
-    best = table.groupBy("series_id", "obs").agg(F.max(F.struct(F.round("llr", 9).alias("llr"), (-F.col("candidate")).alias("c"))).alias("b"))
-    best = best.select("series_id", "obs", F.col("b.llr").alias("score"), (-F.col("b.c")).alias("candidate"))
+    """The largest ratio over candidates, and the candidate (the lowest of those within 1e-9 of the largest; rounded ratios
+    would part equal ones that lie on either side of a half)."""
+    best = table.groupBy("series_id", "obs").agg(F.max("llr").alias("score"), F.collect_list(F.struct("candidate", "llr")).alias("_of"))
+    near = F.filter("_of", lambda x: x.llr >= F.col("score") - F.lit(1e-9))
+    best = best.select("series_id", "obs", "score", F.array_min(F.transform(near, lambda x: x.candidate)).alias("candidate"))
     return rows.join(best, ["series_id", "obs"])
 
 

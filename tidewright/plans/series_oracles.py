@@ -103,7 +103,7 @@ def cusum(source: str, x: str, moments: str, name: str = "cu") -> str:
 OWN = "SELECT a.series_id, md AS mean, pow(1.4826::DOUBLE * quantile_cont(abs({x} - md), 0.5), 2) AS variance FROM {t} a JOIN (SELECT series_id, quantile_cont({x}, 0.5) AS md FROM {t} WHERE part = 'train' GROUP BY 1) b ON a.series_id = b.series_id WHERE part = 'train' GROUP BY 1, 2"
 CENTRED = f", oc AS (SELECT series_id, t, {num(-C)} + (obs + 0.5::DOUBLE) * {num(2 * C / D)} AS yc FROM o)"
 MOMENTS = f"SELECT series_id, sum(p0 * yy) AS mean, sum(p0 * yy * yy) - sum(p0 * yy) * sum(p0 * yy) AS variance FROM (SELECT *, {num(-C)} + (report_bucket + 0.5::DOUBLE) * {num(2 * C / D)} AS yy FROM p0) GROUP BY 1"
-POINT = ", pg AS (SELECT series_id, obs, round(max(llr), 9) AS score, min(candidate) FILTER (round(llr, 9) = round(best, 9)) AS candidate FROM (SELECT *, max(llr) OVER (PARTITION BY series_id, obs) AS best FROM rt) GROUP BY 1, 2) "
+POINT = ", pg AS (SELECT series_id, obs, max(llr) AS score, min(candidate) FILTER (llr >= best - 1e-9::DOUBLE) AS candidate FROM (SELECT *, max(llr) OVER (PARTITION BY series_id, obs) AS best FROM rt) GROUP BY 1, 2) "
 SCORE = f"SELECT series_id, t, {r('score')} FROM "
 Z = ", z1 AS (SELECT a.*, abs({v} - md) AS dev FROM {t} a JOIN (SELECT series_id, quantile_cont({v}, 0.5) AS md FROM {t} GROUP BY 1) USING (series_id)), rz AS (SELECT z1.*, dev / greatest(1e-6, 1.4826::DOUBLE * ma) AS score FROM z1 JOIN (SELECT series_id, quantile_cont(dev, 0.5) AS ma FROM z1 GROUP BY 1) USING (series_id)) "
 HAMPEL = "least(20::DOUBLE, abs({v} - md) / greatest(1e-6, 1.4826::DOUBLE * ma))"
