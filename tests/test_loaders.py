@@ -78,3 +78,15 @@ def test_registry_settings_results_and_documents(spark, tmp_path):
     L.write_document(runs.where("method = 'k'"), str(tmp_path / "doc"))
     text = "".join(p.read_text() for p in (tmp_path / "doc").glob("part-*"))
     assert json.loads(text) == {"method": "k", "auprc": None, "n": 3}
+
+
+def test_documents_of_windows_are_few(spark, tmp_path, monkeypatch):
+    """A document lists many users, so that files don't grow as users do."""
+    from tidewright.plans import source_queries
+
+    rows = spark.range(3072).selectExpr("id as event_id", "timestamp '2024-01-05 00:30:00' as ts", "id as user_id", "'view' as event_type", "1.0D as value", "'{}' as props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(source_queries, "folder", lambda spark, name: str(tmp_path / name))
+    found = source_queries.inside_windows(spark, str(tmp_path))
+    assert found.count() == 3072 and found.where("inside = 1").count() == 1024
+    assert len(list((tmp_path / "windows").glob("part-*"))) == 3

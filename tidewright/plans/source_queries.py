@@ -16,8 +16,8 @@ from tidewright.sources import telemetry
 from tidewright.streaming import incremental
 
 TIME = "yyyy-MM-dd HH:mm:ss"
-#: One value in so many is missing; users of a dump file; bounds that a reader is given.
-GONE, TOGETHER, BEGIN, END = 13, 16, "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z"
+#: One value in so many is missing; users of a dump file and of a document of windows; bounds that a reader is given.
+GONE, TOGETHER, LISTED, BEGIN, END = 13, 16, 1024, "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z"
 #: Codes of tests with their descriptions, and the months' sum that a calibration needs.
 CODES = {"DUP": "duplicate   check", "HTS": "straight strings", "FVS": "frequent values"}
 NEEDED, FIRST = 500, "2024-01-22"
@@ -75,8 +75,9 @@ def inside_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select(F.concat(F.lit("user"), "user_id").alias("series_id"), "user_id", "ts")
     hours = rows.where("user_id % 3 = 0 and day(ts) % 5 = 0").select("series_id", F.date_trunc("day", "ts").alias("b")).distinct()
     spans = hours.groupBy("series_id").agg(F.array_sort(F.collect_list(F.array(F.date_format("b", TIME), F.date_format(F.col("b") + F.expr("interval 1 hour"), TIME)))).alias("w"))
+    documents = spans.groupBy(F.floor(F.substring("series_id", 5, 20).cast("long") / LISTED).alias("document")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("real/"), "series_id"), "w"))).alias("m"))
     path = folder(spark, "windows")
-    spans.select(F.to_json(F.create_map(F.concat(F.lit("real/"), "series_id"), "w"))).repartition(1).write.option("maxRecordsPerFile", 1).text(path)
+    documents.select(F.to_json("m")).write.option("maxRecordsPerFile", 1).text(path)
     return L.inside_windows(rows, L.label_windows(spark, path)).groupBy("series_id").agg(F.count("*").alias("n"), F.sum("label").alias("inside"))
 
 
