@@ -324,3 +324,21 @@ def test_equal_candidates_on_either_side_of_a_half_are_equal(spark):
     halves = [(k + 0.5) * 1e-9 for k in range(400)]
     close = np.array([[0.0, np.nextafter(x, 0), np.nextafter(x, 1)] for x in halves]) + np.array([0.0, 1.0, 1.0])
     assert (scan.largest(close, 1) == 1).all()
+
+
+def test_batches_meet_known_reports_by_their_ids(spark, monkeypatch):
+    """Decisions that can't hold a batch's ids aren't read; replays and corrections still meet their own."""
+    columns = "report_id long, device_id int, ts int, epsilon double, source_event_id string, batch_id int, batch_kind string, correction_version int"
+    ids = [(0, range(0, 10), 0), (1, range(10, 20), 0), (2, range(4, 8), 0), (3, range(8, 12), 1), (4, range(30, 33), 0)]
+    rows = [(i, i % 3, i, 1.0, f"e{b}-{i}", b, "base", version) for b, own, version in ids for i in own]
+    seen, decide = [], workflow.decide
+
+    def noted(batch, known, *rest):
+        seen.append(None if known is None else sorted(r.report_id for r in known.collect()))
+        return decide(batch, known, *rest)
+
+    monkeypatch.setattr(workflow, "decide", noted)
+    found = workflow.run(spark.createDataFrame(rows, columns))
+    assert seen == [None, None, [4, 5, 6, 7], [8, 9, 10, 11], None]
+    counts = {(r.batch_id, r.status): r["count"] for r in found.groupBy("batch_id", "status").count().collect()}
+    assert counts == {(0, "accepted"): 10, (1, "accepted"): 10, (2, "duplicate"): 4, (3, "correction"): 4, (4, "accepted"): 3}

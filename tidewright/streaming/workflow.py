@@ -62,16 +62,23 @@ def spending(decisions: DataFrame, spent: DataFrame | None) -> DataFrame:
 
 
 def run(batches: DataFrame, cap: float = CAP) -> DataFrame:
-    """The decisions on all batches, in the order of batch_id."""
-    batches = stage.table(batches, "batches")
-    tables: list[DataFrame] = []
+    """The decisions on all batches, in the order of batch_id.
+
+    A batch reads its own rows only, and of the earlier decisions those batches whose range of report ids meets its own.
+    """
+    batches = stage.table(batches, "batches", by="batch_id")
+    tables: list[tuple[int | None, int | None, DataFrame]] = []
     spent, watermark = None, -1
-    for number, latest in batches.groupBy("batch_id").agg(F.max("ts")).orderBy("batch_id").collect():
-        known = reduce(DataFrame.unionByName, map(known_of, tables)) if tables else None
-        tables.append(stage.table(decide(batches.where(F.col("batch_id") == number), known, spent, watermark, cap), "decisions"))
-        spent = stage.table(spending(tables[-1], spent), "spent")
+    bounds = batches.groupBy("batch_id").agg(F.max("ts"), F.min("report_id"), F.max("report_id")).orderBy("batch_id").collect()
+    for number, latest, low, high in bounds:
+        # a batch without ids meets none
+        met = [known_of(d) for least, most, d in tables if low is not None and least is not None and least <= high and most >= low]
+        known = reduce(DataFrame.unionByName, met).where(F.col("report_id").between(low, high)) if met else None
+        decided = stage.table(decide(batches.where(F.col("batch_id") == number), known, spent, watermark, cap), "decisions")
+        tables.append((low, high, decided))
+        spent = stage.table(spending(decided, spent), "spent")
         watermark = max(watermark, latest)
-    return reduce(DataFrame.unionByName, tables)
+    return reduce(DataFrame.unionByName, [d for _, _, d in tables])
 
 
 def stream(spark: SparkSession, source: str, schema: str, folder: str, cap: float = CAP):
