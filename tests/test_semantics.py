@@ -1,5 +1,7 @@
 """Invariants and plain recursions: what SQL comparison on one data set doesn't show."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,6 +328,31 @@ def test_equal_candidates_on_either_side_of_a_half_are_equal(spark):
     assert (scan.largest(close, 1) == 1).all()
 
 
+EDGE = "81.86 6.04 5.91 16.85 170.52 21.99 70.09 45.83 54.36 11.08 3.4 121.56 3.78 79.98 26.02 55.98 66.35 58.55 22.31 80.14 102.11 143.01 72.19 8.3 62.2 167.82 34.92 79.84 67.35 88.38 37.5 129.77 41.94 152.31 4.85 61.11 21.62 85.23 62.93 85.83 73.85 7.26 105.31 60.39 62.41 68.02 4.53 30.45 5.24 84.57 3.36 31.58 181.96 29.94 13.86 62.03 55.26 91.34 10.76 122.61 46.62"
+
+
+def test_values_on_an_edge_whatever_the_last_bit_of_percentiles(spark, tmp_path):
+    """User 1006's values as a training part: 62.41 lies on the lower edge of a bucket, and Spark's 1st percentile is an ulp
+    above DuckDB's."""
+    import duckdb
+
+    from tidewright.plans.catalogue import ORACLES, QUERIES
+
+    values = [float(x) for x in EDGE.split()] + [50.0] * 40
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), 1006, "view", x, "{}") for i, x in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("m11_histogram_alpha", "d5_surprise"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+    clean = series.normalize(series.split(spark.createDataFrame([(1006, i, i, x) for i, x in enumerate(values)], SERIES)))
+    on = {r.x: round((r.v + 1) * 16, 9) for r in clean.where("part = 'train'").collect()}
+    buckets = {r.x: r.b for r in clean.withColumn("b", channel.bucket(F.col("v"))).collect()}
+    edges = [x for x, place in on.items() if place == int(place) and 0 < place < 32]
+    assert edges == [62.41] and buckets[62.41] == on[62.41] == 11
+
+
 def test_batches_meet_known_reports_by_their_ids(spark, monkeypatch):
     """Decisions that can't hold a batch's ids aren't read; replays and corrections still meet their own."""
     columns = "report_id long, device_id int, ts int, epsilon double, source_event_id string, batch_id int, batch_kind string, correction_version int"

@@ -35,13 +35,14 @@ def split(rows: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataF
 
 def normalize(rows: DataFrame, how: str = "robust", reference: Column | None = None) -> DataFrame:
     """Adds v in [-1, 1]: the 1st and 99th percentile ("robust") or least and largest ("range") of the reference rows
-    (the train part if none is given) become -1 and 1; what is beyond is clipped, a flat reference gives 0."""
+    (the train part if none is given) become -1 and 1; what is beyond is clipped, a flat reference gives 0. v counts to
+    12 digits, so that a value on a bucket's edge stays on it though engines' percentiles are an ulp apart."""
     chosen = F.when(reference if reference is not None else F.col("part") == "train", F.col("x"))
     low, high = (F.percentile(chosen, F.lit(0.01)), F.percentile(chosen, F.lit(0.99))) if how == "robust" else (F.min(chosen), F.max(chosen))
     bounds = rows.groupBy("series_id").agg(low.alias("low"), high.alias("high"))
     width = F.col("high") - F.col("low")
     v = F.when(width > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("x") - F.col("low")) / width * F.lit(2.0) - F.lit(1.0)))).otherwise(F.lit(0.0))
-    return rows.join(bounds, "series_id").withColumn("v", v).drop("low", "high")
+    return rows.join(bounds, "series_id").withColumn("v", F.round(v, 12)).drop("low", "high")
 
 
 def chronological(rows: DataFrame, train: float = 0.6, validation: float = 0.2, test_len: int = 1200, least: int = 300) -> DataFrame:

@@ -25,9 +25,10 @@ def clip(x: str, low: str = "-1", high: str = "1") -> str:
 
 
 def normalized(name: str, how: str = "robust", where: str = "part = 'train'") -> str:
+    """v counts to 12 digits; else a percentile's last bit would say in which bucket a value on an edge is."""
     low, high = ("quantile_cont(x, 0.01)", "quantile_cont(x, 0.99)") if how == "robust" else ("min(x)", "max(x)")
     return f"""{name}_b AS (SELECT series_id, {low} FILTER ({where}) AS low, {high} FILTER ({where}) AS high FROM raw GROUP BY 1),
-{name} AS (SELECT raw.*, CASE WHEN high - low > 0 THEN {clip("(x - low) / (high - low) * 2.0::DOUBLE - 1.0::DOUBLE")} ELSE 0 END AS v FROM raw JOIN {name}_b USING (series_id))"""
+{name} AS (SELECT raw.*, CASE WHEN high - low > 0 THEN round({clip("(x - low) / (high - low) * 2.0::DOUBLE - 1.0::DOUBLE")}, 12) + 0 ELSE 0 END AS v FROM raw JOIN {name}_b USING (series_id))"""
 
 
 def injected(mode: str) -> str:
