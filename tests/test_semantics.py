@@ -328,6 +328,26 @@ def test_equal_candidates_on_either_side_of_a_half_are_equal(spark):
     assert (scan.largest(close, 1) == 1).all()
 
 
+def test_neighbours_in_blocks_against_all_distances(spark):
+    """Copies, near copies far from the origin, a repeated id, a row without a vector and one with a gap; blocks of 16 rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 8)).astype(np.float32)
+    x[40:60], x[60:90] = x[0], x[1] + 1000 + rng.normal(size=(30, 8)).astype(np.float32) / 1000
+    rows = [(i if i != 149 else 100, [float(v) for v in own]) for i, own in enumerate(x)] + [(150, None), (151, [None] + [0.0] * 7)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = frame.where("vec_id % 10 = 0")
+    ids, wide = np.array([i for i, _ in rows[:150]]), x.astype(float)
+    want = {}
+    for q in sorted({int(i) for i in ids if i % 10 == 0}):
+        away = np.concatenate([np.sqrt(((wide[ids != q] - own) ** 2).sum(axis=1)) for own in wide[ids == q]])
+        want[q] = np.sort(away)[:5].mean()
+    for block in (4096, 16):
+        found = detectors.nearest_neighbours(queries, frame, block=block).collect()
+        got = {r.query_id: r.score for r in found}
+        assert len(found) == len(got) and got.pop(150) is None and set(got) == set(want)
+        assert all(abs(got[q] - want[q]) < 1e-9 for q in want)
+
+
 EDGE = "81.86 6.04 5.91 16.85 170.52 21.99 70.09 45.83 54.36 11.08 3.4 121.56 3.78 79.98 26.02 55.98 66.35 58.55 22.31 80.14 102.11 143.01 72.19 8.3 62.2 167.82 34.92 79.84 67.35 88.38 37.5 129.77 41.94 152.31 4.85 61.11 21.62 85.23 62.93 85.83 73.85 7.26 105.31 60.39 62.41 68.02 4.53 30.45 5.24 84.57 3.36 31.58 181.96 29.94 13.86 62.03 55.26 91.34 10.76 122.61 46.62"
 
 

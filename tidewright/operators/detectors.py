@@ -248,20 +248,47 @@ def subsequence_neighbours(rows: DataFrame, column: str = "x", window: int = 32,
     return found.withColumn("series_id", F.col("series_id").cast(rows.schema["series_id"].dataType))
 
 
-def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """query_id, score: the mean distance of a query to its k nearest rows, itself apart; exact.
 
-    queries and vectors: vec_id, embedding. The queries are a stated set; they go to all rows in blocks of about a fixed
-    number by a hash of their ids, and each row keeps to the k nearest that its partition has seen.
+    queries and vectors: vec_id, embedding; all of one length. Both are dealt by a hash of their ids into blocks of about
+    a fixed number, and each pair of blocks is a group that keeps a query's k nearest. A product of matrices leaves out what
+    is farther than its own rounding allows; the rest is measured. Rows without a vector are near nothing, a query
+    without one has no score.
     """
-    blocks = -(-queries.count() // block) or 1
-    out = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-        pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id"))
-        squares = F.aggregate(F.zip_with("embedding", "query", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-        near = pairs.select("query_id", F.sqrt(squares).alias("distance"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
-        part = near.withColumn("_n", place).where(F.col("_n") <= k).groupBy("query_id").agg(F.avg("distance").alias("score"))
-        out = part if out is None else out.union(part)
-    return out
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    n, m = (max(1, -(-x.count() // block)) for x in (vectors, queries))
+
+    def dealt(rows: DataFrame, own: str, of: int, other: str, others: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return rows.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(own), every)
+
+    def stacked(table: pa.Table) -> np.ndarray:
+        return np.array(table["embedding"].combine_chunks().flatten(), dtype=float).reshape(table.num_rows, -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, x, found = np.array(left["vec_id"]), None, []
+        if left.num_rows and right.num_rows:
+            x, own, q = stacked(left), np.array(right["vec_id"]), stacked(right)
+            lengths = (x * x).sum(axis=1)
+            rounding = 1e-15 * (4 + x.shape[1])  # of a square, in shares of both lengths
+            for at in range(0, len(q), 256):
+                some, names = q[at : at + 256], own[at : at + 256]
+                sizes = (some * some).sum(axis=1)
+                squares = sizes[:, None] + lengths - 2 * (some @ x.T)
+                squares[names[:, None] == ids] = np.inf
+                few = min(k, len(x)) - 1
+                most = np.partition(squares, few, axis=1)[:, few] + 4 * rounding * (sizes + lengths.max())
+                for i, name in enumerate(names):
+                    near = np.flatnonzero(~(squares[i] > most[i]) & (ids != name))
+                    away = np.sort(np.sqrt(((x[near] - some[i]) ** 2).sum(axis=1)))[:k]
+                    found += [(name, d) for d in away]
+        names, distances = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(names, pa.int64()), pa.array(distances, pa.float64())], schema=out)
+
+    out = pa.schema([("query_id", pa.int64()), ("distance", pa.float64())])
+    pairs = dealt(vectors, "part", n, "of", m).groupBy("part", "of").cogroup(dealt(queries, "of", m, "part", n).groupBy("part", "of"))
+    near = pairs.applyInArrow(run, "query_id long, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
+    scored = near.withColumn("_n", place).where(F.col("_n") <= k).groupBy("query_id").agg(F.avg("distance").alias("score"))
+    return scored.unionByName(queries.where(~whole).select(F.col("vec_id").cast("long").alias("query_id"), F.lit(None).cast("double").alias("score")))
