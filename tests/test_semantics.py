@@ -82,6 +82,33 @@ def test_change_points_equal_their_recursion(spark):
     assert np.allclose(got, want, atol=1e-9) and max(got[60:70]) > 2 * got[50]
 
 
+def test_change_points_whatever_the_cut_into_batches(spark):
+    """Series that end within a batch, go on over several, or have one row, side by side; each against plain runs."""
+    rng, sizes = np.random.default_rng(13), {1: 70, 2: 1, 3: 3, 4: 24, 5: 13}
+    x = {i: np.round(np.r_[rng.normal(0, 0.1, n // 2), rng.normal(0.8, 0.2, n - n // 2)], 3) for i, n in sizes.items()}
+    df = spark.createDataFrame([(i, t, t, float(v)) for i, own in x.items() for t, v in enumerate(own)], SERIES).repartition(5)
+    moments = spark.createDataFrame([(i, i / 10, i / 50) for i in sizes], "series_id int, mean double, variance double")
+    want = {}
+    for i, own in x.items():
+        chances = np.ones(1)
+        for t, v in enumerate(own):
+            runs = [(i / 10, max(i / 50, 1e-4)) if r < 3 else (own[t - r : t].mean(), max(own[t - r : t].var(), 1e-4)) for r in range(len(chances))]
+            likely = np.array([max(np.exp(-((v - m) ** 2) / (2 * s)) / np.sqrt(2 * np.pi * s), 1e-300) for m, s in runs])
+            chances = np.r_[(chances * likely).sum() / 20, chances * likely * 19 / 20][:20]
+            chances /= chances.sum()
+            want[i, t] = chances[0]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    known = spark.conf.get(size)
+    try:
+        for rows in (known, "7", "1"):
+            spark.conf.set(size, rows)
+            got = {(r.series_id, r.t): r.score for r in hmm.change_points(df, moments, longest=20).collect()}
+            assert set(got) == set(want) and all(abs(got[key] - want[key]) < 1e-9 for key in want)
+    finally:
+        spark.conf.set(size, known)
+    assert hmm.change_points(df.where("false"), moments).count() == 0
+
+
 def uniform_reports(spark, m):
     return spark.createDataFrame([(1, k, float(p)) for k, p in enumerate(m.mean(axis=1))], "series_id int, report_bucket int, p0 double")
 
