@@ -416,3 +416,39 @@ def test_batches_meet_known_reports_by_their_ids(spark, monkeypatch):
     assert seen == [None, None, [4, 5, 6, 7], [8, 9, 10, 11], None]
     counts = {(r.batch_id, r.status): r["count"] for r in found.groupBy("batch_id", "status").count().collect()}
     assert counts == {(0, "accepted"): 10, (1, "accepted"): 10, (2, "duplicate"): 4, (3, "correction"): 4, (4, "accepted"): 3}
+
+
+def test_fit_keeps_within_a_row_and_series_are_dealt_once(spark):
+    """Grids of rates aren't rows, 1024 rows of a series aren't shuffled; lowest points inside and beyond both ends of the grid,
+    and columns equal to what is normal."""
+    matrix = channel.piecewise_matrix(spark, 2.0)
+    m, rng, rows, shares = hmm.table(matrix), np.random.default_rng(11), [], {}
+    for key, (share, column) in enumerate(((0.0, 3), (0.3, 0), (1.0, 31), (0.66, 17))):
+        obs = rng.choice(32, 400, p=(1 - share) * m.mean(axis=1) + share * m[:, column])
+        rows += [(key, t, int(o)) for t, o in enumerate(obs)]
+        shares[key] = np.bincount(obs, minlength=32) / 400
+    calibration = spark.range(4).select(F.col("id").cast("int").alias("series_id"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("stuck_bucket")).withColumn("alpha", F.lit(1 / 32))
+    p0 = channel.normal(matrix, calibration)
+    fit = detectors.mixture(spark.createDataFrame(rows, "series_id int, t long, obs int"), matrix, p0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(fit).count("Generate explode") == plan(p0).count("Generate explode")
+    assert not any("Exchange hashpartitioning" in line and "report_bucket" in line for line in plan(p0).splitlines())
+    found = {r.series_id: (r.loss, r.candidate, round(r.rate, 9)) for r in fit.collect()}
+    for key, q in shares.items():
+        losses = [(round(float(((q - (1 - r) * m.mean(axis=1) - r * m[:, c]) ** 2).sum()), 12), c, round(r, 9)) for c in range(32) for r in np.linspace(0.01, 0.70, 100)]
+        assert found[key] == min(losses)
+    flat = matrix.select("stuck_bucket", "report_bucket", F.lit(1 / 32).alias("p"))
+    same = detectors.mixture(spark.createDataFrame(rows, "series_id int, t long, obs int"), flat, flat.where("stuck_bucket = 0").select(F.lit(0).alias("series_id"), "report_bucket", F.col("p").alias("p0"))).first()
+    assert (same.candidate, same.rate) == (0, 0.01)
+
+
+def test_lists_of_ratios_are_the_ratios(spark):
+    matrix = channel.piecewise_matrix(spark, 2.0)
+    calibration = spark.range(64).select((F.col("id") % 2).cast("int").alias("series_id"), F.floor(F.col("id") / 2).cast("int").alias("stuck_bucket"), (F.lit(0.01) + F.col("id") / 3000).alias("alpha"))
+    p0 = channel.normal(matrix, calibration).localCheckpoint()
+    rows = spark.createDataFrame([(k, t, (t * 7 + k) % 32) for k in range(2) for t in range(70)], "series_id int, t long, obs int")
+    lists = detectors.ratio_lists(matrix, p0)
+    assert lists.count() == 64 and lists.where("size(of) <> 32").count() == 0
+    for detector in (detectors.point_glr, detectors.window_glr, detectors.llr_cusum):
+        a, b = (sorted(map(tuple, detector(rows, t).collect())) for t in (detectors.ratios(matrix, p0), lists))
+        assert a == b and len(a) == 140

@@ -127,8 +127,8 @@ def contaminated(calibration: DataFrame, share: float, at: int) -> DataFrame:
 
 
 def normal(matrix: DataFrame, calibration: DataFrame) -> DataFrame:
-    """series_id, report_bucket, p0: what a normal series reports."""
-    return calibration.join(F.broadcast(matrix), "stuck_bucket").groupBy("series_id", "report_bucket").agg(F.sum(F.col("p") * F.col("alpha")).alias("p0"))
+    """series_id, report_bucket, p0: what a normal series reports. Series are dealt before their 32 rows become 1024."""
+    return calibration.repartition("series_id").join(F.broadcast(matrix), "stuck_bucket").groupBy("series_id", "report_bucket").agg(F.sum(F.col("p") * F.col("alpha")).alias("p0"))
 
 
 def clean_mean(matrix: DataFrame, calibration: DataFrame, d: int = D) -> DataFrame:

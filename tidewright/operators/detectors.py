@@ -85,11 +85,29 @@ def ratios(matrix: DataFrame, p0: DataFrame) -> DataFrame:
     return rows.select("series_id", F.col("report_bucket").alias("obs"), F.col("stuck_bucket").alias("candidate"), llr.alias("llr"))
 
 
+def ratio_lists(matrix: DataFrame, p0: DataFrame) -> DataFrame:
+    """series_id, obs, of: ratios() as one list of (candidate, llr) in the order of candidates for each report.
+
+    The channel's columns are lists before they meet a series, so a series has 32 rows here, never 1024.
+    """
+    logs = matrix.groupBy("report_bucket").agg(F.array_sort(F.collect_list(F.struct(F.col("stuck_bucket").alias("candidate"), F.log(F.greatest("p", F.lit(1e-15))).alias("llr")))).alias("_logs"))
+    quiet = F.log(F.greatest("p0", F.lit(1e-15)))
+    of = F.transform("_logs", lambda x: F.struct(x.candidate.alias("candidate"), (x.llr - quiet).alias("llr")))
+    return p0.join(F.broadcast(logs), "report_bucket").select("series_id", F.col("report_bucket").alias("obs"), of.alias("of"))
+
+
+def _lists(table: DataFrame) -> DataFrame:
+    """ratio_lists() of what is either that or ratios()."""
+    if "of" in table.columns:
+        return table
+    return table.groupBy("series_id", "obs").agg(F.array_sort(F.collect_list(F.struct("candidate", "llr"))).alias("of"))
+
+
 def point_glr(rows: DataFrame, table: DataFrame) -> DataFrame:
     """The largest ratio over candidates, and the candidate (the lowest of those within 1e-9 of the largest; rounded ratios
     would part equal ones that lie on either side of a half)."""
-    best = table.groupBy("series_id", "obs").agg(F.max("llr").alias("score"), F.collect_list(F.struct("candidate", "llr")).alias("_of"))
-    near = F.filter("_of", lambda x: x.llr >= F.col("score") - F.lit(1e-9))
+    best = _lists(table).withColumn("score", F.array_max(F.transform("of", lambda x: x.llr)))
+    near = F.filter("of", lambda x: x.llr >= F.col("score") - F.lit(1e-9))
     best = best.select("series_id", "obs", "score", F.array_min(F.transform(near, lambda x: x.candidate)).alias("candidate"))
     return rows.join(best, ["series_id", "obs"])
 
@@ -114,8 +132,7 @@ def _with_ratios(rows: DataFrame, table: DataFrame) -> DataFrame:
     A series' lists are one map, met by the series alone: rows are dealt as the windows over them ask, and the lists don't
     travel with each row.
     """
-    lists = table.groupBy("series_id", "obs").agg(F.array_sort(F.collect_list(F.struct("candidate", "llr"))).alias("_l"))
-    maps = lists.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("obs", F.col("_l.llr").alias("_l")))).alias("_of"))
+    maps = _lists(table).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("obs", F.col("of.llr").alias("_l")))).alias("_of"))
     return rows.join(maps, "series_id").withColumn("_l", F.try_element_at("_of", F.col("obs"))).drop("_of").where(F.col("_l").isNotNull())
 
 
@@ -170,26 +187,39 @@ def llr_cusum(rows: DataFrame, table: DataFrame, drift: float = 0.25, d: int = c
     return spread.withColumn("score", score).drop("_l", "_mean", "_std", "_z", "_least")
 
 
-def rates(steps: int = 100, low: float = 0.01, high: float = 0.70) -> Column:
+LOW, HIGH = 0.01, 0.70
+
+
+def rate_at(i: Column, steps: int) -> Column:
+    return F.lit(LOW) + i * F.lit((HIGH - LOW) / (steps - 1))
+
+
+def rates(steps: int = 100) -> Column:
     """The grid of fault rates, evenly spaced."""
-    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(low) + i * F.lit((high - low) / (steps - 1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: rate_at(i, steps))
 
 
 def mixture(rows: DataFrame, matrix: DataFrame, p0: DataFrame, steps: int = 100) -> DataFrame:
     """series_id, candidate, rate, loss: the stuck column and rate whose mixture with p0 is nearest the reports' shares.
 
     The sum over 32 buckets of (q - (1 - r) b0 - r b1) ** 2 is a parabola in r whose three sums are taken first, so
-    the grid of rates meets 32 rows per series, not 1024.
+    the grid of rates meets 32 rows per series, not 1024. The least loss of a candidate is at one of the
+    four rates about the parabola's lowest point; the rate, the lowest of equals by 12 digits, is looked up on the whole grid
+    for the candidate chosen.
     """
     n = rows.groupBy("series_id", F.col("obs").alias("report_bucket")).agg(F.count("*").alias("n"))
     q = p0.join(n, ["series_id", "report_bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     q = q.withColumn("q", F.col("n") / F.sum("n").over(Window.partitionBy("series_id")))
     d, g = F.col("q") - F.col("p0"), F.col("p") - F.col("p0")
     sums = q.join(F.broadcast(matrix), "report_bucket").groupBy("series_id", "stuck_bucket").agg(F.sum(d * d).alias("dd"), F.sum(d * g).alias("dg"), F.sum(g * g).alias("gg"))
-    fits = sums.select("series_id", F.col("stuck_bucket").alias("candidate"), F.explode(rates(steps)).alias("rate"), "dd", "dg", "gg")
-    loss = F.col("dd") - 2 * F.col("rate") * F.col("dg") + F.col("rate") * F.col("rate") * F.col("gg")
-    best = fits.withColumn("loss", loss).groupBy("series_id").agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "candidate", "rate")).alias("b"))
-    return best.select("series_id", "b.candidate", "b.rate", "b.loss")
+    loss = lambda r, of: F.col(f"{of}dd") - 2 * r * F.col(f"{of}dg") + r * r * F.col(f"{of}gg")
+    below = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(float(steps)), (F.coalesce(F.col("dg") / F.nullif(F.col("gg"), F.lit(0.0)), F.lit(0.0)) - F.lit(LOW)) / F.lit((HIGH - LOW) / (steps - 1))))).cast("int")
+    sums = sums.withColumn("_below", below)
+    near = [rate_at(F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.col("_below") + k)), steps) for k in (-1, 0, 1, 2)]
+    least = F.round(F.least(*[loss(r, "") for r in near]), 12)
+    best = sums.groupBy("series_id").agg(F.min(F.struct(least.alias("loss"), F.col("stuck_bucket").alias("candidate"), "dd", "dg", "gg")).alias("b"))
+    rate = F.get(F.filter(rates(steps), lambda r: F.round(loss(r, "b."), 12) == F.col("b.loss")), F.lit(0))
+    return best.select("series_id", "b.candidate", rate.alias("rate"), "b.loss")
 
 
 def mixture_posterior(rows: DataFrame, matrix: DataFrame, p0: DataFrame, fit: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def private_runs(s: Series, faulty: DataFrame, epsilon: float, methods: tuple[st
     private = stage.table(faulty.select("series_id", "t", "part", "v", "label", "vf", C.discretize(C.piecewise(F.col("vf"), epsilon), epsilon).alias("obs")), "panel")
     matrix = C.piecewise_matrix(s.spark, epsilon)
     p0 = stage.table(C.normal(matrix, C.alpha(private.where("part = 'train'"))), "normal-reports")
-    ratios = D.ratios(matrix, p0)
+    ratios = D.ratio_lists(matrix, p0)
     p11 = F.greatest(F.lit(0.5), 1 - 1 / F.greatest(length.cast("double"), F.lit(2.0)))
     p01 = F.least(F.lit(0.2), F.greatest(F.lit(1e-4), rate * (1 - p11) / F.greatest(1 - rate, F.lit(1e-6))))
     chain = scan.Chain(np.maximum(hmm.table(matrix), hmm.FLOOR), p01, p11, rate)

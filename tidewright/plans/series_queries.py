@@ -36,7 +36,7 @@ class Series:
         self.matrix = C.piecewise_matrix(spark, EPSILON)
         self.alpha = C.alpha(self.clean.where("part = 'train'"))
         self.p0 = C.normal(self.matrix, self.alpha)
-        self.ratios = D.ratios(self.matrix, self.p0)
+        self.ratios = D.ratio_lists(self.matrix, self.p0)
 
     @property
     def centred(self) -> DataFrame:
@@ -71,7 +71,7 @@ class Series:
         """series_id, method, positives, negatives, auroc, auprc: one pass over all methods' scores."""
         self.faulty, self.private = (stage.table(x, name) for x, name in ((self.faulty, "faulty"), (self.private, "private")))
         self.p0 = stage.table(self.p0, "normal-reports")
-        self.ratios = D.ratios(self.matrix, self.p0)
+        self.ratios = D.ratio_lists(self.matrix, self.p0)
         parts = [d.select("series_id", "t", "label", F.round("score", 6).alias("score"), F.lit(name).alias("method")) for name, d in self.scores().items()]
         rows = parts[0]
         for p in parts[1:]:
