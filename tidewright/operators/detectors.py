@@ -105,11 +105,12 @@ def _lists(table: DataFrame) -> DataFrame:
 
 def point_glr(rows: DataFrame, table: DataFrame) -> DataFrame:
     """The largest ratio over candidates, and the candidate (the lowest of those within 1e-9 of the largest; rounded ratios
-    would part equal ones that lie on either side of a half)."""
+    would part equal ones that lie on either side of a half). The join is no broadcast: what lists leave is taken for smaller
+    than it is."""
     best = _lists(table).withColumn("score", F.array_max(F.transform("of", lambda x: x.llr)))
     near = F.filter("of", lambda x: x.llr >= F.col("score") - F.lit(1e-9))
     best = best.select("series_id", "obs", "score", F.array_min(F.transform(near, lambda x: x.candidate)).alias("candidate"))
-    return rows.join(best, ["series_id", "obs"])
+    return rows.join(best.hint("merge"), ["series_id", "obs"])
 
 
 def smoothed(rows: DataFrame, width: int = 5) -> DataFrame:
@@ -133,7 +134,7 @@ def _with_ratios(rows: DataFrame, table: DataFrame) -> DataFrame:
     travel with each row.
     """
     maps = _lists(table).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("obs", F.col("of.llr").alias("_l")))).alias("_of"))
-    return rows.join(maps, "series_id").withColumn("_l", F.try_element_at("_of", F.col("obs"))).drop("_of").where(F.col("_l").isNotNull())
+    return rows.join(maps.hint("merge"), "series_id").withColumn("_l", F.try_element_at("_of", F.col("obs"))).drop("_of").where(F.col("_l").isNotNull())
 
 
 def _each(column: str, d: int, do) -> Column:
