@@ -110,7 +110,7 @@ def ranking(rows: DataFrame, keys: list[str], many: bool = False) -> DataFrame:
     steps = by_score.withColumns({"tp": F.sum("hits").over(so_far), "fp": F.sum("others").over(so_far), "all_hits": F.sum("hits").over(whole), "all_others": F.sum("others").over(whole)})
     area = F.sum(F.col("others") * (F.col("tp") - F.col("hits") / F.lit(2.0)))
     both = (F.max("all_hits") > 0) & (F.max("all_others") > 0)
-    precision = F.sum(F.col("hits") / F.col("all_hits") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    precision = F.sum(F.col("hits") / F.nullif(F.col("all_hits"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp")))
     return steps.groupBy(*keys).agg(F.max("all_hits").alias("positives"), F.max("all_others").alias("negatives"), F.when(both, area / F.max("all_hits") / F.max("all_others")).alias("auroc"), F.when(both, precision).alias("auprc"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright import stage
-from tidewright.operators import audits, faults, hmm, scan, simulation
+from tidewright.operators import audits, faults, hmm, panels, scan, simulation
 from tidewright.operators import channel as C
 from tidewright.operators import evaluation as E
 from tidewright.operators import selection as P
@@ -131,8 +131,8 @@ CHANNELS = ((TRUE_EPSILON, 32), (TRUE_EPSILON, 8), (TRUE_EPSILON, 16), (TRUE_EPS
 STRESSED = tuple((panel, float(x), seed, x if panel == "calibration_contamination" else 0.0, CHANNELS.index((x, 32) if panel == "epsilon_mismatch" else (TRUE_EPSILON, x) if panel == "bucket_count" else (TRUE_EPSILON, 32))) for panel, values in STRESS.items() for x in values for seed in SEEDS)
 
 
-def stressed(s: Series) -> DataFrame:
-    """series_id (keyed), t, label, score, candidate, d and bucket (the true one): all settings in one scan."""
+def long_stressed(s: Series) -> DataFrame:
+    """series_id (keyed), t, label, score, candidate, d and bucket (the true one): all settings in one scan, whatever a series' length."""
     largest = max(d for _, d in CHANNELS)
     pick = lambda i: of_setting([x[i] for x in STRESSED])
     size = of_setting([CHANNELS[x[4]][1] for x in STRESSED])
@@ -161,13 +161,23 @@ def stressed(s: Series) -> DataFrame:
 def stress(s: Series) -> DataFrame:
     """Means over devices of each setting's areas and of how often the true bucket is found; fleets of devices are scored
     as one, on what isn't contaminated."""
-    rows = stressed(s).withColumn("score", F.round("score", 6))
-    hits = rows.groupBy("series_id").agg(F.max((F.col("candidate") == F.col("bucket")).cast("double")).alias("hit"))
-    runs = E.ranking(rows, ["series_id"], many=True).join(hits, "series_id")
+    short, long = s.by_length()
+    settings = [panels.Setting(k, x[2], share=SHARE, length=LENGTH, stuck=STUCK, rate=SHARE, lasts=LENGTH, mixed=x[3]) for k, x in enumerate(STRESSED)]
+    tables = [hmm.table(C.piecewise_matrix(s.spark, e, d, d), d) for e, d in CHANNELS]
+    channels = [panels.Channel(TRUE_EPSILON, table, tuple(y for y, x in zip(settings, STRESSED, strict=True) if x[4] == i)) for i, table in enumerate(tables)]
+    pure = [k for k, x in enumerate(STRESSED) if x[:2] == ("calibration_contamination", 0.0)]
+    bucket = of_setting([int((STUCK + 1.0) * (CHANNELS[x[4]][1] / 2.0)) for x in STRESSED])
+    keyed = (F.col("series_id") * SETTINGS + F.col("setting")).alias("series_id")
+    runs = panels.areas_of(short.clean, channels, ("hmm",)).select(keyed, "auroc", "auprc", "candidate").withColumn("hit", (F.col("candidate") == bucket).cast("double")).drop("candidate")
+    plain = panels.scores_of(short.clean, [panels.Channel(TRUE_EPSILON, tables[0], tuple(settings[k] for k in pure))], "hmm").select(keyed, "label", "score")
+    if long is not None:
+        rows = long_stressed(long).withColumn("score", F.round("score", 6))
+        hits = rows.groupBy("series_id").agg(F.max((F.col("candidate") == F.col("bucket")).cast("double")).alias("hit"))
+        runs = runs.unionByName(E.ranking(rows, ["series_id"], many=True).join(hits, "series_id").select("series_id", "auroc", "auprc", "hit"))
+        plain = plain.unionByName(rows.where((F.col("series_id") % SETTINGS).isin(pure)).select("series_id", "label", "score"))
     pick = lambda i, name: of_setting([x[i] for x in STRESSED]).alias(name)
     means = [F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc")]
     single = runs.groupBy(pick(0, "panel"), pick(1, "x"), pick(2, "seed")).agg(*means, F.avg("hit").alias("bucket_hit"))
-    plain = rows.where((F.col("series_id") % SETTINGS).isin([k for k, x in enumerate(STRESSED) if x[:2] == ("calibration_contamination", 0.0)]))
     plain = plain.withColumn("x", F.explode(F.array(*map(F.lit, FLEETS)))).withColumn("fleet", F.floor(F.floor(F.col("series_id") / SETTINGS) / F.col("x"))).withColumn("seed", pick(2, "seed"))
     fleets = E.ranking(plain, ["x", "seed", "fleet"]).groupBy(F.lit("multi_device_short_traces").alias("panel"), F.col("x").cast("double").alias("x"), "seed").agg(*means, F.lit(None).cast("double").alias("bucket_hit"))
     return single.unionByName(fleets)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tidewright import stage
 from tidewright.operators import channel as C
 from tidewright.operators import detectors as D
 from tidewright.operators import evaluation as E
-from tidewright.operators import faults, hmm, scan
+from tidewright.operators import faults, hmm, panels, scan
 from tidewright.operators import relations as R
 from tidewright.operators import series as S
 from tidewright.operators import summaries as B
@@ -30,14 +31,32 @@ class Series:
         events = telemetry.table(spark, sf_dir, "events")
         self.reports = telemetry.reports(events)
         self.raw = S.split(S.finite(S.from_reports(telemetry.reports(events, "value"))))
-        self.clean = S.normalize(self.raw)
+        self.matrix = C.piecewise_matrix(spark, EPSILON)
+        self._derive(S.normalize(self.raw))
+
+    def _derive(self, clean: DataFrame) -> None:
+        self.clean = clean
         self.faulty = faults.inject(faults.segment_mask(self.clean, SHARE, SEGMENT), "segment_stuck", stuck=STUCK)
         self.private = self.faulty.withColumn("y", C.piecewise(F.col("vf"), EPSILON)).withColumn("obs", C.discretize(F.col("y"), EPSILON))
-        self.matrix = C.piecewise_matrix(spark, EPSILON)
         self.alpha = C.alpha(self.clean.where("part = 'train'"))
         self.p0 = C.normal(self.matrix, self.alpha)
         self.ratios = D.ratio_lists(self.matrix, self.p0)
 
+    def within(self, clean: DataFrame) -> Series:
+        """The series of these normalised rows."""
+        found = copy(self)
+        found._derive(clean)
+        return found
+
+    def by_length(self) -> tuple[Series, Series | None]:
+        """The series that a task may hold (operators/panels.py), and longer ones, if there are any."""
+        clean = stage.table(self.clean, "clean")
+        long = clean.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") > panels.HELD).select("series_id")
+        if long.isEmpty():
+            return self.within(clean), None
+        long = stage.table(long, "long-series")
+        return self.within(clean.join(long, "series_id", "left_anti")), self.within(clean.join(long, "series_id", "left_semi"))
+
     @property
     def centred(self) -> DataFrame:
         """Reports as the values at the centres of their bins."""
