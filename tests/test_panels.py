@@ -12,7 +12,7 @@ from tidewright.operators import panels
 from tidewright.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("b12_stress",)
+NAMES = ("b12_stress", "b16_panel")
 
 
 @pytest.fixture(scope="module")

@@ -13,7 +13,7 @@ from tidewright import stage
 from tidewright.operators import channel as C
 from tidewright.operators import detectors as D
 from tidewright.operators import evaluation as E
-from tidewright.operators import faults, hmm, scan
+from tidewright.operators import faults, hmm, panels, scan
 from tidewright.operators import relations as R
 from tidewright.operators import selection as P
 from tidewright.operators import series as S
@@ -105,7 +105,7 @@ def policies(s: Series) -> DataFrame:
 
 #: Panel: epsilons, seeds, faults and the rows of a segment. Sweeps: lengths and shares, each with three seeds. A series has
 #: one key for each setting.
-EPSILONS, SEEDS, MODES, LENGTH, SETTINGS = (2.0, 4.0), (0, 1, 2), ("iid_stuck", "segment_stuck", "template_stuck", "bias"), 48, 64
+EPSILONS, SEEDS, MODES, LENGTH, SETTINGS = (2.0, 4.0), (0, 1, 2), ("iid_stuck", "segment_stuck", "template_stuck", "bias"), 48, panels.SETTINGS
 AXES = {"segment_length": (12, 24, 48, 96), "fault_rate": (0.05, 0.10, 0.20, 0.30)}
 SWEEP = tuple((axis, float(v), seed, v if axis == "fault_rate" else SHARE, v if axis == "segment_length" else LENGTH) for axis, values in AXES.items() for v in values for seed in SEEDS)
 
@@ -145,9 +145,26 @@ def private_runs(s: Series, faulty: DataFrame, epsilon: float, methods: tuple[st
     return E.ranking(reduce(DataFrame.union, parts), ["series_id", "method"], many=True)
 
 
+#: The panel's settings by their numbers, and its methods.
+PANEL = tuple((seed, mode) for seed in SEEDS for mode in MODES)
+METHODS = ("robust_z", "surprise", "point_glr", "window_glr", "mixture", "hmm")
+
+
 def panel(s: Series) -> DataFrame:
     """A run for each series, epsilon, seed, fault and method."""
-    settings = [(("seed", seed), ("mode", mode)) for seed in SEEDS for mode in MODES]
+    short, long = s.by_length()
+    settings = tuple(panels.Setting(k, seed, mode, SHARE, LENGTH, STUCK, rate=SHARE, lasts=LENGTH) for k, (seed, mode) in enumerate(PANEL))
+    channels = [panels.Channel(e, hmm.table(C.piecewise_matrix(s.spark, e)), settings) for e in EPSILONS]
+    notes = mined(short).select("series_id", F.col("rank").alias("number"), "n", F.col("level").alias("value"))
+    runs = panels.areas_of(short.clean, channels, METHODS, notes)
+    seed, mode = (panels.of_number([x[i] for x in PANEL], "setting") for i in (0, 1))
+    runs = runs.select("series_id", panels.of_number(list(EPSILONS), "channel").alias("epsilon"), seed.alias("seed"), mode.alias("mode"), "method", "auroc", "auprc")
+    return runs if long is None else runs.unionByName(long_panel(long))
+
+
+def long_panel(s: Series) -> DataFrame:
+    """The panel of series of any length, by windows and scans."""
+    settings = [(("seed", seed), ("mode", mode)) for seed, mode in PANEL]
     rows = stage.table(spread(s, settings), "panel-series")
     of = {mode: rows.where(F.col("mode") == mode) for mode in MODES}
     keyed = mined(s).withColumn("_k", F.explode(F.array(*[F.lit(k) for k, x in enumerate(settings) if x[1][1] == "template_stuck"])))
@@ -155,8 +172,7 @@ def panel(s: Series) -> DataFrame:
     parts = [faults.inject(faults.iid_mask(of["iid_stuck"], SHARE), "iid_stuck", stuck=STUCK), faults.template_faults(of["template_stuck"], keyed, SHARE, length=LENGTH)]
     parts += [faults.inject(faults.segment_mask(of[mode], SHARE, LENGTH), mode, stuck=STUCK) for mode in ("segment_stuck", "bias")]
     faulty = stage.table(reduce(DataFrame.unionByName, [x.select("series_id", "t", "id", "part", "v", "label", "vf") for x in parts]), "faulty")
-    methods = ("robust_z", "surprise", "point_glr", "window_glr", "mixture", "hmm")
-    runs = reduce(DataFrame.unionByName, (private_runs(s, faulty, e, methods, F.lit(SHARE), F.lit(LENGTH)).withColumn("epsilon", F.lit(e)) for e in EPSILONS))
+    runs = reduce(DataFrame.unionByName, (private_runs(s, faulty, e, METHODS, F.lit(SHARE), F.lit(LENGTH)).withColumn("epsilon", F.lit(e)) for e in EPSILONS))
     seed, mode = of_setting([x[0][1] for x in settings]), of_setting([x[1][1] for x in settings])
     return runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), "epsilon", seed.alias("seed"), mode.alias("mode"), "method", "auroc", "auprc")
 
