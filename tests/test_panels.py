@@ -6,9 +6,10 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright import stage
-from tidewright.operators import panels
+from tidewright.operators import panels, summaries
 from tidewright.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +55,22 @@ def test_settings_are_not_stored(spark, tmp_path, name, monkeypatch):
     assert 0 < stored <= 3 * 1000
 
 
+def test_a_suite_makes_its_runs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    runs = [(k, m, 0.5, a) for k, own in (("x", {"a": 0.4, "b": 0.9, "c": 0.9}), ("y", {"a": 0.3, "b": None}), ("z", {"c": 0.1})) for m, a in own.items()]
+    rows = spark.createDataFrame(runs, "mode string, method string, auroc double, auprc double").mapInArrow(count, "mode string, method string, auroc double, auprc double")
+    found = summaries.suite(rows, ["mode"], F.col("method").isin("a", "b"), F.upper("method"))
+    got = {r["mode"]: (r.recommended_method, r.recommended_family, r.best_auprc, r.cases, r.own_method, r.own_auprc, r.gain) for r in found.collect()}
+    assert got == {"x": ("b", "B", 0.9, 1, "b", 0.9, 0.0), "y": ("a", "A", 0.3, 1, "a", 0.3, 0.0), "z": ("c", "C", 0.1, 1, None, None, None)}
+    assert made.value == len(runs)
+
+
 def test_blocks_hold_whole_series_whatever_the_batches():
     sizes = {1: 5, 2: 300, 4: 1, 9: 70, 10: 70, 11: 3}
     ids = [i for i, n in sizes.items() for _ in range(n)]

@@ -135,9 +135,11 @@ def suite(rows: DataFrame, keys: list[str], own: Column, family: Column) -> Data
 
     rows: method, auroc, auprc."""
     means = rows.groupBy(*keys, "method").agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"), F.count("auprc").alias("cases")).where("auprc is not null")
-    first = best(means, keys, "auprc", "method").select(*keys, F.col("method").alias("recommended_method"), family.alias("recommended_family"), F.col("auroc").alias("best_auroc"), F.col("auprc").alias("best_auprc"), "cases")
-    mine = best(means.where(own), keys, "auprc", "method").select(*keys, F.col("method").alias("own_method"), F.col("auroc").alias("own_auroc"), F.col("auprc").alias("own_auprc"))
-    return first.join(mine, keys, "left").withColumn("gain", F.col("best_auprc") - F.col("own_auprc"))
+    # both in one aggregation, so that the runs are made once
+    place = F.struct((-F.col("auprc")).alias("less"), "method", family.alias("family"), "auroc", "auprc", "cases")
+    found = means.groupBy(*keys).agg(F.min(place).alias("_a"), F.min(F.when(own, place)).alias("_b"))
+    names = {"recommended_method": "_a.method", "recommended_family": "_a.family", "best_auroc": "_a.auroc", "best_auprc": "_a.auprc", "cases": "_a.cases", "own_method": "_b.method", "own_auroc": "_b.auroc", "own_auprc": "_b.auprc"}
+    return found.select(*keys, *[F.col(c).alias(name) for name, c in names.items()], (F.col("_a.auprc") - F.col("_b.auprc")).alias("gain"))
 
 
 def boundary(rows: DataFrame, keys: list[str]) -> DataFrame:
