@@ -196,23 +196,42 @@ def stuck_kinds(s: Series) -> DataFrame:
     return tails.unionByName(C.stuck_values(s.clean, s.matrix, s.alpha).select("series_id", "kind", "value")).withColumn("value", F.round("value", 6))
 
 
-def gate_runs(s: Series) -> DataFrame:
+#: The gate's settings by their numbers.
+GATES = tuple((kind, seed) for kind in KINDS for seed in SEEDS)
+
+
+def gate_runs(s: Series, methods: tuple[str, ...] = GATED) -> DataFrame:
     """Runs that a gate of separation judges: stuck segments at values of each kind, with the channel's separation there."""
-    settings = [(("seed", seed), ("kind", kind)) for kind in KINDS for seed in SEEDS]
+    short, long = s.by_length()
+    settings = tuple(panels.Setting(k, seed, share=SHARE, length=LENGTH, note=KINDS.index(kind), rate=SHARE, lasts=LENGTH) for k, (kind, seed) in enumerate(GATES))
+    channels = [panels.Channel(e, hmm.table(C.piecewise_matrix(s.spark, e)), settings) for e in STREAM_EPSILONS]
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
+    notes = stuck_kinds(short).select("series_id", place.alias("number"), F.lit(0).alias("n"), "value")
+    runs = panels.areas_of(short.clean, channels, methods, notes)
+    kind, seed = (panels.of_number([x[i] for x in GATES], "setting") for i in (0, 1))
+    out = runs.select("series_id", panels.of_number(list(STREAM_EPSILONS), "channel").alias("epsilon"), kind.alias("stuck_value_type"), seed.alias("seed"), "method", "auprc", (F.col("positives") / (F.col("positives") + F.col("negatives"))).alias("prevalence"), F.col("tv").alias("tv_sep"), F.col("kl").alias("kl_sep"))
+    if long is not None:
+        out = out.unionByName(long_gate_runs(long, methods))
+    layer = F.when(F.col("stuck_value_type").startswith("tail"), "controlled_tail_segment").otherwise("controlled_central_segment")
+    return out.withColumn("semantic_layer", layer)
+
+
+def long_gate_runs(s: Series, methods: tuple[str, ...]) -> DataFrame:
+    """The gate's runs of series of any length."""
+    settings = [(("seed", seed), ("kind", kind)) for kind, seed in GATES]
     values = stage.table(stuck_kinds(s), "stuck-values")
     rows = spread(s, settings).withColumn("_own", F.floor(F.col("series_id") / SETTINGS)).join(values.select(F.col("series_id").alias("_own"), "kind", "value"), ["_own", "kind"])
     labelled = faults.segment_mask(rows, SHARE, LENGTH)
     faulty = stage.table(labelled.select("series_id", "t", "id", "part", "v", "label", F.when(F.col("label") == 1, F.col("value")).otherwise(F.col("v")).alias("vf")), "faulty")
     out = None
     for e in STREAM_EPSILONS:
-        runs = private_runs(s, faulty, e, GATED, F.lit(SHARE), F.lit(LENGTH))
+        runs = private_runs(s, faulty, e, methods, F.lit(SHARE), F.lit(LENGTH))
         runs = runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), F.lit(e).alias("epsilon"), of_setting([x[1][1] for x in settings]).alias("stuck_value_type"), of_setting([x[0][1] for x in settings]).alias("seed"), "method", F.col("auprc"), (F.col("positives") / (F.col("positives") + F.col("negatives"))).alias("prevalence"))
         apart = C.separation(C.piecewise_matrix(s.spark, e), s.alpha)
         lookup = values.withColumn("stuck_bucket", C.bucket(F.col("value"))).join(apart, ["series_id", "stuck_bucket"]).select("series_id", F.col("kind").alias("stuck_value_type"), F.col("tv").alias("tv_sep"), F.col("kl").alias("kl_sep"))
         runs = runs.join(lookup, ["series_id", "stuck_value_type"])
         out = runs if out is None else out.unionByName(runs)
-    layer = F.when(F.col("stuck_value_type").startswith("tail"), "controlled_tail_segment").otherwise("controlled_central_segment")
-    return out.withColumn("semantic_layer", layer)
+    return out
 
 
 def failures(runs: DataFrame) -> DataFrame:
