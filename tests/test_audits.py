@@ -84,3 +84,11 @@ def test_streaks_and_ablation_of_few_rows(spark):
     frame = spark.createDataFrame(runs, "case string, method string, part string, auroc double, auprc double")
     found = {r.left_out: (r.selected_method, round(r.regret, 9), r.methods) for r in B.ablation(frame, ["case"], F.when(F.col("method") == "x", "one").otherwise("other")).collect()}
     assert found == {"none": ("x", 0.6, 3), "one": ("y", 0.2, 2), "other": ("x", 0.6, 1)}
+
+
+def test_spans_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    spark.range(4000).selectExpr("id % 50 as series", "id div 50 as begin", "id div 50 + 1 as end").write.parquet(f"{tmp_path}/spans")
+    points = spark.range(4000).selectExpr("id % 50 as series", "id div 50 as t")
+    found = intervals.covered(points, spark.read.parquet(f"{tmp_path}/spans"), ["series"])
+    assert found.count() == 50 * (80 + 79)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

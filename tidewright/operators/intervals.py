@@ -15,7 +15,8 @@ def covered(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "t",
     A span is kept at the level whose bins are as wide as it is, so in two bins at most however long it is; a point looks
     into one bin of each level that there is. Levels are few: eight times the length is one more. Spans without an end or
     a begin, or that end before they begin, hold nothing; null keys match nothing; repeated rows count each. A key with
-    very many points is dealt over its bins.
+    very many points is dealt over its bins. The join is no broadcast: what comes of a stage table is taken for as small as
+    its compressed files are.
     """
     length = F.col(end) - F.col(begin) + 1
     level = F.greatest(F.lit(0), F.ceil(F.log(length.cast("double") / FINEST) / F.log(F.lit(float(WIDER))) - F.lit(1e-9))).cast("int")
@@ -27,4 +28,4 @@ def covered(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "t",
     own = own.withColumn("_bin", F.explode(bins))
     looks = F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))
     rows = points.withColumn("_level", looks).withColumn("_bin", place(F.col(at), width(F.col("_level"))))
-    return rows.join(own, [*keys, "_level", "_bin"]).where(F.col(at).between(F.col(begin), F.col(end))).drop("_level", "_bin")
+    return rows.join(own.hint("merge"), [*keys, "_level", "_bin"]).where(F.col(at).between(F.col(begin), F.col(end))).drop("_level", "_bin")
