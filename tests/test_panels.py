@@ -13,7 +13,7 @@ from tidewright.operators import panels, summaries
 from tidewright.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("b12_stress", "b16_panel", "b17_gate_runs")
+NAMES = ("b12_stress", "b16_panel", "b17_gate_runs", "b12_sweep")
 
 
 @pytest.fixture(scope="module")

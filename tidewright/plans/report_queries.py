@@ -177,15 +177,28 @@ def long_panel(s: Series) -> DataFrame:
     return runs.select(F.floor(F.col("series_id") / SETTINGS).alias("series_id"), "epsilon", seed.alias("seed"), mode.alias("mode"), "method", "auroc", "auprc")
 
 
+SWEPT = ("window_glr", "hmm", "surprise")
+
+
 def sweep(s: Series) -> DataFrame:
     """Mean scores along each axis, by seed."""
-    settings = [(("seed", seed), ("share", share), ("length", length)) for _, _, seed, share, length in SWEEP]
-    faulty = faults.inject(faults.segment_mask(spread(s, settings), F.col("share"), F.col("length")), "segment_stuck", stuck=STUCK)
-    runs = private_runs(s, faulty, EPSILONS[0], ("window_glr", "hmm", "surprise"), of_setting([x[3] for x in SWEEP]), of_setting([x[4] for x in SWEEP]))
+    short, long = s.by_length()
+    settings = tuple(panels.Setting(k, seed, share=share, length=length, stuck=STUCK, rate=share, lasts=length) for k, (_, _, seed, share, length) in enumerate(SWEEP))
+    runs = panels.areas_of(short.clean, [panels.Channel(EPSILONS[0], hmm.table(C.piecewise_matrix(s.spark, EPSILONS[0])), settings)], SWEPT)
+    runs = runs.select((F.col("series_id") * SETTINGS + F.col("setting")).alias("series_id"), "method", "auroc", "auprc")
+    if long is not None:
+        runs = runs.unionByName(long_sweep(long).select("series_id", "method", "auroc", "auprc"))
     names = [of_setting([x[i] for x in SWEEP]).alias(name) for i, name in enumerate(("axis", "axis_value", "seed"))]
     return runs.groupBy(*names, "method").agg(F.count("auprc").alias("runs"), F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
 
 
+def long_sweep(s: Series) -> DataFrame:
+    """The sweep's runs, by key and method, of series of any length."""
+    settings = [(("seed", seed), ("share", share), ("length", length)) for _, _, seed, share, length in SWEEP]
+    faulty = faults.inject(faults.segment_mask(spread(s, settings), F.col("share"), F.col("length")), "segment_stuck", stuck=STUCK)
+    return private_runs(s, faulty, EPSILONS[0], SWEPT, of_setting([x[3] for x in SWEEP]), of_setting([x[4] for x in SWEEP]))
+
+
 def layers(s: Series) -> DataFrame:
     """The panel by fault: the best method of all and of the own ones at each epsilon, and the router's choice."""
     runs = panel(s).withColumns({"auroc": F.round("auroc", 6), "auprc": F.round("auprc", 6)})
