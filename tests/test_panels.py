@@ -55,6 +55,13 @@ def test_settings_are_not_stored(spark, tmp_path, name, monkeypatch):
     assert 0 < stored <= 3 * 1000
 
 
+def test_failures_ask_for_the_posterior_model_only(spark, monkeypatch):
+    asked, areas_of = [], panels.areas_of
+    monkeypatch.setattr(panels, "areas_of", lambda *args: asked.append(args[2]) or areas_of(*args))
+    assert QUERIES["b2_failures"](spark, SF).count() == 10
+    assert asked == [("hmm",)]
+
+
 def test_a_suite_makes_its_runs_once(spark):
     made = spark.sparkContext.accumulator(0)
 

@@ -270,7 +270,7 @@ AUDITS: dict[str, Callable[[Series], DataFrame]] = {
     "m1_chronological": lambda s: rounded(S.chronological(long_series(s), test_len=TEST, least=ENOUGH)),
     "w5_wide_medians": lambda s: rounded(wide_medians(s)),
     "m7_discretize": buckets,
-    "b2_failures": lambda s: rounded(failures(rounded(gate_runs(s), 9))),
+    "b2_failures": lambda s: rounded(failures(rounded(gate_runs(s, ("hmm",)), 9))),
     "b17_gate_runs": lambda s: rounded(gate_runs(s), 9),
     "b12_stress": lambda s: rounded(stress(s)),
     "d27_channel_advantage": lambda s: rounded(advantage(s), 9),
